@@ -5,32 +5,41 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine-word-parallel step per character."""
-    if len(a) > len(b):
-        a, b = b, a
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    open_places = full
-    for ch in b:
-        hit = open_places & places.get(ch, 0)
-        open_places = ((open_places + hit) | (open_places - hit)) & full
-    return len(a) - open_places.bit_count()
+def lcs_function():
+    """Arrow function for the length of the longest common subsequence.
 
+    The helper is defined in here so that it travels to the executors with the query and needs
+    no installation there.
+    """
 
-@F.pandas_udf("int")
-def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length(a, b) for a, b in zip(left, right)], dtype="int32")
+    def length(a: str, b: str) -> int:
+        # One bit per character of the shorter text; one step of whole-number arithmetic per
+        # character of the longer one.
+        if len(a) > len(b):
+            a, b = b, a
+        places: dict = {}
+        for i, ch in enumerate(a):
+            places[ch] = places.get(ch, 0) | (1 << i)
+        full = (1 << len(a)) - 1
+        unmatched = full
+        for ch in b:
+            hit = unmatched & places.get(ch, 0)
+            unmatched = ((unmatched + hit) | (unmatched - hit)) & full
+        return len(a) - unmatched.bit_count()
+
+    def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([length(a, b) for a, b in zip(left, right)], dtype="int32")
+
+    return F.pandas_udf(lcs, T.IntegerType())
 
 
 def indel_score(left: Column, right: Column) -> Column:
     """Whole-number similarity 0..100 from insertions and deletions, halves rounded to even."""
     total = F.char_length(left) + F.char_length(right)
-    return F.bround(lcs(left, right) * 200.0 / total, 0).cast("int")
+    return F.bround(lcs_function()(left, right) * 200.0 / total, 0).cast("int")
 
 
 def bigrams(value: Column) -> Column:
