@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlint.functions.values import text_columns
+
 AUDIT_COLUMNS = [
     "Issue ID", "Severity", "Agent", "Title", "Description", "Affected Rows", "Suggested Fix", "Status",
 ]
@@ -25,7 +27,10 @@ def corrected_columns(df: DataFrame, header) -> DataFrame:
 
 
 def write_corrected_csv(df: DataFrame, header, path: str) -> None:
-    corrected_columns(df, header).write.option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
+    (
+        corrected_columns(df, header).write.option("header", True).option("emptyValue", "").option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
 
 
 def audit_sheet_name(source_name: str, run_date: str) -> str:
@@ -88,9 +93,10 @@ def append_cell_flags(flags: DataFrame, path: str) -> None:
 def update_cells(df: DataFrame, updates: DataFrame, row_id: str) -> DataFrame:
     """The table with single cells replaced; ``updates`` is (seq, row_id, column, new_value).
 
-    The last update of a cell wins. Unknown rows and columns change nothing.
+    The last update of a cell wins. Unknown rows and columns, and columns that are not text, change
+    nothing.
     """
-    names = [c for c in df.columns if c != row_id]
+    names = [c for c in text_columns(df) if c != row_id]
     last = updates.groupBy(F.col("row_id").alias("__row"), F.lower("column").alias("column")).agg(
         F.max(F.struct("seq", F.coalesce("new_value", F.lit("")).alias("v"))).alias("u")
     )
@@ -98,7 +104,7 @@ def update_cells(df: DataFrame, updates: DataFrame, row_id: str) -> DataFrame:
         F.max(F.when(F.col("column") == c.lower(), F.col("u.v"))).alias(f"__u{i}") for i, c in enumerate(names)
     ])
     joined = df.join(wide, df[row_id] == wide["__row"], "left")
-    new = {c: F.coalesce(F.col(f"__u{i}"), df[c].cast("string")).alias(c) for i, c in enumerate(names)}
+    new = {c: F.coalesce(F.col(f"__u{i}"), df[c]).alias(c) for i, c in enumerate(names)}
     return joined.select(*[new.get(c, df[c]) for c in df.columns])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ledgerlint.functions.values import parse_number
 from ledgerlint.settings import NULL_TOKENS
 
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
 
 
 def _csv(spark: SparkSession, paths, encoding: str, multiline: bool, header_row: list[str]):
@@ -31,24 +31,19 @@ def csv_header(spark: SparkSession, path, encoding: str = "UTF-8") -> list[str]:
 def read_csv_text(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
     """All columns as text. Files that are not valid UTF-8 are read again as Latin-1.
 
-    The probe is one text scan that yields the names of the files concerned.
+    The probe is one text scan that yields the names of the files concerned; the scan of each
+    encoding then skips the files of the other one.
     """
-    lines = spark.read.text(path)
-    foreign = sorted(
-        r["f"]
-        for r in lines.where(F.contains("value", F.lit(REPLACEMENT)))
-        .select(F.col("_metadata.file_path").alias("f"))
-        .distinct()
-        .collect()
-    )
-    files = sorted(lines.inputFiles())
+    file = F.col("_metadata.file_path")
+    lines = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    foreign = [r["f"] for r in lines.select(file.alias("f")).distinct().orderBy("f").collect()]
+    header = csv_header(spark, path)
     if not foreign:
-        return _csv(spark, path, "UTF-8", multiline, csv_header(spark, path))
-    bad = set(foreign)
-    clean = [f for f in files if f not in bad]
-    header = csv_header(spark, clean[0]) if clean else csv_header(spark, foreign[0], "ISO-8859-1")
-    latin = _csv(spark, foreign, "ISO-8859-1", multiline, header)
-    return latin if not clean else _csv(spark, clean, "UTF-8", multiline, header).unionByName(latin)
+        return _csv(spark, path, "UTF-8", multiline, header)
+    if any(REPLACEMENT in c for c in header):
+        header = csv_header(spark, path, "ISO-8859-1")
+    clean = _csv(spark, path, "UTF-8", multiline, header).where(~file.isin(foreign))
+    return clean.unionByName(_csv(spark, path, "ISO-8859-1", multiline, header).where(file.isin(foreign)))
 
 
 def infer_types(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
