@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def lcs_function():
-    """Arrow function for the length of the longest common subsequence.
+def lcs_function(ratio: float):
+    """Arrow function for the length of the longest common subsequence of two texts.
 
-    The helper is defined in here so that it travels to the executors with the query and needs
-    no installation there.
+    Pairs whose characters alone rule out 2 * length >= ratio * (both lengths) give NULL; that test
+    runs on whole batches at once. The helpers are defined in here so that they travel to the
+    executors with the query and need no installation there.
     """
 
+    def histograms(texts) -> np.ndarray:
+        # Characters share 256 counters; sharing can only raise an overlap, never hide a pair.
+        codes = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % 256 for t in texts]
+        rows = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        cells = np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, np.int64)
+        return np.bincount(rows * 256 + cells, minlength=len(codes) * 256).reshape(len(codes), 256)
+
     def length(a: str, b: str) -> int:
         # One bit per character of the shorter text; one step of whole-number arithmetic per
         # character of the longer one.
@@ -31,18 +40,25 @@ def lcs_function():
         return len(a) - unmatched.bit_count()
 
     def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([length(a, b) for a, b in zip(left, right)], dtype="int32")
+        if not len(left):
+            return pd.Series([], dtype="Int32")
+        ids, texts = pd.factorize(pd.concat([left, right], ignore_index=True))
+        counts = histograms(texts).astype(np.int32)
+        lengths = counts.sum(axis=1)
+        a, b = ids[: len(left)], ids[len(left):]
+        overlap = np.minimum(counts[a], counts[b]).sum(axis=1)
+        possible = 2 * overlap >= ratio * (lengths[a] + lengths[b]) - 1e-9
+        return pd.Series(
+            [length(texts[i], texts[j]) if ok else None for i, j, ok in zip(a, b, possible)], dtype="Int32"
+        )
 
-    return F.pandas_udf(lcs, T.IntegerType())
+    # Declared not deterministic so that the planner does not run it once for a filter on the
+    # score and again for the score itself.
+    return F.pandas_udf(lcs, T.IntegerType()).asNondeterministic()
 
 
-def indel_score(left: Column, right: Column) -> Column:
-    """Whole-number similarity 0..100 from insertions and deletions, halves rounded to even."""
+def indel_score(left: Column, right: Column, ratio: float = 0.0) -> Column:
+    """Whole-number similarity 0..100 from insertions and deletions, halves rounded to even; NULL
+    where it cannot reach the ratio."""
     total = F.char_length(left) + F.char_length(right)
-    return F.bround(lcs_function()(left, right) * 200.0 / total, 0).cast("int")
-
-
-def bigrams(value: Column) -> Column:
-    """All overlapping two-character pieces of the value between an opening and a closing mark."""
-    marked = F.concat(F.lit("\u0002"), value, F.lit("\u0003"))
-    return F.transform(F.sequence(F.lit(1), F.char_length(value) + 1), lambda i: F.substr(marked, i, F.lit(2)))
+    return F.bround(lcs_function(ratio)(left, right) * 200.0 / total, 0).cast("int")

@@ -3,26 +3,32 @@
 The comparison works on distinct lower-cased values, so copies cost nothing: a pair of values that
 occur n and m times stands for n*m pairs of rows.
 
-No value pair is missed. Two values within edit distance d share at least max(len)+1-2d of their
-bigrams (counted with multiplicity, with a mark at both ends). Hence, with the bigrams of every value
-in one common order, the first 2d+2 of both values have at least two in common. Pairs of bigrams out
-of these prefixes are the join key; the order puts frequent bigrams last, so keys are selective.
-A value pair is kept only under the first key that it shares, so that no de-duplication is needed,
-and goes to the exact comparison only if it passes the length and bigram-count bounds.
+No pair is missed and no value has a limit on its partners. Similar values share most of their
+characters: with multiplicity, at least t of them, where t follows from the two lengths. Take the
+characters of every value as (character, n-th occurrence) and order them the same way everywhere,
+rare ones first. If two values share t of them, then the first len-t+k of one value and the first
+len-t+k of the other have at least k in common. So the join key is k of these, together with the
+pair of lengths (in bands, for long text) for which t was computed. A value pair meets under several
+keys; it is kept only under the first one, so nothing has to be de-duplicated afterwards.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.similarity import bigrams, indel_score
+from ledgerlint.functions.similarity import indel_score
 from ledgerlint.operators.findings import RowKey, member_findings
 from ledgerlint.operators.skew import join_to_groups
 
-COMMON_BIGRAMS = 10_000
+EXACT_LENGTHS = 32
+BAND_WIDTH = 1.03
+COMMON_CHARACTERS = 200
+ORDER_SAMPLE = 10_000
+TINY = 1e-9
 
 
 @dataclass(frozen=True)
@@ -35,16 +41,16 @@ class Indel:
     def ratio(self) -> float:
         return (self.at_least - 0.5) / 100
 
-    def distance(self, a: Column, b: Column) -> Column:
-        """Largest distance of a pair with these lengths that can still reach the score."""
-        return F.floor((a + b) * F.lit(1 - self.ratio) + 1e-9)
+    def partner_lengths(self, length: Column) -> tuple[Column, Column]:
+        share = self.ratio / (2 - self.ratio)
+        return F.ceil(length * F.lit(share) - TINY), F.floor(length / F.lit(share) + TINY)
 
-    def reach(self, length: Column) -> Column:
-        """Largest such distance over all partners that matter for the bigram prefix."""
-        return F.floor(length * F.lit(2 * (1 - self.ratio)) + 1e-9)
+    def shared(self, a: Column, b: Column) -> Column:
+        """Characters that two values of at least these lengths have in common."""
+        return F.ceil((a + b) * F.lit(self.ratio / 2) - TINY).cast("int")
 
     def score(self, a: Column, b: Column) -> Column:
-        return indel_score(a, b)
+        return indel_score(a, b, self.ratio)
 
     def accepts(self, score: Column, a: Column, b: Column) -> Column:
         return (score >= self.at_least) & (score < 100)
@@ -56,17 +62,20 @@ class Edits:
 
     share: float = 0.12
 
-    def distance(self, a: Column, b: Column) -> Column:
-        return F.floor(F.greatest(a, b) * F.lit(self.share) + 1e-9)
+    def limit(self, length: Column) -> Column:
+        return F.floor(length * F.lit(self.share) + TINY).cast("int")
 
-    def reach(self, length: Column) -> Column:
-        return F.floor(F.ceil(length / F.lit(1 - self.share)) * F.lit(self.share) + 1e-9)
+    def partner_lengths(self, length: Column) -> tuple[Column, Column]:
+        return F.ceil(length * F.lit(1 - self.share) - TINY), F.floor(length / F.lit(1 - self.share) + TINY)
+
+    def shared(self, a: Column, b: Column) -> Column:
+        return (F.greatest(a, b) - self.limit(F.greatest(a, b))).cast("int")
 
     def score(self, a: Column, b: Column) -> Column:
         return F.levenshtein(a, b)
 
     def accepts(self, score: Column, a: Column, b: Column) -> Column:
-        return score <= self.distance(F.char_length(a), F.char_length(b))
+        return score <= self.limit(F.greatest(F.char_length(a), F.char_length(b)))
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -79,63 +88,116 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def value_keys(values: DataFrame, metric) -> DataFrame:
-    """(value, n_rows, len, grams, prefix, gram_key): every value under each of its join keys."""
-    # One shuffle by value serves the distinct values, the bigram counts and the regrouping.
-    counted = (
-        values.select("value", "n_rows", F.explode(bigrams(F.col("value"))).alias("gram"))
-        .groupBy("value", "n_rows", "gram")
-        .agg(F.count("*").alias("copies"))
-        .select("value", "n_rows", "gram", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-        .withColumn("gram", F.concat("gram", F.col("copy").cast("string")))
-    )
-    common = (
-        counted.groupBy("gram").agg(F.count("*").alias("seen")).orderBy(F.desc("seen"), "gram").limit(COMMON_BIGRAMS)
-    )
-    ordered = (
-        counted.join(F.broadcast(common), "gram", "left")
-        .groupBy("value", "n_rows")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram"))).alias("g"))
-        .select("value", "n_rows", F.char_length("value").alias("len"), F.col("g.gram").alias("grams"))
-        .withColumn("prefix", F.slice("grams", F.lit(1), (2 * metric.reach(F.col("len")) + 2).cast("int")))
-    )
-    keys = F.flatten(
-        F.transform(
-            "prefix",
-            lambda first, i: F.transform(
-                F.slice("prefix", i + 2, F.size("prefix")), lambda second: F.concat_ws("\u0001", first, second)
-            ),
+def band(length: Column) -> Column:
+    """Number of the length band: single lengths up to a point, then bands of constant ratio."""
+    step = F.floor(F.log(length / F.lit(float(EXACT_LENGTHS))) / F.lit(math.log(BAND_WIDTH)))
+    return F.when(length <= EXACT_LENGTHS, length).otherwise(EXACT_LENGTHS + F.greatest(step, F.lit(1))).cast("int")
+
+
+def band_start(number: Column) -> Column:
+    """A length that no value of the band falls below."""
+    start = F.floor(F.lit(float(EXACT_LENGTHS)) * F.pow(F.lit(BAND_WIDTH), number - EXACT_LENGTHS)) - 1
+    return F.when(number <= EXACT_LENGTHS, number).otherwise(F.greatest(start, F.lit(EXACT_LENGTHS + 1))).cast("int")
+
+
+def usual_counts(values: DataFrame) -> dict:
+    """{character: mean occurrences per value} of the most common characters.
+
+    Only sets the order of the characters, on which the speed depends but not the result, so a few
+    thousand values do. At most a few hundred rows reach the driver.
+    """
+    some = values.limit(ORDER_SAMPLE)
+    seen = some.select(F.explode(F.split("value", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    top = seen.orderBy(F.desc("n"), "c").limit(COMMON_CHARACTERS).collect()
+    return {r["c"]: r["n"] / ORDER_SAMPLE for r in top}
+
+
+def ordered_characters(value: Column, usual: dict) -> Column:
+    """The characters of a value as 'character + n-th occurrence', rare ones first."""
+    known = F.create_map(*[x for c, n in usual.items() for x in (F.lit(c), F.lit(n))]) if usual else None
+
+    def occurrences(c):
+        count = F.char_length(value) - F.char_length(F.replace(value, c, F.lit("")))
+        usually = F.lit(TINY) if known is None else F.coalesce(F.try_element_at(known, c), F.lit(TINY))
+        return F.transform(
+            F.sequence(F.lit(1), count),
+            lambda n: F.struct((usually / n).alias("likely"), F.concat(c, n.cast("string")).alias("token")),
         )
+
+    tokens = F.flatten(F.transform(F.array_distinct(F.split(value, "")), occurrences))
+    return F.transform(F.array_sort(tokens), lambda t: t["token"])
+
+
+def combinations(pool: Column, k: int, chosen: tuple = ()) -> Column:
+    """Hashes of all k-element selections of the pool, each in the order of the pool."""
+    if k == 1:
+        return F.transform(pool, lambda x: F.xxhash64(F.array(*chosen, x)))
+    return F.flatten(F.transform(
+        pool, lambda x, i: combinations(F.slice(pool, i + 2, F.size(pool)), k - 1, (*chosen, x))
+    ))
+
+
+def value_keys(values: DataFrame, metric, depth: int, usual: dict) -> DataFrame:
+    """Every value under each of its join keys: (value, n_rows, own, partner, picks, prefix, key)."""
+    length = F.char_length("value")
+    low, high = metric.partner_lengths(length)
+    measured = values.select(
+        "value", "n_rows", length.alias("len"), ordered_characters(F.col("value"), usual).alias("characters"),
+        band(length).alias("own"), F.sequence(band(low), band(high)).alias("partners"),
     )
-    return ordered.withColumn("gram_key", F.explode(keys))
-
-
-def near_pairs(values: DataFrame, metric=Indel()) -> DataFrame:
-    """(value_a, value_b, score, n_a, n_b) with value_a < value_b, over distinct values."""
-    keyed = value_keys(values, metric)
-    a = keyed.select("gram_key", *[F.col(c).alias(f"{c}_a") for c in ("value", "n_rows", "len", "grams", "prefix")])
-    b = keyed.select("gram_key", *[F.col(c).alias(f"{c}_b") for c in ("value", "n_rows", "len", "grams", "prefix")])
-    distance = metric.distance(F.col("len_a"), F.col("len_b"))
-    candidates = (
-        a.join(b, "gram_key")
-        .where(F.col("value_a") < F.col("value_b"))
-        .where(F.abs(F.col("len_a") - F.col("len_b")) <= distance)
-        .where(
-            F.concat_ws("\u0001", F.slice(F.array_intersect("prefix_a", "prefix_b"), 1, 2)) == F.col("gram_key")
-        )
-        .where(
-            F.size(F.array_intersect("grams_a", "grams_b"))
-            >= F.greatest("len_a", "len_b") + 1 - 2 * distance
-        )
+    shared = metric.shared(band_start(F.col("own")), band_start(F.col("partner")))
+    classed = measured.withColumn("partner", F.explode("partners")).drop("partners").withColumn("shared", shared)
+    # Long text has prefixes of many characters: one of them is a key there, not a selection.
+    picks = F.least(F.when(F.greatest("own", "partner") <= EXACT_LENGTHS, depth).otherwise(1), "shared")
+    prefixed = classed.withColumn("picks", picks).where("picks > 0 and shared <= len").select(
+        "value", "n_rows", "own", "partner", "picks",
+        F.slice("characters", F.lit(1), F.col("len") - F.col("shared") + F.col("picks")).alias("prefix"),
+    )
+    keys = F.when(F.col("picks") == 1, combinations(F.col("prefix"), 1))
+    for k in range(2, depth + 1):
+        keys = keys.when(F.col("picks") == k, combinations(F.col("prefix"), k))
+    return prefixed.withColumn("key", F.explode(keys))
+
+
+def near_pairs(values: DataFrame, metric=Indel(), depth: int = 2) -> DataFrame:
+    """(value_a, value_b, score, n_a, n_b) with value_a < value_b, over distinct values.
+
+    ``depth`` is the number of characters in a join key for short values. More of them make the
+    keys rarer and more numerous: 2 suits up to some million values, 3 many more. The result is the
+    same. Hot keys are split by the adaptive skew join.
+    """
+    usual = usual_counts(values)
+    # A few bytes of value become many keys, which the planner cannot foresee: spread the values over
+    # all partitions first, and join by sorting, whatever size it expects.
+    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = values.repartition(partitions, F.xxhash64("value"))
+    keyed = value_keys(spread, metric, depth, usual)
+    sides = {
+        side: keyed.select(*[F.col(c).alias(f"{c}_{side}") for c in keyed.columns]) for side in ("a", "b")
+    }
+    shorter = sides["a"].where("own_a <= partner_a")
+    longer = sides["b"].where("own_b >= partner_b")
+    first_shared = F.xxhash64(F.slice(F.array_intersect("prefix_a", "prefix_b"), F.lit(1), F.col("picks_a")))
+    candidates = shorter.join(
+        longer.hint("merge"),
+        (F.col("key_a") == F.col("key_b"))
+        & (F.col("own_a") == F.col("partner_b"))
+        & (F.col("partner_a") == F.col("own_b"))
+        & ((F.col("own_a") < F.col("own_b")) | (F.col("value_a") < F.col("value_b"))),
+    ).where(first_shared == F.col("key_a"))
+    least, greatest = F.least("value_a", "value_b"), F.greatest("value_a", "value_b")
+    in_order = F.col("value_a") < F.col("value_b")
+    pairs = candidates.select(
+        least.alias("value_a"),
+        greatest.alias("value_b"),
+        F.when(in_order, F.col("n_rows_a")).otherwise(F.col("n_rows_b")).alias("n_a"),
+        F.when(in_order, F.col("n_rows_b")).otherwise(F.col("n_rows_a")).alias("n_b"),
     )
     value_a, value_b = F.col("value_a"), F.col("value_b")
     return (
-        candidates.select("value_a", "value_b", "n_rows_a", "n_rows_b")
-        .withColumn("score", metric.score(value_a, value_b))
+        pairs.withColumn("score", metric.score(value_a, value_b))
         .where(metric.accepts(F.col("score"), value_a, value_b))
-        .select(
-            "value_a", "value_b", "score", F.col("n_rows_a").alias("n_a"), F.col("n_rows_b").alias("n_b")
-        )
+        .select("value_a", "value_b", "score", "n_a", "n_b")
     )
 
 
