@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -82,8 +83,25 @@ def parse_date(df: DataFrame, name: str, formats=DATE_FORMATS) -> Column:
     return parse_date_text(column.cast("string"), formats)
 
 
-def parse_date_text(column: Column, formats=DATE_FORMATS) -> Column:
-    return F.coalesce(*[F.try_to_date(column, f) for f in formats])
+def date_shape(date_format: str) -> str:
+    """A regular expression that every text of the date format matches."""
+    def piece(run: str) -> str:
+        if run[0] in "yu":
+            return r"[+-]?\d{%d,}" % (len(run) if len(run) == 2 else min(len(run), 4))
+        if run[0] in "MdHhms" and len(run) <= 2:
+            return r"\d{2}" if len(run) == 2 else r"\d{1,2}"
+        return ".+" if run[0].isalpha() or run[0] in "'[]" else re.escape(run)
+
+    return "^" + "".join(piece(m.group()) for m in re.finditer(r"([A-Za-z'\[\]])\1*|[^A-Za-z'\[\]]", date_format)) + "$"
+
+
+def parse_date_text(column: Column, formats=DATE_FORMATS, any_text: bool = False) -> Column:
+    """Date by the first format that fits. ``any_text`` says that most values may be no dates at all:
+    they then cost a pattern match, not a failed parse."""
+    def text(f):
+        return F.when(column.rlike(date_shape(f)), column) if any_text else column
+
+    return F.coalesce(*[F.try_to_date(text(f), f) for f in formats])
 
 
 def printable(field: T.StructField) -> Column:
@@ -115,7 +133,8 @@ def row_digest(df: DataFrame, names) -> Column:
         return column.alias(name)
 
     text = F.to_json(F.struct(*[canonical(n) for n in names]), {"ignoreNullFields": "false"})
-    return F.unhex(F.sha2(text, 256))
+    # Never NULL, and declared so: joins on the digest then need no null test of all the columns.
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
 
 def severity_rank(column: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import is_numeric, is_text, parse_date, parse_number
+from ledgerlint.functions.values import is_numeric, is_text, parse_date, parse_date_text, parse_number
 from ledgerlint.operators.findings import RowRule
 from ledgerlint.settings import AMOUNT_NAMES, COMPLETE_STATUSES, PERCENT_NAMES, ColumnRoles, name_has
 
@@ -81,7 +81,7 @@ def date_format_audit(df: DataFrame, columns, formats) -> DataFrame:
     for i, c in enumerate(columns):
         text = F.col(c).cast("string")
         for j, f in enumerate(formats):
-            agg.append(F.count(F.try_to_date(text, f)).alias(f"n_{i}_{j}"))
+            agg.append(F.count(parse_date_text(text, (f,))).alias(f"n_{i}_{j}"))
             rows.append(F.struct(
                 F.lit(c).alias("column"), F.lit(f).alias("format"), F.col(f"n_{i}_{j}").alias("n_rows")
             ))

@@ -109,7 +109,7 @@ def date_column_ratios(df: DataFrame, formats=DATE_FORMATS, columns=None) -> Dat
     names = list(columns or text_columns(df))
     agg = []
     for i, name in enumerate(names):
-        agg += [F.count(name).alias(f"n_{i}"), F.count(parse_date_text(F.col(name), formats)).alias(f"d_{i}")]
+        agg += [F.count(name).alias(f"n_{i}"), F.count(parse_date_text(F.col(name), formats, any_text=True)).alias(f"d_{i}")]
     rows = [
         F.struct(
             F.lit(name).alias("column"),

@@ -76,7 +76,7 @@ def text_class(text: Column, formats=DATE_FORMATS) -> Column:
     """number, date, boolean or text; NULL for NULL."""
     return (
         F.when(parse_number(text).isNotNull(), "number")
-        .when(parse_date_text(text, formats).isNotNull(), "date")
+        .when(parse_date_text(text, formats, any_text=True).isNotNull(), "date")
         .when(F.lower(text).isin("true", "false"), "boolean")
         .when(text.isNotNull(), "text")
     )
@@ -104,8 +104,10 @@ def type_mix(df: DataFrame, classes: dict) -> DataFrame:
     ``classes`` maps column names to class expressions; one aggregate for all columns.
     """
     agg, rows = [], []
-    for i, (name, kind) in enumerate(classes.items()):
-        agg += [F.count_if(kind == c).alias(f"{c}_{i}") for c in TYPE_CLASSES]
+    # The class of a value is worked out once per value, in a projection below the aggregate.
+    classified = df.select(*[kind.alias(f"k_{i}") for i, kind in enumerate(classes.values())])
+    for i, name in enumerate(classes):
+        agg += [F.count_if(F.col(f"k_{i}") == c).alias(f"{c}_{i}") for c in TYPE_CLASSES]
         counts = [F.col(f"{c}_{i}") for c in TYPE_CLASSES]
         rows.append(F.struct(
             F.lit(name).alias("column"),
@@ -113,7 +115,7 @@ def type_mix(df: DataFrame, classes: dict) -> DataFrame:
             sum((n > 0).cast("int") for n in counts).alias("n_classes"),
             sum(counts).alias("n_values"),
         ))
-    return df.agg(*agg).select(F.inline(F.array(*rows))).where("n_classes > 1")
+    return classified.agg(*agg).select(F.inline(F.array(*rows))).where("n_classes > 1")
 
 
 def mixed_types(df: DataFrame, columns, formats=DATE_FORMATS) -> DataFrame:

@@ -53,7 +53,7 @@ def column_evidence(df: DataFrame, columns=None, formats=DATE_FORMATS) -> DataFr
         F.sum("n").alias("n_rows"),
         present.alias("n_values"),
         F.count("value").alias("n_distinct"),
-        F.try_divide(weighted(text.isNotNull() & (is_date | parse_date_text(text, formats).isNotNull())).cast("double"), present).alias("date_ratio"),
+        F.try_divide(weighted(text.isNotNull() & (is_date | parse_date_text(text, formats, any_text=True).isNotNull())).cast("double"), present).alias("date_ratio"),
         F.try_divide(weighted(number.isNotNull()).cast("double"), present).alias("number_ratio"),
         F.try_divide(weighted(number.between(0, 100)).cast("double"), present).alias("percent_ratio"),
         F.try_divide(weighted(text.rlike(EMAIL)).cast("double"), present).alias("email_ratio"),
