@@ -137,6 +137,12 @@ def row_digest(df: DataFrame, names) -> Column:
     return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row tables, by a union and an aggregate."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def severity_rank(column: Column) -> Column:
     ranked = F.when(F.lit(False), F.lit(UNKNOWN_SEVERITY_RANK))
     for severity, rank in SEVERITY_RANK.items():

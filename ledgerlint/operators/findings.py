@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import any_of, column_list, holds, key_text
+from ledgerlint.functions.values import any_of, column_list, holds, key_text, severity_rank
 from ledgerlint.settings import PREVIEW_ROWS
 
 FINDING_SCHEMA = (
@@ -159,28 +159,24 @@ def summarise(findings: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFram
     """
     counts = findings.groupBy(*FINDING_ID).agg(
         F.sum("weight").alias("count"),
-        F.min_by("severity", _severity_order()).alias("severity"),
+        F.min_by("severity", severity_rank(F.col("severity"))).alias("severity"),
         F.min("detail").alias("detail"),
     )
     first = Window.partitionBy(*FINDING_ID).orderBy(F.col("row_order").asc_nulls_last(), "row_key")
     preview = (
         findings.where(F.col("row_key").isNotNull())
-        .select(*FINDING_ID, "row_order", "row_key", F.row_number().over(first).alias("rn"))
+        .select(*FINDING_ID, F.row_number().over(first).alias("rn"), "row_key")
         .where(F.col("rn") <= preview_rows)
-        .groupBy(*FINDING_ID)
-        .agg(F.array_sort(F.collect_list(F.struct("rn", "row_key"))).alias("first_rows"))
     )
-    same = [counts[c].eqNullSafe(preview[c]) for c in FINDING_ID]
-    return counts.join(preview, same, "left").select(
-        *[counts[c] for c in FINDING_ID],
-        "count",
-        "severity",
-        "detail",
-        F.coalesce(F.col("first_rows.row_key"), F.array().cast("array<string>")).alias("affected_rows"),
+    # One row with the totals and at most a preview's worth of rows per finding come together here.
+    shown = F.array_compact(F.collect_list(F.when(F.col("rn").isNotNull(), F.struct("rn", "row_key"))))
+    return (
+        counts.unionByName(preview, allowMissingColumns=True)
+        .groupBy(*FINDING_ID)
+        .agg(
+            F.max("count").alias("count"),
+            F.max("severity").alias("severity"),
+            F.max("detail").alias("detail"),
+            F.transform(F.array_sort(shown), lambda r: r["row_key"]).alias("affected_rows"),
+        )
     )
-
-
-def _severity_order() -> Column:
-    from ledgerlint.functions.values import severity_rank
-
-    return severity_rank(F.col("severity"))

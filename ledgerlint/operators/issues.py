@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import severity_rank
+from ledgerlint.functions.values import severity_rank, side_by_side
 from ledgerlint.operators.duplicates import duplicate_severity
 from ledgerlint.settings import (
     AGENTS,
@@ -214,10 +214,8 @@ def domain_name(domain: Column) -> Column:
 def severity_shares(issues: DataFrame) -> DataFrame:
     """(severity, n_issues, share_pct)."""
     counts = issues.groupBy("severity").agg(F.count("*").alias("n_issues"))
-    total = issues.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total)).select(
-        "severity", "n_issues", (F.col("n_issues") * 100.0 / F.col("total")).alias("share_pct")
-    )
+    # The window runs over one row per severity.
+    return counts.withColumn("share_pct", F.col("n_issues") * 100.0 / F.sum("n_issues").over(Window.partitionBy()))
 
 
 def row_preview(rows: Column, count: Column, shown: int = 5) -> Column:
@@ -249,9 +247,7 @@ def report(
         "name", "status", "duration_ms", "issue_count"
     ))).alias("agent_statuses"))
     meta = metadata.select(F.struct(*metadata.columns).alias("metadata"))
-    # Every side is one row by construction: the aggregates have no grouping.
-    one_row = meta
-    for side in (texts, first.select(F.col("p.text").alias("top_priorities")), listed, statuses):
-        one_row = one_row.join(F.broadcast(side))
-    domain_column = F.lit(domain)
-    return one_row.withColumn("domain", domain_name(domain_column)).withColumn("generated_at", F.lit(generated_at))
+    priorities = first.select(F.col("p.text").alias("top_priorities"))
+    return side_by_side(meta, texts, priorities, listed, statuses).withColumns(
+        {"domain": domain_name(F.lit(domain)), "generated_at": F.lit(generated_at)}
+    )

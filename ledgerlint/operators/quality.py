@@ -86,7 +86,8 @@ def variant_class(value: Column) -> Column:
     """The same classes for a JSON value of any type."""
     kind = F.schema_of_variant(value)
     return (
-        F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
+        F.when(kind.isNull(), F.lit(None))
+        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
         .when(kind == "STRING", "text")
         .when(kind == "BOOLEAN", "boolean")
         .when(kind.startswith("DATE") | kind.startswith("TIMESTAMP"), "date")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import nan_to_null
+from ledgerlint.functions.values import nan_to_null, side_by_side
 from ledgerlint.operators import anomalies, duplicates, issues as iss, profile, quality
 from ledgerlint.operators.findings import row_findings, summarise
 from ledgerlint.operators.quantiles import exact_quantiles
@@ -339,16 +339,14 @@ def lineitem_audit(spark, folder):
     )
     issues = duplicate_issue.unionByName(outliers.where("n_outliers > 0").select("severity"))
     price = limits["l_extendedprice"]["mean"]
-    # Every side is a single row: none of the aggregates has a grouping.
-    return (
-        iss.file_health_score(issues)
-        .join(F.broadcast(doubles.select(F.col("n_members").alias("n_duplicate_rows"))))
-        .join(F.broadcast(outliers.agg(F.sum("n_outliers").alias("n_outliers"))))
-        .select(
-            F.lit(n_rows).cast("bigint").alias("n_rows"), "n_duplicate_rows", "n_outliers",
-            F.round(nan_to_null(F.lit(price)), 6).alias("mean_price"), "high", "medium", "low", "total",
-            "health_score", iss.score_band(F.col("health_score")).alias("score_band"),
-        )
+    return side_by_side(
+        iss.file_health_score(issues),
+        doubles.select(F.col("n_members").alias("n_duplicate_rows")),
+        outliers.agg(F.sum("n_outliers").alias("n_outliers")),
+    ).select(
+        F.lit(n_rows).cast("bigint").alias("n_rows"), "n_duplicate_rows", "n_outliers",
+        F.round(nan_to_null(F.lit(price)), 6).alias("mean_price"), "high", "medium", "low", "total",
+        "health_score", iss.score_band(F.col("health_score")).alias("score_band"),
     )
 
 

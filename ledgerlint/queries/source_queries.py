@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlint.functions.values import side_by_side
 from ledgerlint.operators import issues as iss
 from ledgerlint.operators.actions import apply_patches
 from ledgerlint.operators.normalize import sheet_snapshot
@@ -284,11 +285,12 @@ def report_document(spark, folder):
     document = iss.report(issues, stats, meta, "project_management", f"{AS_OF}T00:00:00")
     sink.write_report(document, plain(issues), path)
     stored = spark.read.json(f"{path}/issues").agg(F.count("*").alias("n_stored_issues"))
-    return spark.read.json(f"{path}/report").select(
+    document = spark.read.json(f"{path}/report").select(
         F.col("health_score").cast("int").alias("health_score"), "domain",
         F.col("total_issues_by_severity.HIGH").alias("high"),
         F.col("total_issues_by_severity.MEDIUM").alias("medium"),
         F.col("total_issues_by_severity.LOW").alias("low"),
         F.col("metadata.rows").alias("rows"),
         F.size("top_priorities").alias("n_priorities"), F.size("top_issues").alias("n_top_issues"), "score_band",
-    ).join(F.broadcast(stored))
+    )
+    return side_by_side(document, stored)
