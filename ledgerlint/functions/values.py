@@ -151,4 +151,4 @@ def severity_rank(column: Column) -> Column:
 
 
 def column_list(*names: str) -> Column:
-    return F.array(*[F.lit(n) for n in names])
+    return F.array(*[F.lit(n) for n in names]).cast("array<string>")

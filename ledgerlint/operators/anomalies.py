@@ -14,16 +14,18 @@ from ledgerlint.settings import NON_NEGATIVE_NAMES, Thresholds, name_has
 AGENT = "anomaly_detector"
 
 
-def column_limits(df: DataFrame, columns=None, limits: Thresholds = Thresholds()) -> dict:
+def column_limits(
+    df: DataFrame, columns=None, limits: Thresholds = Thresholds(), counted: DataFrame | None = None
+) -> dict:
     """{column: facts} with mean, deviation, quartile fences and skewness; one row per column.
 
-    Two aggregates over the table. Only these numbers reach the driver, where they become literals
+    One aggregate over the table, unless an earlier pass has it, and the quartiles. Only these numbers reach the driver, where they become literals
     of the second pass, so that pass is a plain filter without a join.
     """
     names = list(columns or numeric_columns(df))
     if not names:
         return {}
-    facts = {r["column"]: r.asDict() for r in numeric_stats(df, names).collect()}
+    facts = {r["column"]: r.asDict() for r in numeric_stats(df, names, counted).collect()}
     usable = [c for c in names if facts[c]["count"] >= limits.min_values]
     quartiles = exact_quantiles(df, usable, [0.25, 0.75]) if usable else {}
     for c in usable:
@@ -87,22 +89,30 @@ def outlier_rules(facts: dict, severities: dict, limits: Thresholds = Thresholds
     ]
 
 
-def outlier_severities(df: DataFrame, facts: dict, limits: Thresholds = Thresholds()) -> dict:
-    return {r["column"]: r["severity"] for r in outlier_facts(df, facts, limits).collect()} if facts else {}
+def outlier_severities(facts: dict, limits: Thresholds = Thresholds()) -> dict:
+    """{column: severity}. The largest |z| lies at the minimum or the maximum, so no pass is needed."""
+    def largest(fact):
+        return max(fact["max"] - fact["mean"], fact["mean"] - fact["min"]) / fact["std_pop"] if fact["std_pop"] else 0
 
+    return {c: "HIGH" if largest(f) > limits.z_high else "MEDIUM" for c, f in facts.items()}
 
-def skewed_columns(df: DataFrame, columns=None, limits: Thresholds = Thresholds()) -> DataFrame:
+
+def skewed_columns(
+    df: DataFrame, columns=None, limits: Thresholds = Thresholds(), counted: DataFrame | None = None
+) -> DataFrame:
     """(column, n_values, skewness) where the population skewness is beyond the limit."""
     return (
-        numeric_stats(df, columns)
+        numeric_stats(df, columns, counted)
         .where((F.col("count") >= limits.min_values) & (F.abs("skewness") > limits.skew))
         .select("column", F.col("count").alias("n_values"), "skewness")
     )
 
 
-def skew_findings(df: DataFrame, columns=None, limits: Thresholds = Thresholds()) -> DataFrame:
+def skew_findings(
+    df: DataFrame, columns=None, limits: Thresholds = Thresholds(), counted: DataFrame | None = None
+) -> DataFrame:
     return column_findings(
-        skewed_columns(df, columns, limits), "A3", AGENT, "distribution_skew", F.col("column"),
+        skewed_columns(df, columns, limits, counted), "A3", AGENT, "distribution_skew", F.col("column"),
         F.col("n_values"), "MEDIUM", F.round("skewness", 4).cast("string"),
     )
 

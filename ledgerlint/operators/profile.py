@@ -42,12 +42,30 @@ def column_facts(counts: DataFrame) -> DataFrame:
     return facts.withColumn("null_pct", F.col("null_count") * 100.0 / F.col("n_rows"))
 
 
-def column_stats(df: DataFrame, columns=None) -> DataFrame:
-    """Type, null count, null percentage and distinct count of every column, exactly."""
+def approximate_facts(df: DataFrame, columns) -> DataFrame:
+    """The same facts from one aggregate of fixed size: distinct counts within a few percent, and
+    nothing but one small row per task crosses the network."""
+    agg, rows = [F.count("*").alias("n")], []
+    for i, name in enumerate(columns):
+        agg += [F.count(name).alias(f"c_{i}"), F.approx_count_distinct(name).alias(f"d_{i}")]
+        rows.append(F.struct(
+            F.lit(name).alias("column"), F.col("n").alias("n_rows"),
+            (F.col("n") - F.col(f"c_{i}")).alias("null_count"), F.col(f"d_{i}").alias("distinct_count"),
+        ))
+    facts = df.agg(*agg).select(F.inline(F.array(*rows)))
+    return facts.withColumn("null_pct", F.try_divide(F.col("null_count") * 100.0, F.col("n_rows")))
+
+
+def column_stats(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
+    """Type, null count, null percentage and distinct count of every column.
+
+    Exact distinct counts have to bring equal values together; ``exact=False`` sketches them.
+    """
     names = list(columns or df.columns)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     known = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(types[n]))])
-    return column_facts(value_counts(df, names)).select(
+    facts = column_facts(value_counts(df, names)) if exact else approximate_facts(df, names)
+    return facts.select(
         "column",
         known[F.col("column")].alias("dtype"),
         "n_rows",
@@ -73,12 +91,10 @@ def column_samples(df: DataFrame, order, columns=None, n: int = 5) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("column", "position", F.col("kept.value").alias("value"))
 
 
-def numeric_stats(df: DataFrame, columns=None) -> DataFrame:
-    """Count, min, max, mean, both deviations and population skewness of every numeric column.
+NUMERIC_STATS = ("count", "min", "max", "mean", "std", "std_pop", "skewness")
 
-    One aggregate over all columns: one scan, one partial row per task, no other shuffle.
-    """
-    names = list(columns or numeric_columns(df))
+
+def numeric_aggregates(names) -> list:
     parts = []
     for i, name in enumerate(names):
         value = F.col(name).cast("double")
@@ -91,17 +107,23 @@ def numeric_stats(df: DataFrame, columns=None) -> DataFrame:
             F.stddev_pop(value).alias(f"std_pop_{i}"),
             F.skewness(value).alias(f"skewness_{i}"),
         ]
+    return parts
+
+
+def numeric_stats(df: DataFrame, columns=None, counted: DataFrame | None = None) -> DataFrame:
+    """Count, min, max, mean, both deviations and population skewness of every numeric column.
+
+    One aggregate over all columns: one scan, one partial row per task, no other shuffle.
+    ``counted`` is the one-row result of numeric_aggregates, if an earlier pass has it already.
+    """
+    names = list(columns or numeric_columns(df))
     rows = [
-        F.struct(
-            F.lit(name).alias("column"),
-            *[
-                F.col(f"{stat}_{i}").alias(stat)
-                for stat in ("count", "min", "max", "mean", "std", "std_pop", "skewness")
-            ],
-        )
+        F.struct(F.lit(name).alias("column"), *[F.col(f"{stat}_{i}").alias(stat) for stat in NUMERIC_STATS])
         for i, name in enumerate(names)
     ]
-    return df.agg(*parts).select(F.inline(F.array(*rows)))
+    if counted is None:
+        counted = df.agg(*numeric_aggregates(names))
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def date_column_ratios(df: DataFrame, formats=DATE_FORMATS, columns=None) -> DataFrame:

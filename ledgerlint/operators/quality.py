@@ -14,10 +14,15 @@ from ledgerlint.settings import DATE_FORMATS, PERCENT_NAMES, ColumnRoles, Thresh
 AGENT = "data_quality"
 
 
-def null_facts(df: DataFrame, columns=None) -> DataFrame:
-    """(column, n_rows, null_count, null_pct) from one fused aggregate."""
+def null_aggregates(names) -> list:
+    return [F.count("*").alias("n"), *[F.count(c).alias(f"c_{i}") for i, c in enumerate(names)]]
+
+
+def null_facts(df: DataFrame, columns=None, counted: DataFrame | None = None) -> DataFrame:
+    """(column, n_rows, null_count, null_pct) from one fused aggregate, or from an earlier one."""
     names = list(columns or df.columns)
-    counted = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c_{i}") for i, c in enumerate(names)])
+    if counted is None:
+        counted = df.agg(*null_aggregates(names))
     rows = [
         F.struct(
             F.lit(name).alias("column"),
@@ -40,11 +45,13 @@ def null_severity(count: Column, n_rows: Column, limits: Thresholds = Thresholds
     )
 
 
-def null_density(df: DataFrame, columns=None, limits: Thresholds = Thresholds()) -> DataFrame:
+def null_density(
+    df: DataFrame, columns=None, limits: Thresholds = Thresholds(), counted: DataFrame | None = None
+) -> DataFrame:
     """(column, null_count, null_pct, severity, description) of the columns with too many nulls."""
     share = F.col("null_pct") / 100
     return (
-        null_facts(df, columns)
+        null_facts(df, columns, counted)
         .withColumn("severity", null_severity(F.col("null_count"), F.col("n_rows"), limits))
         .where(F.col("severity").isNotNull())
         .select(
@@ -99,16 +106,23 @@ def variant_class(value: Column) -> Column:
 TYPE_CLASSES = ("number", "date", "boolean", "text", "nested")
 
 
-def type_mix(df: DataFrame, classes: dict) -> DataFrame:
+def with_classes(df: DataFrame, classes: dict) -> DataFrame:
+    """The table with the class of every value, worked out once per value below the aggregate."""
+    return df.select("*", *[kind.alias(f"k_{i}") for i, kind in enumerate(classes.values())])
+
+
+def mix_aggregates(names) -> list:
+    return [F.count_if(F.col(f"k_{i}") == c).alias(f"{c}_{i}") for i in range(len(names)) for c in TYPE_CLASSES]
+
+
+def type_mix(df: DataFrame, classes: dict, counted: DataFrame | None = None) -> DataFrame:
     """(column, n_<class>..., n_classes, n_values) for columns with values of more than one class.
 
-    ``classes`` maps column names to class expressions; one aggregate for all columns.
+    ``classes`` maps column names to class expressions; one aggregate for all columns, or the
+    one-row result of an earlier one.
     """
-    agg, rows = [], []
-    # The class of a value is worked out once per value, in a projection below the aggregate.
-    classified = df.select(*[kind.alias(f"k_{i}") for i, kind in enumerate(classes.values())])
+    rows = []
     for i, name in enumerate(classes):
-        agg += [F.count_if(F.col(f"k_{i}") == c).alias(f"{c}_{i}") for c in TYPE_CLASSES]
         counts = [F.col(f"{c}_{i}") for c in TYPE_CLASSES]
         rows.append(F.struct(
             F.lit(name).alias("column"),
@@ -116,16 +130,24 @@ def type_mix(df: DataFrame, classes: dict) -> DataFrame:
             sum((n > 0).cast("int") for n in counts).alias("n_classes"),
             sum(counts).alias("n_values"),
         ))
-    return classified.agg(*agg).select(F.inline(F.array(*rows))).where("n_classes > 1")
+    if counted is None:
+        counted = with_classes(df, classes).agg(*mix_aggregates(classes))
+    return counted.select(F.inline(F.array(*rows))).where("n_classes > 1")
+
+
+def text_classes(columns, formats=DATE_FORMATS) -> dict:
+    return {c: text_class(F.col(c), formats) for c in columns}
 
 
-def mixed_types(df: DataFrame, columns, formats=DATE_FORMATS) -> DataFrame:
+def mixed_types(df: DataFrame, columns, formats=DATE_FORMATS, counted: DataFrame | None = None) -> DataFrame:
     """Text columns that mix numbers, dates, booleans and other text."""
-    return type_mix(df, {c: text_class(F.col(c), formats) for c in columns})
+    return type_mix(df, text_classes(columns, formats), counted)
 
 
-def mixed_type_findings(df: DataFrame, columns, formats=DATE_FORMATS) -> DataFrame:
-    facts = mixed_types(df, columns, formats)
+def mixed_type_findings(
+    df: DataFrame, columns, formats=DATE_FORMATS, counted: DataFrame | None = None
+) -> DataFrame:
+    facts = mixed_types(df, columns, formats, counted)
     detail = F.concat_ws(
         ", ",
         *[F.when(F.col(f"n_{c}") > 0, F.concat(F.lit(f"{c} "), F.col(f"n_{c}").cast("string"))) for c in TYPE_CLASSES],

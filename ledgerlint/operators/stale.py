@@ -45,21 +45,28 @@ def stale_columns(df: DataFrame, roles: ColumnRoles) -> StaleColumns:
     )
 
 
-def due_fill(df: DataFrame, due: str, formats=DATE_FORMATS) -> DataFrame:
+def due_aggregates(df: DataFrame, due: str, formats=DATE_FORMATS) -> list:
+    return [F.count("*").alias("n_rows"), F.count(parse_date(df, due, formats)).alias("n_due")]
+
+
+def due_fill(df: DataFrame, due: str, formats=DATE_FORMATS, counted: DataFrame | None = None) -> DataFrame:
     """One row: rows, readable due dates, share. No rows give a NULL share."""
-    return df.agg(
-        F.count("*").alias("n_rows"), F.count(parse_date(df, due, formats)).alias("n_due")
-    ).withColumn("fill", F.try_divide(F.col("n_due").cast("double"), F.col("n_rows")))
+    if counted is None:
+        counted = df.agg(*due_aggregates(df, due, formats))
+    return counted.select("n_rows", "n_due", F.try_divide(F.col("n_due").cast("double"), F.col("n_rows")).alias("fill"))
 
 
-def missing_deadline_rules(df: DataFrame, due: str, formats=DATE_FORMATS, limits: Thresholds = Thresholds()) -> list[RowRule]:
+def missing_deadline_rules(
+    df: DataFrame, due: str, formats=DATE_FORMATS, limits: Thresholds = Thresholds(), counted: DataFrame | None = None
+) -> list[RowRule]:
     """Rows without a readable due date, where most rows have one. Reads one small row back."""
-    fill = due_fill(df, due, formats).first()["fill"]
+    fill = due_fill(df, due, formats, counted).first()["fill"]
     if fill is None or fill <= limits.due_fill:
         return []
-    return [
-        RowRule("T1", AGENT, "missing_deadline", (due,), parse_date(df, due, formats).isNull(), "MEDIUM", F.col(due).cast("string"))
-    ]
+    return [RowRule(
+        "T1", AGENT, "missing_deadline", (due,), parse_date(df, due, formats).isNull(), "MEDIUM",
+        F.col(due).cast("string"),
+    )]
 
 
 def stale_rules(

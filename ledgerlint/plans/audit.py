@@ -18,6 +18,7 @@ from ledgerlint.operators import (
     fuzzy,
     issues as iss,
     logic,
+    profile,
     quality,
     sheet_checks,
     stale,
@@ -39,6 +40,15 @@ class CheckContext:
     near_duplicate_metric: object = fuzzy.Indel()
 
 
+@dataclass(frozen=True)
+class Checks:
+    """What a check family wants done: rules for the shared pass over the rows, and findings that
+    need jobs of their own."""
+
+    rules: tuple = ()
+    findings: tuple = ()
+
+
 @dataclass(frozen=True)
 class AuditResult:
     findings: DataFrame
@@ -48,58 +58,81 @@ class AuditResult:
     health: DataFrame
 
 
-# A check family takes the table and the context and returns findings tables. To add a check, add a
-# function with this signature to a copy of FAMILIES and pass it to audit_table.
+def measured_columns(df: DataFrame, ctx: CheckContext) -> list[str]:
+    return [c for c in numeric_columns(df) if c != ctx.key.order]
+
+
+def take_profile(df: DataFrame, ctx: CheckContext) -> DataFrame:
+    """One row with every count that the checks start from, out of a single scan.
+
+    Null counts, type classes, readable due dates, moments and extremes of all columns share one
+    aggregate; the row comes to the driver and the checks read it from there.
+    """
+    texts, numbers = text_columns(df), measured_columns(df, ctx)
+    due = stale.stale_columns(df, ctx.roles).due
+    classified = quality.with_classes(df, quality.text_classes(texts, ctx.roles.date_formats))
+    row = classified.agg(
+        *quality.null_aggregates(df.columns),
+        *quality.mix_aggregates(texts),
+        *profile.numeric_aggregates(numbers),
+        *(stale.due_aggregates(df, due, ctx.roles.date_formats) if due else []),
+    )
+    return df.sparkSession.createDataFrame(row.collect(), row.schema)
 
 
-def duplicate_family(df: DataFrame, ctx: CheckContext) -> list[DataFrame]:
+# A check family takes the table, the context and the profile row and returns Checks. To add a check,
+# add a function with this signature to a copy of FAMILIES and pass it to audit_table.
+
+
+def duplicate_family(df: DataFrame, ctx: CheckContext, counted: DataFrame) -> Checks:
     found = [duplicates.exact_duplicates(df, ctx.key)]
     if any(c in df.columns for c in ctx.roles.key):
         found.append(duplicates.duplicate_keys(df, ctx.roles.key, ctx.key))
     for column in [c for c in ctx.roles.of_type("name", "text") if c in df.columns][:2]:
         found.append(fuzzy.near_duplicates(df, column, ctx.key, ctx.near_duplicate_metric))
-    return found
+    return Checks((), tuple(found))
 
 
-def quality_family(df: DataFrame, ctx: CheckContext) -> list[DataFrame]:
-    dense = quality.null_density(df, limits=ctx.limits).collect()  # at most one row per column
-    rules = quality.null_rules(dense) + quality.percentage_rules(df, ctx.roles)
-    found = [fnd.row_findings(df, rules, ctx.key)] if rules else []
+def quality_family(df: DataFrame, ctx: CheckContext, counted: DataFrame) -> Checks:
+    dense = quality.null_density(df, None, ctx.limits, counted).collect()  # at most one row per column
+    found = []
     if text_columns(df):
-        found.append(quality.mixed_type_findings(df, text_columns(df), ctx.roles.date_formats))
+        found.append(quality.mixed_type_findings(df, text_columns(df), ctx.roles.date_formats, counted))
     casing = quality.casing_findings(df, [c for c in ctx.roles.of_type("status") if c in df.columns], ctx.key)
-    return found + ([casing] if casing is not None else [])
+    if casing is not None:
+        found.append(casing)
+    return Checks((*quality.null_rules(dense), *quality.percentage_rules(df, ctx.roles)), tuple(found))
 
 
-def logic_family(df: DataFrame, ctx: CheckContext) -> list[DataFrame]:
+def logic_family(df: DataFrame, ctx: CheckContext, counted: DataFrame) -> Checks:
     roles = ctx.roles
-    rules = (
-        logic.date_order_rules(df, roles.date_pairs, roles.date_formats)
-        + logic.negative_amount_rules(df)
-        + logic.over_budget_rules(df, roles.actual, roles.budget)
-        + logic.status_percentage_rules(df, roles)
-        + logic.date_format_rules(df, roles.of_type("date"), roles.date_formats)
-    )
-    return [fnd.row_findings(df, rules, ctx.key)] if rules else []
-
-
-def stale_family(df: DataFrame, ctx: CheckContext) -> list[DataFrame]:
-    columns = stale.stale_columns(df, ctx.roles)
-    rules = stale.stale_rules(df, columns, ctx.as_of, ctx.roles.date_formats, ctx.limits)
+    return Checks((
+        *logic.date_order_rules(df, roles.date_pairs, roles.date_formats),
+        *logic.negative_amount_rules(df),
+        *logic.over_budget_rules(df, roles.actual, roles.budget),
+        *logic.status_percentage_rules(df, roles),
+        *logic.date_format_rules(df, roles.of_type("date"), roles.date_formats),
+    ))
+
+
+def stale_family(df: DataFrame, ctx: CheckContext, counted: DataFrame) -> Checks:
+    columns, formats = stale.stale_columns(df, ctx.roles), ctx.roles.date_formats
+    rules = stale.stale_rules(df, columns, ctx.as_of, formats, ctx.limits)
     if columns.due:
-        rules = stale.missing_deadline_rules(df, columns.due, ctx.roles.date_formats, ctx.limits) + rules
-    return [fnd.row_findings(df, rules, ctx.key)] if rules else []
-
-
-def anomaly_family(df: DataFrame, ctx: CheckContext) -> list[DataFrame]:
-    measured = [c for c in numeric_columns(df) if c != ctx.key.order]
-    if not measured:
-        return []
-    facts = anomalies.column_limits(df, measured, ctx.limits)
-    rules = anomalies.outlier_rules(facts, anomalies.outlier_severities(df, facts, ctx.limits), ctx.limits)
-    rules += anomalies.impossible_negative_rules(facts)
-    found = [fnd.row_findings(df, rules, ctx.key)] if rules else []
-    return found + [anomalies.skew_findings(df, measured, ctx.limits)]
+        rules = stale.missing_deadline_rules(df, columns.due, formats, ctx.limits, counted) + rules
+    return Checks(tuple(rules))
+
+
+def anomaly_family(df: DataFrame, ctx: CheckContext, counted: DataFrame) -> Checks:
+    numbers = measured_columns(df, ctx)
+    if not numbers:
+        return Checks()
+    facts = anomalies.column_limits(df, numbers, ctx.limits, counted)
+    rules = anomalies.outlier_rules(facts, anomalies.outlier_severities(facts, ctx.limits), ctx.limits)
+    return Checks(
+        (*rules, *anomalies.impossible_negative_rules(facts)),
+        (anomalies.skew_findings(df, numbers, ctx.limits, counted),),
+    )
 
 
 FAMILIES = {
@@ -111,57 +144,92 @@ FAMILIES = {
 }
 
 
+class _Run:
+    """Outcome of every family so far; one failure does not stop the others."""
+
+    def __init__(self):
+        self.spent, self.errors = {}, {}
+
+    def attempt(self, names, work):
+        """Do some work for the families; its time counts for each of them."""
+        started = time.monotonic()
+        try:
+            return work()
+        except Exception as failure:
+            for name in names:
+                self.errors.setdefault(name, str(failure).splitlines()[0][:500])
+            return None
+        finally:
+            for name in names:
+                self.spent[name] = self.spent.get(name, 0.0) + time.monotonic() - started
+
+
 def audit_table(
     df: DataFrame, ctx: CheckContext, folder: str, agents=AGENTS, enrichment: DataFrame | None = None,
     families=None,
 ) -> AuditResult:
-    """Run the check families one after the other and write their findings below ``folder``.
+    """Run the check families and write their findings below ``folder``.
 
-    Scores and reports read the written findings, so no check runs twice and a lost executor costs
-    at most the running family. A family that fails is recorded and does not stop the others.
+    One scan takes the profile, one pass applies the row rules of all families together; only group
+    checks add jobs. Scores and reports read the written findings, so no check runs twice and a lost
+    executor costs at most the running job. A family that fails is recorded and does not stop the
+    others.
     """
-    spark = df.sparkSession
+    spark, run = df.sparkSession, _Run()
     families = families or FAMILIES
-    stats, written = [], []
-    for name in AGENTS:
-        if name not in agents:
-            stats.append((name, "skipped", 0, 0, None))
-            continue
-        started = time.monotonic()
-        status, error, issue_count = "done", None, 0
-        try:
-            found = families[name](df, ctx)
-            if found:
-                path = f"{folder}/findings/{name}"
-                _union(found).write.parquet(path)
-                written.append(path)
-                kept = spark.read.schema(fnd.FINDING_SCHEMA).parquet(path)
-                issue_count = kept.select(*fnd.FINDING_ID).distinct().count()
-        except Exception as failure:  # the run goes on with the other families
-            status, error = "failed", str(failure).splitlines()[0][:500]
-        elapsed = max(1, int((time.monotonic() - started) * 1000))
-        stats.append((name, status, elapsed, issue_count, error))
-    reader = spark.read.schema(fnd.FINDING_SCHEMA)
-    found = reader.parquet(*written) if written else fnd.empty_findings(df)
-    found = found.select(*fnd.FINDING_COLUMNS)
-    n_rows = df.count()
-    fnd.summarise(found).write.parquet(f"{folder}/summary")
+    wanted = [a for a in AGENTS if a in agents]
+    counted = run.attempt(wanted, lambda: take_profile(df, ctx))
+    checks = {}
+    for name in wanted if counted is not None else ():
+        built = run.attempt([name], lambda: families[name](df, ctx, counted))
+        if built is not None:
+            checks[name] = built
+
+    written = []
+
+    def write(found: DataFrame, label: str) -> None:
+        path = f"{folder}/findings/{label}"
+        found.select(*fnd.FINDING_COLUMNS).write.mode("overwrite").parquet(path)
+        written.append(path)
+
+    by_row = {n: c.rules for n, c in checks.items() if c.rules}
+    if by_row:
+        all_rules = [r for rules in by_row.values() for r in rules]
+        together = _Run()
+        together.attempt(by_row, lambda: write(fnd.row_findings(df, all_rules, ctx.key), "rows"))
+        if together.errors:  # find out which family it was; the others still get their findings
+            for name, rules in by_row.items():
+                run.attempt(
+                    [name], lambda: write(fnd.row_findings(df, list(rules), ctx.key), f"rows-{name}")
+                )
+        for name, seconds in together.spent.items():
+            run.spent[name] += seconds
+    for name, built in checks.items():
+        for i, found in enumerate(built.findings):
+            run.attempt([name], lambda: write(found, f"{name}-{i}"))
+
+    found = spark.read.schema(fnd.FINDING_SCHEMA).parquet(*written) if written else fnd.empty_findings(df)
+    fnd.summarise(found).write.mode("overwrite").parquet(f"{folder}/summary")
     summary = spark.read.parquet(f"{folder}/summary")
+    n_rows = counted.first()["n"] if counted is not None else df.count()
     issues = iss.dedupe(iss.to_issues(iss.severity_policy(summary, F.lit(n_rows)), enrichment))
-    issues.write.parquet(f"{folder}/issues")
+    issues.write.mode("overwrite").parquet(f"{folder}/issues")
     issues = spark.read.parquet(f"{folder}/issues")
+    per_agent = {r["agent"]: r["n"] for r in summary.groupBy("agent").agg(F.count("*").alias("n")).collect()}
+    stats = []
+    for name in AGENTS:
+        if name not in wanted:
+            stats.append((name, "skipped", 0, 0, None))
+            continue
+        elapsed = max(1, int(run.spent.get(name, 0.0) * 1000))
+        status = "failed" if name in run.errors else "done"
+        count = 0 if name in run.errors else per_agent.get(name, 0)
+        stats.append((name, status, elapsed, count, run.errors.get(name)))
     return AuditResult(
         found, summary, issues, spark.createDataFrame(stats, RUN_STATS_SCHEMA), iss.file_health_score(issues)
     )
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
 def run_stats_totals(run_stats: DataFrame) -> DataFrame:
     """One row: families that ran (done, with a duration), failed and were skipped."""
     return run_stats.agg(

@@ -344,7 +344,7 @@ WHERE abs((value - m) / nullif(sd, 0)) > 2.5
 def outlier_rows(spark, folder):
     events = table(spark, folder, "events")
     facts = anomalies.column_limits(events, ["value"])
-    rules = anomalies.outlier_rules(facts, anomalies.outlier_severities(events, facts))
+    rules = anomalies.outlier_rules(facts, anomalies.outlier_severities(facts))
     return flat(row_findings(events, rules, RowKey(("event_id",), "event_id")))
 
 

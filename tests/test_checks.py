@@ -82,7 +82,7 @@ def test_outliers_by_either_method(spark):
     values = [10.0] * 30 + [11.0] * 30 + [500.0]
     df = spark.createDataFrame(list(enumerate(values)), "id bigint, v double")
     facts = anomalies.column_limits(df, ["v"])
-    severities = anomalies.outlier_severities(df, facts)
+    severities = anomalies.outlier_severities(facts)
     assert severities == {"v": "HIGH"}
     assert keys(row_findings(df, anomalies.outlier_rules(facts, severities), ID)) == [60]
     assert anomalies.skewed_columns(df, ["v"]).count() == 1
@@ -181,7 +181,7 @@ def test_roles_by_name(spark):
 
 
 def test_a_failing_family_does_not_stop_the_others(spark):
-    def broken(df, context):
+    def broken(df, context, counted):
         raise RuntimeError("no such thing")
 
     df = spark.createDataFrame([(0, -5.0)], "id bigint, cost double")
@@ -201,3 +201,43 @@ def test_duplicates_do_not_depend_on_row_order(spark, seed):
     df = spark.range(200).select("id", (F.col("id") % 150).alias("a"), (F.col("id") % 3).alias("b"))
     shuffled = df.orderBy(F.rand(seed))
     assert keys(duplicates.exact_duplicates(shuffled, ID)) == keys(duplicates.exact_duplicates(df, ID))
+
+
+def test_findings_have_one_schema(spark):
+    from ledgerlint.operators.findings import FINDING_SCHEMA
+
+    want = spark.createDataFrame([], FINDING_SCHEMA).dtypes
+    df = spark.createDataFrame([(0, "a", -1.0), (0, "a", -1.0)], "id bigint, s string, cost double")
+    assert duplicates.exact_duplicates(df, ID).dtypes == want
+    assert duplicates.duplicate_keys(df, ["s"], ID).dtypes == want
+    assert row_findings(df, logic.negative_amount_rules(df), ID).dtypes == want
+    assert quality.mixed_type_findings(df, ["s"]).dtypes == want
+    assert anomalies.skew_findings(df, ["cost"]).dtypes == want
+
+
+def test_whole_audit(spark):
+    rows = [(i, f"T{i}", "Open" if i % 2 else "open", "2026-01-01", "2026-01-02", 10.0, 5.0, 50.0) for i in range(30)]
+    rows[3] = (3, "T2", "done", "2026-01-05", "2026-01-02", -10.0, 5.0, 150.0)
+    rows[4] = (4, "T4", None, "soon", None, 10.0, 5000.0, None)
+    df = spark.createDataFrame(
+        rows, "id bigint, task_id string, status string, start_date string, due_date string, budget double, "
+              "actual_cost double, completion_pct double",
+    )
+    roles = ColumnRoles(
+        {"task_id": "id", "status": "status", "start_date": "date", "due_date": "date"}, ("task_id",),
+        (("start_date", "due_date"),),
+    )
+    result = audit_table(df, CheckContext(roles, ID, AS_OF), scratch_path(spark, "whole"))
+    got = {(r["check_id"], ",".join(r["columns"])): (r["count"], r["severity"]) for r in result.summary.collect()}
+    assert got[("D2", "task_id")][0] == 2
+    assert got[("Q2", "start_date")] == (30, "MEDIUM")
+    assert got[("Q4", "completion_pct")] == (1, "MEDIUM")
+    assert got[("L1", "start_date,due_date")] == (1, "HIGH")
+    assert got[("L2", "budget")] == (1, "HIGH")
+    assert got[("L3", "actual_cost,budget")] == (2, "MEDIUM")
+    assert got[("L5", "start_date")] == (1, "MEDIUM")
+    assert got[("T1", "due_date")] == (1, "MEDIUM")
+    assert got[("T2", "due_date,status")] == (28, "MEDIUM")
+    assert got[("A1", "actual_cost")] == (1, "HIGH")
+    assert {r["status"] for r in result.run_stats.collect()} == {"done"}
+    assert result.issues.count() == result.summary.count()
