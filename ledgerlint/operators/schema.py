@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions.values import is_numeric, is_temporal, parse_date, parse_date_text, parse_number, printable
-from ledgerlint.operators.profile import value_counts
+from ledgerlint.operators.profile import approximate_facts, value_counts
 from ledgerlint.settings import DATE_FORMATS, ColumnRoles, name_has
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -35,40 +35,65 @@ def type_by_name(column: str, numeric: bool, rules=FILE_NAME_RULES) -> str:
     return "numeric" if numeric and rules is FILE_NAME_RULES else "text"
 
 
-def column_evidence(df: DataFrame, columns=None, formats=DATE_FORMATS) -> DataFrame:
+def column_evidence(df: DataFrame, columns=None, formats=DATE_FORMATS, exact: bool = True) -> DataFrame:
     """Per column the shares of values that look like dates, numbers, 0..100 and e-mail, and the
-    share of distinct values. One fused aggregate plus the value-count shuffle."""
+    share of distinct values.
+
+    Exactly, equal values are brought together and each is parsed once. Otherwise every value is
+    parsed where it lies and the distinct count is sketched: one aggregate, nothing to shuffle.
+    """
     fields = [df.schema[c] for c in (columns or df.columns)]
-    counts = value_counts(df, [f.name for f in fields])
-    text = F.col("value")
-    number = parse_number(text)
-    # Shares are sums over distinct values, weighted: each value is parsed once, not once per row.
-    def weighted(condition):
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    present = weighted(text.isNotNull())
-    temporal = [f.name for f in fields if is_temporal(f)]
-    is_date = F.col("column").isin(*temporal) if temporal else F.lit(False)
-    return counts.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        present.alias("n_values"),
-        F.count("value").alias("n_distinct"),
-        F.try_divide(weighted(text.isNotNull() & (is_date | parse_date_text(text, formats, any_text=True).isNotNull())).cast("double"), present).alias("date_ratio"),
-        F.try_divide(weighted(number.isNotNull()).cast("double"), present).alias("number_ratio"),
-        F.try_divide(weighted(number.between(0, 100)).cast("double"), present).alias("percent_ratio"),
-        F.try_divide(weighted(text.rlike(EMAIL)).cast("double"), present).alias("email_ratio"),
-        F.try_divide(F.count("value").cast("double"), present).alias("distinct_ratio"),
+    if exact:
+        counts = value_counts(df, [f.name for f in fields])
+        text, number, weight = F.col("value"), parse_number(F.col("value")), F.col("n")
+        temporal = [f.name for f in fields if is_temporal(f)]
+        is_date = F.col("column").isin(*temporal) if temporal else F.lit(False)
+        sums = _evidence(text, number, is_date, formats, lambda c: F.coalesce(F.sum(F.when(c, weight)), F.lit(0)))
+        facts = counts.groupBy("column").agg(
+            F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct"),
+            *[total.alias(name) for name, total in sums.items()],
+        )
+    else:
+        agg, rows = [F.count("*").alias("n")], []
+        for i, field in enumerate(fields):
+            text = printable(field)
+            sums = _evidence(text, parse_number(text), F.lit(is_temporal(field)), formats, F.count_if)
+            sums["n_distinct"] = F.approx_count_distinct(field.name)
+            agg += [total.alias(f"{name}_{i}") for name, total in sums.items()]
+            rows.append(F.struct(
+                F.lit(field.name).alias("column"), F.col("n").alias("n_rows"),
+                *[F.col(f"{name}_{i}").alias(name) for name in sums],
+            ))
+        facts = df.agg(*agg).select(F.inline(F.array(*rows)))
+
+    def share(name):
+        return F.try_divide(F.col(name).cast("double"), F.col("n_values"))
+
+    return facts.select(
+        "column", "n_rows", "n_values", "n_distinct",
+        *[share(f"n_{kind}").alias(f"{kind}_ratio") for kind in ("date", "number", "percent", "email", "distinct")],
     )
 
 
-def semantic_types(df: DataFrame, columns=None, formats=DATE_FORMATS) -> DataFrame:
+def _evidence(text, number, is_date, formats, total) -> dict:
+    present = text.isNotNull()
+    return {
+        "n_values": total(present),
+        "n_date": total(present & (is_date | parse_date_text(text, formats, any_text=True).isNotNull())),
+        "n_number": total(number.isNotNull()),
+        "n_percent": total(number.between(0, 100)),
+        "n_email": total(text.rlike(EMAIL)),
+    }
+
+
+def semantic_types(df: DataFrame, columns=None, formats=DATE_FORMATS, exact: bool = True) -> DataFrame:
     """(column, spark_type, semantic_type) plus the evidence.
 
     Data decides where it can: dates, e-mail addresses, numbers. Names settle what data cannot:
     which numbers are percentages or identifiers, which small vocabularies are a status.
     """
     names = list(columns or df.columns)
-    evidence = column_evidence(df, names, formats)
+    evidence = column_evidence(df, names, formats, exact)
     types = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(df.schema[n].dataType.simpleString()))])
     name = F.lower("column")
 
@@ -132,10 +157,18 @@ def date_pairs(df: DataFrame, date_columns, formats=DATE_FORMATS, min_ratio: flo
 
 
 def key_candidates(df: DataFrame, columns=None) -> DataFrame:
-    """Columns that name rows: every row has a value and no two rows share one."""
+    """Columns that name rows: every row has a value and no two rows share one.
+
+    A sketch of fixed size first rules out the columns that are far from unique, so that only the
+    plausible ones have their values brought together. It allows for ten standard errors.
+    """
     names = list(columns or df.columns)
     place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    facts = value_counts(df, names).groupBy("column").agg(
+    rough = approximate_facts(df, names).where("null_count = 0 and distinct_count >= 0.5 * n_rows")
+    plausible = [r["column"] for r in rough.select("column").collect()]
+    if not plausible:
+        return df.sparkSession.createDataFrame([], "column string, position int, n_rows bigint")
+    facts = value_counts(df, plausible).groupBy("column").agg(
         F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct")
     )
     return facts.where(F.col("n_rows") == F.col("n_distinct")).select(
@@ -144,7 +177,8 @@ def key_candidates(df: DataFrame, columns=None) -> DataFrame:
 
 
 def infer_roles(df: DataFrame, formats=DATE_FORMATS, by_name: bool = False, key=None) -> ColumnRoles:
-    """Column roles for an audit. Reads back one small row per column.
+    """Column roles for an audit. Reads back one small row per column; distinct counts are sketched,
+    the key is verified exactly.
 
     ``by_name`` uses the ordered name rules only and the first column as key.
     """
@@ -157,7 +191,7 @@ def infer_roles(df: DataFrame, formats=DATE_FORMATS, by_name: bool = False, key=
             for e in dates if name_has(e, ("end", "due"))
         ] if len(dates) >= 2 else []
         return ColumnRoles(types, tuple(key or df.columns[:1]), tuple(pairs), tuple(formats))
-    found = {r["column"]: r["semantic_type"] for r in semantic_types(df, formats=formats).select("column", "semantic_type").collect()}
+    found = {r["column"]: r["semantic_type"] for r in semantic_types(df, formats=formats, exact=False).collect()}
     types = {c: found.get(c, "text") for c in df.columns}
     dates = [c for c, t in types.items() if t == "date"]
     pairs = tuple((r["start_column"], r["end_column"]) for r in date_pairs(df, dates, formats).collect())

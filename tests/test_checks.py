@@ -241,3 +241,14 @@ def test_whole_audit(spark):
     assert got[("A1", "actual_cost")] == (1, "HIGH")
     assert {r["status"] for r in result.run_stats.collect()} == {"done"}
     assert result.issues.count() == result.summary.count()
+
+
+def test_sketched_evidence_agrees_on_small_tables(spark):
+    rows = [(i, f"u{i}@x.org", "2026-01-01" if i % 2 else None, str(i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, contact string, due_date string, level string")
+    def types(exact):
+        return {r["column"]: r["semantic_type"] for r in schema.semantic_types(df, exact=exact).collect()}
+    assert types(True) == types(False)
+    stats = {r["column"]: r for r in profile.column_stats(df, exact=False).collect()}
+    assert stats["due_date"]["null_count"] == 20 and stats["level"]["distinct_count"] == 4
+    assert [r["column"] for r in schema.key_candidates(df).orderBy("position").collect()] == ["id", "contact"]
