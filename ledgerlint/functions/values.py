@@ -61,10 +61,15 @@ def nan_to_null(column: Column) -> Column:
     return F.when(~F.isnan(column), column)
 
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
+
+
 def parse_number(column: Column) -> Column:
-    """Text to double; NULL where it is not a finite-looking number ('nan' is not one)."""
-    number = column.try_cast("double")
-    return F.when(~F.isnan(number), number)
+    """Text to double; NULL where it is no number ('nan' is none).
+
+    A failed cast costs far more than a pattern match, so only what looks like a number is cast.
+    """
+    return F.when(column.rlike(NUMBER), column.try_cast("double"))
 
 
 def loose_number(column: Column) -> Column:

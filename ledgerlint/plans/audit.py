@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlint.functions.values import numeric_columns, text_columns
 from ledgerlint.operators import (
@@ -63,21 +64,38 @@ def measured_columns(df: DataFrame, ctx: CheckContext) -> list[str]:
 
 
 def take_profile(df: DataFrame, ctx: CheckContext) -> DataFrame:
-    """One row with every count that the checks start from, out of a single scan.
+    """One row with every count that the checks start from; each column is read once.
 
-    Null counts, type classes, readable due dates, moments and extremes of all columns share one
-    aggregate; the row comes to the driver and the checks read it from there.
+    Text columns share one aggregate (type classes, readable due dates), all others share a second
+    one (null counts, moments, extremes). Together in one they exceed what the JVM compiles well,
+    and a columnar scan reads no column twice this way.
     """
     texts, numbers = text_columns(df), measured_columns(df, ctx)
-    due = stale.stale_columns(df, ctx.roles).due
-    classified = quality.with_classes(df, quality.text_classes(texts, ctx.roles.date_formats))
-    row = classified.agg(
-        *quality.null_aggregates(df.columns),
-        *quality.mix_aggregates(texts),
-        *profile.numeric_aggregates(numbers),
-        *(stale.due_aggregates(df, due, ctx.roles.date_formats) if due else []),
+    others = [c for c in df.columns if c not in texts]
+    due, formats = stale.stale_columns(df, ctx.roles).due, ctx.roles.date_formats
+    place = {c: i for i, c in enumerate(df.columns)}
+
+    def due_in(columns):
+        return stale.due_aggregates(df, due, formats) if due in columns else []
+
+    of_text = quality.with_classes(df.select(*texts), quality.text_classes(texts, formats)).agg(
+        F.count("*").alias("n"), *quality.mix_aggregates(texts), *due_in(texts)
+    )
+    of_others = df.agg(
+        F.count("*").alias("n"), *[F.count(c).alias(f"c_{place[c]}") for c in others],
+        *profile.numeric_aggregates(numbers), *due_in(others),
+    )
+    text_row = of_text.select(
+        "*", *[
+            sum(F.col(f"{kind}_{i}") for kind in quality.TYPE_CLASSES).alias(f"c_{place[c]}")
+            for i, c in enumerate(texts)
+        ],
+    )
+    sides = [side for side, columns in ((text_row, texts), (of_others.drop("n") if texts else of_others, others)) if columns]
+    rows = [(r, side.schema) for side in sides for r in side.collect()]
+    return df.sparkSession.createDataFrame(
+        [tuple(v for r, _ in rows for v in r)], T.StructType([f for _, schema in rows for f in schema.fields])
     )
-    return df.sparkSession.createDataFrame(row.collect(), row.schema)
 
 
 # A check family takes the table, the context and the profile row and returns Checks. To add a check,
