@@ -72,10 +72,11 @@ class Edits:
         return (F.greatest(a, b) - self.limit(F.greatest(a, b))).cast("int")
 
     def score(self, a: Column, b: Column) -> Column:
-        return F.levenshtein(a, b)
+        """The distance, or -1 as soon as it is certain to exceed the limit."""
+        return F.call_function("levenshtein", a, b, self.limit(F.greatest(F.char_length(a), F.char_length(b))))
 
     def accepts(self, score: Column, a: Column, b: Column) -> Column:
-        return score <= self.limit(F.greatest(F.char_length(a), F.char_length(b)))
+        return score >= 0
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
