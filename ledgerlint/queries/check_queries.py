@@ -135,7 +135,7 @@ def near_duplicate_rows(spark, folder):
     return fuzzy.near_duplicates(parts, "p_name", RowKey(("p_partkey",), "p_partkey")).select("row_key", "detail")
 
 
-@query("D3_indel_urls")
+@query("D3_indel_urls", lcs_pairs_sql("pages", "url") + "SELECT * FROM scored WHERE score >= 88 AND score < 100")
 def indel_urls(spark, folder):
     return fuzzy.near_pairs(fuzzy.distinct_values(table(spark, folder, "pages"), "url"))
 
