@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlint.llm import chat, decontaminate, fingerprints, html_text, mixing, near_duplicates, sql, token_counts, toxicity
+from ledgerlint.llm import chat, decontaminate, fingerprints, html_text, mixing, near_duplicates, pii, sql, token_counts, toxicity
 from ledgerlint.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+#: The key of the registered query; real runs pass their own secret.
+PSEUDONYM_KEY = "registered query"
+
+
+@query("op7_pseudonyms")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
