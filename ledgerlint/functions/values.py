@@ -124,20 +124,39 @@ def key_text(*names: str) -> Column:
     return F.concat_ws(KEY_SEPARATOR, *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
 
 
+def _canonical(column: Column, data_type: T.DataType) -> Column:
+    """``column`` as a value whose JSON text differs whenever the value does.
+
+    NaN counts as missing and -0.0 as 0.0, inside nested values too. Times are written to the microsecond: as
+    counts since the epoch, which no format and no time zone can round or merge.
+    """
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return nan_to_null(column) + F.lit(0.0)
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(data_type, T.TimestampNTZType):
+        return column.cast("string")
+    if isinstance(data_type, T.VariantType):
+        return F.to_json(column)
+    if isinstance(data_type, T.ArrayType):
+        return F.transform(column, lambda x: _canonical(x, data_type.elementType))
+    if isinstance(data_type, T.StructType):
+        fields = [_canonical(column.getField(f.name), f.dataType).alias(f.name) for f in data_type.fields]
+        return F.when(column.isNotNull(), F.struct(*fields)) if fields else column
+    if isinstance(data_type, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(column), lambda e: F.to_json(F.struct(
+            _canonical(e["key"], data_type.keyType).alias("k"), _canonical(e["value"], data_type.valueType).alias("v"),
+        ), {"ignoreNullFields": "false"})))
+    return column
+
+
 def row_digest(df: DataFrame, names) -> Column:
     """32 bytes that are equal exactly when all the named columns are equal, nulls included.
 
-    NaN counts as missing and -0.0 equals 0.0, as in the checks that use it.
+    NaN counts as missing and -0.0 equals 0.0, as in the checks that use it; times differ by the microsecond.
     """
-    def canonical(name):
-        column, data_type = F.col(f"`{name}`"), df.schema[name].dataType
-        if isinstance(data_type, (T.DoubleType, T.FloatType)):
-            return (nan_to_null(column) + F.lit(0.0)).alias(name)
-        if isinstance(data_type, T.VariantType):
-            return F.to_json(column).alias(name)
-        return column.alias(name)
-
-    text = F.to_json(F.struct(*[canonical(n) for n in names]), {"ignoreNullFields": "false"})
+    canonical = [_canonical(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names]
+    text = F.to_json(F.struct(*canonical), {"ignoreNullFields": "false"})
     # Never NULL, and declared so: joins on the digest then need no null test of all the columns.
     return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 

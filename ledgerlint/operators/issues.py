@@ -86,11 +86,13 @@ def to_issues(summary: DataFrame, enrichment: DataFrame | None = None) -> DataFr
 
 
 def dedupe(issues: DataFrame, by_columns: bool = True) -> DataFrame:
-    """First issue per agent and title, and per columns unless ``by_columns`` is off.
+    """First issue per agent and title, and per columns and group unless ``by_columns`` is off.
 
+    ``issue_id`` stands for check, columns and group, so the findings of one check that only their group tells
+    apart (one per word, say) all stay.
     An aggregate, not a window: one kept issue per key and task crosses the network.
     """
-    key = ["agent", "title"] + (["affected_columns"] if by_columns else [])
+    key = ["agent", "title"] + (["affected_columns", "issue_id"] if by_columns else [])
     kept = [c for c in issues.columns if c not in key]
     return (
         issues.groupBy(*key)

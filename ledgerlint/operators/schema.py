@@ -11,7 +11,6 @@ from ledgerlint.settings import DATE_FORMATS, ColumnRoles, name_has
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 SURE = 0.8
-FEW_VALUES = 20
 
 # Ordered name rules; the first that matches decides.
 FILE_NAME_RULES = (
@@ -90,7 +89,7 @@ def semantic_types(df: DataFrame, columns=None, formats=DATE_FORMATS, exact: boo
     """(column, spark_type, semantic_type) plus the evidence.
 
     Data decides where it can: dates, e-mail addresses, numbers. Names settle what data cannot:
-    which numbers are percentages or identifiers, which small vocabularies are a status.
+    which numbers are percentages or identifiers, which text is a status, however many spellings it has.
     """
     names = list(columns or df.columns)
     evidence = column_evidence(df, names, formats, exact)
@@ -101,7 +100,6 @@ def semantic_types(df: DataFrame, columns=None, formats=DATE_FORMATS, exact: boo
         return name.rlike("|".join(parts))
 
     unique = F.col("distinct_ratio") >= 0.9
-    few = F.col("n_distinct") <= FEW_VALUES
     meaning = (
         F.when(F.col("n_values") == 0, "text")
         .when(F.col("date_ratio") >= SURE, "date")
@@ -109,7 +107,7 @@ def semantic_types(df: DataFrame, columns=None, formats=DATE_FORMATS, exact: boo
         .when((F.col("number_ratio") >= SURE) & named("pct", "percent"), "percentage")
         .when((F.col("number_ratio") >= SURE) & named("id$", "key$") , "id")
         .when(F.col("number_ratio") >= SURE, "numeric")
-        .when(few & named("status"), "status")
+        .when(named("status"), "status")
         .when(unique & named("id$", "key$"), "id")
         .when(named("name"), "name")
         .otherwise("text")

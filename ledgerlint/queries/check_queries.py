@@ -31,6 +31,34 @@ def exact_duplicates(spark, folder):
     return duplicates.duplicate_totals(table(spark, folder, "documents"), ["text"])
 
 
+# Times that agree to the millisecond but not beyond, and equal times.
+MICROSECONDS = """SELECT doc_id, 1577836800000000 + doc_id % 50 AS micros, doc_id % 3 AS part FROM documents"""
+
+
+@query("D1_microsecond_times", f"""
+SELECT count(*) AS n_groups, sum(m) AS n_members, sum(m - 1) AS n_excess, floor(sum(m) / 2) AS halved_count
+FROM (SELECT micros, part, count(*) AS m FROM ({MICROSECONDS}) GROUP BY 1, 2 HAVING count(*) > 1) g""")
+def microsecond_times(spark, folder):
+    documents = table(spark, folder, "documents")
+    times = documents.select(
+        F.timestamp_micros(F.lit(1577836800000000) + F.col("doc_id") % 50).alias("seen"), (F.col("doc_id") % 3).alias("part"))
+    return duplicates.duplicate_totals(times.withColumn("local", F.col("seen").cast("timestamp_ntz")))
+
+
+@query("D1_nested_values", """
+SELECT count(*) AS n_groups, sum(m) AS n_members, sum(m - 1) AS n_excess, floor(sum(m) / 2) AS halved_count
+FROM (SELECT doc_id % 20 // 2 AS k, count(*) AS m FROM documents GROUP BY 1 HAVING count(*) > 1) g""")
+def nested_values(spark, folder):
+    """Rows 2k and 2k + 1 differ only in how zero and a missing number are written, inside arrays and structs."""
+    documents = table(spark, folder, "documents")
+    odd = F.col("doc_id") % 2 == 1
+    zero = F.when(odd, F.lit(-0.0)).otherwise(F.lit(0.0))
+    nothing = F.when(odd, F.lit(float("nan")))
+    nested = F.array(F.struct(zero.alias("zero"), nothing.alias("nothing")))
+    return duplicates.duplicate_totals(documents.select(
+        F.floor(F.col("doc_id") % 20 / 2).alias("k"), nested.alias("nested"), F.array(zero, nothing).alias("numbers")))
+
+
 @query("D1_exact_duplicate_rows", """
 SELECT CAST(doc_id AS VARCHAR) AS row_key, CAST(members AS VARCHAR) AS detail
 FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS members FROM documents) d WHERE members > 1""")

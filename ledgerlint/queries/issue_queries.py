@@ -117,6 +117,19 @@ def deduplicated_issues(spark, folder):
     return plain(iss.dedupe(issues.unionByName(issues)))
 
 
+@query("I4_one_issue_per_group", with_views("""
+SELECT sha256(concat_ws('|', 'Q3', 'status', lower_value)) AS issue_id, 'status' AS affected_columns, n_rows AS count
+FROM variants""", tracker=TRACKER, variants=CASING))
+def one_issue_per_group(spark, folder):
+    """The issues that a whole audit keeps of a check whose findings only their group tells apart."""
+    tracker = view(spark, folder, TRACKER)
+    roles = ColumnRoles({"status": "status"}, ("row_index",))
+    result = audit_table(tracker, CheckContext(roles, TRACKER_KEY, AS_OF), scratch_path(spark, "groups"),
+                         agents=("data_quality",))
+    return result.issues.where("check_id = 'Q3'").select(
+        "issue_id", F.concat_ws(",", "affected_columns").alias("affected_columns"), "count")
+
+
 @query("I4_first_issue_per_title", with_views("""
 SELECT * EXCLUDE (n) FROM (
   SELECT *, row_number() OVER (PARTITION BY agent, title ORDER BY seq, issue_id) AS n FROM issues) i

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ledgerlint.operators import profile, schema
@@ -19,6 +21,18 @@ TRACKER_COLUMNS = (
 )
 
 
+# What the name rules say about some of the tracker's columns.
+FILE_TYPES = (
+    ("task_id", "id"), ("contact", "text"), ("priority", "text"), ("status", "status"), ("start_date", "date"),
+    ("due_date", "date"), ("budget", "numeric"), ("actual_cost", "numeric"), ("completion_pct", "percentage"),
+    ("item_count", "numeric"), ("phase", "text"),
+)
+SHEET_TYPES = (
+    ("task_id", "text"), ("contact", "text"), ("priority", "picklist"), ("status", "picklist"), ("start_date", "date"),
+    ("due_date", "date"), ("budget", "numeric"), ("actual_cost", "numeric"), ("item_count", "text"), ("phase", "text"),
+)
+
+
 def union_all(parts) -> str:
     return "\nUNION ALL\n".join(parts)
 
@@ -135,7 +149,7 @@ SELECT "column", n_values, n_distinct, round(date_ratio, 6) AS date_ratio, round
     WHEN number_ratio >= 0.8 AND ("column" LIKE '%pct%' OR "column" LIKE '%percent%') THEN 'percentage'
     WHEN number_ratio >= 0.8 AND ("column" LIKE '%id' OR "column" LIKE '%key') THEN 'id'
     WHEN number_ratio >= 0.8 THEN 'numeric'
-    WHEN n_distinct <= 20 AND "column" LIKE '%status%' THEN 'status'
+    WHEN "column" LIKE '%status%' THEN 'status'
     WHEN distinct_ratio >= 0.9 AND ("column" LIKE '%id' OR "column" LIKE '%key') THEN 'id'
     WHEN "column" LIKE '%name%' THEN 'name' ELSE 'text' END AS semantic_type
 FROM (""" + union_all(_evidence_sql(c) for c in TRACKER_COLUMNS) + ") e", tracker=TRACKER))
@@ -145,6 +159,41 @@ def semantic_types(spark, folder):
     return found.withColumns({c: F.round(c, 6) for c in ratios})
 
 
+@query("SCH1_status_of_many_spellings", """
+SELECT 'order_status' AS column, count(*) AS n_values, count(DISTINCT o_orderstatus || '-' || o_orderkey % 40) AS n_distinct,
+  'status' AS semantic_type FROM orders""")
+def status_of_many_spellings(spark, folder):
+    orders = table(spark, folder, "orders")
+    status = F.concat_ws("-", "o_orderstatus", (F.col("o_orderkey") % 40).cast("string"))
+    found = schema.semantic_types(orders.select(status.alias("order_status")))
+    return found.select("column", "n_values", "n_distinct", "semantic_type")
+
+
+@query("SCH1_file_name_rules", with_views("SELECT * FROM (" + union_all(
+    f"SELECT '{c}' AS column, '{t}' AS by_name, count({c}) AS n_values FROM tracker" for c, t in FILE_TYPES
+) + ") t", tracker=TRACKER))
+def file_name_rules(spark, folder):
+    return _by_name(view(spark, folder, TRACKER), FILE_TYPES, schema.FILE_NAME_RULES)
+
+
+@query("SCH1_sheet_name_rules", with_views("SELECT * FROM (" + union_all(
+    f"SELECT '{c}' AS column, '{t}' AS by_name, count({c}) AS n_values FROM tracker" for c, t in SHEET_TYPES
+) + ") t", tracker=TRACKER))
+def sheet_name_rules(spark, folder):
+    return _by_name(view(spark, folder, TRACKER), SHEET_TYPES, schema.SHEET_NAME_RULES)
+
+
+def _by_name(tracker, expected, rules):
+    """Every column with its type by name and its number of values."""
+    parts = [
+        tracker.agg(F.count(c).alias("n_values")).select(
+            F.lit(c).alias("column"),
+            F.lit(schema.type_by_name(c, schema.is_numeric(tracker.schema[c]), rules)).alias("by_name"), "n_values")
+        for c, _ in expected
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 @query("SCH2_date_pairs", with_views("""
 SELECT * FROM (
   SELECT 'start_date' AS start_column, 'due_date' AS end_column, count(o) AS n_rows,
