@@ -68,7 +68,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def following(ids: DataFrame) -> DataFrame:
-    """``id``, ``n`` and ``next``: the id of the next row by ``key`` descending (NULL last), then ``digest``; after the
+    """``ids`` with ``next``: the id of the next row by ``key`` descending (NULL last), then ``digest``; after the
     last the first."""
     ordered = globally_ordered(ids, [F.col("key").desc_nulls_last(), F.col("digest"), F.col("id")])
     firsts = ordered.where(F.col("__at") == 1).select("__part", F.col("id").alias("first"))
@@ -77,7 +77,7 @@ def following(ids: DataFrame) -> DataFrame:
         over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("beyond"))
     inside = Window.partitionBy("__part").orderBy("__at")
     return ordered.join(F.broadcast(borders), "__part").select(
-        "id", "n", F.coalesce(F.lead("id").over(inside), "beyond").alias("next"))
+        "id", "key", "n", "copies", F.coalesce(F.lead("id").over(inside), "beyond").alias("next"))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -90,15 +90,16 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     own = own.withColumn("digest", F.xxhash64("text"))
     own = own.withColumn("id", F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "digest"))
     ids = own.select("id", "key", "digest", F.length("text").alias("n")).groupBy("id").agg(
-        F.min("key").alias("key"), F.min("digest").alias("digest"), F.min("n").alias("n"))
-    successor = stored(following(ids), "next")
-
-    texts = own.groupBy("id").agg(F.first("key").alias("key"), F.first("text").alias("text"),
-                                  F.count(F.lit(1)).alias("copies"))
-    wanted = successor.select(F.col("next").alias("id"), F.col("id").alias("before"),
-                              F.floor(F.col("n") / 2).cast("int").alias("m"))
-    sent = with_fingerprint(texts.select("id", "text").join(wanted, "id"), "text", "next_entries").select(
-        F.col("before").alias("id"), F.expr("substring(text, 1, m)").alias("tail"), "next_entries")
+        F.min("key").alias("key"), F.min("digest").alias("digest"), F.min("n").alias("n"),
+        F.count(F.lit(1)).alias("copies"))
+    wanted = stored(following(ids), "next").select(
+        F.col("next").alias("id"), F.col("id").alias("before"), "key", "copies",
+        F.floor(F.col("n") / 2).cast("int").alias("m"))
+
+    # Both joins read the same two columns, so the texts are shuffled once.
+    texts = own.groupBy("id").agg(F.first("text").alias("text"))
+    sent = with_fingerprint(texts.join(wanted, "id"), "text", "next_entries").select(
+        F.col("before").alias("id"), "key", "copies", F.expr("substring(text, 1, m)").alias("tail"), "next_entries")
     pairs = texts.join(sent, "id").withColumn("n_chars", F.length("text").cast("long"))
     pairs = pairs.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 2))"), "tail"))
     pairs = with_fingerprint(pairs, "text", "entries")
