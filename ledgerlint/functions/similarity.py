@@ -9,6 +9,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def pairs_sharing_characters(of_both: float, of_longer: float):
+    """A function of one cell: the pairs of values from both sides (or of one, if there is only one) that share at
+    least of_both * (both lengths) + of_longer * (the longer length) characters, counted with multiplicity."""
+
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        values, times, side = list(rows["value"]), rows["n_rows"].to_numpy(), rows["side"].to_numpy()
+        codes = [np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for v in values]
+        length = np.array([len(c) for c in codes])
+        known, at = np.unique(np.concatenate(codes), return_inverse=True)
+        owner = np.repeat(np.arange(len(codes)), length)
+        counts = np.bincount(owner * len(known) + at, minlength=len(codes) * len(known))
+        counts = counts.reshape(len(codes), len(known)).astype(np.int32)
+        pairs = []
+        for x in np.flatnonzero(side <= 1):
+            y = np.flatnonzero(side == 2) if side[x] == 1 else np.arange(x + 1, len(values))
+            shorter, longer = np.minimum(length[y], length[x]), np.maximum(length[y], length[x])
+            needed = of_both * (shorter + longer) + of_longer * longer - 1e-6
+            y, needed = y[shorter >= needed], needed[shorter >= needed]
+            if len(y):
+                pairs += [(x, int(i)) for i in y[np.minimum(counts[y], counts[x]).sum(axis=1) >= needed]]
+        ordered = [(i, j) if values[i].encode("utf-8", "surrogatepass") < values[j].encode("utf-8", "surrogatepass")
+                   else (j, i) for i, j in pairs]
+        return pd.DataFrame({
+            "value_a": pd.Series([values[i] for i, _ in ordered], dtype=object),
+            "value_b": pd.Series([values[j] for _, j in ordered], dtype=object),
+            "n_a": [times[i] for i, _ in ordered], "n_b": [times[j] for _, j in ordered],
+        })
+
+    return cell
+
+
 def lcs_function(ratio: float):
     """Arrow function for the length of the longest common subsequence of two texts.
 

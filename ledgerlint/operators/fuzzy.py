@@ -3,13 +3,16 @@
 The comparison works on distinct lower-cased values, so copies cost nothing: a pair of values that
 occur n and m times stands for n*m pairs of rows.
 
-No pair is missed and no value has a limit on its partners. Similar values share most of their
-characters: with multiplicity, at least t of them, where t follows from the two lengths. Take the
-characters of every value as (character, n-th occurrence) and order them the same way everywhere,
-rare ones first. If two values share t of them, then the first len-t+k of one value and the first
-len-t+k of the other have at least k in common. So the join key is k of these, together with the
-pair of lengths (in bands, for long text) for which t was computed. A value pair meets under several
-keys; it is kept only under the first one, so nothing has to be de-duplicated afterwards.
+No pair is missed and no value has a limit on its partners. Two similar values have similar lengths, and
+they share most of their characters, with multiplicity: at least t of them, where t follows from the two
+lengths. Values are dealt into blocks of bounded size by length; two blocks meet only if their lengths
+allow similar values. A cell (a pair of blocks) compares character counts as matrices and passes on the pairs
+that share enough characters; their score is computed in the same task, so no pair is ever shuffled.
+
+Cells are of equal size whatever the values look like, so templated columns ("Task 1", "Task 2", ...), whose
+keys of any kind would all be alike, make no hot partition. The counting itself grows with the square of
+the distinct values of similar length, at some ten million pairs per second and core; nothing that grows
+like that is stored or shuffled, unless the pairs themselves do.
 """
 
 from __future__ import annotations
@@ -20,14 +23,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.similarity import indel_score
+from ledgerlint.functions.similarity import indel_score, pairs_sharing_characters
 from ledgerlint.operators.findings import RowKey, member_findings
 from ledgerlint.operators.skew import join_to_groups
 
-EXACT_LENGTHS = 32
-BAND_WIDTH = 1.03
-COMMON_CHARACTERS = 200
-ORDER_SAMPLE = 10_000
+BAND_WIDTH = 1.1
+BLOCK = 1000
+CELL = ("low_band", "low_block", "high_band", "high_block")
 TINY = 1e-9
 
 
@@ -45,9 +47,10 @@ class Indel:
         share = self.ratio / (2 - self.ratio)
         return F.ceil(length * F.lit(share) - TINY), F.floor(length / F.lit(share) + TINY)
 
-    def shared(self, a: Column, b: Column) -> Column:
-        """Characters that two values of at least these lengths have in common."""
-        return F.ceil((a + b) * F.lit(self.ratio / 2) - TINY).cast("int")
+    @property
+    def shares(self) -> tuple[float, float]:
+        """Two values have at least x times both lengths plus y times the longer one in common."""
+        return self.ratio / 2, 0.0
 
     def score(self, a: Column, b: Column) -> Column:
         return indel_score(a, b, self.ratio)
@@ -68,8 +71,9 @@ class Edits:
     def partner_lengths(self, length: Column) -> tuple[Column, Column]:
         return F.ceil(length * F.lit(1 - self.share) - TINY), F.floor(length / F.lit(1 - self.share) + TINY)
 
-    def shared(self, a: Column, b: Column) -> Column:
-        return (F.greatest(a, b) - self.limit(F.greatest(a, b))).cast("int")
+    @property
+    def shares(self) -> tuple[float, float]:
+        return 0.0, 1 - self.share
 
     def score(self, a: Column, b: Column) -> Column:
         """The distance, or -1 as soon as it is certain to exceed the limit."""
@@ -90,110 +94,43 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def band(length: Column) -> Column:
-    """Number of the length band: single lengths up to a point, then bands of constant ratio."""
-    step = F.floor(F.log(length / F.lit(float(EXACT_LENGTHS))) / F.lit(math.log(BAND_WIDTH)))
-    return F.when(length <= EXACT_LENGTHS, length).otherwise(EXACT_LENGTHS + F.greatest(step, F.lit(1))).cast("int")
-
-
-def band_start(number: Column) -> Column:
-    """A length that no value of the band falls below."""
-    start = F.floor(F.lit(float(EXACT_LENGTHS)) * F.pow(F.lit(BAND_WIDTH), number - EXACT_LENGTHS)) - 1
-    return F.when(number <= EXACT_LENGTHS, number).otherwise(F.greatest(start, F.lit(EXACT_LENGTHS + 1))).cast("int")
-
-
-def usual_counts(values: DataFrame) -> dict:
-    """{character: mean occurrences per value} of the most common characters.
-
-    Only sets the order of the characters, on which the speed depends but not the result, so a few
-    thousand values do. At most a few hundred rows reach the driver.
-    """
-    some = values.limit(ORDER_SAMPLE)
-    seen = some.select(F.explode(F.split("value", "")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-    top = seen.orderBy(F.desc("n"), "c").limit(COMMON_CHARACTERS).collect()
-    return {r["c"]: r["n"] / ORDER_SAMPLE for r in top}
-
-
-def ordered_characters(value: Column, usual: dict) -> Column:
-    """The characters of a value as 'character + n-th occurrence', rare ones first."""
-    known = F.create_map(*[x for c, n in usual.items() for x in (F.lit(c), F.lit(n))]) if usual else None
+    """Number of the length band; bands have a constant ratio, at every length."""
+    return F.floor(F.log(length.cast("double")) / F.lit(math.log(BAND_WIDTH))).cast("int")
 
-    def occurrences(c):
-        count = F.char_length(value) - F.char_length(F.replace(value, c, F.lit("")))
-        usually = F.lit(TINY) if known is None else F.coalesce(F.try_element_at(known, c), F.lit(TINY))
-        return F.transform(
-            F.sequence(F.lit(1), count),
-            lambda n: F.struct((usually / n).alias("likely"), F.concat(c, n.cast("string")).alias("token")),
-        )
 
-    tokens = F.flatten(F.transform(F.array_distinct(F.split(value, "")), occurrences))
-    return F.transform(F.array_sort(tokens), lambda t: t["token"])
-
-
-def combinations(pool: Column, k: int, chosen: tuple = ()) -> Column:
-    """Hashes of all k-element selections of the pool, each in the order of the pool."""
-    if k == 1:
-        return F.transform(pool, lambda x: F.xxhash64(F.array(*chosen, x)))
-    return F.flatten(F.transform(
-        pool, lambda x, i: combinations(F.slice(pool, i + 2, F.size(pool)), k - 1, (*chosen, x))
-    ))
-
-
-def value_keys(values: DataFrame, metric, depth: int, usual: dict) -> DataFrame:
-    """Every value under each of its join keys: (value, n_rows, own, partner, picks, prefix, key)."""
+def _cells(values: DataFrame, metric, block: int) -> DataFrame:
+    """Every value in all cells where it can meet a partner: the cell's two blocks, the value's side, the value."""
     length = F.char_length("value")
     low, high = metric.partner_lengths(length)
-    measured = values.select(
-        "value", "n_rows", length.alias("len"), ordered_characters(F.col("value"), usual).alias("characters"),
-        band(length).alias("own"), F.sequence(band(low), band(high)).alias("partners"),
-    )
-    shared = metric.shared(band_start(F.col("own")), band_start(F.col("partner")))
-    classed = measured.withColumn("partner", F.explode("partners")).drop("partners").withColumn("shared", shared)
-    # Long text has prefixes of many characters: one of them is a key there, not a selection.
-    picks = F.least(F.when(F.greatest("own", "partner") <= EXACT_LENGTHS, depth).otherwise(1), "shared")
-    prefixed = classed.withColumn("picks", picks).where("picks > 0 and shared <= len").select(
-        "value", "n_rows", "own", "partner", "picks",
-        F.slice("characters", F.lit(1), F.col("len") - F.col("shared") + F.col("picks")).alias("prefix"),
-    )
-    keys = F.when(F.col("picks") == 1, combinations(F.col("prefix"), 1))
-    for k in range(2, depth + 1):
-        keys = keys.when(F.col("picks") == k, combinations(F.col("prefix"), k))
-    return prefixed.withColumn("key", F.explode(keys))
-
-
-def near_pairs(values: DataFrame, metric=Indel(), depth: int = 2) -> DataFrame:
+    banded = values.select("value", "n_rows", band(length).alias("own"), F.sequence(
+        band(F.greatest(low, F.lit(1))), band(F.greatest(high, F.lit(1)))).alias("span"))
+    # One row per band, a few hundred at any size of the table: bands grow by a tenth.
+    sizes = banded.groupBy("own").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    own = F.broadcast(sizes.select("own", "blocks"))
+    other = F.broadcast(sizes.select(F.col("own").alias("partner"), F.col("blocks").alias("partner_blocks")))
+    dealt = banded.join(own, "own").withColumn(
+        "block", F.pmod(F.xxhash64("value"), F.col("blocks").cast("bigint")).cast("int"))
+    dealt = dealt.withColumn("partner", F.explode("span")).join(other, "partner")
+    dealt = dealt.withColumn("partner_block", F.explode(F.sequence(F.lit(0), F.col("partner_blocks") - 1)))
+    here = F.struct(F.col("own").alias("band"), "block")
+    there = F.struct(F.col("partner").alias("band"), F.col("partner_block").alias("block"))
+    return dealt.select(
+        F.least(here, there).alias("low"), F.greatest(here, there).alias("high"),
+        F.when(here == there, 0).when(here < there, 1).otherwise(2).alias("side"), "value", "n_rows",
+    ).select(*[F.col(f"{end}.{part}").alias(f"{end}_{part}") for end in ("low", "high") for part in ("band", "block")],
+             "side", "value", "n_rows")
+
+
+def near_pairs(values: DataFrame, metric=Indel(), block: int = BLOCK) -> DataFrame:
     """(value_a, value_b, score, n_a, n_b) with value_a < value_b, over distinct values.
 
-    ``depth`` is the number of characters in a join key for short values. More of them make the
-    keys rarer and more numerous: 2 suits up to some million values, 3 many more. The result is the
-    same. Hot keys are split by the adaptive skew join.
+    ``block`` is the number of values on one side of a cell; the result does not depend on it.
     """
-    usual = usual_counts(values)
-    # A few bytes of value become many keys, which the planner cannot foresee: spread the values over
-    # all partitions first, and join by sorting, whatever size it expects.
+    # Cells take far more time than their bytes suggest: keep all partitions.
     partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = values.repartition(partitions, F.xxhash64("value"))
-    keyed = value_keys(spread, metric, depth, usual)
-    sides = {
-        side: keyed.select(*[F.col(c).alias(f"{c}_{side}") for c in keyed.columns]) for side in ("a", "b")
-    }
-    shorter = sides["a"].where("own_a <= partner_a")
-    longer = sides["b"].where("own_b >= partner_b")
-    first_shared = F.xxhash64(F.slice(F.array_intersect("prefix_a", "prefix_b"), F.lit(1), F.col("picks_a")))
-    candidates = shorter.join(
-        longer.hint("merge"),
-        (F.col("key_a") == F.col("key_b"))
-        & (F.col("own_a") == F.col("partner_b"))
-        & (F.col("partner_a") == F.col("own_b"))
-        & ((F.col("own_a") < F.col("own_b")) | (F.col("value_a") < F.col("value_b"))),
-    ).where(first_shared == F.col("key_a"))
-    least, greatest = F.least("value_a", "value_b"), F.greatest("value_a", "value_b")
-    in_order = F.col("value_a") < F.col("value_b")
-    pairs = candidates.select(
-        least.alias("value_a"),
-        greatest.alias("value_b"),
-        F.when(in_order, F.col("n_rows_a")).otherwise(F.col("n_rows_b")).alias("n_a"),
-        F.when(in_order, F.col("n_rows_b")).otherwise(F.col("n_rows_a")).alias("n_b"),
-    )
+    cells = _cells(values, metric, block).repartition(partitions, *CELL)
+    pairs = cells.groupBy(*CELL).applyInPandas(
+        pairs_sharing_characters(*metric.shares), "value_a string, value_b string, n_a bigint, n_b bigint")
     value_a, value_b = F.col("value_a"), F.col("value_b")
     return (
         pairs.withColumn("score", metric.score(value_a, value_b))

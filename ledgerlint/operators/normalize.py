@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,20 +25,23 @@ def normalize(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
     return df.select(*[clean(f) for f in df.schema.fields])
 
 
-def number_rows(scan: DataFrame, order: str = "row_index") -> DataFrame:
+def number_rows(scan, order: str = "row_index") -> DataFrame:
     """Add the 0-based position of every row over all files of a file scan.
 
-    ``scan`` must read files directly (no filter or shuffle in between). Rows are numbered in the
-    order of file name, then place in the file. Every file block is counted once; the block table
+    ``scan`` must read files directly (no shuffle in between), or be a list of such scans with the same
+    columns, over different files. Rows are numbered in the order of file name, then place in the file. Every file block is counted once; the block table
     has one small row per block and gives each block its first number. Rows do not move.
     """
-    placed = scan.select(
-        "*",
-        F.xxhash64("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_path").alias("__path"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__seen"),
-    )
+    placed = reduce(lambda a, b: a.unionByName(b), [
+        one.select(
+            "*",
+            F.xxhash64("_metadata.file_path").alias("__file"),
+            F.col("_metadata.file_path").alias("__path"),
+            F.col("_metadata.file_block_start").alias("__block"),
+            F.monotonically_increasing_id().alias("__seen"),
+        )
+        for one in (scan if isinstance(scan, list) else [scan])
+    ])
     blocks = placed.groupBy("__file", "__path", "__block").agg(
         F.count("*").alias("__rows"), F.min("__seen").alias("__first")
     )
@@ -55,9 +60,9 @@ def number_rows(scan: DataFrame, order: str = "row_index") -> DataFrame:
     )
 
 
-def sheet_snapshot(scan: DataFrame, first_row_id: int = 20000, tokens=NULL_TOKENS) -> DataFrame:
-    """A scanned file as a sheet: row_id, row_number and the columns with missing words as NULL."""
-    columns = scan.columns
+def sheet_snapshot(scan, first_row_id: int = 20000, tokens=NULL_TOKENS) -> DataFrame:
+    """A scanned file (or several scans) as a sheet: row_id, row_number and the columns with missing words as NULL."""
+    columns = (scan[0] if isinstance(scan, list) else scan).columns
     numbered = number_rows(scan)
     return normalize(
         numbered.select(

@@ -39,6 +39,15 @@ class CheckContext:
     as_of: dt.date
     limits: Thresholds = Thresholds()
     near_duplicate_metric: object = fuzzy.Indel()
+    #: Columns to compare for near-duplicates; None takes every name and text column.
+    near_duplicate_columns: tuple | None = None
+
+    def compared(self, df: DataFrame) -> list[str]:
+        wanted = self.roles.of_type("name", "text") if self.near_duplicate_columns is None else self.near_duplicate_columns
+        return [c for c in wanted if c in df.columns]
+
+    def not_compared(self, df: DataFrame) -> list[str]:
+        return [c for c in self.roles.of_type("name", "text") if c in df.columns and c not in self.compared(df)]
 
 
 @dataclass(frozen=True)
@@ -106,7 +115,7 @@ def duplicate_family(df: DataFrame, ctx: CheckContext, counted: DataFrame) -> Ch
     found = [duplicates.exact_duplicates(df, ctx.key)]
     if any(c in df.columns for c in ctx.roles.key):
         found.append(duplicates.duplicate_keys(df, ctx.roles.key, ctx.key))
-    for column in [c for c in ctx.roles.of_type("name", "text") if c in df.columns][:2]:
+    for column in ctx.compared(df):
         found.append(fuzzy.near_duplicates(df, column, ctx.key, ctx.near_duplicate_metric))
     return Checks((), tuple(found))
 
@@ -242,7 +251,9 @@ def audit_table(
         elapsed = max(1, int(run.spent.get(name, 0.0) * 1000))
         status = "failed" if name in run.errors else "done"
         count = 0 if name in run.errors else per_agent.get(name, 0)
-        stats.append((name, status, elapsed, count, run.errors.get(name)))
+        left = ctx.not_compared(df) if name == "duplicate_hunter" else []
+        note = f"near-duplicates not compared in: {', '.join(left)}" if left else None
+        stats.append((name, status, elapsed, count, run.errors.get(name, note)))
     return AuditResult(
         found, summary, issues, spark.createDataFrame(stats, RUN_STATS_SCHEMA), iss.file_health_score(issues)
     )

@@ -170,6 +170,19 @@ def snapshot(spark, folder):
     return sheet_snapshot(files.read_csv_text(spark, path))
 
 
+@query("SRC5_snapshot_two_encodings", with_views(
+    "SELECT row_id, row_number, 'é' || row_number AS accent FROM sheet", sheet=SHEET))
+def snapshot_two_encodings(spark, folder):
+    """The first half of the sheet in a UTF-8 file, the second in a Latin-1 file: positions run through both."""
+    path = scratch_path(spark, "encodings")
+    rows = sheet_of(spark, folder).select("row_number", F.concat(F.lit("é"), F.col("row_number").cast("string")).alias("accent"))
+    middle = rows.agg(F.avg("row_number")).first()[0]
+    for part, encoding, own in (("1", "UTF-8", F.col("row_number") <= middle), ("2", "ISO-8859-1", F.col("row_number") > middle)):
+        half = rows.where(own).repartitionByRange(2, "row_number").sortWithinPartitions("row_number")
+        half.select("accent").write.option("header", True).option("encoding", encoding).csv(f"{path}/{part}")
+    return sheet_snapshot(files.csv_scans(spark, f"{path}/*"))
+
+
 CELL_COLUMNS = ("task_name", "status", "budget_usd", "completion_pct", "notes")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,12 @@ def csv_header(spark: SparkSession, path, encoding: str = "UTF-8") -> list[str]:
 
 
 def read_csv_text(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
-    """All columns as text. Files that are not valid UTF-8 are read again as Latin-1.
+    """All columns as text. Files that are not valid UTF-8 are read again as Latin-1."""
+    return reduce(lambda a, b: a.unionByName(b), csv_scans(spark, path, multiline))
+
+
+def csv_scans(spark: SparkSession, path, multiline: bool = False) -> list[DataFrame]:
+    """The same as scans of single encodings, which still know files and blocks (for row numbers).
 
     The probe is one text scan that yields the names of the files concerned; the scan of each
     encoding then skips the files of the other one.
@@ -39,11 +46,11 @@ def read_csv_text(spark: SparkSession, path, multiline: bool = False) -> DataFra
     foreign = [r["f"] for r in lines.select(file.alias("f")).distinct().orderBy("f").collect()]
     header = csv_header(spark, path)
     if not foreign:
-        return _csv(spark, path, "UTF-8", multiline, header)
+        return [_csv(spark, path, "UTF-8", multiline, header)]
     if any(REPLACEMENT in c for c in header):
         header = csv_header(spark, path, "ISO-8859-1")
     clean = _csv(spark, path, "UTF-8", multiline, header).where(~file.isin(foreign))
-    return clean.unionByName(_csv(spark, path, "ISO-8859-1", multiline, header).where(file.isin(foreign)))
+    return [clean, _csv(spark, path, "ISO-8859-1", multiline, header).where(file.isin(foreign))]
 
 
 def infer_types(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
