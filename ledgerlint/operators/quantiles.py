@@ -4,31 +4,25 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 2_000_000
 LAST_MILE = 100_000
 ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, columns, probabilities, small: int = SMALL, last_mile: int = LAST_MILE):
+def exact_quantiles(df: DataFrame, columns, probabilities, last_mile: int = LAST_MILE):
     """{column: [quantile, ...]} with linear interpolation; None for a column without values.
 
-    Up to ``small`` rows the built-in exact percentile does it, all columns in one aggregate. Its
-    state holds every distinct value, so beyond that each wanted rank is bracketed instead: an
-    approximate sketch of bounded size gives two data values around the rank, one aggregate counts
-    the rows on either side, and the next round looks only between the two. The bracket shrinks by
-    a factor of thousands per round; the last few rows are ordered and the rank read off.
+    Each wanted rank is bracketed: an approximate sketch of bounded size gives two data values around the
+    rank, one aggregate counts the rows on either side, and the next round looks only between the two. The
+    bracket shrinks by a factor of thousands per round, so two rounds serve 10^12 rows. The last few rows of all brackets
+    are read in one pass, whatever the number of columns and ranks, and ordered bracket by bracket. The same is
+    done at every size of the table; no state holds all distinct values.
     """
     columns = list(columns)
     counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
-    if max(sizes.values(), default=0) <= small:
-        row = df.agg(
-            *[F.percentile(F.col(c).cast("double"), list(probabilities)).alias(f"q{i}") for i, c in enumerate(columns)]
-        ).first()
-        return {c: row[f"q{i}"] for i, c in enumerate(columns)}
 
     wanted = {}
     for c in columns:
@@ -57,13 +51,13 @@ def order_statistics(df: DataFrame, sizes: dict, ranks: list, last_mile: int = L
     found: dict = {}
     # per rank: open interval (low, high) of values, rows at or below low, rows inside
     open_ranks = {r: (None, None, 0, sizes[r[0]]) for r in ranks}
+    last: dict = {}
     while open_ranks:
-        for r in [r for r, (_, _, _, inside) in open_ranks.items() if inside <= last_mile]:
-            low, high, below, _ = open_ranks.pop(r)
-            found[r] = _read_rank(df, r[0], low, high, r[1] - below)
+        last.update({r: found_in for r, found_in in open_ranks.items() if found_in[3] <= last_mile})
+        open_ranks = {r: found_in for r, found_in in open_ranks.items() if r not in last}
         if open_ranks:
             open_ranks = _narrow(df, open_ranks, found)
-    return found
+    return found | _read_ranks(df, last)
 
 
 def _inside(column: str, low, high):
@@ -76,9 +70,22 @@ def _inside(column: str, low, high):
     return F.when(condition, value)
 
 
-def _read_rank(df, column, low, high, offset):
-    value = _inside(column, low, high).alias("v")
-    return df.select(value).where("v is not null").orderBy("v").offset(offset).limit(1).first()["v"]
+def _read_ranks(df: DataFrame, brackets: dict) -> dict:
+    """{(column, rank): value}: one pass brings the values of all brackets, each of at most LAST_MILE rows."""
+    if not brackets:
+        return {}
+    # Ranks of a column in one bracket share its rows.
+    windows = list(dict.fromkeys((r[0], low, high) for r, (low, high, _, _) in brackets.items()))
+    inside = F.array(*[
+        F.struct(F.lit(i).alias("bracket"), _inside(c, low, high).alias("v")) for i, (c, low, high) in enumerate(windows)])
+    values = df.select(F.inline(F.filter(inside, lambda x: x["v"].isNotNull())))
+    wanted = [(windows.index((r[0], low, high)), r[1] - below) for r, (low, high, below, _) in brackets.items()]
+    place = F.row_number().over(Window.partitionBy("bracket").orderBy("v")) - 1
+    chosen = values.select("bracket", "v", place.alias("place")).where(
+        F.struct("bracket", F.col("place").cast("int")).isin(*[
+            F.struct(F.lit(b), F.lit(int(p))) for b, p in set(wanted)]))
+    read = {(r["bracket"], r["place"]): r["v"] for r in chosen.collect()}  # one row per wanted rank
+    return {r: read[w] for r, w in zip(brackets, wanted)}
 
 
 def _narrow(df, open_ranks, found):
