@@ -32,26 +32,19 @@ def unapproved_actions(actions: DataFrame, approvals: DataFrame) -> DataFrame:
     return actions.join(approvals.where("approved"), "action_id", "left_anti")
 
 
-def execute(actions: DataFrame, approvals: DataFrame, simulate: bool = True) -> DataFrame:
-    """The approved actions with status and response. Nothing is written to the source."""
-    run = approved_actions(actions, approvals)
-    if simulate:
-        response = F.format_string(
-            "Would have executed: %s on row %s", "action_type",
-            F.coalesce(F.col("target_row_id").cast("string"), F.lit("unknown")),
-        )
-        return run.withColumn("status", F.lit("simulated_success")).withColumn("response", response)
-    return run.withColumn("status", F.lit("failed")).withColumn(
-        "response", F.lit("Writing to the live source is not supported; export the corrected table.")
-    )
+def execution_log(df: DataFrame, actions: DataFrame, approvals: DataFrame, row_id: str, columns=None) -> DataFrame:
+    """Every approved action with what the correction did with it: applied to the table, or skipped and why."""
+    names = list(columns or [c for c in df.columns if c != row_id])
+    checked = check_targets(df, approved_actions(actions, approvals), row_id, names)
+    return checked.withColumn("status", F.when(F.col("reason_skipped").isNull(), "applied").otherwise("skipped"))
 
 
 def execution_summary(log: DataFrame) -> DataFrame:
     """One row: total, successes, failures."""
     return log.agg(
         F.count("*").alias("total_executed"),
-        F.count_if(F.col("status").isin("success", "simulated_success")).alias("success_count"),
-        F.count_if(F.col("status") == "failed").alias("failed_count"),
+        F.count_if(F.col("status") == "applied").alias("success_count"),
+        F.count_if(F.col("status") == "skipped").alias("failed_count"),
     )
 
 
@@ -76,7 +69,9 @@ def _reason(known_row: Column, column: Column) -> Column:
 def check_targets(df: DataFrame, actions: DataFrame, row_id: str, columns) -> DataFrame:
     """The actions with the table's column name in ``column`` and a ``reason`` where they cannot apply."""
     rows = df.select(F.col(row_id).cast("string").alias("__row")).distinct()
-    hot = actions.withColumn("__row", F.col("target_row_id").cast("string"))
+    # Actions without a row meet no row: keys of their own keep them out of one hot partition.
+    nowhere = F.concat(F.lit("no row "), F.pmod(F.xxhash64("action_id"), F.lit(4096)).cast("string"))
+    hot = actions.withColumn("__row", F.coalesce(F.col("target_row_id").cast("string"), nowhere))
     return (
         hot.join(rows.withColumn("__known", F.lit(True)), "__row", "left")
         .withColumn("column", _target_column(F.col("column_title"), columns))

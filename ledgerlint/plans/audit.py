@@ -307,5 +307,5 @@ def correct(
         act.apply_patches(sheet, approved, names.row_id, columns),
         act.change_log(sheet, approved, names.row_id, columns),
         act.skipped_actions(sheet, approved, names.row_id, columns),
-        act.execute(actions, approvals),
+        act.execution_log(sheet, actions, approvals, names.row_id, columns),
     )

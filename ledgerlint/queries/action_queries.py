@@ -44,15 +44,23 @@ def all_and_none(spark, folder):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+OWN_COLUMNS = ", ".join(f"'{c}'" for c in DATA_COLUMNS)
+LOG_SQL = f"""
+SELECT action_id, action_type, target_row_id, risk_level, CASE
+  WHEN action_type NOT IN ('update_cell_value', 'update_status', 'add_comment') THEN 'unsupported action type'
+  WHEN target_row_id IS NULL THEN 'missing row id'
+  WHEN target_row_id NOT IN (SELECT row_id FROM sheet) THEN 'unknown row'
+  WHEN lower(coalesce(nullif(column_title, ''), 'Status')) NOT IN ({OWN_COLUMNS}) THEN 'unknown column' END AS reason_skipped
+FROM acts"""
+
+
 @query("ACT3_execution_log", with_views("""
-SELECT action_id, action_type, target_row_id, 'simulated_success' AS status,
-  'Would have executed: ' || action_type || ' on row ' || coalesce(CAST(target_row_id AS VARCHAR), 'unknown') AS response
-FROM acts WHERE risk_level = 'SAFE'""", acts=ACTIONS))
+SELECT action_id, action_type, target_row_id, CASE WHEN reason_skipped IS NULL THEN 'applied' ELSE 'skipped' END AS status,
+  reason_skipped FROM log WHERE risk_level = 'SAFE'""", sheet=SHEET, acts=ACTIONS, log=LOG_SQL))
 def execution_log(spark, folder):
     actions = actions_of(spark, folder)
-    return act.execute(actions, act.approve(actions)).select(
-        "action_id", "action_type", "target_row_id", "status", "response"
-    )
+    log = act.execution_log(sheet_of(spark, folder), actions, act.approve(actions), "row_id", DATA_COLUMNS)
+    return log.select("action_id", "action_type", "target_row_id", "status", "reason_skipped")
 
 
 @query("ACT3_unapproved", with_views("SELECT action_id FROM acts WHERE risk_level <> 'SAFE'", acts=ACTIONS))
@@ -62,18 +70,16 @@ def unapproved(spark, folder):
 
 
 @query("ACT4_execution_summary", with_views("""
-SELECT count(*) FILTER (WHERE risk_level = 'SAFE') AS total_executed,
-  count(*) FILTER (WHERE risk_level = 'SAFE') AS success_count, CAST(0 AS BIGINT) AS failed_count FROM acts
+SELECT count(*) AS total_executed, count(*) FILTER (WHERE reason_skipped IS NULL) AS success_count,
+  count(reason_skipped) AS failed_count FROM log WHERE risk_level = 'SAFE'
 UNION ALL
-SELECT count(*), CAST(0 AS BIGINT), count(*) FROM acts""", acts=ACTIONS))
+SELECT count(*), count(*) FILTER (WHERE reason_skipped IS NULL), count(reason_skipped) FROM log""",
+    sheet=SHEET, acts=ACTIONS, log=LOG_SQL))
 def execution_summary(spark, folder):
-    actions = actions_of(spark, folder)
-    simulated = act.execution_summary(act.execute(actions, act.approve(actions)))
-    live = act.execution_summary(act.execute(actions, act.approve(actions, "all"), simulate=False))
-    return simulated.unionByName(live)
-
-
-OWN_COLUMNS = ", ".join(f"'{c}'" for c in DATA_COLUMNS)
+    actions, sheet = actions_of(spark, folder), sheet_of(spark, folder)
+    safe, every = (act.execution_summary(act.execution_log(
+        sheet, actions, act.approve(actions, policy), "row_id", DATA_COLUMNS)) for policy in ("safe", "all"))
+    return safe.unionByName(every)
 
 
 def fold_sql(source: str) -> dict:

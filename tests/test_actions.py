@@ -92,10 +92,12 @@ def test_approval_policies(spark, policy, want):
     )
     approvals = act.approve(proposed, policy)
     assert {r["action_id"] for r in act.approved_actions(proposed, approvals).collect()} == want
-    log = act.execution_summary(act.execute(proposed, approvals)).first()
+    sheet = spark.createDataFrame([(1, "old")], "row_id bigint, x string")
+    log = act.execution_summary(act.execution_log(sheet, proposed, approvals, "row_id")).first()
     assert (log["total_executed"], log["success_count"], log["failed_count"]) == (len(want), len(want), 0)
-    live = act.execution_summary(act.execute(proposed, approvals, simulate=False)).first()
-    assert (live["success_count"], live["failed_count"]) == (0, len(want))
+    elsewhere = spark.createDataFrame([(2, "old")], "row_id bigint, x string")
+    log = act.execution_summary(act.execution_log(elsewhere, proposed, approvals, "row_id")).first()
+    assert (log["success_count"], log["failed_count"]) == (0, len(want))
 
 
 def test_toggling_twice_changes_nothing(spark):
