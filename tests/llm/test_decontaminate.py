@@ -69,6 +69,5 @@ def test_removal(tables):
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["text"]) == [
         (2, DOCS[1][1]), (6, "another text of six"), (9, "... !!!")]
     cut = {(r["doc_id"], r["text"]) for r in decontaminate.remove(docs, items, spans=True).collect()}
-    assert (1, "Before it.  , ;       and after,    !") in cut or any(
-        k == 1 and words(t) == ["before", "it", "and", "after"] for k, t in cut)
+    assert any(k == 1 and words(t) == ["before", "it", "and", "after"] for k, t in cut)
     assert (5, "  , nothing") in cut and (None, "a   of NULL id") in cut and (3, None) in cut
