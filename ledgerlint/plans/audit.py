@@ -6,7 +6,7 @@ import datetime as dt
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,11 +21,13 @@ from ledgerlint.operators import (
     logic,
     profile,
     quality,
+    schema,
     sheet_checks,
     stale,
 )
 from ledgerlint.operators.findings import RowKey
 from ledgerlint.settings import AGENTS, ColumnRoles, SheetColumns, Thresholds
+from ledgerlint.sources import files
 
 RUN_STATS_SCHEMA = "name string, status string, duration_ms bigint, issue_count bigint, error string"
 
@@ -197,12 +199,15 @@ def audit_table(
 ) -> AuditResult:
     """Run the check families and write their findings below ``folder``.
 
-    One scan takes the profile, one pass applies the row rules of all families together; only group
+    The table is written there once, and every job reads that copy: a text source is parsed once, computed
+    columns are computed once, and all checks see the same rows. One scan takes the profile, one pass applies the row rules of all families together; only group
     checks add jobs. Scores and reports read the written findings, so no check runs twice and a lost
     executor costs at most the running job. A family that fails is recorded and does not stop the
     others.
     """
     spark, run = df.sparkSession, _Run()
+    df.write.mode("overwrite").parquet(f"{folder}/input")
+    df = spark.read.schema(df.schema).parquet(f"{folder}/input")
     families = families or FAMILIES
     wanted = [a for a in AGENTS if a in agents]
     counted = run.attempt(wanted, lambda: take_profile(df, ctx))
@@ -259,6 +264,24 @@ def audit_table(
     )
 
 
+def audit_file(
+    spark: SparkSession, path: str, folder: str, key: RowKey, as_of: dt.date, domain: str = "general",
+    roles: ColumnRoles | None = None, agents=AGENTS,
+) -> AuditResult:
+    """A CSV file from the scan to the report: typed and normalised, audited, and reported below ``folder``.
+
+    Roles are inferred unless given. ``folder``/report holds the document, ``folder``/all_issues what it is drawn from.
+    """
+    table = files.read_records(spark, path)
+    context = CheckContext(roles or schema.infer_roles(table), key, as_of)
+    result = audit_table(table, context, folder, agents)
+    metadata = files.dataset_metadata(spark.read.parquet(f"{folder}/input"), path.rsplit("/", 1)[-1], "csv")
+    document = iss.report(result.issues, result.run_stats, metadata, domain, f"{as_of}T00:00:00")
+    document.write.json(f"{folder}/report")
+    result.issues.write.json(f"{folder}/all_issues")
+    return result
+
+
 def run_stats_totals(run_stats: DataFrame) -> DataFrame:
     """One row: families that ran (done, with a duration), failed and were skipped."""
     return run_stats.agg(

@@ -9,7 +9,7 @@ from ledgerlint.operators import anomalies, duplicates, issues as iss, profile,
 from ledgerlint.operators.findings import row_findings, summarise
 from ledgerlint.operators.quantiles import exact_quantiles
 from ledgerlint.operators.sheet_checks import sheet_issues
-from ledgerlint.plans.audit import CheckContext, audit_table, run_stats_totals
+from ledgerlint.plans.audit import CheckContext, audit_file, audit_table, run_stats_totals
 from ledgerlint.queries.check_queries import (
     CASING, NULL_DENSITY, NULLABLE, ROW_FINDINGS_SQL, _class_sql, all_row_rules, outlier_sql, skew_sql,
     totals_sql,
@@ -322,6 +322,19 @@ def full_audit(spark, folder):
     return plain(iss.ranked(tracker_audit(spark, folder, FOUR + ("duplicate_hunter",)).issues))
 
 
+@query("I14_file_to_report", with_views(f"""
+SELECT name, status, issue_count, (SELECT count(*) FROM tracker) AS rows, 'csv' AS file_type FROM ({RUN_SQL}) r""",
+    **RUN_VIEWS))
+def file_to_report(spark, folder):
+    """A CSV file from the scan to the stored report: its run statistics and metadata."""
+    path, out = scratch_path(spark, "tracker") + ".csv", scratch_path(spark, "report")
+    view(spark, folder, TRACKER).write.option("header", True).option("escape", '"').csv(path)
+    audit_file(spark, path, out, TRACKER_KEY, AS_OF, "project_management", TRACKER_ROLES, FOUR)
+    report = spark.read.json(f"{out}/report")
+    return report.select(F.inline("agent_statuses"), "metadata").select(
+        "name", "status", "issue_count", F.col("metadata.rows").alias("rows"), F.col("metadata.file_type").alias("file_type"))
+
+
 LINE_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LINEITEM_AUDIT_SQL = """
 WITH dup AS (SELECT count(*) AS members FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1),
