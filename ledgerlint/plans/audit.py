@@ -297,18 +297,26 @@ class SheetAudit:
     issues: DataFrame
     actions: DataFrame
     health: DataFrame
+    group_rows: DataFrame | None = None
 
 
 def audit_sheet(
     sheet: DataFrame, as_of: dt.date, folder: str, names: SheetColumns = SheetColumns()
 ) -> SheetAudit:
-    """Issues and proposed corrections of a sheet, written once and read back for the score."""
+    """Issues and proposed corrections of a sheet, written once and read back for the score.
+
+    ``group_rows`` links every row of a group of duplicates to its issue by ``issue_id``.
+    """
     spark = sheet.sparkSession
+    grouped = {names.task_id, names.task_name, names.owner} <= set(sheet.columns)
+    if grouped:
+        sheet_checks.group_rows(sheet, names).write.parquet(f"{folder}/group_rows")
     sheet_checks.sheet_issues(sheet, as_of, names).write.parquet(f"{folder}/issues")
     sheet_checks.sheet_actions(sheet, as_of, names).write.parquet(f"{folder}/actions")
     issues = spark.read.parquet(f"{folder}/issues")
     return SheetAudit(
-        issues, spark.read.parquet(f"{folder}/actions"), iss.sheet_health_score(issues)
+        issues, spark.read.parquet(f"{folder}/actions"), iss.sheet_health_score(issues),
+        spark.read.parquet(f"{folder}/group_rows") if grouped else None,
     )
 
 

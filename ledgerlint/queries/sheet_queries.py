@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ledgerlint.functions.values import loose_number
 from ledgerlint.operators import sheet_checks as sc
+from ledgerlint.plans.audit import audit_sheet
 from ledgerlint.queries.registry import query
 from ledgerlint.queries.views import AS_OF, SHEET, view, with_views
+from ledgerlint.session import scratch_path
 from ledgerlint.settings import SheetColumns
 
 NAMES = SheetColumns()
@@ -167,6 +169,22 @@ def group_members(spark, folder):
     return ids.unionByName(clones)
 
 
+@query("P1_P2_rows_of_issues", with_views(f"""
+SELECT sha256('P1|' || k) AS issue_id, row_id FROM (
+  SELECT row_id, {ID_KEY} AS k, count(*) OVER (PARTITION BY {ID_KEY}) AS members FROM sheet) a
+WHERE k <> '' AND members > 1
+UNION ALL
+SELECT sha256('P2|' || k), row_id FROM (
+  SELECT row_id, {NAME_KEY} || '|' || {OWNER_KEY} AS k FROM sheet WHERE {NAME_KEY} <> '' AND {OWNER_KEY} <> '') b
+WHERE k IN (SELECT {NAME_KEY} || '|' || {OWNER_KEY} FROM sheet
+  WHERE {NAME_KEY} <> '' AND {OWNER_KEY} <> '' GROUP BY 1
+  HAVING count(*) > 1 AND count(DISTINCT coalesce(task_id, '')) > 1)""", sheet=SHEET))
+def rows_of_issues(spark, folder):
+    """What a sheet audit stores beside its issues, for those whose issue it stores."""
+    audit = audit_sheet(sheet_of(spark, folder), AS_OF, scratch_path(spark, "rows_of_issues"), NAMES)
+    return audit.group_rows.join(audit.issues.select("issue_id"), "issue_id", "left_semi").select("issue_id", "row_id")
+
+
 ACTION_PARTS = {
     "P1": [dict(
         where=None, kind="update_cell_value", column="task_id", current="k", proposed="k || '_DUP'",
