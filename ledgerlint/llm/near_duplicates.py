@@ -8,13 +8,14 @@
    probability 5e-6 (a pair at 0.9 with 1e-15), and a link is only lost if no other path joins its ends.
 3. No bucket is expanded into pairs. A bucket has a pivot (its smallest hash of id and band, so pivots differ between
    bands) and every member is paired with it. The similarity of a pair is estimated from both sketches and set sizes
-   by maximum likelihood; pairs far below the threshold (``MARGIN``, more than six standard errors) are dropped, the
-   others verified on the full sets.
-4. Components of the verified links are found by alternating star contraction. Buckets that still hold several
-   components need the links between their members other than the pivot: members are dealt into blocks of
-   ``BLOCK`` rows, each pair of blocks is one small task that compares sketches only across components, and what
-   passes the estimate is verified as before. This finishes exactly: every pair that shares a band was either
-   joined already or compared.
+   by maximum likelihood; pairs far below the threshold (``MARGIN``, more than four standard errors) are dropped. Of
+   the others the likeliest of each document are verified on the full sets.
+4. Components of the verified links are found by alternating star contraction. In buckets that still hold several
+   components, members of the largest are held against the others, and the others against each other, in cells of
+   at most two blocks of ``BLOCK`` rows. A cell estimates pairs from the sketches in memory, a second pass brings the
+   full sets of the documents in likely pairs and verifies them there, likeliest first. Cells return links that join
+   components, never pairs. This finishes the job: every pair that shares a band was either joined already, ruled
+   out by its estimate, or verified.
 
 Everything is keyed by class or band, pre-aggregated before it is shuffled, and joined with joins that the adaptive
 skew handling can split. Stage results are tables below the shared folder; nothing is collected to the driver but
@@ -28,11 +29,12 @@ empty table gives an empty result. Only the key and the text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import stored
@@ -44,8 +46,10 @@ BANDS = 32
 REGISTERS = ROWS * BANDS
 BASE = 1.001
 TOP = 2**16 - 2
-MARGIN = 0.5
-BLOCK = 500
+MARGIN = 0.58
+LEAST_EQUAL = int(0.5 * REGISTERS)
+BLOCK = 1000
+BATCH_ROWS = 1000
 IDS_TO_BROADCAST = 1_000_000
 _RANDOM = np.random.default_rng(4)
 _OFFSET, _MULTIPLIER, _SECOND = _RANDOM.integers(0, 2**32, (3, REGISTERS, 1), dtype=np.uint32) | np.uint32(1)
@@ -155,22 +159,28 @@ def _likely(pairs: DataFrame) -> DataFrame:
     return scored.where(F.col("likeness") >= least).select("a", "b", "likeness")
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILARITY[1] * common >= SIMILARITY[0] * (len(x) + len(y) - common)
+
+
+def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``key``, ``set`` of the given documents. The ids are broadcast only where they are counted to be few."""
+    ids = stored(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= IDS_TO_BROADCAST else ids
+    return stored(texts.join(ids, "key", "left_semi").mapInPandas(_shingled, "key long, set binary"), "sets")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that reach the similarity on their full sets."""
-    ids = stored(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= IDS_TO_BROADCAST else ids
-    sets = stored(texts.join(ids, "key", "left_semi").mapInPandas(_shingled, "key long, set binary"), "sets")
+    sets = _sets(texts, pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
     left = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("s_a")), "a")
     both = left.join(sets.select(F.col("key").alias("b"), F.col("set").alias("s_b")), "b")
 
     @F.pandas_udf("boolean")
     def linked(one: pd.Series, other: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(one, other):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(SIMILARITY[1] * common >= SIMILARITY[0] * (len(x) + len(y) - common))
-        return pd.Series(out, dtype=bool)
+        sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(one, other))
+        return pd.Series([_linked(x, y) for x, y in sets], dtype=bool)
 
     return both.where(linked("s_a", "s_b")).select("a", "b")
 
@@ -219,58 +229,176 @@ def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs
 
 
-def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    for side in ("a", "b"):
-        pairs = pairs.join(joined.select(F.col("key").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-    ends = [F.coalesce(f"c_{side}", side) for side in ("a", "b")]
-    return pairs.where(ends[0] != ends[1]).select("a", "b")
-
+def _open_cells(sketches: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several components, dealt into cells of at most two blocks.
 
-def _rest(sketches: DataFrame, joined: DataFrame) -> DataFrame:
-    """Likely pairs of buckets that still hold several components, across components only."""
+    Members of a bucket's largest component never meet each other: the cells are pairs of a block of the others with
+    a block of the largest component, or with another block of the others. A bucket with few others costs one copy
+    of its members.
+    """
     members = sketches.join(joined, "key", "left").select(
         "key", F.coalesce("component", "key").alias("component"), F.posexplode("bands").alias("at", "h"))
-    members = members.select("key", "component", _hash("at", "h").alias("band"))
-    open_buckets = members.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
-    open_buckets = open_buckets.where(F.col("low") != F.col("high")).select(
-        "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(open_buckets, "band").withColumn(
-        "own", F.pmod(_hash("key", "band"), F.col("blocks").cast("long")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),
-                        lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    dealt = dealt.select("band", "key", "component", "own", F.explode(cells).alias("cell"))
-    dealt = dealt.join(sketches.select("key", "n", "registers"), "key")
-
-    def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        registers = np.frombuffer(b"".join(batch["registers"]), np.uint16).reshape(len(batch), -1)
-        keys, own = batch["key"].to_numpy(), batch["own"].to_numpy()
-        component, n = batch["component"].to_numpy(), batch["n"].to_numpy(float)
-        diagonal = batch["i"].iloc[0] == batch["j"].iloc[0]
-        found = []
-        for x in range(len(batch)):
-            other = component != component[x]
-            other &= (keys > keys[x]) if diagonal else (own > own[x])
-            other &= (4 * np.minimum(n, n[x]) >= 3 * np.maximum(n, n[x]))
-            at = np.flatnonzero(other)
-            if len(at):
-                scores = estimate(registers[at], np.repeat(registers[x : x + 1], len(at), 0), n[at],
-                                  np.full(len(at), n[x]))
-                found += [(min(keys[x], k), max(keys[x], k)) for k in keys[at[scores >= MARGIN]]]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    cells = dealt.select("band", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "key", "component", "own", "n",
-                         "registers")
-    return cells.groupBy("band", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    members = members.select("key", "component", "at", _hash("at", "h").alias("band"))
+    parts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
+    buckets = parts.groupBy("band").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("m"),
+                                        F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
+    blocks = [F.ceil(n / F.lit(BLOCK)).cast("int") for n in (F.col("main.m"), F.col("m") - F.col("main.m"))]
+    buckets = buckets.select("band", F.col("main.component").alias("main"), blocks[0].alias("mains"),
+                             blocks[1].alias("others"))
+    in_main = F.col("component") == F.col("main")
+    dealt = members.join(buckets, "band").withColumn("block", F.when(
+        in_main, F.pmod(_hash("key", "band"), F.col("mains").cast("long"))).otherwise(
+        F.col("mains") + F.pmod(_hash("key", "band"), F.col("others").cast("long"))).cast("int"))
+    others = F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)
+    partners = F.when(in_main, others).otherwise(F.concat(F.sequence(F.lit(0), F.col("mains") - 1), others))
+    dealt = dealt.select("band", "at", "key", "component", "block", F.explode_outer(partners).alias("partner"))
+    return dealt.select("band", "at", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"),
+                        "key", "component", "block").join(sketches.select("key", "n", "registers"), "key")
+
+
+CELL = "band long, at int, i int, j int, key long, component long, block int, n long, registers binary"
+
+
+CELL_COLUMNS = [c.split()[0] for c in CELL.split(", ")]
+CELL_KEY = ("band", "i", "j")
+
+
+def _by_cell(work, columns: list[str]):
+    """A function over partitions sorted by cell: ``work`` gets a cell's rows, as slices of arrays, cell after cell.
+
+    Most cells are tiny, so they are cut out of whole batches; a cell that goes over a batch's end waits for the rest.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def worked(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            arrays = {c: rows[c].to_numpy() for c in rows.columns if c not in ("registers", "set")}
+            arrays["registers"] = np.frombuffer(b"".join(rows["registers"]), np.uint16).reshape(len(rows), -1)
+            if "set" in rows:
+                arrays["set"] = rows["set"].to_numpy()
+            found: list[tuple] = []
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if end - start > 1:
+                    found += work({c: v[start:end] for c, v in arrays.items()})
+            return pd.DataFrame(found, columns=columns)
+
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            keys = rows[list(CELL_KEY)].to_numpy()
+            starts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            if len(starts):
+                yield worked(rows.iloc[: starts[-1]], np.concatenate(([0], starts)))
+                held = rows.iloc[starts[-1] :].reset_index(drop=True)
+            else:
+                held = rows
+        if held is not None and len(held):
+            yield worked(held, np.array([0, len(held)]))
+
+    return run
+
+
+def _cell_pairs(cell: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x, y and likeness of a cell's likely pairs across components whose first common band is the cell's.
+
+    Equal registers alone rule out nearly all pairs; only the rest are estimated, some thousand at a time.
+    """
+    registers, component, block = cell["registers"], cell["component"], cell["block"]
+    n, at = cell["n"].astype(float), int(cell["at"][0])
+    size, diagonal = len(n), cell["i"][0] == cell["j"][0]
+    xs, ys, scores = [], [], []
+    step = max(1, 20_000 // size)
+    for first in range(0, size, step):
+        x, y = (v.ravel() for v in np.meshgrid(np.arange(first, min(size, first + step)), np.arange(size), indexing="ij"))
+        keep = (component[x] != component[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
+        keep &= (y > x) if diagonal else (block[y] > block[x])
+        x, y = x[keep], y[keep]
+        if not len(x):
+            continue
+        same = registers[x] == registers[y]
+        keep = same.sum(1) >= LEAST_EQUAL
+        x, y, same = x[keep], y[keep], same[keep]
+        if len(x):
+            keep = same.reshape(len(x), BANDS, ROWS).all(2).argmax(1) == at
+            x, y = x[keep], y[keep]
+        if len(x):
+            score = estimate(registers[x], registers[y], n[x], n[y])
+            keep = score >= MARGIN
+            xs.append(x[keep])
+            ys.append(y[keep])
+            scores.append(score[keep])
+    if not xs:
+        return (np.empty(0, np.int64),) * 3
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(scores)
+
+
+def _needed(cell: dict) -> list[tuple]:
+    """The rows of a cell that are in a likely pair."""
+    x, y, _ = _cell_pairs(cell)
+    return [tuple(cell[c][r].tobytes() if c == "registers" else cell[c][r] for c in CELL_COLUMNS)
+            for r in np.unique(np.concatenate([x, y])).astype(np.int64)]
+
+
+def _links_of_cell(cell: dict) -> list[tuple]:
+    """Verified links of a cell, likeliest pairs first; components that a link has joined are not compared again."""
+    x, y, scores = _cell_pairs(cell)
+    sets = [np.frombuffer(s, np.uint64) for s in cell["set"]]
+    keys, component = cell["key"], cell["component"]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    found = []
+    for i in np.argsort(-scores, kind="stable"):
+        a, b = find(component[x[i]]), find(component[y[i]])
+        if a != b and _linked(sets[x[i]], sets[y[i]]):
+            root[max(a, b)] = min(a, b)
+            found.append((min(keys[x[i]], keys[y[i]]), max(keys[x[i]], keys[y[i]])))
+    return found
+
+
+def _cellwise(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on every cell. The number of partitions is kept: cells take more time than their bytes suggest."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(partitions, *CELL_KEY).sortWithinPartitions(*CELL_KEY)
+    return dealt.mapInPandas(_by_cell(work, [c.split()[0] for c in schema.split(", ")]), schema)
+
+
+def _rest(sketches: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links between different components of the same buckets."""
+    needed = stored(_cellwise(_open_cells(sketches, joined).select(*CELL_COLUMNS), _needed, CELL), "needed")
+    with_sets = needed.join(_sets(texts, needed.select("key").distinct()), "key").select(*CELL_COLUMNS, "set")
+    return _cellwise(with_sets, _links_of_cell, "a long, b long").distinct()
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Sets and sketches are wide: batches of ``BATCH_ROWS`` keep a Python worker within some tens of megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, ``n_shingles``, ``component_id``, ``kept``; ``key`` must be a whole number."""
+    """One row per document: key, ``n_shingles``, ``component_id``, ``kept``; ``key`` must be a whole number.
+
+    All stages that need Python run, and are stored, before this returns.
+    """
+    with _small_batches(docs.sparkSession):
+        return _find(docs, key, text)
+
+
+def _find(docs: DataFrame, key: str, text: str) -> DataFrame:
     source = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     schema = "key long, n long, class binary, registers binary, bands array<long>"
     with_key = source.where(F.col("key").isNotNull())
-    unkeyed = source.where(F.col("key").isNull()).mapInPandas(_sketched, schema).select("key", "n")
+    unkeyed = stored(source.where(F.col("key").isNull()).mapInPandas(_sketched, schema).select("key", "n"), "unkeyed")
     sketched = stored(with_key.mapInPandas(_sketched, schema), "sketches")
     classes = sketched.where(F.col("n") > 0).groupBy("class").agg(
         F.min("key").alias("key"), F.first("n").alias("n"), F.first("registers").alias("registers"),
@@ -280,15 +408,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     pairs = stored(_likely(_with_sketches(_star_pairs(sketches), sketches)), "pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("likeness", "a")).alias("best")).select("best.a", "b")
     links = stored(_verified(best, texts), "links")
-    joined = components(links)
-    apart = stored(_apart(pairs.select("a", "b"), joined).join(best, ["a", "b"], "left_anti"), "apart")
-    if not apart.isEmpty():
-        links = stored(links.union(_verified(apart, texts)), "links")
-        joined = components(links)
-    more = stored(_rest(sketches, joined), "more")
-    if not more.isEmpty():
-        links = stored(links.union(_verified(more, texts)), "links")
-        joined = components(links)
+    more = stored(_rest(sketches, components(links), texts), "more")
+    joined = components(links.union(more))
     class_of = sketched.where(F.col("n") > 0).groupBy("class").agg(F.min("key").alias("first"))
     label = class_of.join(joined.withColumnRenamed("key", "first"), "first", "left").select(
         "class", F.coalesce("component", "first").alias("component"))
