@@ -37,7 +37,7 @@ BLOCK_WORDS = 4096
 SHARDS = 8
 SEED = 17
 BROADCAST_ROWS = 200_000
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 4_000
 
 
 def n_words(text: Column) -> Column:
@@ -80,6 +80,11 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return weighted.withColumn("target", target if free else F.col("stop").cast("double"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _draw(whole: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
     """Marked among ``drawn`` of ``whole`` with ``marked`` marked: the hypergeometric distribution inverted.
 
@@ -87,37 +92,52 @@ def _draw(whole: Column, marked: Column, drawn: Column, uniform: Column) -> Colu
     as the centre, those above it, those below it; their weights follow from the ratio of neighbours, so no factorial
     is needed and a draw holds three numbers.
     """
-    low, high = F.greatest(F.lit(0).cast("long"), drawn + marked - whole), F.least(marked, drawn)
-    rest = F.greatest(whole - 1, F.lit(1))
-    mean = drawn.cast("double") * marked / F.greatest(whole, F.lit(1))
-    spread = F.sqrt(mean * (1 - marked / F.greatest(whole, F.lit(1))) * (whole - drawn) / rest)
-    first = F.least(high, F.greatest(low, F.floor(mean - 10 * spread - 2)))
-    last = F.greatest(first, F.least(high, F.ceil(mean + 10 * spread + 2)))
-    centre = F.least(last, F.greatest(first, F.floor(mean)))
-
-    def ratio(k: Column) -> Column:  # p(k + 1) / p(k)
-        return (marked - k) / (k + 1.0) * (drawn - k) / (whole - marked - drawn + k + 1.0)
-
-    def walk(upwards: bool, enough: Column | None = None):
-        def step(s: Column, k: Column) -> Column:
-            weight = F.when(k == centre, F.lit(1.0)).otherwise(
-                s["weight"] * ratio(k - 1) if upwards else s["weight"] / ratio(k))
-            total = s["total"] + (weight if upwards else F.when(k == centre, F.lit(0.0)).otherwise(weight))
-            answer = s["answer"] if enough is None else F.coalesce(s["answer"], F.when(total >= enough, k))
-            return F.struct(weight.alias("weight"), total.alias("total"), answer.alias("answer"))
-        return step
-
-    def begin(total: Column, answer: Column) -> Column:
-        return F.struct(F.lit(1.0).alias("weight"), total.alias("total"), answer.alias("answer"))
-
-    above, below = F.sequence(centre, last), F.sequence(centre, first, F.lit(-1).cast("long"))
-    none = F.lit(None).cast("long")
-    up = F.aggregate(above, begin(F.lit(0.0), none), walk(True), lambda s: s["total"])
-    both = F.aggregate(below, begin(up, none), walk(False), lambda s: s["total"])
-    enough = uniform * both
-    found = F.aggregate(above, begin(F.lit(0.0), none), walk(True, enough))
-    return F.coalesce(found["answer"], F.aggregate(
-        below, begin(found["total"], none), walk(False, enough), lambda s: s["answer"]), first)
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def with_range(a: Column) -> Column:
+        part = a["marked"] / F.greatest(a["whole"], one)
+        mean = a["drawn"] * part
+        spread = F.sqrt(mean * (1 - part) * (a["whole"] - a["drawn"]) / F.greatest(a["whole"] - 1, one))
+        low = F.greatest(zero, a["drawn"] + a["marked"] - a["whole"])
+        return F.struct(a["whole"].alias("whole"), a["marked"].alias("marked"), a["drawn"].alias("drawn"),
+                        a["uniform"].alias("uniform"), low.alias("low"), F.least(a["marked"], a["drawn"]).alias("high"),
+                        mean.alias("mean"), (10 * spread + 2).alias("reach"))
+
+    def with_centre(a: Column) -> Column:
+        first = F.least(a["high"], F.greatest(a["low"], F.floor(a["mean"] - a["reach"])))
+        last = F.greatest(first, F.least(a["high"], F.ceil(a["mean"] + a["reach"])))
+        return F.struct(*(a[x].alias(x) for x in ("whole", "marked", "drawn", "uniform")), first.alias("first"),
+                        last.alias("last"), F.least(last, F.greatest(first, F.floor(a["mean"]))).alias("centre"))
+
+    def answer(a: Column) -> Column:
+        def ratio(k: Column) -> Column:  # p(k + 1) / p(k)
+            return (a["marked"] - k) / (k + 1.0) * (a["drawn"] - k) / (a["whole"] - a["marked"] - a["drawn"] + k + 1.0)
+
+        def walk(upwards: bool, enough: Column | None = None):
+            def step(s: Column, k: Column) -> Column:
+                at_centre = k == a["centre"]
+                weight = F.when(at_centre, F.lit(1.0)).otherwise(
+                    s["weight"] * ratio(k - 1) if upwards else s["weight"] / ratio(k))
+                return _let(weight, lambda w: _let(
+                    s["total"] + (w if upwards else F.when(at_centre, F.lit(0.0)).otherwise(w)),
+                    lambda t: F.struct(w.alias("weight"), t.alias("total"), (s["answer"] if enough is None else F.coalesce(
+                        s["answer"], F.when(t >= enough, k))).alias("answer"))))
+            return step
+
+        def begin(total: Column) -> Column:
+            return F.struct(F.lit(1.0).alias("weight"), total.alias("total"), F.lit(None).cast("long").alias("answer"))
+
+        above = F.sequence(a["centre"], a["last"])
+        below = F.sequence(a["centre"], a["first"], F.lit(-1).cast("long"))
+        both = F.aggregate(below, begin(F.aggregate(above, begin(F.lit(0.0)), walk(True), lambda s: s["total"])),
+                           walk(False), lambda s: s["total"])
+        return _let(a["uniform"] * both, lambda enough: _let(
+            F.aggregate(above, begin(F.lit(0.0)), walk(True, enough)), lambda found: F.coalesce(
+                found["answer"], F.aggregate(below, begin(found["total"]), walk(False, enough), lambda s: s["answer"]),
+                a["first"])))
+
+    given = F.struct(whole.alias("whole"), marked.alias("marked"), drawn.alias("drawn"), uniform.alias("uniform"))
+    return _let(_let(_let(given, with_range), with_centre), answer)
 
 
 def shard_quotas(blocks: DataFrame, shards: int = SHARDS) -> DataFrame:
