@@ -90,32 +90,38 @@ def _read_ranks(df: DataFrame, brackets: dict) -> dict:
 
 def _narrow(df, open_ranks, found):
     ranks = list(open_ranks)
-    sketches = []
-    for i, r in enumerate(ranks):
+    # Ranks that look into the same window of a column share one sketch.
+    probes: dict = {}
+    for r in ranks:
         low, high, below, inside = open_ranks[r]
         at = (r[1] - below + 0.5) / inside
-        around = [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
-        sketches.append(F.percentile_approx(_inside(r[0], low, high), around, ACCURACY).alias(f"b{i}"))
-    brackets = df.agg(*sketches).first()
-
-    tallies = []
-    for i, r in enumerate(ranks):
-        low, high, _, _ = open_ranks[r]
-        value, (b0, b1) = _inside(r[0], low, high), brackets[f"b{i}"]
-        tallies += [
-            F.count_if(value < b0).alias(f"lt0_{i}"),
-            F.count_if(value <= b0).alias(f"le0_{i}"),
-            F.count_if(value < b1).alias(f"lt1_{i}"),
-            F.count_if(value <= b1).alias(f"le1_{i}"),
-        ]
-    tally = df.agg(*tallies).first()
+        probes.setdefault((r[0], low, high), {})[r] = [max(0.0, at - 2 / ACCURACY), min(1.0, at + 2 / ACCURACY)]
+    sketched = df.agg(*[
+        F.percentile_approx(_inside(*window), [p for around in wanted.values() for p in around], ACCURACY).alias(f"w{i}")
+        for i, (window, wanted) in enumerate(probes.items())
+    ]).first()
+    brackets = {
+        r: sketched[f"w{i}"][2 * j : 2 * j + 2]
+        for i, wanted in enumerate(probes.values()) for j, r in enumerate(wanted)
+    }
+
+    # Neighbouring ranks mostly have the same borders; each border is counted once.
+    borders = list(dict.fromkeys(
+        (r[0], *open_ranks[r][:2], border) for r in ranks for border in brackets[r]))
+    tally = df.agg(*[
+        count.alias(f"{kind}_{i}") for i, (column, low, high, border) in enumerate(borders)
+        for kind, count in (("lt", F.count_if(_inside(column, low, high) < border)),
+                            ("le", F.count_if(_inside(column, low, high) <= border)))
+    ]).first()
+    place = {border: i for i, border in enumerate(borders)}
 
     still_open = {}
-    for i, r in enumerate(ranks):
+    for r in ranks:
         low, high, below, inside = open_ranks[r]
-        b0, b1 = brackets[f"b{i}"]
+        b0, b1 = brackets[r]
         at = r[1] - below
-        lt0, le0, lt1, le1 = (tally[f"{k}_{i}"] for k in ("lt0", "le0", "lt1", "le1"))
+        lt0, le0, lt1, le1 = (
+            tally[f"{kind}_{place[r[0], low, high, border]}"] for border in (b0, b1) for kind in ("lt", "le"))
         if at < lt0:
             still_open[r] = (low, b0, below, lt0)
         elif at < le0:
