@@ -109,3 +109,30 @@ def test_templates_that_rewrite_history_are_found(spark):
     rows = sorted(chat.format_turns(turns, last_only).collect(), key=lambda r: r["position"])
     assert [r["rewrites_history"] for r in rows] == [False, True]
     assert not rows[1]["in_loss"]
+
+
+def test_templates_may_look_back_over_long_conversations(spark):
+    def numbered(turns):
+        return "".join(f"<{i} {r}>{t}</{r}>" for i, (r, t) in enumerate(turns))
+
+    def drops_first(turns):
+        return "".join(f"<{r}>{t}</{r}>" for r, t in turns[len(turns) > 10:])
+
+    def recalls(turns):
+        return "<bos>" + "".join(f"<{r} after {turns[i - 20][1] if i >= 20 else None}>{t}</{r}>"
+                                 for i, (r, t) in enumerate(turns))
+
+    rows = [(c, i, ("user", "assistant")[i % 2], f"{c} says {i}") for c in (1, 2) for i in range(30)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1)
+
+    def formatted(template):
+        got = sorted(chat.format_turns(turns, template).collect(), key=lambda r: (r["conv_id"], r["position"]))
+        return [[r for r in got if r["conv_id"] == c] for c in (1, 2)]
+
+    for template in (numbered, recalls, chat.plain_template):
+        for c, own in zip((1, 2), formatted(template)):
+            assert "".join(r["piece"] for r in own) == template([r[2:] for r in rows if r[0] == c])
+            assert [r["piece"][r["text_start"]:r["text_end"]] for r in own] == [r[3] for r in rows if r[0] == c]
+            assert not any(r["rewrites_history"] for r in own)
+    for own in formatted(drops_first):
+        assert [r["position"] for r in own if r["rewrites_history"]] == [10]
