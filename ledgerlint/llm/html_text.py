@@ -1,11 +1,20 @@
 """Main text of web pages: streaming parser events, text-to-tag ratios per line, smoothing and a threshold.
 
 The standard library's event parser runs once over a page. Events build lines: a line ends at every block
-element and at ``<br>``. Subtrees whose element cannot be article text (scripts, menus, forms, ...) or whose
-class, id or role says so never reach a line. Each line has a ratio of its characters to its tags (links count
-twice). The ratios are smoothed with a Gaussian kernel and split by 2-means into content and the rest. The region
-is the innermost container that holds nearly all content characters; it never goes below an ``<article>``.
-Inside an article every line counts, so short paragraphs stay; in other regions lines of links are dropped.
+element and at ``<br>``. Subtrees whose element cannot be article text (scripts, menus, forms, ...) or is hidden
+never reach a line. Each line has a ratio of its characters to its tags (links count twice). The ratios are smoothed
+with a Gaussian kernel and split by 2-means into content and the rest. The region is the innermost container that
+holds nearly all content characters; it never goes below an ``<article>``. Inside an article every line counts, so
+short paragraphs stay; in other regions lines of links are dropped.
+
+A class, id or role that names another part (``ad``, ``sidebar``, ...) cuts nothing: it puts the lines of its element
+in doubt. A line in doubt has its ratio lowered to a quarter, is kept only where that still reaches the border of the
+other lines, and does not decide on the region. Names of ``<article>``, ``<main>``, ``<body>`` and ``<html>`` do not
+count, nor those of an element that holds more than half of the main part's text. The main part is the ``<article>``,
+or else the ``<main>``, with the most text, if it has a tenth of the page's; otherwise it is the page.
+
+End tags that HTML lets an author leave out (``p``, ``li``, ``dt``, ``dd``, ``td``, ``th``, ``tr``, ``option``, ...) are
+implied where the standard implies them.
 
 Pages are independent rows: no shuffle, and one page at a time in memory.
 """
@@ -35,7 +44,7 @@ NEVER = set(
     "head script style noscript template nav footer aside form button select textarea iframe svg object dialog "
     "fieldset menu canvas".split()
 )
-#: Names in class, id or role that mark parts which are not the article.
+#: Names in class, id or role that put a part in doubt.
 NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav "
     "navbar navigation breadcrumb breadcrumbs masthead topbar header footer cookie cookies consent gdpr notice "
@@ -43,11 +52,33 @@ NAMES = set(
     "commentlist reply replies discussion disqus respond share sharing social related recommended recommendations "
     "widget widgets toolbar pagination pager copyright contentinfo complementary form".split()
 )
-KEPT_WHOLE = {"html", "body", "main"}
+#: Elements whose own names do not count.
+NAMELESS = {"html", "body", "main", "article"}
+#: What the ratio of a line in doubt is multiplied by, and the share of the page's text that a main part has at least.
+DOUBT = 0.25
+MAIN_SHARE = 0.1
+
+#: For a start tag: the open elements it ends, and the elements beyond which it ends nothing.
+IMPLIED: dict[str, tuple[set[str], set[str]]] = {
+    "li": ({"li"}, CONTAINERS - {"div"}),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, CONTAINERS - {"div"})),
+    **dict.fromkeys(("td", "th"), ({"td", "th", "caption"}, {"table", "template", "tr"})),
+    "tr": ({"tr", "caption"}, {"table", "template"}),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), ({"tbody", "thead", "tfoot", "caption"}, {"table", "template"})),
+    **dict.fromkeys(("option", "optgroup"), ({"option"}, CONTAINERS)),
+}
+ENDS_P = set(
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split()
+)
+P_SCOPE = set("html table caption td th button object template".split())
+#: For an end tag: the open elements beyond which it ends nothing.
+ENDS = {"li": CONTAINERS - {"div"}, "dt": CONTAINERS - {"div"}, "dd": CONTAINERS - {"div"},
+        **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot", "caption"), {"table", "template"})}
 
 
 def _named(value: str) -> bool:
-    """Whether a class, id or role names a part that is not the article: ``ad``, ``ad-top``, ``site-footer``."""
+    """Whether a class, id or role names a part that may not be the article: ``ad``, ``ad-top``, ``site-footer``."""
     for name in value.lower().split():
         parts = [x for x in re.split(r"[^a-z]+", name) if x]
         if parts and parts[0] not in ("has", "with", "no") and (parts[0] in NAMES or parts[-1] in NAMES):
@@ -56,13 +87,18 @@ def _named(value: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines as [text, tags, characters in links, path of containers, block element]."""
+    """Collects lines as [text, tags, characters in links, container, block element, innermost name].
+
+    ``parents`` has the container and element around each container, ``names`` the name around each name.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # element, container number, excluded
+        self.open: list[tuple[str, int, bool, int]] = []  # element, container number, excluded, innermost name
+        self.counts: dict[str, int] = {}
         self.number = 0
         self.parents: dict[int, tuple[int, str]] = {0: (-1, "")}
+        self.names: list[int] = [-1]
         self.lines: list[list] = []
         self.block = ""
         self.links = 0
@@ -76,27 +112,45 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append([text, self.tags, self.linked, self.open[-1][1] if self.open else 0, self.block])
+            _, number, _, name = self.open[-1] if self.open else ("", 0, False, 0)
+            self.lines.append([text, self.tags, self.linked, number, self.block, name])
         self._new()
 
-    def _excluded(self, tag: str, attrs) -> bool:
+    def _excluded(self, tag: str, values: dict) -> bool:
         if tag in NEVER:
             return True
         if tag == "header":
-            return not any(t in ("article", "main") for t, _, _ in self.open)
-        values = dict(attrs)
+            return not any(self.counts.get(t) for t in ("article", "main"))
         if "hidden" in values or (values.get("aria-hidden") or "").lower() == "true":
             return True
-        if re.search(r"display\s*:\s*none", values.get("style") or "", re.I):
-            return True
-        if tag in KEPT_WHOLE:
-            return False
-        return any(_named(values.get(k) or "") for k in ("class", "id", "role"))
+        return bool(re.search(r"display\s*:\s*none", values.get("style") or "", re.I))
+
+    def _end(self, tags: set[str], beyond: set[str]) -> None:
+        """Ends the innermost open element of ``tags`` and all inside it, unless one of ``beyond`` lies between."""
+        if not any(self.counts.get(t) for t in tags):
+            return
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in tags:
+                outer = self.open[i - 1] if i else ("", 0, False, 0)
+                if self.open[-1][2]:
+                    self._new()
+                elif self.open[-1][3] != outer[3]:
+                    self.flush()
+                for t, *_ in self.open[i:]:
+                    self.counts[t] -= 1
+                del self.open[i:]
+                break
+            if self.open[i][0] in beyond:
+                break
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
             self.flush()
             self.block = tag
+            if tag in ENDS_P:
+                self._end({"p"}, P_SCOPE)
+            if tag in IMPLIED:
+                self._end(*IMPLIED[tag])
         else:
             self.tags += 1
         if tag == "a":
@@ -104,14 +158,23 @@ class _Lines(HTMLParser):
             self.tags += 1
         if tag in VOID:
             return
-        inside = bool(self.open) and self.open[-1][2]
-        excluded = inside or self._excluded(tag, attrs)
-        if tag in CONTAINERS or excluded and not inside:
-            if tag not in BLOCKS and excluded:
+        _, number, excluded, name = self.open[-1] if self.open else ("", 0, False, 0)
+        if not excluded:
+            values = dict(attrs)
+            excluded = self._excluded(tag, values)
+            named = not excluded and tag not in NAMELESS and any(
+                _named(values.get(k) or "") for k in ("class", "id", "role"))
+            if (excluded or named) and tag not in BLOCKS:
                 self.flush()
+            if named:
+                self.names.append(name)
+                name = len(self.names) - 1
+        if tag in CONTAINERS:
             self.number += 1
-            self.parents[self.number] = (self.open[-1][1] if self.open else 0, tag)
-            self.open.append((tag, self.number, excluded))
+            self.parents[self.number] = (number, tag)
+            number = self.number
+        self.open.append((tag, number, excluded, name))
+        self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -119,12 +182,7 @@ class _Lines(HTMLParser):
             self.block = ""
         if tag == "a" and self.links:
             self.links -= 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if self.open[i][2]:
-                    self._new()
-                del self.open[i:]
-                break
+        self._end({tag}, set() if tag in CONTAINERS else ENDS.get(tag, CONTAINERS))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -166,11 +224,42 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _doubtful(lines: list[list], paths: list[list[int]], parser: _Lines) -> list[bool]:
+    """Whether each line lies in an element whose name counts."""
+    if len(parser.names) == 1:
+        return [False] * len(lines)
+    weights = [max(0, len(line[0]) - line[2]) for line in lines]
+    held: dict[int, int] = {}
+    for own, weight in zip(paths, weights):
+        for number in own:
+            held[number] = held.get(number, 0) + weight
+    part = 0
+    for tag in ("article", "main"):
+        largest = max((n for n in held if parser.parents[n][1] == tag), key=lambda n: (held[n], -n), default=0)
+        if largest and held[largest] >= MAIN_SHARE * held[0]:
+            part = largest
+            break
+
+    chains: list[list[int]] = []
+    for line in lines:
+        chain, name = [], line[5]
+        while name > 0:
+            chain.append(name)
+            name = parser.names[name]
+        chains.append(chain)
+    within: dict[int, int] = {}
+    for own, chain, weight in zip(paths, chains, weights):
+        if part in own:
+            for name in chain:
+                within[name] = within.get(name, 0) + weight
+    return [any(within.get(name, 0) <= 0.5 * held[part] for name in chain) for chain in chains]
+
+
 def _menus(lines: list[list]) -> set[int]:
     """Numbers of the lines in runs of two or more list items that hold nothing but links."""
     found: set[int] = set()
     run: list[int] = []
-    for i, (text, _, linked, _, block) in enumerate([*lines, ["", 0, 0, 0, ""]]):
+    for i, (text, _, linked, _, block, _) in enumerate([*lines, ["", 0, 0, 0, "", 0]]):
         if block == "li" and linked >= 0.9 * len(text):
             run.append(i)
         else:
@@ -191,13 +280,8 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    menus = _menus(parser.lines)
-    lines = [x for i, x in enumerate(parser.lines) if i not in menus]
-    if not lines:
+    if not parser.lines:
         return ""
-    ratios = smoothed([len(text) / (1 + tags) for text, tags, *_ in lines])
-    border = threshold(ratios)
-    content = [r >= border for r in ratios]
 
     def path(number: int) -> list[int]:
         up = []
@@ -206,10 +290,28 @@ def main_text(html: str | None) -> str:
             number = parser.parents[number][0]
         return up[::-1]
 
-    paths = [path(x[3]) for x in lines]
+    paths = [path(x[3]) for x in parser.lines]
+    doubts = _doubtful(parser.lines, paths, parser)
+    menus: set[int] = set()
+    for doubt in (False, True):
+        numbers = [i for i, d in enumerate(doubts) if d == doubt]
+        menus.update(numbers[i] for i in _menus([parser.lines[i] for i in numbers]))
+    rest = [i for i in range(len(doubts)) if i not in menus]
+    lines, paths, doubts = ([x[i] for i in rest] for x in (parser.lines, paths, doubts))
+    if not lines:
+        return ""
+    plain = [len(text) / (1 + tags) for text, tags, *_ in lines]
+    ratios = [DOUBT * r for r in smoothed(plain)] if any(doubts) else []
+    sure = [i for i, d in enumerate(doubts) if not d]
+    if not sure:
+        sure, doubts = list(range(len(lines))), [False] * len(lines)
+    trusted = dict(zip(sure, smoothed([plain[i] for i in sure])))
+    border = threshold(list(trusted.values()))
+    content = [(ratios[i] if d else trusted[i]) >= border for i, d in enumerate(doubts)]
+
     weight: dict[int, int] = {}
-    for line, own, chosen in zip(lines, paths, content):
-        if chosen:
+    for line, own, chosen, doubt in zip(lines, paths, content, doubts):
+        if chosen and not doubt:
             for number in own:
                 weight[number] = weight.get(number, 0) + len(line[0])
     region, depth = 0, 0
@@ -222,9 +324,9 @@ def main_text(html: str | None) -> str:
         region, depth = best, depth + 1
     whole = parser.parents[region][1] in ("article", "main")
     kept = [
-        line[0] for line, own, chosen in zip(lines, paths, content)
-        if region in own and (whole or chosen or (line[2] < 0.5 * len(line[0]) and region not in (0,)
-                                                  and parser.parents[region][1] not in ("html", "body")))
+        line[0] for line, own, chosen, doubt in zip(lines, paths, content, doubts)
+        if region in own and (chosen or not doubt and (whole or (
+            line[2] < 0.5 * len(line[0]) and region not in (0,) and parser.parents[region][1] not in ("html", "body"))))
     ]
     return " ".join(kept)
 

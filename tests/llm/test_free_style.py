@@ -60,6 +60,36 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "A paragraph of the article with enough words to be content by any measure, number"
+STORY = "".join(f"<p>{LONG} {i}.</p>" for i in range(6))
+TOLD = " ".join(f"{LONG} {i}." for i in range(6))
+REMARKS = '<div id="comments">' + f"<p>{LONG} of remarks.</p>" * 8 + "</div>"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f'<body><article class="post category-notices tag-social tag-search">{STORY}</article>{REMARKS}</body>', TOLD),
+    (f'<body><div class="content-with-sidebar">{STORY}</div><div class="sidebar">Short</div></body>', TOLD),
+    (f'<body><div class="content-with-sidebar"><article>{STORY}</article></div>{REMARKS}</body>', TOLD),
+    (f'<main><div class="site-banner"><div class="content-with-sidebar">{STORY}</div></div></main>', TOLD),
+    (f'<article>{STORY}<div class="share">Share this</div><p class="notice">Note.</p></article>', TOLD),
+    (f'<article>{STORY}<p>a <span class="ad">buy <span>now</span> here</span> b</p></article>', TOLD + " a b"),
+    (f"<article>{STORY}<p class=notice>A<p>B<p>C</article>", TOLD + " B C"),
+    (f"<article>{STORY}<p hidden>A<p>B<div>C</div></article>", TOLD + " B C"),
+    (f"<article>{STORY}<ul><li class=ad>A<li>B<ul><li hidden>C<li>D</ul><li>E</ul></article>", TOLD + " B D E"),
+    (f"<article>{STORY}<dl><dt hidden>A<dd>B<dt>C<dd hidden>D</dl>E</article>", TOLD + " B C E"),
+    (f"<article>{STORY}<table><tr><td hidden>A<td>B<tr hidden><td>C<tr><th>D</table>E</article>", TOLD + " B D E"),
+    (f"<article>{STORY}<p hidden>A<table><tr><td><p>B</table>C</article>", TOLD + " B C"),
+])
+def test_names_are_evidence_and_end_tags_are_implied(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_a_name_cuts_no_line_that_outweighs_the_others():
+    short = "".join(f'<p>w{i} <a href="x">b</a> <i>c</i></p>' for i in range(40))
+    html = f'<article>{short}<p class="lead-notice">{LONG * 2}</p></article>'
+    assert html_text.main_text(html).endswith(LONG * 2)
+
+
 def test_long_pages_are_parsed_whole(spark):
     body = "".join(f"<p>word{i} and some more of them</p>" for i in range(20_000))
     pages = spark.createDataFrame([(1, "u", f"<article>{body}</article>", 5), (None, None, None, 6), (1, "u", "", 7)],
