@@ -8,7 +8,7 @@
    probability 5e-6 (a pair at 0.9 with 1e-15), and a link is only lost if no other path joins its ends.
 3. No bucket is expanded into pairs. A bucket has a pivot (its smallest hash of id and band, so pivots differ between
    bands) and every member is paired with it. The similarity of a pair is estimated from both sketches and set sizes
-   by maximum likelihood; pairs far below the threshold (``MARGIN``, more than four standard errors) are dropped. Of
+   by maximum likelihood; pairs far below the threshold (``MARGIN``, more than six standard errors) are dropped. Of
    the others the likeliest of each document are verified on the full sets.
 4. Components of the verified links are found by alternating star contraction. In buckets that still hold several
    components, members of the largest are held against the others, and the others against each other, in cells of
@@ -46,7 +46,7 @@ BANDS = 32
 REGISTERS = ROWS * BANDS
 BASE = 1.001
 TOP = 2**16 - 2
-MARGIN = 0.58
+MARGIN = 0.5
 LEAST_EQUAL = int(0.5 * REGISTERS)
 BLOCK = 1000
 BATCH_ROWS = 1000

@@ -1,5 +1,6 @@
 """Near-duplicates against a plain version."""
 
+import math
 import random
 
 import numpy as np
@@ -85,3 +86,23 @@ def test_registers_merge_and_estimate():
     assert abs(found - 0.6) < 0.17
     same = near_duplicates.estimate(merged[None], merged[None], np.array([3000.0]), np.array([3000.0]))[0]
     assert same > 0.97
+
+
+@pytest.mark.parametrize("ratio", [1.0, 0.9, 0.8])
+def test_the_estimate_misses_far_fewer_links_than_the_bands(ratio):
+    """Exact sums over the register counts of a pair at the threshold, registers taken as independent."""
+    m, j, b = near_duplicates.REGISTERS, 0.75, near_duplicates.BASE
+    v = ratio / (1 + ratio)
+    above, below = (-math.log1p(-x * (b - 1) / b) / math.log(b) for x in (1 - v - v * j, v - (1 - v) * j))
+    counts = [(x, y) for x in range(m + 1) for y in range(m + 1 - x)]
+    left = np.array([[2] * x + [1] * (m - x) for x, y in counts], np.uint16)
+    right = np.array([[1] * x + [2] * y + [1] * (m - x - y) for x, y in counts], np.uint16)
+    sizes = np.full(len(counts), 1000.0), np.full(len(counts), 1000.0 * ratio)
+    dropped = near_duplicates.estimate(left, right, *sizes) < near_duplicates.MARGIN
+    dropped |= (left == right).sum(1) < near_duplicates.LEAST_EQUAL
+    missed = sum(
+        math.exp(math.lgamma(m + 1) - math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(m - x - y + 1)
+                 + x * math.log(above) + y * math.log(below) + (m - x - y) * math.log(1 - above - below))
+        for (x, y), d in zip(counts, dropped) if d)
+    print(ratio, missed)
+    assert missed < 0.01 * (1 - j**near_duplicates.ROWS) ** near_duplicates.BANDS
