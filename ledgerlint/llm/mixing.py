@@ -15,7 +15,7 @@
 
 The draws invert the distribution function with a hash of (seed, node, source) as the uniform number, so reruns agree.
 The tree holds one row per node with one entry per source: metadata, not data. The table of targets is broadcast only
-up to ``BROADCAST_ROWS`` sources and shards together, else joined by source with salt.
+up to ``BROADCAST_ROWS`` sources times shards, else joined by source, where skew is left to Spark's adaptive handling.
 
 Defined cases: NULL text has size 0 and is never taken; a NULL source is a source of its own, ranked last; repeated
 rows are documents of their own; an empty table gives an empty mix. Only the named columns are read.
