@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlint.llm import chat, decontaminate, fingerprints, html_text, mixing, near_duplicates, pii, sql, token_counts, toxicity, url_templates
+from ledgerlint.llm import (
+    chat,
+    decontaminate,
+    fill_in_middle,
+    fingerprints,
+    html_text,
+    mixing,
+    near_duplicates,
+    pii,
+    quality_rules,
+    spelling,
+    sql,
+    token_counts,
+    toxicity,
+    url_templates,
+)
 from ledgerlint.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +97,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_rules", sql.QUALITY)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fill_in_middle", sql.FILL_IN_MIDDLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling_variants", sql.SPELLING)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
