@@ -42,6 +42,10 @@ SYMBOLS = 8
 BUCKET = 1000
 #: Characters whose neighbours are computed at once.
 SLICE = 20_000
+#: Low bits of a reduced word's number that hold a check sum of the word's letters; the others are joined on.
+CHECK_BITS = 16
+#: One byte per letter (by its low byte) for the check sums, scattered so that sums of letters do not add up by chance.
+_WEIGHTS = (np.arange(256, dtype=np.uint32) ** 3 * np.uint32(2654435761) >> np.uint32(20)) & np.uint32(0xFF)
 #: An odd number and its inverse: reduced words are polynomials in it, modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -71,19 +75,27 @@ def vocabulary(words: DataFrame, least: int = MIN_LENGTH, times: int = MIN_COUNT
     )
 
 
-def _symbols(text: str, symbols: int) -> np.ndarray:
-    """The symbols 1 to ``symbols`` of the characters of a text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _symbols(codes: np.ndarray, symbols: int) -> np.ndarray:
+    """The symbols 1 to ``symbols`` of code points."""
     return (((codes * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(symbols) + np.uint32(1)).astype(np.uint64)
 
 
 def neighbourhoods(words: list[str], symbols: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(own, owner, keys): the reduced words as numbers, and the neighbours that each word generates.
 
-    These are all deletions, each once (of equal symbols in a row the last goes), and all replacements by greater symbols.
+    These are all deletions, each once (of equal letters in a row the last goes), and all replacements by greater symbols.
+    The low ``CHECK_BITS`` of a number are no part of the reduced word: they sum up the letters themselves, in a neighbour
+    those but the letter edited, so that most words that meet by chance are told apart without their letters.
     """
     length = np.array([len(w) for w in words])
-    s = _symbols("".join(words), symbols)
+    codes = _codes("".join(words))
+    s = _symbols(codes, symbols)
+    letters = codes & np.uint32(0xFF)
+    weight = (_WEIGHTS[letters] << 8 | letters).astype(np.uint64)
     start = np.concatenate(([0], np.cumsum(length)))
     owner = np.repeat(np.arange(len(words)), length)
     place = np.arange(len(s)) - start[owner]
@@ -93,15 +105,42 @@ def neighbourhoods(words: list[str], symbols: int = SYMBOLS) -> tuple[np.ndarray
         total = np.concatenate(([np.uint64(0)], np.cumsum(term)))
         before = total[:-1] - total[start[owner]]
         own = total[start[1:]] - total[start[:-1]]
+        sums = _byte_sums(weight, start)
         last = np.ones(len(s), bool)
-        last[:-1] = (s[:-1] != s[1:]) | (owner[:-1] != owner[1:])
+        last[:-1] = (codes[:-1] != codes[1:]) | (owner[:-1] != owner[1:])
         gone = before + (own[owner] - before - term) * INVERSE
-        owners, keys = [owner[last]], [gone[last]]
+        rest = _byte_difference(sums[owner], weight)
+        owners, keys, checks = [owner[last]], [gone[last]], [rest[last]]
         for more in range(1, symbols):
             room = s + np.uint64(more) <= symbols
             owners.append(owner[room])
             keys.append((own[owner] + np.uint64(more) * power)[room])
-    return own, np.concatenate(owners), np.concatenate(keys)
+            checks.append(rest[room])
+    low = np.uint64((1 << CHECK_BITS) - 1)
+    return own & ~low | sums, np.concatenate(owners), np.concatenate(keys) & ~low | np.concatenate(checks)
+
+
+def _byte_sums(weights: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Per word the sums of both bytes of its letters' weights, each modulo 256."""
+    parts = []
+    for byte in (weights >> np.uint64(8), weights & np.uint64(0xFF)):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(byte)))
+        parts.append((total[start[1:]] - total[start[:-1]]) & np.uint64(0xFF))
+    return parts[0] << np.uint64(8) | parts[1]
+
+
+def _byte_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    high = ((a >> np.uint64(8)) - (b >> np.uint64(8))) & np.uint64(0xFF)
+    return high << np.uint64(8) | (a - b) & np.uint64(0xFF)
+
+
+def agrees(neighbour: Column, own: Column) -> Column:
+    """Whether the letters may be one edit apart, by the low bits: they leave nothing (a letter deleted) or one letter."""
+    low, high = (
+        (F.shiftrightunsigned(own, n).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(neighbour, n).bitwiseAND(F.lit(255)) + 256) % 256
+        for n in (0, 8))
+    weights = F.array(*[F.lit(int(w)) for w in _WEIGHTS])
+    return ((low == 0) & (high == 0)) | (F.get(weights, low.cast("int")) == high)
 
 
 def _slices(words: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -171,8 +210,10 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS, bucket: int = BUCKET) -
 
     ``symbols`` and ``bucket`` change the work, never the result.
     """
-    own = stored(_reduced(words, symbols), "reduced")
+    bare = F.shiftrightunsigned("key", CHECK_BITS)
+    own = stored(_reduced(words, symbols).withColumns({"key": bare, "check": F.col("key")}), "reduced")
     around = _around(words, symbols)
+    around = around.select("id", F.col("key").alias("neighbour"), bare.alias("key"))
     full = stored(own.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > bucket).select("key"), "full")
     crowded = not full.isEmpty()
     exact = None
@@ -181,10 +222,11 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS, bucket: int = BUCKET) -
             around.join(full, "key", "left_semi").select("id")).distinct()
         exact = _exact_pairs(words.join(inside, "id", "left_semi"))
         own = own.join(full, "key", "left_anti")
-    other = own.select("key", F.col("word").alias("other"), F.col("n").alias("n_other"))
+    other = own.select("key", F.col("word").alias("other"), F.col("n").alias("n_other"), "check")
     columns = _ordered(F.col("word"), F.col("n"), F.col("other"), F.col("n_other"))
-    same = own.join(other, "key").where(F.col("word") < F.col("other"))
-    met = around.join(other, "key").drop("key").join(words, "id")
+    same = own.drop("check").join(other, "key").where(F.col("word") < F.col("other"))
+    met = around.join(other, "key").where(agrees(F.col("neighbour"), F.col("check"))).select(
+        "id", "other", "n_other").join(words, "id")
     pairs = same.where(one_edit(F.col("word"), F.col("other"))).select(*columns).unionByName(
         met.where(one_edit(F.col("word"), F.col("other"))).select(*columns))
     # Two routes to one pair: equal numbers of different neighbours, or a word of a full bucket.
