@@ -20,6 +20,11 @@ from ledgerlint.settings import (
 KEY_SEPARATOR = "|"
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, whatever characters the name has (dots, blanks, backticks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def is_numeric(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.NumericType)
 
@@ -82,7 +87,7 @@ def loose_number(column: Column) -> Column:
 def parse_date(df: DataFrame, name: str, formats=DATE_FORMATS) -> Column:
     """A date or timestamp column as it is; text by the first format that fits, else NULL."""
     field = df.schema[name]
-    column = F.col(name)
+    column = named(name)
     if is_temporal(field):
         return column
     return parse_date_text(column.cast("string"), formats)
@@ -111,7 +116,7 @@ def parse_date_text(column: Column, formats=DATE_FORMATS, any_text: bool = False
 
 def printable(field: T.StructField) -> Column:
     """A column as text: JSON for nested values, the plain cast otherwise."""
-    column = F.col(f"`{field.name}`")
+    column = named(field.name)
     if isinstance(field.dataType, T.StringType):
         return column
     if is_complex(field):
@@ -121,7 +126,7 @@ def printable(field: T.StructField) -> Column:
 
 def key_text(*names: str) -> Column:
     """Readable row key; a missing part shows as an empty string."""
-    return F.concat_ws(KEY_SEPARATOR, *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
+    return F.concat_ws(KEY_SEPARATOR, *[F.coalesce(named(n).cast("string"), F.lit("")) for n in names])
 
 
 def _canonical(column: Column, data_type: T.DataType) -> Column:
@@ -155,12 +160,17 @@ def row_digest(df: DataFrame, names) -> Column:
 
     NaN counts as missing and -0.0 equals 0.0, as in the checks that use it; times differ by the microsecond.
     """
-    canonical = [_canonical(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names]
+    canonical = [_canonical(named(n), df.schema[n].dataType).alias(n) for n in names]
     text = F.to_json(F.struct(*canonical), {"ignoreNullFields": "false"})
     # Never NULL, and declared so: joins on the digest then need no null test of all the columns.
     return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
 
 
+def value_digest(column: Column) -> Column:
+    """32 bytes that stand for a text in joins; never NULL."""
+    return F.coalesce(F.unhex(F.sha2(column, 256)), F.lit(b""))
+
+
 def side_by_side(*rows: DataFrame) -> DataFrame:
     """One row with the columns of several one-row tables, by a union and an aggregate."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import row_digest
+from ledgerlint.functions.values import named, row_digest
 from ledgerlint.operators.findings import RowKey, member_findings
 from ledgerlint.operators.skew import join_to_groups
 from ledgerlint.settings import Thresholds
@@ -39,10 +39,9 @@ def duplicate_totals(df: DataFrame, columns=None) -> DataFrame:
 def duplicate_members(df: DataFrame, columns, key: RowKey) -> DataFrame:
     """All rows that share their values in the columns with another row, with the group size."""
     names = list(columns or df.columns)
-    rows = df.withColumn("digest", row_digest(df, names))
+    rows = df.select(*map(named, key.needed), row_digest(df, names).alias("digest"))
     return join_to_groups(
-        rows, duplicate_groups(df, names), ["digest"], "members",
-        [*key.columns, *([key.order] if key.order else [])],
+        rows, duplicate_groups(df, names), ["digest"], "members", key.needed,
     )
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import any_of, column_list, holds, key_text, severity_rank
+from ledgerlint.functions.values import any_of, column_list, holds, key_text, named, severity_rank
 from ledgerlint.settings import PREVIEW_ROWS
 
 FINDING_SCHEMA = (
@@ -34,11 +34,16 @@ class RowKey:
     columns: tuple
     order: str | None = None
 
+    @property
+    def needed(self) -> list[str]:
+        """The columns that name and order a row, each once."""
+        return list(dict.fromkeys([*self.columns, *([self.order] if self.order else [])]))
+
     def text(self) -> Column:
         return key_text(*self.columns)
 
     def position(self) -> Column:
-        return (F.col(self.order) if self.order else F.lit(None)).cast("bigint")
+        return (named(self.order) if self.order else F.lit(None)).cast("bigint")
 
 
 @dataclass(frozen=True)

@@ -1,18 +1,21 @@
 """Near-duplicate text: pairs of values that are almost, but not exactly, equal.
 
 The comparison works on distinct lower-cased values, so copies cost nothing: a pair of values that
-occur n and m times stands for n*m pairs of rows.
-
-No pair is missed and no value has a limit on its partners. Two similar values have similar lengths, and
-they share most of their characters, with multiplicity: at least t of them, where t follows from the two
-lengths. Values are dealt into blocks of bounded size by length; two blocks meet only if their lengths
-allow similar values. A cell (a pair of blocks) compares character counts as matrices and passes on the pairs
-that share enough characters; their score is computed in the same task, so no pair is ever shuffled.
-
-Cells are of equal size whatever the values look like, so templated columns ("Task 1", "Task 2", ...), whose
-keys of any kind would all be alike, make no hot partition. The counting itself grows with the square of
-the distinct values of similar length, at some ten million pairs per second and core; nothing that grows
-like that is stored or shuffled, unless the pairs themselves do.
+occur n and m times stands for n*m pairs of rows. No pair is missed and no value has a limit on its partners.
+
+Candidates come from a segment index. The shorter value of a pair is cut into one more piece than the edits its longest
+partner may need, so one piece at least is unchanged; and there is one whose number bounds the edits before it, and with them
+how far it has moved. The longer value therefore looks up only the pieces that can be meant: per possible length of a
+partner, piece number and shift, the characters at that place. Pairs that meet are scored, first by a bounded edit
+distance in the JVM.
+
+Some pieces say nothing: those of a template ("https://", "Task ") are in most values, and a piece that joins more than
+``HOT_PAIRS`` pairs is not joined. Values with such a piece, and values above ``LONGEST`` characters, whose pieces would be
+too many, meet in cells instead. They are dealt into blocks of bounded size, in rows and in characters, by length; two blocks
+meet only if their lengths allow similar values. A cell (a pair of blocks) compares character counts as matrices: two similar
+values share, with multiplicity, at least t characters, where t follows from the two lengths. Cells are of equal size
+whatever the values look like, and nothing is shuffled there but the values. Their counting grows with the square of the
+values concerned, at some ten million pairs per second and core.
 """
 
 from __future__ import annotations
@@ -24,9 +27,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.functions.similarity import indel_score, pairs_sharing_characters
+from ledgerlint.functions.values import named, value_digest
 from ledgerlint.operators.findings import RowKey, member_findings
 from ledgerlint.operators.skew import join_to_groups
-
+from ledgerlint.session import stored
+
+#: Values above this length, and those that can be their partners, are not cut into pieces.
+LONGEST = 48
+#: A piece that would join more pairs than this is left to the cells.
+HOT_PAIRS = 100_000
+#: Up to so many values, a few cells are cheaper than an index. Results do not depend on it.
+FEW_VALUES = 2000
+#: The most characters in one block of a cell.
+BLOCK_CHARACTERS = 2_000_000
 BAND_WIDTH = 1.1
 BLOCK = 1000
 CELL = ("low_band", "low_block", "high_band", "high_block")
@@ -43,6 +56,10 @@ class Indel:
     def ratio(self) -> float:
         return (self.at_least - 0.5) / 100
 
+    def edits(self, shorter: Column, longer: Column) -> Column:
+        """The most insertions and deletions between similar values of these lengths."""
+        return F.floor((shorter + longer) * F.lit(1 - self.ratio) + TINY).cast("int")
+
     def partner_lengths(self, length: Column) -> tuple[Column, Column]:
         share = self.ratio / (2 - self.ratio)
         return F.ceil(length * F.lit(share) - TINY), F.floor(length / F.lit(share) + TINY)
@@ -68,6 +85,10 @@ class Edits:
     def limit(self, length: Column) -> Column:
         return F.floor(length * F.lit(self.share) + TINY).cast("int")
 
+    def edits(self, shorter: Column, longer: Column) -> Column:
+        """The most edits between similar values of these lengths."""
+        return self.limit(longer)
+
     def partner_lengths(self, length: Column) -> tuple[Column, Column]:
         return F.ceil(length * F.lit(1 - self.share) - TINY), F.floor(length / F.lit(1 - self.share) + TINY)
 
@@ -86,13 +107,66 @@ class Edits:
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """(value, n_rows): lower-cased non-null values with their frequency."""
     return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(F.lower(F.col(column).cast("string")).alias("value"))
+        df.where(named(column).isNotNull())
+        .groupBy(F.lower(named(column).cast("string")).alias("value"))
         .agg(F.count("*").alias("n_rows"))
         .where(F.col("value") != "")
     )
 
 
+def lowered_counts(counts: DataFrame, column: str) -> DataFrame:
+    """The same from value counts of several columns."""
+    own = counts.where((F.col("column") == column) & F.col("value").isNotNull())
+    return own.groupBy(F.lower("value").alias("value")).agg(F.sum("n").alias("n_rows")).where(F.col("value") != "")
+
+
+def _int(column: Column) -> Column:
+    return column.cast("int")
+
+
+def _places(piece: Column, pieces: Column, length: Column) -> tuple[Column, Column]:
+    """(start, length) of a piece, from 0, of a value of this length cut into equal pieces."""
+    start = _int(F.floor(piece * length / pieces))
+    return start, _int(F.floor((piece + 1) * length / pieces)) - start
+
+
+def _own_pieces(values: DataFrame, metric) -> DataFrame:
+    """Each value's pieces as ``key``, made of the value's length, the number of the piece and its characters."""
+    length, piece = F.col("length"), F.col("piece")
+    most = metric.edits(length, _int(F.greatest(metric.partner_lengths(length)[1], length)))
+    cut = values.select("*", (most + 1).alias("pieces")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    start, size = _places(piece, F.col("pieces"), length)
+    return cut.select(F.xxhash64(length, piece, F.substring("value", start + 1, size)).alias("key"), *values.columns)
+
+
+def _looked_up(values: DataFrame, metric) -> DataFrame:
+    """All pieces, as ``key``, that a value of no more characters may have left unchanged in this one.
+
+    A piece may come up more than once, where the same characters stand at several places.
+    """
+    carried = values.columns
+    low = _int(F.greatest(metric.partner_lengths(F.col("length"))[0], F.lit(1)))
+    partner, piece, longer = F.col("partner"), F.col("piece"), F.col("length")
+    edits = metric.edits(partner, longer)
+    most = metric.edits(partner, _int(F.greatest(metric.partner_lengths(partner)[1], partner)))
+    met = values.select("*", F.explode(F.sequence(F.least(low, longer), longer)).alias("partner"))
+    met = met.select("*", (most + 1).alias("pieces"), edits.alias("edits"), (longer - partner).alias("more"))
+    met = met.where("more <= edits").select("*", F.explode(F.sequence(F.lit(0), F.least("edits", F.col("pieces") - 1))).alias("piece"))
+    # Of the first pieces, one is unchanged with as many edits before it as its number, so at most edits - number after it;
+    # and in all there are (edits - more) / 2 deletions and (edits + more) / 2 insertions at most.
+    edits, more = F.col("edits"), F.col("more")
+    back = F.greatest(-piece, more - (edits - piece), -_int(F.floor((edits - more) / 2)))
+    on = F.least(piece, more + (edits - piece), _int(F.floor((edits + more) / 2)))
+    start, size = _places(piece, F.col("pieces"), partner)
+    met = met.where(back <= on).select(
+        *met.columns, size.alias("size"), F.greatest(start + back, F.lit(0)).alias("first"),
+        F.least(start + on, longer - size).alias("last"))
+    met = met.where("first <= last").select("*", F.explode(F.sequence("first", "last")).alias("at"))
+    found = F.substring("value", F.col("at") + 1, F.col("size"))
+    return met.select(F.xxhash64(partner, piece, found).alias("key"), *carried)
+
+
 def band(length: Column) -> Column:
     """Number of the length band; bands have a constant ratio, at every length."""
     return F.floor(F.log(length.cast("double")) / F.lit(math.log(BAND_WIDTH))).cast("int")
@@ -104,8 +178,10 @@ def _cells(values: DataFrame, metric, block: int) -> DataFrame:
     low, high = metric.partner_lengths(length)
     banded = values.select("value", "n_rows", band(length).alias("own"), F.sequence(
         band(F.greatest(low, F.lit(1))), band(F.greatest(high, F.lit(1)))).alias("span"))
-    # One row per band, a few hundred at any size of the table: bands grow by a tenth.
-    sizes = banded.groupBy("own").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    # One row per band, a few hundred at any size of the table: bands grow by a tenth. Blocks of long values hold fewer.
+    longest = F.pow(F.lit(BAND_WIDTH), F.col("own") + 1)
+    held = F.greatest(F.least(F.lit(float(block)), F.lit(BLOCK_CHARACTERS) / longest), F.lit(1.0))
+    sizes = banded.groupBy("own").agg(F.count("*").alias("n")).select("own", F.ceil(F.col("n") / held).cast("int").alias("blocks"))
     own = F.broadcast(sizes.select("own", "blocks"))
     other = F.broadcast(sizes.select(F.col("own").alias("partner"), F.col("blocks").alias("partner_blocks")))
     dealt = banded.join(own, "own").withColumn(
@@ -121,19 +197,79 @@ def _cells(values: DataFrame, metric, block: int) -> DataFrame:
              "side", "value", "n_rows")
 
 
-def near_pairs(values: DataFrame, metric=Indel(), block: int = BLOCK) -> DataFrame:
-    """(value_a, value_b, score, n_a, n_b) with value_a < value_b, over distinct values.
-
-    ``block`` is the number of values on one side of a cell; the result does not depend on it.
-    """
+def _met_in_cells(values: DataFrame, metric, block: int) -> DataFrame:
+    """(value_a, value_b, n_a, n_b): pairs of values that share enough characters."""
     # Cells take far more time than their bytes suggest: keep all partitions.
     partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = _cells(values, metric, block).repartition(partitions, *CELL)
-    pairs = cells.groupBy(*CELL).applyInPandas(
+    return cells.groupBy(*CELL).applyInPandas(
         pairs_sharing_characters(*metric.shares), "value_a string, value_b string, n_a bigint, n_b bigint")
+
+
+def _hot_pieces(short: DataFrame, metric, hot: int) -> DataFrame:
+    """Keys that join more than ``hot`` pairs; stored."""
+    owners = _own_pieces(short, metric).groupBy("key").agg(F.count("*").alias("n_own"))
+    seekers = _looked_up(short, metric).groupBy("key").agg(F.count("*").alias("n_looked_up"))
+    return stored(owners.join(seekers, "key").where(F.col("n_own") * F.col("n_looked_up") > hot).select("key"), "pieces")
+
+
+def _met_in_index(short: DataFrame, metric, hot: DataFrame | None) -> DataFrame:
+    """(value_a, value_b, n_a, n_b): pairs of values with a piece in common, but for pairs of crowded values; a pair may
+    come up several times."""
+    owners, seekers = _own_pieces(short, metric), _looked_up(short, metric)
+    if hot is not None:
+        owners = owners.join(hot, "key", "left_anti")
+    a, b = owners.alias("a"), seekers.alias("b")
+    value_a, value_b = F.col("a.value"), F.col("b.value")
+    longer = (F.col("a.length") < F.col("b.length")) | ((F.col("a.length") == F.col("b.length")) & (value_a < value_b))
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where(longer & ~(F.col("a.crowded") & F.col("b.crowded")))
+    first = value_a < value_b
+    return met.select(
+        F.when(first, value_a).otherwise(value_b).alias("value_a"), F.when(first, value_b).otherwise(value_a).alias("value_b"),
+        F.when(first, F.col("a.n_rows")).otherwise(F.col("b.n_rows")).alias("n_a"),
+        F.when(first, F.col("b.n_rows")).otherwise(F.col("a.n_rows")).alias("n_b"))
+
+
+def _crowded(values: DataFrame, metric, longest: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """The values with ``crowded``: whether they meet each other in cells; and the pieces that are not joined."""
+    long = metric.partner_lengths(F.col("length"))[1] > longest
+    short = values.where(F.col("length") <= longest)
+    pieces = _hot_pieces(short, metric, hot)
+    if pieces.isEmpty():
+        return values.withColumn("crowded", long), None
+    with_hot = _own_pieces(short, metric).join(pieces, "key", "left_semi").select("value").unionByName(
+        _looked_up(short, metric).join(pieces, "key", "left_semi").select("value")).distinct()
+    flagged = values.join(with_hot.withColumn("hot", F.lit(True)), "value", "left")
+    return stored(flagged.select(*values.columns, (long | F.col("hot").isNotNull()).alias("crowded")), "values"), pieces
+
+
+def candidate_pairs(
+    values: DataFrame, metric=Indel(), block: int = BLOCK, longest: int = LONGEST, hot: int = HOT_PAIRS, few: int = FEW_VALUES,
+) -> DataFrame:
+    """(value_a, value_b, n_a, n_b): pairs among which all similar ones are, each once. The values are stored first.
+
+    ``block``, ``longest``, ``hot`` and ``few`` change the work and these pairs, never which of them are similar.
+    """
+    values = stored(values.select("value", "n_rows", F.char_length("value").alias("length")), "values")
+    if values.count() <= few:
+        return _met_in_cells(values, metric, block)
+    values, pieces = _crowded(values, metric, longest, hot)
+    in_index = _met_in_index(values.where(F.col("length") <= longest), metric, pieces)
+    value_a, value_b = F.col("value_a"), F.col("value_b")
+    sizes = F.char_length(value_a), F.char_length(value_b)
+    close = F.call_function("levenshtein", value_a, value_b, metric.edits(F.least(*sizes), F.greatest(*sizes))) >= 0
+    return in_index.where(close).dropDuplicates(["value_a", "value_b"]).unionByName(
+        _met_in_cells(values.where("crowded"), metric, block))
+
+
+def near_pairs(values: DataFrame, metric=Indel(), **work) -> DataFrame:
+    """(value_a, value_b, score, n_a, n_b) with value_a < value_b, over distinct values.
+
+    ``work`` is passed on to candidate_pairs; the result does not depend on it.
+    """
     value_a, value_b = F.col("value_a"), F.col("value_b")
     return (
-        pairs.withColumn("score", metric.score(value_a, value_b))
+        candidate_pairs(values, metric, **work).withColumn("score", metric.score(value_a, value_b))
         .where(metric.accepts(F.col("score"), value_a, value_b))
         .select("value_a", "value_b", "score", "n_a", "n_b")
     )
@@ -157,13 +293,22 @@ def near_duplicate_totals(df: DataFrame, column: str, metric=Indel()) -> DataFra
     )
 
 
-def near_duplicates(df: DataFrame, column: str, key: RowKey, metric=Indel()) -> DataFrame:
-    """Findings for every row whose value has a near-duplicate in another row."""
-    near = near_values(near_pairs(distinct_values(df, column), metric)).withColumnRenamed("value", "__value")
-    rows = df.withColumn("__value", F.lower(F.col(column).cast("string")))
-    members = join_to_groups(
-        rows, near, ["__value"], "n_rows", [*key.columns, *([key.order] if key.order else [])]
-    )
+def near_duplicates(df: DataFrame, column: str, key: RowKey, metric=Indel(), counts: DataFrame | None = None) -> DataFrame:
+    """Findings for every row whose value has a near-duplicate in another row.
+
+    ``metric`` compares values (Indel, Edits) or documents (documents.Shingles); ``counts`` are value counts
+    (column, value, n) if an earlier pass has them. Rows meet their value by its digest, so
+    long texts cross the network once, while they are made distinct.
+    """
+    if hasattr(metric, "near_values"):
+        near = metric.near_values(df, column)
+    else:
+        values = distinct_values(df, column) if counts is None else lowered_counts(counts, column)
+        near = near_values(near_pairs(values, metric)).select(
+            value_digest(F.col("value")).alias("__value"), F.col("partners").alias("__partners"),
+            F.col("n_rows").alias("__n_rows"))
+    text = F.lower(named(column).cast("string"))
+    rows = df.where(named(column).isNotNull()).select(*map(named, key.needed), value_digest(text).alias("__value"))
     return member_findings(
-        members, key, "D3", "duplicate_hunter", "near_duplicates", [column], detail=F.col("partners")
-    )
+        join_to_groups(rows, near, ["__value"], "__n_rows", key.needed),
+        key, "D3", "duplicate_hunter", "near_duplicates", [column], detail=F.col("__partners"))

@@ -127,3 +127,31 @@ def test_long_texts_with_few_changes(spark):
 def test_nothing_in_nothing_out(spark):
     assert fuzzy.near_pairs(frame(spark, [])).count() == 0
     assert fuzzy.near_pairs(frame(spark, ["one"])).count() == 0
+
+
+@pytest.mark.parametrize("case", CASES)
+@pytest.mark.parametrize("hot", [100_000, 20])
+def test_the_index_of_pieces_misses_no_pair(spark, case, hot):
+    values = CASES[case]
+    want = {frozenset((a, b)) for a, b in itertools.combinations(values, 2) if 88 <= indel_score(a, b) < 100}
+    rows = fuzzy.near_pairs(frame(spark, values), few=0, hot=hot).collect()
+    assert len(rows) == len(want) and {frozenset((r["value_a"], r["value_b"])) for r in rows} == want
+    limits = {frozenset((a, b)) for a, b in itertools.combinations(values, 2) if edits(a, b) <= int(0.12 * max(len(a), len(b)) + 1e-9)}
+    rows = fuzzy.near_pairs(frame(spark, values), fuzzy.Edits(), few=0, hot=hot).collect()
+    assert len(rows) == len(limits) and {frozenset((r["value_a"], r["value_b"])) for r in rows} == limits
+
+
+def test_pieces_of_words_select_few_pairs(spark):
+    rng = random.Random(9)
+    values = sorted({"".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(9, 13))) for _ in range(900)})
+    met = fuzzy.candidate_pairs(frame(spark, values), few=0).count()
+    assert met < 0.01 * len(values) * (len(values) - 1) / 2
+
+
+def test_long_values_meet_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "BLOCK_CHARACTERS", 2000)
+    rng = random.Random(8)
+    long = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(6)]
+    values = long + [v[:450] + "x" + v[450:] for v in long]
+    rows = fuzzy.near_pairs(frame(spark, values), few=0).collect()
+    assert {frozenset((r["value_a"], r["value_b"])) for r in rows} == {frozenset((v, v[:450] + "x" + v[450:])) for v in long}
