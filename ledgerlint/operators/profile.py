@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
+import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import numeric_columns, parse_date_text, printable, text_columns
+from ledgerlint.functions.values import is_numeric, is_temporal, named, numeric_columns, parse_date_text, printable, text_columns
 from ledgerlint.settings import DATE_FORMATS
 
 
@@ -47,7 +49,7 @@ def approximate_facts(df: DataFrame, columns) -> DataFrame:
     nothing but one small row per task crosses the network."""
     agg, rows = [F.count("*").alias("n")], []
     for i, name in enumerate(columns):
-        agg += [F.count(name).alias(f"c_{i}"), F.approx_count_distinct(name).alias(f"d_{i}")]
+        agg += [F.count(named(name)).alias(f"c_{i}"), F.approx_count_distinct(named(name)).alias(f"d_{i}")]
         rows.append(F.struct(
             F.lit(name).alias("column"), F.col("n").alias("n_rows"),
             (F.col("n") - F.col(f"c_{i}")).alias("null_count"), F.col(f"d_{i}").alias("distinct_count"),
@@ -75,20 +77,47 @@ def column_stats(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
     )
 
 
+#: Ranks at which a column's place is sketched, and the accuracy of the sketch.
+SAMPLE_SHARES = (0.0005, 0.005, 0.05, 0.5, 1.0)
+SAMPLE_ACCURACY = 10_000
+
+
 def column_samples(df: DataFrame, order, columns=None, n: int = 5) -> DataFrame:
     """(column, position, value): the first n non-null values of every column in row order.
 
-    Each column is a top-n that keeps n rows per task and reads only that column and the order.
+    Two passes whatever the number of columns. One aggregate sketches where the values of each column lie in the
+    row order; the second pass looks only at places before a border that at least n values lie before, as
+    (column, place, value) rows of which each task keeps n per column ahead of the shuffle. Where the first order
+    column is no number and no time, all places pass the border.
     """
     order = [order] if isinstance(order, str) else list(order)
-    parts = []
-    for name in columns or df.columns:
-        value = printable(df.schema[name]).alias("value")
-        place = F.struct(*[F.col(c) for c in order]).alias("place")
-        first = df.where(F.col(name).isNotNull()).select(place, value).orderBy("place", "value").limit(n)
-        ranked = first.agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("kept"))
-        parts.append(ranked.select(F.lit(name).alias("column"), F.posexplode("kept").alias("position", "kept")))
-    return reduce(DataFrame.unionByName, parts).select("column", "position", F.col("kept.value").alias("value"))
+    names = list(columns or df.columns)
+    lead = df.schema[order[0]]
+    borders = _sample_borders(df, order[0], names, n) if is_numeric(lead) or is_temporal(lead) else [None] * len(names)
+    place = F.struct(*[named(c).alias(f"p{i}") for i, c in enumerate(order)]).alias("place")
+    cells = F.array(*[
+        F.when(named(c).isNotNull() & (F.lit(True) if border is None else named(order[0]).isNull() | (named(order[0]) <= border)),
+               F.struct(F.lit(i).alias("c"), printable(df.schema[c]).alias("value")))
+        for i, (c, border) in enumerate(zip(names, borders))])
+    values = df.select(place, F.inline(F.array_compact(cells)))
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("place", "value"))
+    known = F.array(*[F.lit(c) for c in names])
+    return values.withColumn("rank", rank).where(F.col("rank") <= n).select(
+        known[F.col("c")].alias("column"), (F.col("rank") - 1).cast("int").alias("position"), "value")
+
+
+def _sample_borders(df: DataFrame, order: str, names, n: int) -> list[Column | None]:
+    """Per column a place with at least n of its values at or before it; None for the end of the table."""
+    place = {c: F.when(named(c).isNotNull(), named(order)) for c in names}
+    found = df.agg(*[x for i, c in enumerate(names) for x in (
+        F.count(place[c]).alias(f"n{i}"),
+        F.percentile_approx(place[c], list(SAMPLE_SHARES), SAMPLE_ACCURACY).alias(f"p{i}"))]).first()
+    borders = []
+    for i, _ in enumerate(names):
+        total, places = found[f"n{i}"], found[f"p{i}"]
+        sure = [p for p, share in zip(places or (), SAMPLE_SHARES) if (share - 2 / SAMPLE_ACCURACY) * total >= n]
+        borders.append(F.lit(sure[0]) if sure else None)
+    return borders
 
 
 NUMERIC_STATS = ("count", "min", "max", "mean", "std", "std_pop", "skewness")
@@ -97,7 +126,7 @@ NUMERIC_STATS = ("count", "min", "max", "mean", "std", "std_pop", "skewness")
 def numeric_aggregates(names) -> list:
     parts = []
     for i, name in enumerate(names):
-        value = F.col(name).cast("double")
+        value = named(name).cast("double")
         parts += [
             F.count(value).alias(f"count_{i}"),
             F.min(value).alias(f"min_{i}"),
@@ -131,7 +160,7 @@ def date_column_ratios(df: DataFrame, formats=DATE_FORMATS, columns=None) -> Dat
     names = list(columns or text_columns(df))
     agg = []
     for i, name in enumerate(names):
-        agg += [F.count(name).alias(f"n_{i}"), F.count(parse_date_text(F.col(name), formats, any_text=True)).alias(f"d_{i}")]
+        agg += [F.count(named(name)).alias(f"n_{i}"), F.count(parse_date_text(named(name), formats, any_text=True)).alias(f"d_{i}")]
     rows = [
         F.struct(
             F.lit(name).alias("column"),
@@ -154,29 +183,90 @@ def detect_date_columns(df: DataFrame, formats=DATE_FORMATS, columns=None, min_r
 def value_distribution(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The n most frequent values; equal counts are ordered by value."""
     return (
-        value_counts(df.where(F.col(column).isNotNull()), [column])
+        value_counts(df.where(named(column).isNotNull()), [column])
         .orderBy(F.desc("n"), "value")
         .limit(n)
     )
 
 
 def correlations(df: DataFrame, columns=None, pairs=None) -> DataFrame:
-    """Pearson correlation of column pairs over rows where both are present, with a strength label.
+    """Pearson correlation of column pairs (all, or ``pairs``) over rows where both are present, with a strength label.
 
-    All pairs come from one aggregate; NULL where a column does not vary.
+    All pairs come from one block of co-moments; NULL where a column does not vary.
     """
-    pairs = list(pairs or combinations(columns or numeric_columns(df), 2))
-    agg = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        agg.append(F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)).alias(f"r_{i}"))
-    rows = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r_{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
-    ]
+    if pairs is None:
+        return _interpreted(correlation_matrix(df, columns))
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    wanted = F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(min(i, j)).alias("i"), F.lit(max(i, j)).alias("j"))
+        for a, b in pairs for i, j in [(names.index(a), names.index(b))]])
+    own = F.filter(wanted, lambda p: (p["i"] == F.col("i")) & (p["j"] == F.col("j")))
+    found = _correlated(co_moments(df, names)).select(F.col("correlation"), F.inline(own))
+    return _interpreted(found.select(F.col("a").alias("column_a"), F.col("b").alias("column_b"), "correlation"))
+
+
+def _interpreted(found: DataFrame) -> DataFrame:
     r = F.col("correlation")
-    found = df.agg(*agg).select(F.inline(F.array(*rows)))
     return found.withColumn("correlation", F.when(~F.isnan(r), r)).withColumn(
         "interpretation",
         F.when(F.abs(r) > 0.7, "Strong").when(F.abs(r) > 0.3, "Moderate").otherwise("Weak"),
     )
+
+
+def co_moments(df: DataFrame, columns=None) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy): for every pair i < j of columns the sums over the rows where both are present.
+
+    A task adds up one block of arrays, columns by columns in size, by matrix products over Arrow batches, and sends it
+    as one row per pair; the blocks of all tasks add up. States stored for parts of a table add up as well, if they were
+    taken with the same ``columns``. Values are taken relative to the mean of the table's first rows, which
+    changes no correlation but keeps the sums of columns with large means exact.
+    """
+    names = list(columns or numeric_columns(df))
+    values = df.select(*[named(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    head = values.limit(1000).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in values.columns]).first()
+    shift = np.array([x if x is not None and math.isfinite(x) else 0.0 for x in head])
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(shift)
+        total = np.zeros((5, size, size))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - shift
+            # Arrow shows a NULL as NaN here; NaN itself counts as missing, as everywhere in the profile.
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, x.T @ x]
+        i, j = np.triu_indices(size, 1)
+        n, sx, sy, sxx, sxy = (part[i, j] for part in total)
+        syy = total[3].T[i, j]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a) for a in (i.astype(np.int32), j.astype(np.int32), n, sx, sy, sxx, syy, sxy)], names=MOMENTS)
+
+    schema = "i int, j int, " + ", ".join(f"{c} double" for c in MOMENTS[2:])
+    return values.mapInArrow(block, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in MOMENTS[2:]])
+
+
+MOMENTS = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def _correlated(moments: DataFrame) -> DataFrame:
+    """Co-moments with ``correlation``."""
+    def centred(square, a, b):
+        return F.col(square) - F.try_divide(F.col(a) * F.col(b), F.col("n"))
+
+    # What rounding leaves of the variance of a constant column counts as none.
+    def varies(square, a):
+        return centred(square, a, a) > F.col(square) * 1e-14
+
+    r = F.try_divide(centred("sxy", "sx", "sy"), F.sqrt(centred("sxx", "sx", "sx") * centred("syy", "sy", "sy")))
+    sure = (F.col("n") > 1) & varies("sxx", "sx") & varies("syy", "sy")
+    return moments.withColumn("correlation", F.when(sure, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))))
+
+
+def correlation_matrix(df: DataFrame, columns=None) -> DataFrame:
+    """(column_a, column_b, correlation) of all pairs of columns, from one pass; missing values pairwise."""
+    names = list(columns or numeric_columns(df))
+    known = F.array(*[F.lit(c) for c in names])
+    return _correlated(co_moments(df, names)).select(
+        known[F.col("i")].alias("column_a"), known[F.col("j")].alias("column_b"), "correlation")

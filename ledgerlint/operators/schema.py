@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import is_numeric, is_temporal, parse_date, parse_date_text, parse_number, printable
+from ledgerlint.functions.values import is_numeric, is_temporal, named, parse_date, parse_date_text, parse_number, printable, row_digest
 from ledgerlint.operators.profile import approximate_facts, value_counts
 from ledgerlint.settings import DATE_FORMATS, ColumnRoles, name_has
 
@@ -57,7 +60,7 @@ def column_evidence(df: DataFrame, columns=None, formats=DATE_FORMATS, exact: bo
         for i, field in enumerate(fields):
             text = printable(field)
             sums = _evidence(text, parse_number(text), F.lit(is_temporal(field)), formats, F.count_if)
-            sums["n_distinct"] = F.approx_count_distinct(field.name)
+            sums["n_distinct"] = F.approx_count_distinct(named(field.name))
             agg += [total.alias(f"{name}_{i}") for name, total in sums.items()]
             rows.append(F.struct(
                 F.lit(field.name).alias("column"), F.col("n").alias("n_rows"),
@@ -174,6 +177,50 @@ def key_candidates(df: DataFrame, columns=None) -> DataFrame:
     )
 
 
+def minimal_keys(df: DataFrame, columns=None, most: int = 3) -> DataFrame:
+    """(columns, n_rows): all minimal sets of up to ``most`` columns that name rows: no missing part, no two rows alike.
+
+    Level by level: a set is looked at only if no smaller set inside it is a key, and if its columns can tell
+    that many rows apart at all (the product of their distinct counts). Sketches of the sets that are left, all of a level in
+    one aggregate, rule out those that are far from unique, with ten standard errors to spare; what remains of the level is
+    verified exactly in one shuffle of digests. Only counts per set come to the driver.
+    """
+    names = list(columns or df.columns)
+    facts = {r["column"]: r for r in approximate_facts(df, names).collect()}
+    n_rows = max((r["n_rows"] for r in facts.values()), default=0)
+    whole = [c for c in names if facts[c]["null_count"] == 0]
+    found: list[tuple[str, ...]] = []
+    for size in range(1, most + 1):
+        level = [
+            s for s in combinations(whole, size)
+            if not any(set(k) <= set(s) for k in found)
+            and math.prod(max(facts[c]["distinct_count"], 1) * (1 + SKETCH_SLACK) for c in s) >= n_rows
+        ]
+        for at in range(0, len(level), SETS_AT_ONCE):
+            some = level[at : at + SETS_AT_ONCE]
+            sketch = df.agg(*[
+                F.approx_count_distinct(row_digest(df, s), SKETCH_ERROR).alias(f"s{i}") for i, s in enumerate(some)]).first()
+            found += _verified(df, [s for i, s in enumerate(some) if sketch[f"s{i}"] >= n_rows * (1 - SKETCH_SLACK)], n_rows)
+    return df.sparkSession.createDataFrame([(list(k), n_rows) for k in found], "columns array<string>, n_rows bigint")
+
+
+#: Standard error of the sketches of column sets, and what is allowed for it.
+SKETCH_ERROR = 0.02
+SKETCH_SLACK = 0.2
+#: Column sets that one pass looks at.
+SETS_AT_ONCE = 64
+
+
+def _verified(df: DataFrame, sets: list, n_rows: int) -> list:
+    """The sets of which no two rows are alike."""
+    if not sets or not n_rows:
+        return []
+    digests = F.array(*[F.struct(F.lit(i).alias("s"), row_digest(df, s).alias("digest")) for i, s in enumerate(sets)])
+    repeated = df.select(F.inline(digests)).groupBy("s", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    bad = {r["s"] for r in repeated.select("s").distinct().collect()}  # at most one row per set
+    return [s for i, s in enumerate(sets) if i not in bad]
+
+
 def infer_roles(df: DataFrame, formats=DATE_FORMATS, by_name: bool = False, key=None) -> ColumnRoles:
     """Column roles for an audit. Reads back one small row per column; distinct counts are sketched,
     the key is verified exactly.
