@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import text_columns
+from ledgerlint.functions.values import named, text_columns
+from ledgerlint.session import stored
+
+#: Values of so many partitions are listed in a filter; more are joined.
+PARTITIONS_TO_LIST = 1000
 
 AUDIT_COLUMNS = [
     "Issue ID", "Severity", "Agent", "Title", "Description", "Affected Rows", "Suggested Fix", "Status",
@@ -21,7 +25,7 @@ def safe_file_name(name: str | None) -> str:
 def corrected_columns(df: DataFrame, header) -> DataFrame:
     """The columns of the header in its order, as text, with empty text for NULL and absent columns."""
     return df.select(*[
-        (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c)
+        (F.coalesce(named(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c)
         for c in header
     ])
 
@@ -103,9 +107,39 @@ def update_cells(df: DataFrame, updates: DataFrame, row_id: str) -> DataFrame:
     wide = last.groupBy("__row").agg(*[
         F.max(F.when(F.col("column") == c.lower(), F.col("u.v"))).alias(f"__u{i}") for i, c in enumerate(names)
     ])
-    joined = df.join(wide, df[row_id] == wide["__row"], "left")
-    new = {c: F.coalesce(F.col(f"__u{i}"), df[c]).alias(c) for i, c in enumerate(names)}
-    return joined.select(*[new.get(c, df[c]) for c in df.columns])
+    joined = df.join(wide, named(row_id) == F.col("__row"), "left")
+    new = {c: F.coalesce(F.col(f"__u{i}"), named(c)).alias(c) for i, c in enumerate(names)}
+    return joined.select(*[new.get(c, named(c)) for c in df.columns])
+
+
+def rewrite_partitions(spark: SparkSession, path: str, rows: DataFrame, row_id: str, partition: str, change) -> int:
+    """Rewrite only those partitions of a stored table that hold ``rows`` (a column of row ids); returns their number.
+
+    ``change`` maps the rows of these partitions to their new form. That is stored first, so the table is never read while it
+    is overwritten, and then replaces the partitions dynamically: all others keep their files.
+    """
+    table = spark.read.parquet(path)
+    wanted = rows.select(F.col(rows.columns[0]).cast("string").alias("__row")).distinct()
+    touched = stored(table.join(wanted, named(row_id).cast("string") == F.col("__row"), "left_semi").select(
+        named(partition).alias("__part")).distinct(), "touched")
+    n_touched = touched.count()
+    if not n_touched:
+        return 0
+    if n_touched <= PARTITIONS_TO_LIST:  # then the scan lists only their files
+        values = [r["__part"] for r in touched.collect()]
+        inside = named(partition).isin([v for v in values if v is not None])
+        concerned = table.where(inside | named(partition).isNull() if None in values else inside)
+    else:
+        concerned = table.join(touched, named(partition).eqNullSafe(F.col("__part")), "left_semi")
+    new = stored(change(concerned).select(*map(named, table.columns)), "rewritten")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return n_touched
+
+
+def update_stored_cells(spark: SparkSession, path: str, updates: DataFrame, row_id: str, partition: str) -> int:
+    """update_cells on a stored, partitioned table; only partitions with an updated row are written."""
+    return rewrite_partitions(
+        spark, path, updates.select("row_id"), row_id, partition, lambda rows: update_cells(rows, updates, row_id))
 
 
 def write_report(report: DataFrame, issues: DataFrame, path: str) -> None:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlint.functions.values import parse_number
+from ledgerlint.functions.values import any_of, named, parse_number
+from ledgerlint.operators.normalize import as_snapshot, number_placed, place_rows
+from ledgerlint.session import stored
 from ledgerlint.settings import NULL_TOKENS
 
-REPLACEMENT = "\ufffd"
+#: Names of files are short; beyond so many they are joined without a hint.
+FILES_TO_BROADCAST = 10_000
 
 
 def _csv(spark: SparkSession, paths, encoding: str, multiline: bool, header_row: list[str]):
@@ -30,27 +31,60 @@ def csv_header(spark: SparkSession, path, encoding: str = "UTF-8") -> list[str]:
     return spark.read.option("header", True).option("encoding", encoding).option("escape", '"').csv(path).columns
 
 
+def csv_scan(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
+    """The raw scan: every byte of a cell as one Latin-1 character, so no byte is lost whatever a file's encoding.
+
+    Separators and quotes are ASCII, which UTF-8 and Latin-1 share, so rows and cells are the same in both.
+    """
+    return _csv(spark, path, "ISO-8859-1", multiline, csv_header(spark, path, "ISO-8859-1"))
+
+
+def _as_utf8(column: Column) -> Column:
+    return F.encode(column, "ISO-8859-1").cast("string")
+
+
+def _title(raw: str) -> str:
+    try:
+        return raw.encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return raw
+
+
+def decode(rows: DataFrame, file: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw cells as text: UTF-8 in files whose cells all are, else Latin-1.
+
+    ``rows`` are raw cells beside ``file``, which names the file of a row, and columns to ``keep`` as they are. The files
+    that are not UTF-8 are a stored table, joined by name; it is broadcast only after its rows were counted.
+    """
+    cells = [c for c in rows.columns if c != file and c not in keep]
+    carried = [file, *keep]
+    utf8 = {c: _as_utf8(named(c)) for c in cells}
+    bad = any_of([~F.is_valid_utf8(utf8[c]) for c in cells])
+    foreign = stored(rows.where(bad).select(F.col(file).alias("__foreign")).distinct(), "foreign_files")
+    n_foreign = foreign.count()
+    if not n_foreign:
+        return rows.select(*carried, *[utf8[c].alias(_title(c)) for c in cells])
+    side = F.broadcast(foreign) if n_foreign <= FILES_TO_BROADCAST else foreign
+    joined = rows.join(side, F.col(file) == F.col("__foreign"), "left")
+    own = F.col("__foreign").isNull()
+    return joined.select(*carried, *[F.when(own, utf8[c]).otherwise(named(c)).alias(_title(c)) for c in cells])
+
+
 def read_csv_text(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
-    """All columns as text. Files that are not valid UTF-8 are read again as Latin-1."""
-    return reduce(lambda a, b: a.unionByName(b), csv_scans(spark, path, multiline))
+    """All columns as text. Files that are not valid UTF-8 are read as Latin-1."""
+    scan = csv_scan(spark, path, multiline)
+    rows = scan.select(F.col("_metadata.file_path").alias("__file"), *map(named, scan.columns))
+    return decode(rows, "__file").drop("__file")
 
 
-def csv_scans(spark: SparkSession, path, multiline: bool = False) -> list[DataFrame]:
-    """The same as scans of single encodings, which still know files and blocks (for row numbers).
+def read_csv_snapshot(spark: SparkSession, path, multiline: bool = False, **options) -> DataFrame:
+    """CSV files as a sheet, numbered over all files in the order of their names, whatever their encodings.
 
-    The probe is one text scan that yields the names of the files concerned; the scan of each
-    encoding then skips the files of the other one.
+    The files are read once: rows, encodings and numbers all come from the stored rows.
     """
-    file = F.col("_metadata.file_path")
-    lines = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    foreign = [r["f"] for r in lines.select(file.alias("f")).distinct().orderBy("f").collect()]
-    header = csv_header(spark, path)
-    if not foreign:
-        return [_csv(spark, path, "UTF-8", multiline, header)]
-    if any(REPLACEMENT in c for c in header):
-        header = csv_header(spark, path, "ISO-8859-1")
-    clean = _csv(spark, path, "UTF-8", multiline, header).where(~file.isin(foreign))
-    return [clean, _csv(spark, path, "ISO-8859-1", multiline, header).where(file.isin(foreign))]
+    placed = place_rows(csv_scan(spark, path, multiline))
+    rows = decode(placed, "__path", ("__block", "__seen"))
+    return as_snapshot(number_placed(rows, placed), **options)
 
 
 def infer_types(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
@@ -60,7 +94,7 @@ def infer_types(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     agg = []
-    value = {c: F.when(~F.col(f"`{c}`").isin(*tokens), F.trim(F.col(f"`{c}`"))) for c in names}
+    value = {c: F.when(~named(c).isin(*tokens), F.trim(named(c))) for c in names}
     for i, c in enumerate(names):
         agg += [
             F.count(value[c]).alias(f"n_{i}"),
@@ -72,7 +106,7 @@ def infer_types(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
 
     def typed(c):
         if c not in names:
-            return F.col(f"`{c}`")
+            return named(c)
         i = names.index(c)
         n = seen[f"n_{i}"]
         if n and seen[f"b_{i}"] == n:
@@ -81,7 +115,7 @@ def infer_types(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
             return parse_number(value[c]).alias(c)
         if n and seen[f"t_{i}"] == n:
             return (F.lower(value[c]) == "true").alias(c)
-        return F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c)
+        return F.when(~named(c).isin(*tokens), named(c)).alias(c)
 
     return df.select(*[typed(c) for c in df.columns])
 

@@ -147,3 +147,52 @@ def test_audit_tables_of_several_runs(spark, tmp_path):
     assert stored.count() == 2
     assert stored.where("run_date = '2026-04-16'").first()["audit_name"] == "AUDIT REPORT - Tracker - 2026-04-16"
     assert stored.first()["Status"] == "Open"
+
+
+def test_encodings_and_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    for i in range(4):
+        text = "näme,v\n" + "".join(f"é{i * 500 + k},x\n" for k in range(500))
+        write(tmp_path / f"part-{i}.csv", text, "latin-1" if i % 2 else "utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for size in ("700b", "64m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            sheet = files.read_csv_snapshot(spark, str(tmp_path))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "64m")
+            # planned under one size, read under another
+            found.append(sorted(map(tuple, sheet.collect())))
+            assert sheet.columns == ["row_id", "row_number", "näme", "v"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == [(20000 + i, i + 1, f"é{i}", "x") for i in range(2000)]
+
+
+def test_no_file_name_is_in_the_plan(spark, tmp_path):
+    write(tmp_path / "a.csv", "id,name\n1,Zoë\n")
+    write(tmp_path / "foreign.csv", "id,name\n2,Café\n", "latin-1")
+    df = files.read_csv_text(spark, str(tmp_path))
+    assert "foreign.csv" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == [("1", "Zoë"), ("2", "Café")]
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = [(i, f"t{i}", "abc"[i % 3] if i % 7 else None) for i in range(60)]
+    spark.createDataFrame(rows, "row_id bigint, text string, part string").write.partitionBy("part").parquet(path)
+
+    def stored_files():
+        return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+    before = stored_files()
+    updates = spark.createDataFrame(
+        [(1, 4, "text", "new"), (2, 10, "text", None), (3, 999, "text", "x"), (4, 0, "text", "null part")],
+        "seq bigint, row_id bigint, column string, new_value string")
+    assert sink.update_stored_cells(spark, path, updates, "row_id", "part") == 2
+    after = stored_files()
+    kept = {f for f in before if "part=a" in f or "part=c" in f}
+    assert kept and kept <= after and not {f for f in before - kept} & after
+    want = {r[0]: r[1] for r in rows} | {4: "new", 10: "", 0: "null part"}
+    assert {r["row_id"]: r["text"] for r in spark.read.parquet(path).collect()} == want
+    assert sink.update_stored_cells(spark, path, updates.where("row_id = 999"), "row_id", "part") == 0
+    assert stored_files() == after
