@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlint.functions.values import named
 from ledgerlint.operators.skew import join_to_groups
 from ledgerlint.settings import PATCH_TYPES
 
@@ -144,9 +145,9 @@ def apply_patches(df: DataFrame, actions: DataFrame, row_id: str, columns=None)
     joined = df.join(wide, F.col(row_id).cast("string") == F.col("row"), "left")
     patch_of = {c: F.col(f"__p{i}") for i, c in enumerate(names)}
     return joined.select(*[
-        F.when(patch_of[c].isNotNull(), _patched(patch_of[c], F.col(c))).otherwise(F.col(c).cast("string")).alias(c)
+        F.when(patch_of[c].isNotNull(), _patched(patch_of[c], named(c))).otherwise(named(c).cast("string")).alias(c)
         if c in patch_of
-        else F.col(c)
+        else named(c)
         for c in df.columns
     ])
 

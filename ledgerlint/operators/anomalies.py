@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import any_of, numeric_columns
+from ledgerlint.functions.values import any_of, named, numeric_columns
 from ledgerlint.operators.findings import RowRule, column_findings
 from ledgerlint.operators.profile import numeric_stats
 from ledgerlint.operators.quantiles import exact_quantiles
@@ -39,7 +39,7 @@ def z_score(column: str, fact: dict):
     """NULL where the column does not vary."""
     if not fact["std_pop"]:
         return F.lit(None).cast("double")
-    return (F.col(column).cast("double") - F.lit(fact["mean"])) / F.lit(fact["std_pop"])
+    return (named(column).cast("double") - F.lit(fact["mean"])) / F.lit(fact["std_pop"])
 
 
 def z_condition(column: str, fact: dict, limits: Thresholds = Thresholds()):
@@ -47,7 +47,7 @@ def z_condition(column: str, fact: dict, limits: Thresholds = Thresholds()):
 
 
 def fence_condition(column: str, fact: dict):
-    value = F.col(column).cast("double")
+    value = named(column).cast("double")
     return (value < F.lit(fact["low"])) | (value > F.lit(fact["high"]))
 
 
@@ -83,7 +83,7 @@ def outlier_rules(facts: dict, severities: dict, limits: Thresholds = Thresholds
     return [
         RowRule(
             "A1", AGENT, "outliers", (c,), outlier_condition(c, fact, limits),
-            severities.get(c, "MEDIUM"), F.col(c),
+            severities.get(c, "MEDIUM"), named(c),
         )
         for c, fact in facts.items()
     ]
@@ -121,7 +121,7 @@ def impossible_negative_rules(usable_columns) -> list[RowRule]:
     """Negative values where the name says they cannot be; columns with too few values are left out
     by the caller."""
     return [
-        RowRule("A4", AGENT, "impossible_negative", (c,), F.col(c) < 0, "MEDIUM", F.col(c))
+        RowRule("A4", AGENT, "impossible_negative", (c,), named(c) < 0, "MEDIUM", named(c))
         for c in usable_columns
         if name_has(c, NON_NEGATIVE_NAMES)
     ]

@@ -132,16 +132,26 @@ def severity_cube(issues: DataFrame) -> DataFrame:
     )
 
 
-def file_health_score(issues: DataFrame) -> DataFrame:
-    """One row: 100 less points per issue, each severity limited, never below 0."""
+def file_health_score(issues: DataFrame, run_stats: DataFrame | None = None) -> DataFrame:
+    """One row: 100 less points per issue, each severity limited, never below 0.
+
+    With ``run_stats`` the score is NULL where a check family failed: what nobody checked has no score.
+    """
     score = F.lit(100)
     for severity, column in (("HIGH", "high"), ("MEDIUM", "medium"), ("LOW", "low")):
         points, most = FILE_PENALTY[severity]
         score = score - F.least(F.col(column) * points, F.lit(most))
-    return severity_counts(issues).withColumn("health_score", F.greatest(score, F.lit(0)).cast("int"))
+    return _scored(severity_counts(issues), F.greatest(score, F.lit(0)).cast("int"), run_stats)
+
 
+def _scored(counts: DataFrame, score: Column, run_stats: DataFrame | None) -> DataFrame:
+    if run_stats is None:
+        return counts.withColumn("health_score", score)
+    failed = run_stats.agg(F.count_if(F.col("status") == "failed").alias("n_failed"))
+    return side_by_side(counts, failed).withColumn("health_score", F.when(F.col("n_failed") == 0, score))
 
-def sheet_health_score(issues: DataFrame) -> DataFrame:
+
+def sheet_health_score(issues: DataFrame, run_stats: DataFrame | None = None) -> DataFrame:
     """One row: 100 less weighted issue counts, cut to a whole number, at least 15 with any issue.
 
     Computed in decimals, so that no point is lost to binary rounding.
@@ -151,9 +161,8 @@ def sheet_health_score(issues: DataFrame) -> DataFrame:
         for severity, column in (("HIGH", "high"), ("MEDIUM", "medium"), ("LOW", "low"))
     )
     floor = F.when(F.col("total") > 0, F.lit(SHEET_FLOOR)).otherwise(F.lit(100))
-    return severity_counts(issues).withColumn(
-        "health_score", F.greatest(floor.cast("decimal(30,2)"), F.lit(100) - penalty).cast("int")
-    )
+    return _scored(
+        severity_counts(issues), F.greatest(floor.cast("decimal(30,2)"), F.lit(100) - penalty).cast("int"), run_stats)
 
 
 def brief(issues: DataFrame, n: int = 20, width: int = 150) -> DataFrame:
@@ -187,10 +196,11 @@ def executive_summary(scored: DataFrame) -> DataFrame:
         "Data health score is %d/100. %d issues found (HIGH: %d, MEDIUM: %d, LOW: %d).",
         "health_score", "total", "high", "medium", "low",
     )
-    return scored.withColumn(
-        "summary",
-        F.when(F.col("total") == 0, "No issues detected. Dataset appears clean.").otherwise(found),
-    )
+    text = F.when(F.col("total") == 0, "No issues detected. Dataset appears clean.").otherwise(found)
+    if "n_failed" in scored.columns:
+        text = F.when(F.col("n_failed") > 0, F.format_string(
+            "No health score: %d check families failed. %d issues found by the others.", "n_failed", "total")).otherwise(text)
+    return scored.withColumn("summary", text)
 
 
 def issues_per_agent(issues: DataFrame) -> DataFrame:
@@ -205,7 +215,7 @@ def search(issues: DataFrame, severity: str = "ALL", text: str = "") -> DataFram
 
 
 def score_band(score: Column) -> Column:
-    return F.when(score >= 80, "green").when(score >= 50, "amber").otherwise("red")
+    return F.when(score >= 80, "green").when(score >= 50, "amber").when(score.isNotNull(), "red").otherwise("unknown")
 
 
 def domain_name(domain: Column) -> Column:
@@ -233,7 +243,7 @@ def report(
 ) -> DataFrame:
     """One row with the scores, texts, run statistics and the first issues; all issues stay in
     their own table."""
-    scored = file_health_score(issues) if model == "file" else sheet_health_score(issues)
+    scored = (file_health_score if model == "file" else sheet_health_score)(issues, run_stats)
     texts = executive_summary(scored).select(
         "health_score",
         score_band(F.col("health_score")).alias("score_band"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import is_numeric, is_text, parse_date, parse_date_text, parse_number
+from ledgerlint.functions.values import is_numeric, is_text, named, parse_date, parse_date_text, parse_number
 from ledgerlint.operators.findings import RowRule
 from ledgerlint.settings import AMOUNT_NAMES, COMPLETE_STATUSES, PERCENT_NAMES, ColumnRoles, name_has
 
@@ -18,7 +18,7 @@ def date_order_rules(df: DataFrame, pairs, formats) -> list[RowRule]:
         RowRule(
             "L1", AGENT, "date_pair_violation", (s, e),
             parse_date(df, e, formats) <= parse_date(df, s, formats), "HIGH",
-            F.concat_ws(" -> ", F.col(s).cast("string"), F.col(e).cast("string")),
+            F.concat_ws(" -> ", named(s).cast("string"), named(e).cast("string")),
         )
         for s, e in pairs
         if s in df.columns and e in df.columns
@@ -32,7 +32,7 @@ def amount_columns(df: DataFrame) -> list[str]:
 def negative_amount_rules(df: DataFrame, columns=None) -> list[RowRule]:
     names = amount_columns(df) if columns is None else columns
     return [
-        RowRule("L2", AGENT, "negative_amount", (c,), F.col(c) < 0, "HIGH", F.col(c)) for c in names
+        RowRule("L2", AGENT, "negative_amount", (c,), named(c) < 0, "HIGH", named(c)) for c in names
     ]
 
 
@@ -41,8 +41,8 @@ def over_budget_rules(df: DataFrame, actual: str, budget: str) -> list[RowRule]:
         return []
     return [
         RowRule(
-            "L3", AGENT, "over_budget", (actual, budget), F.col(actual) > F.col(budget), "MEDIUM",
-            F.col(actual) - F.col(budget),
+            "L3", AGENT, "over_budget", (actual, budget), named(actual) > named(budget), "MEDIUM",
+            named(actual) - named(budget),
         )
     ]
 
@@ -53,12 +53,12 @@ def status_percentage_rules(df: DataFrame, roles: ColumnRoles, status=None, perc
     percentage = percentage or next((c for c in df.columns if name_has(c, PERCENT_NAMES)), None)
     if status is None or percentage is None:
         return []
-    number = F.col(percentage) if is_numeric(df.schema[percentage]) else parse_number(F.col(percentage).cast("string"))
+    number = named(percentage) if is_numeric(df.schema[percentage]) else parse_number(named(percentage).cast("string"))
     return [
         RowRule(
             "L4", AGENT, "status_pct_mismatch", (status, percentage),
-            F.lower(F.col(status)).isin(*COMPLETE_STATUSES) & (number < 100), "MEDIUM",
-            F.concat_ws(" ", F.col(status), number.cast("string")),
+            F.lower(named(status)).isin(*COMPLETE_STATUSES) & (number < 100), "MEDIUM",
+            F.concat_ws(" ", named(status), number.cast("string")),
         )
     ]
 
@@ -68,7 +68,7 @@ def date_format_rules(df: DataFrame, columns, formats) -> list[RowRule]:
     return [
         RowRule(
             "L5", AGENT, "invalid_date_format", (c,),
-            F.col(c).isNotNull() & parse_date(df, c, formats).isNull(), "MEDIUM", F.col(c),
+            named(c).isNotNull() & parse_date(df, c, formats).isNull(), "MEDIUM", named(c),
         )
         for c in columns
         if c in df.columns and is_text(df.schema[c])
@@ -79,7 +79,7 @@ def date_format_audit(df: DataFrame, columns, formats) -> DataFrame:
     """(column, format, n_rows): values each format reads, and those that none does. One aggregate."""
     agg, rows = [], []
     for i, c in enumerate(columns):
-        text = F.col(c).cast("string")
+        text = named(c).cast("string")
         for j, f in enumerate(formats):
             agg.append(F.count(parse_date_text(text, (f,))).alias(f"n_{i}_{j}"))
             rows.append(F.struct(

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import is_numeric, parse_date_text, parse_number
+from ledgerlint.functions.values import is_numeric, named, parse_date_text, parse_number, value_digest
 from ledgerlint.operators.findings import RowKey, RowRule, column_findings, member_findings
 from ledgerlint.operators.profile import value_counts
 from ledgerlint.operators.skew import join_to_groups
 from ledgerlint.settings import DATE_FORMATS, PERCENT_NAMES, ColumnRoles, Thresholds, name_has
 
 AGENT = "data_quality"
+#: Spellings of a word that a finding names.
+SHOWN_SPELLINGS = 20
 
 
 def null_aggregates(names) -> list:
-    return [F.count("*").alias("n"), *[F.count(c).alias(f"c_{i}") for i, c in enumerate(names)]]
+    return [F.count("*").alias("n"), *[F.count(named(c)).alias(f"c_{i}") for i, c in enumerate(names)]]
 
 
 def null_facts(df: DataFrame, columns=None, counted: DataFrame | None = None) -> DataFrame:
@@ -72,7 +74,7 @@ def null_rules(flagged) -> list[RowRule]:
     """Row rules that locate the nulls of flagged columns; ``flagged`` are rows of null_density."""
     return [
         RowRule(
-            "Q1", AGENT, "null_values", (r["column"],), F.col(r["column"]).isNull(), r["severity"],
+            "Q1", AGENT, "null_values", (r["column"],), named(r["column"]).isNull(), r["severity"],
             F.lit(r["description"]),
         )
         for r in flagged
@@ -136,7 +138,7 @@ def type_mix(df: DataFrame, classes: dict, counted: DataFrame | None = None) ->
 
 
 def text_classes(columns, formats=DATE_FORMATS) -> dict:
-    return {c: text_class(F.col(c), formats) for c in columns}
+    return {c: text_class(named(c), formats) for c in columns}
 
 
 def mixed_types(df: DataFrame, columns, formats=DATE_FORMATS, counted: DataFrame | None = None) -> DataFrame:
@@ -157,34 +159,40 @@ def mixed_type_findings(
     )
 
 
-def casing_variants(df: DataFrame, status_columns) -> DataFrame:
-    """(column, lower_value, n_spellings, spellings, n_rows) where one word is spelled several ways."""
-    return (
-        value_counts(df, status_columns)
-        .where(F.col("value").isNotNull())
-        .groupBy("column", F.lower("value").alias("lower_value"))
-        .agg(
-            F.count("*").alias("n_spellings"),
-            F.array_sort(F.collect_list("value")).alias("spellings"),
-            F.sum("n").alias("n_rows"),
-        )
-        .where(F.col("n_spellings") > 1)
-    )
+def casing_variants(df: DataFrame, status_columns, shown: int = 1000) -> DataFrame:
+    """(column, lower_value, n_spellings, spellings, n_rows) where one word is spelled several ways.
+
+    All spellings are counted; ``spellings`` lists the first ``shown`` of them, chosen before they are gathered, so a
+    word of endless spellings makes no endless row.
+    """
+    counts = value_counts(df, status_columns).where(F.col("value").isNotNull()).withColumn("lower_value", F.lower("value"))
+    word = Window.partitionBy("column", "lower_value")
+    totals = counts.groupBy("column", "lower_value").agg(
+        F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows")).where(F.col("n_spellings") > 1)
+    first = counts.select("column", "lower_value", "value", F.row_number().over(word.orderBy("value")).alias("rank")).where(
+        F.col("rank") <= shown).groupBy("column", "lower_value").agg(
+        F.array_sort(F.collect_list("value")).alias("spellings"))
+    return totals.join(first, ["column", "lower_value"]).select(
+        "column", "lower_value", "n_spellings", "spellings", "n_rows")
 
 
 def casing_findings(df: DataFrame, status_columns, key: RowKey) -> DataFrame | None:
     parts = None
     for name in status_columns:
-        groups = casing_variants(df, [name]).select(
-            "lower_value", "n_rows", F.concat_ws(", ", "spellings").alias("spelling_list")
-        )
-        rows = df.withColumn("lower_value", F.lower(F.col(name).cast("string")))
-        members = join_to_groups(
-            rows, groups, ["lower_value"], "n_rows", [*key.columns, *([key.order] if key.order else [])]
+        more = F.when(F.col("n_spellings") > SHOWN_SPELLINGS, F.concat(
+            F.lit(" (+"), (F.col("n_spellings") - SHOWN_SPELLINGS).cast("string"), F.lit(" more)")))
+        groups = casing_variants(df, [name], SHOWN_SPELLINGS).select(
+            value_digest(F.col("lower_value")).alias("__word"), F.col("n_rows").alias("__n_rows"),
+            F.col("lower_value").alias("__lower"),
+            F.concat(F.concat_ws(", ", "spellings"), F.coalesce(more, F.lit(""))).alias("__spellings"),
         )
+        text = named(name).cast("string")
+        rows = df.where(text.isNotNull()).select(
+            *map(named, key.needed), value_digest(F.lower(text)).alias("__word"))
         part = member_findings(
-            members, key, "Q3", AGENT, "inconsistent_casing", [name],
-            detail=F.col("spelling_list"), group_key=F.col("lower_value"),
+            join_to_groups(rows, groups, ["__word"], "__n_rows", key.needed),
+            key, "Q3", AGENT, "inconsistent_casing", [name],
+            detail=F.col("__spellings"), group_key=F.col("__lower"),
         )
         parts = part if parts is None else parts.unionByName(part)
     return parts
@@ -204,7 +212,7 @@ def percentage_rules(df: DataFrame, roles: ColumnRoles) -> list[RowRule]:
     """Percentages below 0 or above 100."""
     return [
         RowRule(
-            "Q4", AGENT, "invalid_percentage", (c,), (F.col(c) < 0) | (F.col(c) > 100), "MEDIUM", F.col(c)
+            "Q4", AGENT, "invalid_percentage", (c,), (named(c) < 0) | (named(c) > 100), "MEDIUM", named(c)
         )
         for c in percentage_columns(df, roles)
     ]

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlint.functions.values import named
+
 LAST_MILE = 100_000
 ACCURACY = 10_000
 
@@ -21,7 +23,7 @@ def exact_quantiles(df: DataFrame, columns, probabilities, last_mile: int = LAST
     done at every size of the table; no state holds all distinct values.
     """
     columns = list(columns)
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    counts = df.agg(*[F.count(named(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
 
     wanted = {}
@@ -61,7 +63,7 @@ def order_statistics(df: DataFrame, sizes: dict, ranks: list, last_mile: int = L
 
 
 def _inside(column: str, low, high):
-    value = F.col(column).cast("double")
+    value = named(column).cast("double")
     condition = value.isNotNull()
     if low is not None:
         condition &= value > F.lit(low)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import parse_date
+from ledgerlint.functions.values import named, parse_date
 from ledgerlint.operators.findings import RowRule
 from ledgerlint.settings import (
     DATE_FORMATS,
@@ -65,7 +65,7 @@ def missing_deadline_rules(
         return []
     return [RowRule(
         "T1", AGENT, "missing_deadline", (due,), parse_date(df, due, formats).isNull(), "MEDIUM",
-        F.col(due).cast("string"),
+        named(due).cast("string"),
     )]
 
 
@@ -77,7 +77,7 @@ def stale_rules(
     if not columns.status:
         return []
     today = F.lit(as_of).cast("date")
-    is_done = F.lower(F.coalesce(F.col(columns.status).cast("string"), F.lit(""))).isin(*done)
+    is_done = F.lower(F.coalesce(named(columns.status).cast("string"), F.lit(""))).isin(*done)
 
     def days_before(n):
         return F.lit(as_of - dt.timedelta(days=n)).cast("date")
@@ -87,7 +87,7 @@ def stale_rules(
     def rule(check_id, finding_type, column, condition):
         rules.append(RowRule(
             check_id, AGENT, finding_type, (column, columns.status), condition, "MEDIUM",
-            F.col(column).cast("string"),
+            named(column).cast("string"),
         ))
 
     if columns.due:

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlint.functions.values import numeric_columns, text_columns
+from ledgerlint.functions.values import named, numeric_columns, text_columns
 from ledgerlint.operators import (
     actions as act,
     anomalies,
+    documents,
     duplicates,
     findings as fnd,
     fuzzy,
@@ -26,6 +31,7 @@ from ledgerlint.operators import (
     stale,
 )
 from ledgerlint.operators.findings import RowKey
+from ledgerlint.session import stored
 from ledgerlint.settings import AGENTS, ColumnRoles, SheetColumns, Thresholds
 from ledgerlint.sources import files
 
@@ -43,6 +49,11 @@ class CheckContext:
     near_duplicate_metric: object = fuzzy.Indel()
     #: Columns to compare for near-duplicates; None takes every name and text column.
     near_duplicate_columns: tuple | None = None
+    #: Columns whose values have at least this many characters on average hold documents, which are compared by this.
+    document_length: int = 200
+    document_metric: documents.Shingles = documents.Shingles()
+    #: Jobs that run at once.
+    jobs_at_once: int = 8
 
     def compared(self, df: DataFrame) -> list[str]:
         wanted = self.roles.of_type("name", "text") if self.near_duplicate_columns is None else self.near_duplicate_columns
@@ -55,7 +66,7 @@ class CheckContext:
 @dataclass(frozen=True)
 class Checks:
     """What a check family wants done: rules for the shared pass over the rows, and findings that
-    need jobs of their own."""
+    need jobs of their own: tables, or functions that make one when their turn comes."""
 
     rules: tuple = ()
     findings: tuple = ()
@@ -89,11 +100,12 @@ def take_profile(df: DataFrame, ctx: CheckContext) -> DataFrame:
     def due_in(columns):
         return stale.due_aggregates(df, due, formats) if due in columns else []
 
-    of_text = quality.with_classes(df.select(*texts), quality.text_classes(texts, formats)).agg(
-        F.count("*").alias("n"), *quality.mix_aggregates(texts), *due_in(texts)
+    of_text = quality.with_classes(df.select(*map(named, texts)), quality.text_classes(texts, formats)).agg(
+        F.count("*").alias("n"), *quality.mix_aggregates(texts), *due_in(texts),
+        *[F.avg(F.char_length(named(c))).alias(f"len_{place[c]}") for c in texts],
     )
     of_others = df.agg(
-        F.count("*").alias("n"), *[F.count(c).alias(f"c_{place[c]}") for c in others],
+        F.count("*").alias("n"), *[F.count(named(c)).alias(f"c_{place[c]}") for c in others],
         *profile.numeric_aggregates(numbers), *due_in(others),
     )
     text_row = of_text.select(
@@ -117,8 +129,17 @@ def duplicate_family(df: DataFrame, ctx: CheckContext, counted: DataFrame) -> Ch
     found = [duplicates.exact_duplicates(df, ctx.key)]
     if any(c in df.columns for c in ctx.roles.key):
         found.append(duplicates.duplicate_keys(df, ctx.roles.key, ctx.key))
-    for column in ctx.compared(df):
-        found.append(fuzzy.near_duplicates(df, column, ctx.key, ctx.near_duplicate_metric))
+    lengths = counted.first().asDict()
+    place = {c: i for i, c in enumerate(df.columns)}
+    long = [c for c in ctx.compared(df) if (lengths.get(f"len_{place[c]}") or 0) >= ctx.document_length]
+    short = [c for c in ctx.compared(df) if c not in long]
+    if short:
+        # The distinct values of all compared columns come from one scan.
+        counts = stored(profile.value_counts(df, short).where(F.col("value").isNotNull()), "compared")
+    for column in short:
+        found.append(partial(fuzzy.near_duplicates, df, column, ctx.key, ctx.near_duplicate_metric, counts=counts))
+    for column in long:
+        found.append(partial(fuzzy.near_duplicates, df, column, ctx.key, ctx.document_metric))
     return Checks((), tuple(found))
 
 
@@ -178,6 +199,7 @@ class _Run:
 
     def __init__(self):
         self.spent, self.errors = {}, {}
+        self.lock = threading.Lock()
 
     def attempt(self, names, work):
         """Do some work for the families; its time counts for each of them."""
@@ -185,12 +207,28 @@ class _Run:
         try:
             return work()
         except Exception as failure:
-            for name in names:
-                self.errors.setdefault(name, str(failure).splitlines()[0][:500])
+            with self.lock:
+                for name in names:
+                    self.errors.setdefault(name, str(failure).splitlines()[0][:500])
             return None
         finally:
-            for name in names:
-                self.spent[name] = self.spent.get(name, 0.0) + time.monotonic() - started
+            with self.lock:
+                for name in names:
+                    self.spent[name] = self.spent.get(name, 0.0) + time.monotonic() - started
+
+
+def _at_once(spark: SparkSession, jobs: list, threads: int) -> None:
+    """Run (pool, function) jobs from several driver threads; each family has a scheduler pool of its own, which divides
+    the executors fairly where the cluster's scheduler mode is FAIR."""
+
+    def run(pool, work):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+        work()
+
+    with ThreadPoolExecutor(threads) as executor:
+        started = [executor.submit(inheritable_thread_target(spark)(run), pool, work) for pool, work in jobs]
+        for job in started:
+            job.result()
 
 
 def audit_table(
@@ -203,7 +241,7 @@ def audit_table(
     columns are computed once, and all checks see the same rows. One scan takes the profile, one pass applies the row rules of all families together; only group
     checks add jobs. Scores and reports read the written findings, so no check runs twice and a lost
     executor costs at most the running job. A family that fails is recorded and does not stop the
-    others.
+    others; the score is then NULL. The row pass and all group checks run at once, from driver threads.
     """
     spark, run = df.sparkSession, _Run()
     df.write.mode("overwrite").parquet(f"{folder}/input")
@@ -219,13 +257,15 @@ def audit_table(
 
     written = []
 
-    def write(found: DataFrame, label: str) -> None:
+    def write(found, label: str) -> None:
         path = f"{folder}/findings/{label}"
+        found = found() if callable(found) else found
         found.select(*fnd.FINDING_COLUMNS).write.mode("overwrite").parquet(path)
         written.append(path)
 
     by_row = {n: c.rules for n, c in checks.items() if c.rules}
-    if by_row:
+
+    def row_pass() -> None:
         all_rules = [r for rules in by_row.values() for r in rules]
         together = _Run()
         together.attempt(by_row, lambda: write(fnd.row_findings(df, all_rules, ctx.key), "rows"))
@@ -234,11 +274,14 @@ def audit_table(
                 run.attempt(
                     [name], lambda: write(fnd.row_findings(df, list(rules), ctx.key), f"rows-{name}")
                 )
-        for name, seconds in together.spent.items():
-            run.spent[name] += seconds
-    for name, built in checks.items():
-        for i, found in enumerate(built.findings):
-            run.attempt([name], lambda: write(found, f"{name}-{i}"))
+        with run.lock:
+            for name, seconds in together.spent.items():
+                run.spent[name] += seconds
+    jobs = [
+        (name, partial(run.attempt, [name], partial(write, found, f"{name}-{i}")))
+        for name, built in checks.items() for i, found in enumerate(built.findings)
+    ]
+    _at_once(spark, ([("rows", row_pass)] if by_row else []) + jobs, ctx.jobs_at_once)
 
     found = spark.read.schema(fnd.FINDING_SCHEMA).parquet(*written) if written else fnd.empty_findings(df)
     fnd.summarise(found).write.mode("overwrite").parquet(f"{folder}/summary")
@@ -259,9 +302,8 @@ def audit_table(
         left = ctx.not_compared(df) if name == "duplicate_hunter" else []
         note = f"near-duplicates not compared in: {', '.join(left)}" if left else None
         stats.append((name, status, elapsed, count, run.errors.get(name, note)))
-    return AuditResult(
-        found, summary, issues, spark.createDataFrame(stats, RUN_STATS_SCHEMA), iss.file_health_score(issues)
-    )
+    run_stats = spark.createDataFrame(stats, RUN_STATS_SCHEMA)
+    return AuditResult(found, summary, issues, run_stats, iss.file_health_score(issues, run_stats))
 
 
 def audit_file(

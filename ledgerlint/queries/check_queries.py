@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlint.operators import anomalies, duplicates, fuzzy, logic, quality, stale
+from ledgerlint.operators import anomalies, documents, duplicates, fuzzy, logic, quality, stale
 from ledgerlint.operators.findings import RowKey, row_findings, rule_counts, summarise
 from ledgerlint.queries.registry import (
     LINE_KEY, LINE_ROW, TRACKER_KEY, TRACKER_ROW, finding_sql, flat, query,
@@ -168,6 +168,39 @@ def indel_urls(spark, folder):
     return fuzzy.near_pairs(fuzzy.distinct_values(table(spark, folder, "pages"), "url"))
 
 
+# Words of the documents: values without a template, most of which the index of pieces tells apart.
+LONG_WORDS = """SELECT lower(word) AS value, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(text, '[A-Za-z]{10,}')) AS word FROM documents) w GROUP BY 1"""
+
+
+@query("D3_edit_distance_words", f"""
+WITH v AS ({LONG_WORDS})
+SELECT a.value AS value_a, b.value AS value_b, CAST(levenshtein(a.value, b.value) AS INT) AS score, a.n AS n_a, b.n AS n_b
+FROM v a JOIN v b ON a.value < b.value AND abs(length(a.value) - length(b.value)) <= 2
+  AND levenshtein(a.value, b.value) <= floor(greatest(length(a.value), length(b.value)) * 0.12)""")
+def edit_distance_words(spark, folder):
+    words = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{10,})"), F.lit(1)))
+    values = fuzzy.distinct_values(table(spark, folder, "documents").select(words.alias("word")), "word")
+    return fuzzy.near_pairs(values, fuzzy.Edits(), few=0)
+
+
+@query("D3_near_duplicate_documents", r"""
+WITH v AS (SELECT row_number() OVER () AS i, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w
+  FROM (SELECT DISTINCT lower(text) AS text FROM documents WHERE text IS NOT NULL) t),
+s AS (SELECT DISTINCT i, array_to_string(w[p:p + 4], ' ') AS shingle
+  FROM (SELECT i, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM v WHERE len(w) > 0)),
+n AS (SELECT i, count(*) AS size FROM s GROUP BY i),
+shared AS (SELECT a.i AS a, b.i AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.i < b.i GROUP BY 1, 2),
+near AS (SELECT a, b FROM shared JOIN n x ON x.i = a JOIN n y ON y.i = b WHERE common >= 0.75 * (x.size + y.size - common)),
+partners AS (SELECT i, count(*) AS partners FROM (SELECT a AS i FROM near UNION ALL SELECT b FROM near) u GROUP BY i)
+SELECT CAST(doc_id AS VARCHAR) AS row_key, CAST(partners AS VARCHAR) AS detail
+FROM documents JOIN v ON lower(documents.text) = v.text JOIN partners USING (i)""")
+def near_duplicate_documents(spark, folder):
+    found = fuzzy.near_duplicates(
+        table(spark, folder, "documents"), "text", RowKey(("doc_id",), "doc_id"), documents.Shingles())
+    return found.select("row_key", "detail")
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 NULLABLE = ("status", "due_date", "end_date", "actual_cost", "completion_pct", "phase", "feedback", "notes", "budget")

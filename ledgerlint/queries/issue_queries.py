@@ -6,19 +6,20 @@ from pyspark.sql import functions as F
 
 from ledgerlint.functions.values import nan_to_null, side_by_side
 from ledgerlint.operators import anomalies, duplicates, issues as iss, profile, quality
-from ledgerlint.operators.findings import row_findings, summarise
+from ledgerlint.operators.findings import RowKey, row_findings, summarise
 from ledgerlint.operators.quantiles import exact_quantiles
+from ledgerlint.operators.schema import infer_roles
 from ledgerlint.operators.sheet_checks import sheet_issues
 from ledgerlint.plans.audit import CheckContext, audit_file, audit_table, run_stats_totals
 from ledgerlint.queries.check_queries import (
-    CASING, NULL_DENSITY, NULLABLE, ROW_FINDINGS_SQL, _class_sql, all_row_rules, outlier_sql, skew_sql,
-    totals_sql,
+    CASING, NULL_DENSITY, NULLABLE, ROW_FINDINGS_SQL, ROW_RULES_SQL, _class_sql, all_row_rules, date_sql, outlier_sql,
+    skew_sql, totals_sql,
 )
 from ledgerlint.queries.registry import LINE_KEY, TRACKER_KEY, query
 from ledgerlint.queries.sheet_queries import ALL_ISSUES_SQL, NAMES, sheet_of, shown
 from ledgerlint.queries.views import AS_OF, SHEET, TRACKER, table, view, with_views
 from ledgerlint.session import scratch_path
-from ledgerlint.settings import ColumnRoles
+from ledgerlint.settings import AGENTS, ColumnRoles
 
 # --- the issues of the tracker, in Spark and in SQL ------------------------------------------
 
@@ -322,6 +323,106 @@ def full_audit(spark, folder):
     return plain(iss.ranked(tracker_audit(spark, folder, FOUR + ("duplicate_hunter",)).issues))
 
 
+# --- whole audits against SQL ----------------------------------------------------------------
+
+NEAR_COLUMNS = ("priority", "phase", "feedback", "notes")
+#: An edit distance is never above the insertions and deletions, so it rules out most pairs before the long way.
+NEAR_ROWS = "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS columns, count(*) AS count FROM tracker WHERE lower({c}) IN (SELECT value FROM near_{c})" for c in NEAR_COLUMNS)
+
+
+def near_views() -> dict:
+    views = {}
+    for c in NEAR_COLUMNS:
+        views |= {
+            f"v_{c}": f"SELECT DISTINCT lower({c}) AS value FROM tracker WHERE {c} IS NOT NULL AND {c} <> ''",
+            f"p_{c}": f"SELECT a.value AS a, b.value AS b FROM v_{c} a JOIN v_{c} b ON a.value < b.value "
+                      "AND levenshtein(a.value, b.value) <= floor(0.125 * (length(a.value) + length(b.value)) + 0.000001)",
+            f"s_{c}": f"""
+SELECT a, b, 0 AS i, [CAST(0 AS INT) FOR x IN range(length(b) + 1)] AS best FROM p_{c}
+UNION ALL
+SELECT a, b, i + 1, list_reduce(
+  [[CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INT), 1) THEN best[CAST(j AS INT)] + 1
+    ELSE best[CAST(j AS INT) + 1] END] FOR j IN range(1, length(b) + 1)],
+  lambda done, cell: list_append(done, greatest(done[len(done)], cell[1])), [CAST(0 AS INT)])
+FROM s_{c} WHERE i < length(a)""",
+            f"near_{c}": f"""
+SELECT unnest([a, b]) AS value FROM s_{c} WHERE i = length(a)
+  AND round_even(best[length(b) + 1] * 200.0 / (length(a) + length(b)), 0) BETWEEN 88 AND 99""",
+        }
+    return views
+
+
+def whole_sql(texts, measured, duplicate="") -> str:
+    """Every issue of an audit: check, columns, rows, severity."""
+    parts = [
+        "SELECT check_id, columns, count(*) AS count, min(severity) AS severity FROM f GROUP BY check_id, columns",
+        "SELECT 'Q1', \"column\", null_count, severity FROM d",
+        *[f"SELECT 'Q2', '{c}', count(k), 'MEDIUM' FROM (SELECT {_class_sql(c)} AS k FROM tracker) t HAVING count(DISTINCT k) > 1"
+          for c in texts],
+        "SELECT 'Q3', 'status', n_rows, 'MEDIUM' FROM variants",
+        f"SELECT 'T1', 'due_date', n, 'MEDIUM' FROM (SELECT count(*) - count({date_sql('due_date')}) AS n, "
+        f"count({date_sql('due_date')}) > 0.8 * count(*) AS filled FROM tracker) t WHERE filled AND n > 0",
+        *[f"SELECT 'A1', '{c}', n_outliers, severity FROM ({outlier_sql('tracker', c)}) o WHERE n_outliers > 0" for c in measured],
+        *[f"SELECT 'A3', '{c}', n_values, 'MEDIUM' FROM ({skew_sql('tracker', c)}) s WHERE abs(skewness) > 3" for c in measured],
+        *([duplicate] if duplicate else []),
+    ]
+    return "SELECT check_id, columns, CAST(count AS BIGINT) AS count, severity FROM (" + "\nUNION ALL\n".join(parts) + ") w"
+
+
+OWN_COLUMNS = ", ".join([*TEXT_COLUMNS, *MEASURED])
+DUPLICATES_SQL = f"""
+SELECT check_id, columns, n, CASE WHEN n > 0.05 * (SELECT count(*) FROM tracker) THEN 'HIGH' ELSE 'MEDIUM' END FROM (
+  SELECT 'D2' AS check_id, 'task_id' AS columns, sum(m) AS n FROM (
+    SELECT count(*) AS m FROM tracker GROUP BY task_id HAVING count(*) > 1) g
+  UNION ALL SELECT 'D1', '', sum(m) FROM (
+    SELECT count(*) AS m FROM tracker GROUP BY {OWN_COLUMNS} HAVING count(*) > 1) g
+  UNION ALL SELECT 'D3', columns, count FROM near_rows) u WHERE n > 0"""
+WHOLE_VIEWS = dict(
+    tracker=TRACKER, f=ROW_FINDINGS_SQL, d=NULL_DENSITY, variants=CASING, **near_views(), near_rows=NEAR_ROWS,
+    issues=whole_sql(TEXT_COLUMNS, MEASURED, DUPLICATES_SQL))
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def counted_issues(issues):
+    return issues.select("check_id", F.concat_ws(",", "affected_columns").alias("columns"), "count", "severity")
+
+
+@query("I14_whole_audit", recursive(with_views("SELECT * FROM issues", **WHOLE_VIEWS)))
+def whole_audit(spark, folder):
+    """All five families, duplicates and near-duplicates included: every issue with its rows and severity."""
+    return counted_issues(tracker_audit(spark, folder, AGENTS).issues)
+
+
+@query("I14_whole_score", recursive(with_views(
+    f"SELECT *, CAST(0 AS BIGINT) AS n_failed FROM ({FILE_SCORE_SQL}) s", **WHOLE_VIEWS)))
+def whole_score(spark, folder):
+    return tracker_audit(spark, folder, AGENTS).health
+
+
+ODD_NAMES = {"row_index": "row.no", "status": "task status", "due_date": "due.date", "budget": "unit.budget",
+             "completion_pct": "done `pct"}
+ODD_LABELS = "columns"
+for _plain, _odd in ODD_NAMES.items():
+    ODD_LABELS = f"replace({ODD_LABELS}, '{_plain}', '{_odd}')"
+
+
+@query("I14_odd_column_names", with_views(
+    f"SELECT check_id, {ODD_LABELS} AS columns, count, severity FROM issues",
+    tracker=TRACKER, f="\nUNION ALL\n".join(ROW_RULES_SQL[c] for c in ("Q4", "L2", "L4", "T2")),
+    d=f"SELECT * FROM ({NULL_DENSITY}) n WHERE \"column\" IN ('status', 'due_date', 'budget', 'completion_pct')",
+    variants=CASING, issues=whole_sql(("status", "due_date"), ("budget", "completion_pct"))))
+def odd_column_names(spark, folder):
+    """A table whose names have dots, blanks and backticks: inferred, profiled, audited."""
+    tracker = view(spark, folder, TRACKER)
+    odd = tracker.select(*[F.col(c).alias(name) for c, name in ODD_NAMES.items()])
+    context = CheckContext(infer_roles(odd), RowKey(("row.no",), "row.no"), AS_OF)
+    return counted_issues(audit_table(odd, context, scratch_path(spark, "odd")).issues)
+
+
 @query("I14_file_to_report", with_views(f"""
 SELECT name, status, issue_count, (SELECT count(*) FROM tracker) AS rows, 'csv' AS file_type FROM ({RUN_SQL}) r""",
     **RUN_VIEWS))

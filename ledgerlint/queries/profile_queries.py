@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ledgerlint.operators import profile, schema
+from ledgerlint.functions.values import side_by_side
+from ledgerlint.operators import profile, profile_state, schema
 from ledgerlint.queries.registry import query
 from ledgerlint.queries.views import TRACKER, table, view, with_views
+from ledgerlint.session import stored
 
 LINEITEM = (
     ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
@@ -67,6 +70,62 @@ def samples(spark, folder):
     )
 
 
+MEASURES_OF_STATE = ("l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag")
+
+
+@query("PRF1_merged_profile", union_all(
+    f"SELECT '{c}' AS column, count(*) AS n_rows, count(*) - count({c}) AS null_count, {low} AS min, {high} AS max, {mean} AS mean, "
+    f"{std} AS std, {skew} AS skewness, true AS distinct_is_near, true AS median_is_near FROM lineitem"
+    for c, low, high, mean, std, skew in [
+        *[(c, f"min({c})", f"max({c})", f"round(avg({c}), 6)", f"round(stddev_samp({c}), 6)",
+           f"round(avg(pow({c} - (SELECT avg({c}) FROM lineitem), 3)) / pow(stddev_pop({c}), 3), 4)")
+          for c in ("l_quantity", "l_extendedprice")],
+        *[(c, *["CAST(NULL AS DOUBLE)"] * 5) for c in ("l_shipdate", "l_returnflag")]]))
+def merged_profile(spark, folder):
+    """States of the parts of lineitem, one part added later, read off together; estimates held against exact figures."""
+    lines = table(spark, folder, "lineitem")
+    origin = profile_state.origins(lines, MEASURES_OF_STATE)
+    old = lines.where("l_linenumber < 4")
+    store = profile_state.accumulate(old, MEASURES_OF_STATE, origin, part=F.col("l_linenumber")).drop("part")
+    added = profile_state.accumulate(lines.where("l_linenumber >= 4"), MEASURES_OF_STATE, origin)
+    found = profile_state.profile(profile_state.combine([stored(store, "states"), stored(added, "states")]), (0.5,))
+    exact = profile.column_stats(lines, MEASURES_OF_STATE).select("column", "distinct_count")
+    median = F.col("quantiles")[0]
+    ranks = side_by_side(*[
+        lines.agg(F.percentile(c, [0.48, 0.52]).alias(c)) for c in ("l_quantity", "l_extendedprice")]).select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).alias("around")) for c in ("l_quantity", "l_extendedprice")])))
+    return found.join(exact, "column").join(ranks, "column", "left").select(
+        "column", "n_rows", "null_count", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
+        F.round("skewness", 4).alias("skewness"),
+        (F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= 0.03 * F.col("distinct_count") + 1).alias("distinct_is_near"),
+        (median.isNull() | median.between(F.col("around")[0], F.col("around")[1])).alias("median_is_near"))
+
+
+@query("PRF4_merged_top_values", """
+SELECT 'p_type' AS column, p_type AS value, count(*) AS n FROM part GROUP BY 2
+UNION ALL SELECT 'p_name', p_name, count(*) FROM part GROUP BY 2""")
+def merged_top_values(spark, folder):
+    """Frequent values of parts that were profiled apart: all of them where no part had more than a state keeps."""
+    parts = table(spark, folder, "part")
+    states = profile_state.accumulate(parts, ("p_type", "p_name"), part=F.col("p_size") % 7, top=1000).drop("part")
+    return profile_state.profile(profile_state.combine(states, 1000)).select("column", F.inline("top"))
+
+
+KEY_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_returnflag")
+KEY_SETS = [s for size in (1, 2, 3) for s in combinations(KEY_COLUMNS, size)]
+
+
+@query("SCH3_composite_keys", "WITH k AS (" + union_all(
+    f"SELECT [{', '.join(repr(c) for c in s)}] AS c, count(*) AS n_rows, "
+    f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM lineitem) d) AS n FROM lineitem" for s in KEY_SETS
+) + """), keys AS (SELECT * FROM k WHERE n = n_rows)
+SELECT array_to_string(c, ',') AS columns, n_rows FROM keys a
+WHERE NOT EXISTS (SELECT 1 FROM keys b WHERE len(b.c) < len(a.c) AND list_has_all(a.c, b.c))""")
+def composite_keys(spark, folder):
+    found = schema.minimal_keys(table(spark, folder, "lineitem"), KEY_COLUMNS)
+    return found.select(F.concat_ws(",", "columns").alias("columns"), "n_rows")
+
+
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 

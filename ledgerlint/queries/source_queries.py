@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ledgerlint.functions.values import side_by_side
 from ledgerlint.operators import issues as iss
 from ledgerlint.operators.actions import apply_patches
-from ledgerlint.operators.normalize import sheet_snapshot
 from ledgerlint.operators.quality import type_mix, variant_class
 from ledgerlint.operators.sheet_checks import sheet_issues
 from ledgerlint.queries.action_queries import actions_of, fold_sql, patched_sql
@@ -17,7 +16,7 @@ from ledgerlint.queries.issue_queries import (
 from ledgerlint.queries.registry import query
 from ledgerlint.queries.sheet_queries import ALL_ISSUES_SQL, DATA_COLUMNS, NAMES, sheet_of
 from ledgerlint.queries.views import ACTIONS, AS_OF, ISO_DATE, SHEET, table, view, with_views
-from ledgerlint.session import scratch_path
+from ledgerlint.session import scratch_path, stored
 from ledgerlint.sinks import tables as sink
 from ledgerlint.sources import files, sheets
 
@@ -167,7 +166,7 @@ def snapshot(spark, folder):
         ordered.select(*DATA_COLUMNS).write.option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
-    return sheet_snapshot(files.read_csv_text(spark, path))
+    return files.read_csv_snapshot(spark, path)
 
 
 @query("SRC5_snapshot_two_encodings", with_views(
@@ -180,7 +179,7 @@ def snapshot_two_encodings(spark, folder):
     for part, encoding, own in (("1", "UTF-8", F.col("row_number") <= middle), ("2", "ISO-8859-1", F.col("row_number") > middle)):
         half = rows.where(own).repartitionByRange(2, "row_number").sortWithinPartitions("row_number")
         half.select("accent").write.option("header", True).option("encoding", encoding).csv(f"{path}/{part}")
-    return sheet_snapshot(files.csv_scans(spark, f"{path}/*"))
+    return files.read_csv_snapshot(spark, f"{path}/*")
 
 
 CELL_COLUMNS = ("task_name", "status", "budget_usd", "completion_pct", "notes")
@@ -268,6 +267,23 @@ def cell_updates(spark, folder):
     return sink.update_cells(sheet, updates, "row_id")
 
 
+@query("SNK4_partition_updates", with_views("""
+SELECT row_id, CASE WHEN status = 'Blocked' AND row_id % 7 = 0 THEN 'checked' ELSE notes END AS notes,
+  status, status IS NOT DISTINCT FROM 'Blocked' AS rewritten FROM sheet""", sheet=SHEET))
+def partition_updates(spark, folder):
+    """Cells of a table that is stored by status: only the partitions with an updated row are written again."""
+    path = scratch_path(spark, "by_status")
+    sheet = sheet_of(spark, folder).select("row_id", "notes", "status")
+    sheet.withColumn("part", F.coalesce("status", F.lit("none"))).write.partitionBy("part").parquet(path)
+    before = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    before = stored(before.withColumn("old", F.lit(True)), "files")
+    updates = sheet.where("status = 'Blocked' AND row_id % 7 = 0").select(
+        F.lit(1).alias("seq"), "row_id", F.lit("notes").alias("column"), F.lit("checked").alias("new_value"))
+    sink.update_stored_cells(spark, path, updates, "row_id", "part")
+    rows = spark.read.parquet(path).select("row_id", "notes", "status", F.col("_metadata.file_path").alias("file"))
+    return rows.join(before, "file", "left").select("row_id", "notes", "status", F.col("old").isNull().alias("rewritten"))
+
+
 @query("SNK5_cell_flags", with_views("""
 SELECT row_id, 'due_date' AS "column", 'unreadable: ' || due_date AS note FROM sheet
 WHERE try_strptime(due_date, '%Y-%m-%d') IS NULL""", sheet=SHEET))

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlint.operators import anomalies, duplicates, logic, normalize, profile, quality, schema, stale
+from ledgerlint.operators import anomalies, duplicates, issues, logic, normalize, profile, quality, schema, stale
 from ledgerlint.operators.findings import RowKey, row_findings, summarise
 from ledgerlint.operators.skew import join_to_groups
 from ledgerlint.plans.audit import CheckContext, FAMILIES, audit_table
@@ -252,3 +252,46 @@ def test_sketched_evidence_agrees_on_small_tables(spark):
     stats = {r["column"]: r for r in profile.column_stats(df, exact=False).collect()}
     assert stats["due_date"]["null_count"] == 20 and stats["level"]["distinct_count"] == 4
     assert [r["column"] for r in schema.key_candidates(df).orderBy("position").collect()] == ["id", "contact"]
+
+
+def test_names_with_dots_blanks_and_backticks(spark):
+    rows = [(i, "Open" if i % 2 else "open", "2026-01-01", -10.0 if i == 3 else 10.0, 150.0 if i == 4 else 50.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "a bigint, b string, c string, d double, e double").toDF(
+        "row.id", "task status", "due.date", "unit`s.price", "done.pct")
+    roles = schema.infer_roles(df)
+    assert roles.types["task status"] == "status" and roles.types["due.date"] == "date" and roles.key == ("row.id",)
+    result = audit_table(df, CheckContext(roles, RowKey(("row.id",), "row.id"), AS_OF), scratch_path(spark, "odd"))
+    assert {r["status"] for r in result.run_stats.collect()} == {"done"}
+    got = {(r["check_id"], c) for r in result.summary.collect() for c in r["columns"]}
+    assert {("L2", "unit`s.price"), ("Q4", "done.pct"), ("Q3", "task status"), ("T2", "due.date")} <= got
+    assert result.health.first()["health_score"] < 100
+
+
+def test_a_run_with_a_failed_family_has_no_score(spark):
+    def broken(df, context, counted):
+        raise RuntimeError("no such thing")
+
+    df = spark.createDataFrame([(0, 5.0)], "id bigint, cost double")
+    families = dict.fromkeys(FAMILIES, broken)
+    result = audit_table(df, CheckContext(ColumnRoles(), ID, AS_OF), scratch_path(spark, "all_broken"), families=families)
+    row = result.health.first()
+    assert row["health_score"] is None and row["n_failed"] == 5
+    text = issues.executive_summary(result.health).first()["summary"]
+    assert "5 check families failed" in text
+    assert result.health.select(issues.score_band(F.col("health_score"))).first()[0] == "unknown"
+
+
+def test_long_texts_are_compared_as_documents(spark):
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(0, words, "alpha"), (1, words + " more", "beta"), (2, " ".join(f"other{i}" for i in range(60)), "gamma"), (3, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, body string, short_name string")
+    roles = ColumnRoles({"body": "text", "short_name": "name"}, ("id",))
+    result = audit_table(df, CheckContext(roles, ID, AS_OF), scratch_path(spark, "long"), agents=("duplicate_hunter",))
+    assert keys(result.findings, "D3") == [0, 1]
+
+
+def test_spellings_shown_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SHOWN_SPELLINGS", 2)
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(["done", "Done", "DONE", "dOne", "open"])], "id bigint, status string")
+    details = {r["detail"] for r in quality.casing_findings(df, ["status"], ID).collect()}
+    assert details == {"DONE, Done (+2 more)"}

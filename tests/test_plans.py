@@ -11,7 +11,7 @@ from ledgerlint.streaming import rules as streaming
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
-EAGER = {"tracker_audit", "I14_run_stats", "I14_run_totals"}
+EAGER = {"tracker_audit", "I14_run_stats", "I14_run_totals", "I14_whole_audit", "I14_whole_score", "I14_odd_column_names"}
 
 
 def plan_of(df):
