@@ -54,21 +54,21 @@ CONDITIONS = {
 }
 ISSUE_TEXTS = {
     "P3": ("data_quality", "Data Integrity Issue",
-           f"'Row ' || row_number || ' has missing or invalid values in: ' || array_to_string({MISSING}, ', ')",
-           "LOW", f"array_to_string({MISSING}, ',')", "Audit and populate missing fields."),
+           f"'Row ' || row_number || ' lacks usable values: ' || array_to_string({MISSING}, ', ')",
+           "LOW", f"array_to_string({MISSING}, ',')", "Fill in the missing cells."),
     "P5": ("business_logic", "Status Conflict",
-           f"'Status is ''Not Started'' but completion is ' || {PERCENT} || '%.'",
-           "LOW", "'status,completion_pct'", "Update status to ''In Progress''."),
-    "P6": ("business_logic", "Completion Contradiction", "'Task is 100% complete but status is not ''Done''.'",
-           "MEDIUM", "'status,completion_pct'", "Mark task as ''Done''."),
+           f"{PERCENT} || '% is done although the status says ''Not Started''.'",
+           "LOW", "'status,completion_pct'", "Set the status to ''In Progress''."),
+    "P6": ("business_logic", "Completion Contradiction", "'All work is done, but the status does not say so.'",
+           "MEDIUM", "'status,completion_pct'", "Set the status to ''Done''."),
     "P7": ("stale_records", "Overdue Task",
-           f"'Task ''' || trim(task_name) || ''' is ' || {DAYS} || ' days overdue. Status: ' "
+           f"'''' || trim(task_name) || ''' was due ' || {DAYS} || ' days ago; its status is ' "
            "|| coalesce(status, '') || '.'",
-           "MEDIUM", "'due_date,status'", "Review and update schedule."),
+           "MEDIUM", "'due_date,status'", "Check the schedule."),
     "P8": ("anomaly_detector", "Budget Overrun",
-           f"'Actual cost ($' || CAST({number_sql('actual_cost_usd')} AS VARCHAR) || ') > Budget ($' "
-           f"|| CAST({number_sql('budget_usd')} AS VARCHAR) || ').'",
-           "HIGH", "'actual_cost_usd'", "Review budget."),
+           f"'The cost of $' || CAST({number_sql('actual_cost_usd')} AS VARCHAR) || ' exceeds the budget of $' "
+           f"|| CAST({number_sql('budget_usd')} AS VARCHAR) || '.'",
+           "HIGH", "'actual_cost_usd'", "Check the budget."),
 }
 
 
@@ -94,19 +94,19 @@ SHOWN = "string_agg(CAST(row_id AS VARCHAR), ',' ORDER BY row_number) FILTER (WH
 
 P1_ISSUES = f"""
 SELECT {id_sql("'P1'", 'k')} AS issue_id, 'P1' AS check_id, 'duplicate_hunter' AS agent,
-  'Duplicate Task ID' AS title, 'Task ID ''' || k || ''' found on ' || count(*) || ' rows: ' || {NUMBERS} || '.'
+  'Duplicate Task ID' AS title, 'Id ''' || k || ''' stands on ' || count(*) || ' rows: ' || {NUMBERS} || '.'
   AS description, 'HIGH' AS severity, {SHOWN} AS affected_rows, 'task_id' AS affected_columns,
-  'Ensure each task uniquely identified.' AS suggested_fix, count(*) - 1 AS count,
+  'Give every task an id of its own.' AS suggested_fix, count(*) - 1 AS count,
   CAST(1.0 AS DOUBLE) AS confidence, {place_sql('P1', 0, 'min(row_number)')} AS seq
 FROM (SELECT *, {ID_KEY} AS k, row_number() OVER (PARTITION BY {ID_KEY} ORDER BY row_number) AS n FROM sheet) s
 WHERE k <> '' GROUP BY k HAVING count(*) > 1"""
 
 P2_ISSUES = f"""
 SELECT {id_sql("'P2'", 'k')} AS issue_id, 'P2' AS check_id, 'duplicate_hunter' AS agent,
-  'Near-Duplicate Records' AS title, 'Task ''' || arg_min(task_name, row_number)
-  || ''' appears duplicated across unique IDs: ' || {NUMBERS} || '.' AS description, 'MEDIUM' AS severity,
+  'Near-Duplicate Records' AS title, '''' || arg_min(task_name, row_number)
+  || ''' stands under several ids: ' || {NUMBERS} || '.' AS description, 'MEDIUM' AS severity,
   {SHOWN} AS affected_rows, 'task_name,assigned_to' AS affected_columns,
-  'Review if these similar tasks can be merged.' AS suggested_fix, count(*) - 1 AS count,
+  'See whether these tasks are one.' AS suggested_fix, count(*) - 1 AS count,
   CAST(0.85 AS DOUBLE) AS confidence, {place_sql('P2', 0, 'min(row_number)')} AS seq
 FROM (SELECT *, {NAME_KEY} || '|' || {OWNER_KEY} AS k,
   row_number() OVER (PARTITION BY {NAME_KEY}, {OWNER_KEY} ORDER BY row_number) AS n FROM sheet
@@ -188,34 +188,34 @@ def rows_of_issues(spark, folder):
 ACTION_PARTS = {
     "P1": [dict(
         where=None, kind="update_cell_value", column="task_id", current="k", proposed="k || '_DUP'",
-        reason="'Critical Duplicate Task ID detected.'", severity="HIGH", agent="duplicate_hunter", risk="REVIEW",
+        reason="'An earlier row has this id.'", severity="HIGH", agent="duplicate_hunter", risk="REVIEW",
         source=f"(SELECT *, {ID_KEY} AS k, row_number() OVER (PARTITION BY {ID_KEY} ORDER BY row_number) AS n "
                "FROM sheet) s", condition="k <> '' AND n > 1",
     )],
     "P4": [dict(
         kind="update_cell_value", column=c, current=c, proposed="'0'",
-        reason=f"'Standardizing non-numeric value ''' || {c} || ''' to ''0''.'", severity="LOW",
+        reason=f"'''' || {c} || ''' is no number; 0 stands in for it.'", severity="LOW",
         agent="data_quality", risk="SAFE", condition=f"lower(trim({c})) IN ('done', 'n/a', '—', 'none')",
     ) for c in ("completion_pct", "subtask_count")],
     "P5": [dict(
         kind="update_cell_value", column="status", current="status", proposed="'In Progress'",
-        reason=f"'Work has started (' || {PERCENT} || '%) so status should be ''In Progress''.'", severity="LOW",
+        reason=f"{PERCENT} || '% done means that work is in progress.'", severity="LOW",
         agent="business_logic", risk="SAFE", condition=CONDITIONS["P5"],
     )],
     "P6": [dict(
         kind="update_cell_value", column="status", current="status", proposed="'Done'",
-        reason="'Completion is 100%.'", severity="MEDIUM", agent="business_logic", risk="SAFE",
+        reason="'Nothing is left to do.'", severity="MEDIUM", agent="business_logic", risk="SAFE",
         condition=CONDITIONS["P6"],
     )],
     "P7": [dict(
         kind="add_comment", column="status", current="status", proposed=f"'[STALE] ' || {DAYS} || 'd overdue'",
-        reason="'Due date ' || due_date || ' is in the past.'", severity="MEDIUM", agent="stale_records",
+        reason="'It was due on ' || due_date || '.'", severity="MEDIUM", agent="stale_records",
         risk="SAFE", condition=CONDITIONS["P7"],
     )],
     "P8": [dict(
         kind="add_comment", column="actual_cost_usd",
         current=f"CAST({number_sql('actual_cost_usd')} AS VARCHAR)", proposed="'[AI] Overrun detected.'",
-        reason="'Cost > Budget'", severity="HIGH", agent="anomaly_detector", risk="SAFE", condition=CONDITIONS["P8"],
+        reason="'The cost exceeds the budget.'", severity="HIGH", agent="anomaly_detector", risk="SAFE", condition=CONDITIONS["P8"],
     )],
 }
 

@@ -231,8 +231,8 @@ def audit_sheet_table(spark, folder):
 @query("SNK3_comments", with_views("""
 SELECT target_row_id AS row_id, proposed_value AS comment,
   CASE WHEN target_row_id IS NULL OR trim(coalesce(proposed_value, '')) = '' THEN 'failed' ELSE 'success' END AS status,
-  CASE WHEN target_row_id IS NULL THEN 'row_id is required for add_comment but was None'
-    WHEN trim(coalesce(proposed_value, '')) = '' THEN 'comment_text is required for add_comment but was empty'
+  CASE WHEN target_row_id IS NULL THEN 'a comment needs a row'
+    WHEN trim(coalesce(proposed_value, '')) = '' THEN 'a comment needs text'
   END AS error,
   CASE WHEN target_row_id IS NOT NULL AND trim(coalesce(proposed_value, '')) <> ''
     THEN substr(proposed_value, 1, 50) END AS echo

@@ -60,6 +60,20 @@ SHEET_FLOOR = 15
 
 PATCH_TYPES = ("update_cell_value", "update_status", "add_comment")
 
+# Titles of sheet issues, and what corrections write into cells.
+SHEET_TITLES = {
+    "P1": "Duplicate Task ID",
+    "P2": "Near-Duplicate Records",
+    "P3": "Data Integrity Issue",
+    "P5": "Status Conflict",
+    "P6": "Completion Contradiction",
+    "P7": "Overdue Task",
+    "P8": "Budget Overrun",
+}
+STALE_NOTE = "[STALE] %sd overdue"
+OVERRUN_NOTE = "[AI] Overrun detected."
+RENAMED_ID = "_DUP"
+
 DOMAIN_NAMES = {
     "generic": "Generic",
     "project_management": "Project Management",

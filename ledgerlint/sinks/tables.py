@@ -67,8 +67,8 @@ def check_comments(comments: DataFrame) -> DataFrame:
     """(row_id, comment, status, error, echo): comments without a row or text are rejected."""
     text = F.trim(F.coalesce("comment", F.lit("")))
     error = (
-        F.when(F.col("row_id").isNull(), "row_id is required for add_comment but was None")
-        .when(text == "", "comment_text is required for add_comment but was empty")
+        F.when(F.col("row_id").isNull(), "a comment needs a row")
+        .when(text == "", "a comment needs text")
     )
     return comments.select(
         "row_id",

@@ -72,11 +72,11 @@ def test_issues(sheet):
     assert rows_of(issues, "P7") == [[15], [18]]
     assert rows_of(issues, "P8") == [[13]]
     texts = {(r["check_id"], r["affected_rows"][0]): r["description"] for r in issues.collect()}
-    assert texts[("P1", "20000")] == "Task ID 'T-0' found on 3 rows: [1, 21, 22]."
-    assert texts[("P2", "20002")] == "Task 'Task 2' appears duplicated across unique IDs: [3, 24]."
-    assert texts[("P3", "20007")] == "Row 8 has missing or invalid values in: assigned_to"
-    assert texts[("P7", "20015")] == "Task 'Task 15' is 1 days overdue. Status: In Progress."
-    assert texts[("P8", "20013")] == "Actual cost ($5500.0) > Budget ($1000.0)."
+    assert texts[("P1", "20000")] == "Id 'T-0' stands on 3 rows: [1, 21, 22]."
+    assert texts[("P2", "20002")] == "'Task 2' stands under several ids: [3, 24]."
+    assert texts[("P3", "20007")] == "Row 8 lacks usable values: assigned_to"
+    assert texts[("P7", "20015")] == "'Task 15' was due 1 days ago; its status is In Progress."
+    assert texts[("P8", "20013")] == "The cost of $5500.0 exceeds the budget of $1000.0."
 
 
 def test_proposals_and_corrected_sheet(sheet):
