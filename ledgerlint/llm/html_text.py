@@ -9,9 +9,15 @@ short paragraphs stay; in other regions lines of links are dropped.
 
 A class, id or role that names another part (``ad``, ``sidebar``, ...) cuts nothing: it puts the lines of its element
 in doubt. A line in doubt has its ratio lowered to a quarter, is kept only where that still reaches the border of the
-other lines, and does not decide on the region. Names of ``<article>``, ``<main>``, ``<body>`` and ``<html>`` do not
-count, nor those of an element that holds more than half of the main part's text. The main part is the ``<article>``,
-or else the ``<main>``, with the most text, if it has a tenth of the page's; otherwise it is the page.
+other lines, and does not decide on the region, however much text its element holds. A name does not count on ``<main>``,
+``<body>`` and ``<html>``, on ``<article>`` unless it says comment or reply, and on an element that holds the main part or
+the first heading. The main part is the ``<article>``, or else the ``<main>``, with the most text outside named
+elements, if it has a tenth of the page's. Where all text is in doubt, the outermost named element with the most text is
+trusted (one whose name only ends in such a word, like ``content-with-sidebar``, before others), and so on inwards until
+a line is. Of containers with equal text the first is chosen.
+
+Containers and names point to those around them and are numbered in page order, so what lies inside one is a range of
+numbers and sums run from the last to the first: work grows with the length of a page, not with its depth.
 
 End tags that HTML lets an author leave out (``p``, ``li``, ``dt``, ``dd``, ``td``, ``th``, ``tr``, ``option``, ...) are
 implied where the standard implies them.
@@ -52,8 +58,10 @@ NAMES = set(
     "commentlist reply replies discussion disqus respond share sharing social related recommended recommendations "
     "widget widgets toolbar pagination pager copyright contentinfo complementary form".split()
 )
-#: Elements whose own names do not count.
-NAMELESS = {"html", "body", "main", "article"}
+#: Elements whose own names do not count, and the names that count on an article.
+NAMELESS = {"html", "body", "main"}
+REMARKS = {"comment", "comments", "reply", "replies"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: What the ratio of a line in doubt is multiplied by, and the share of the page's text that a main part has at least.
 DOUBT = 0.25
 MAIN_SHARE = 0.1
@@ -77,29 +85,51 @@ ENDS = {"li": CONTAINERS - {"div"}, "dt": CONTAINERS - {"div"}, "dd": CONTAINERS
         **dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot", "caption"), {"table", "template"})}
 
 
-def _named(value: str) -> bool:
-    """Whether a class, id or role names a part that may not be the article: ``ad``, ``ad-top``, ``site-footer``."""
+def _named(value: str, names: set[str] = NAMES) -> int:
+    """2 if a class, id or role names a part that may not be the article (``ad``, ``ad-top``), 1 if it only ends so
+    (``site-footer``, ``content-with-sidebar``), else 0."""
+    found = 0
     for name in value.lower().split():
         parts = [x for x in re.split(r"[^a-z]+", name) if x]
-        if parts and parts[0] not in ("has", "with", "no") and (parts[0] in NAMES or parts[-1] in NAMES):
-            return True
-    return False
+        if parts and parts[0] not in ("has", "with", "no"):
+            found = max(found, 2 if parts[0] in names else parts[-1] in names)
+    return found
+
+
+class _Open:
+    """The stack of open elements, which finds the innermost of any names at once."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, int, bool, int]] = []  # element, container number, excluded, innermost name
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, element: tuple[str, int, bool, int]) -> None:
+        self.places.setdefault(element[0], []).append(len(self.elements))
+        self.elements.append(element)
+
+    def innermost(self, tags: set[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def cut(self, place: int) -> None:
+        while len(self.elements) > place:
+            self.places[self.elements.pop()[0]].pop()
 
 
 class _Lines(HTMLParser):
     """Collects lines as [text, tags, characters in links, container, block element, innermost name].
 
-    ``parents`` has the container and element around each container, ``names`` the name around each name.
+    ``parents`` has the number of the container around each container, ``kinds`` its element; ``names`` has the name around
+    each name, the container that its element is (0 if it is none), and how sure the name is.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []  # element, container number, excluded, innermost name
-        self.counts: dict[str, int] = {}
-        self.number = 0
-        self.parents: dict[int, tuple[int, str]] = {0: (-1, "")}
-        self.names: list[int] = [-1]
+        self.open = _Open()
+        self.parents, self.kinds = [-1], [""]
+        self.names: list[tuple[int, int, int]] = [(-1, 0, 0)]
         self.lines: list[list] = []
+        self.headed: set[int] = set()
+        self.first_heading: int | None = None
         self.block = ""
         self.links = 0
         self._new()
@@ -109,10 +139,15 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.linked = 0
 
+    def _inner(self) -> tuple[str, int, bool, int]:
+        return self.open.elements[-1] if self.open.elements else ("", 0, False, 0)
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, number, _, name = self.open[-1] if self.open else ("", 0, False, 0)
+            _, number, _, name = self._inner()
+            if self.block in HEADINGS and self.first_heading is None:
+                self.first_heading = len(self.lines)
             self.lines.append([text, self.tags, self.linked, number, self.block, name])
         self._new()
 
@@ -120,28 +155,22 @@ class _Lines(HTMLParser):
         if tag in NEVER:
             return True
         if tag == "header":
-            return not any(self.counts.get(t) for t in ("article", "main"))
+            return self.open.innermost({"article", "main"}) < 0
         if "hidden" in values or (values.get("aria-hidden") or "").lower() == "true":
             return True
         return bool(re.search(r"display\s*:\s*none", values.get("style") or "", re.I))
 
     def _end(self, tags: set[str], beyond: set[str]) -> None:
         """Ends the innermost open element of ``tags`` and all inside it, unless one of ``beyond`` lies between."""
-        if not any(self.counts.get(t) for t in tags):
+        place = self.open.innermost(tags)
+        if place < 0 or self.open.innermost(beyond) > place:
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                outer = self.open[i - 1] if i else ("", 0, False, 0)
-                if self.open[-1][2]:
-                    self._new()
-                elif self.open[-1][3] != outer[3]:
-                    self.flush()
-                for t, *_ in self.open[i:]:
-                    self.counts[t] -= 1
-                del self.open[i:]
-                break
-            if self.open[i][0] in beyond:
-                break
+        outer = self.open.elements[place - 1] if place else ("", 0, False, 0)
+        if self._inner()[2]:
+            self._new()
+        elif self._inner()[3] != outer[3]:
+            self.flush()
+        self.open.cut(place)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in BLOCKS:
@@ -158,23 +187,24 @@ class _Lines(HTMLParser):
             self.tags += 1
         if tag in VOID:
             return
-        _, number, excluded, name = self.open[-1] if self.open else ("", 0, False, 0)
+        _, number, excluded, name = self._inner()
+        sure = 0
         if not excluded:
             values = dict(attrs)
             excluded = self._excluded(tag, values)
-            named = not excluded and tag not in NAMELESS and any(
-                _named(values.get(k) or "") for k in ("class", "id", "role"))
-            if (excluded or named) and tag not in BLOCKS:
+            if not excluded and tag not in NAMELESS:
+                names = REMARKS if tag == "article" else NAMES
+                sure = max(_named(values.get(k) or "", names) for k in ("class", "id", "role"))
+            if (excluded or sure) and tag not in BLOCKS:
                 self.flush()
-            if named:
-                self.names.append(name)
-                name = len(self.names) - 1
         if tag in CONTAINERS:
-            self.number += 1
-            self.parents[self.number] = (number, tag)
-            number = self.number
-        self.open.append((tag, number, excluded, name))
-        self.counts[tag] = self.counts.get(tag, 0) + 1
+            self.parents.append(number)
+            self.kinds.append(tag)
+            number = len(self.parents) - 1
+        if sure:
+            self.names.append((name, number if tag in CONTAINERS else 0, sure))
+            name = len(self.names) - 1
+        self.open.push((tag, number, excluded, name))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -190,7 +220,7 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][2]:
+        if self._inner()[2]:
             return
         self.parts.append(data)
         if self.links:
@@ -224,35 +254,73 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def _doubtful(lines: list[list], paths: list[list[int]], parser: _Lines) -> list[bool]:
+def _last_inside(parents: list[int]) -> list[int]:
+    """Per number the last one inside it; what lies inside n are the numbers from n to that."""
+    last = list(range(len(parents)))
+    for n in range(len(parents) - 1, 0, -1):
+        last[parents[n]] = max(last[parents[n]], last[n])
+    return last
+
+
+def _summed(own: list[int], parents: list[int]) -> list[int]:
+    """Own weights with those of everything inside."""
+    total = list(own)
+    for n in range(len(parents) - 1, 0, -1):
+        total[parents[n]] += total[n]
+    return total
+
+
+def _doubtful(parser: _Lines) -> list[bool]:
     """Whether each line lies in an element whose name counts."""
-    if len(parser.names) == 1:
+    lines, around = parser.lines, [n[0] for n in parser.names]
+    if len(around) == 1:
         return [False] * len(lines)
     weights = [max(0, len(line[0]) - line[2]) for line in lines]
-    held: dict[int, int] = {}
-    for own, weight in zip(paths, weights):
-        for number in own:
-            held[number] = held.get(number, 0) + weight
+    last = _last_inside(parser.parents)
+
+    own = [0] * len(parser.parents)
+    for line, weight in zip(lines, weights):
+        if not line[5]:
+            own[line[3]] += weight
+    plain = _summed(own, parser.parents)
     part = 0
     for tag in ("article", "main"):
-        largest = max((n for n in held if parser.parents[n][1] == tag), key=lambda n: (held[n], -n), default=0)
-        if largest and held[largest] >= MAIN_SHARE * held[0]:
+        largest = max((n for n, kind in enumerate(parser.kinds) if kind == tag), key=lambda n: (plain[n], -n), default=0)
+        if largest and plain[largest] and plain[largest] >= MAIN_SHARE * sum(weights):
             part = largest
             break
-
-    chains: list[list[int]] = []
-    for line in lines:
-        chain, name = [], line[5]
-        while name > 0:
-            chain.append(name)
-            name = parser.names[name]
-        chains.append(chain)
-    within: dict[int, int] = {}
-    for own, chain, weight in zip(paths, chains, weights):
-        if part in own:
-            for name in chain:
-                within[name] = within.get(name, 0) + weight
-    return [any(within.get(name, 0) <= 0.5 * held[part] for name in chain) for chain in chains]
+    heading = -1 if parser.first_heading is None else lines[parser.first_heading][5]
+    holds_heading = set()
+    while heading > 0:
+        holds_heading.add(heading)
+        heading = around[heading]
+
+    counts = [False] * len(around)
+    for n, (_, container, _) in enumerate(parser.names):
+        counts[n] = n > 0 and not (container and container <= part <= last[container]) and n not in holds_heading
+    own, there = [0] * len(around), [0] * len(around)
+    for line, weight in zip(lines, weights):
+        own[line[5]] += weight
+        there[line[5]] += 1
+    text, held = _summed(own, around), _summed(there, around)
+    inside, outermost, inner = [False] * len(around), [], [[] for _ in around]
+    for n in range(1, len(around)):
+        if counts[n] and held[n]:
+            inner[around[n]].append(n)
+            if not inside[around[n]]:
+                outermost.append(n)
+        inside[n] = counts[n] or inside[around[n]]
+    if not all(inside[line[5]] for line in lines):
+        return [inside[line[5]] for line in lines]
+    # All is in doubt: names are trusted from the outermost inwards, until a line is.
+    trusted = min(outermost, key=lambda n: (parser.names[n][2], -text[n], n))
+    counts[trusted] = False
+    while not there[trusted] and inner[trusted]:
+        trusted = min(inner[trusted], key=lambda n: (parser.names[n][2], -text[n], n))
+        counts[trusted] = False
+    for n in range(1, len(around)):
+        inside[n] = counts[n] or inside[around[n]]
+    return [inside[line[5]] for line in lines]
 
 
 def _menus(lines: list[list]) -> set[int]:
@@ -283,21 +351,14 @@ def main_text(html: str | None) -> str:
     if not parser.lines:
         return ""
 
-    def path(number: int) -> list[int]:
-        up = []
-        while number >= 0:
-            up.append(number)
-            number = parser.parents[number][0]
-        return up[::-1]
-
-    paths = [path(x[3]) for x in parser.lines]
-    doubts = _doubtful(parser.lines, paths, parser)
+    parents, kinds, last = parser.parents, parser.kinds, _last_inside(parser.parents)
+    doubts = _doubtful(parser)
     menus: set[int] = set()
     for doubt in (False, True):
         numbers = [i for i, d in enumerate(doubts) if d == doubt]
         menus.update(numbers[i] for i in _menus([parser.lines[i] for i in numbers]))
     rest = [i for i in range(len(doubts)) if i not in menus]
-    lines, paths, doubts = ([x[i] for i in rest] for x in (parser.lines, paths, doubts))
+    lines, doubts = ([x[i] for i in rest] for x in (parser.lines, doubts))
     if not lines:
         return ""
     plain = [len(text) / (1 + tags) for text, tags, *_ in lines]
@@ -309,24 +370,28 @@ def main_text(html: str | None) -> str:
     border = threshold(list(trusted.values()))
     content = [(ratios[i] if d else trusted[i]) >= border for i, d in enumerate(doubts)]
 
-    weight: dict[int, int] = {}
-    for line, own, chosen, doubt in zip(lines, paths, content, doubts):
+    own = [0] * len(parents)
+    for line, chosen, doubt in zip(lines, content, doubts):
         if chosen and not doubt:
-            for number in own:
-                weight[number] = weight.get(number, 0) + len(line[0])
-    region, depth = 0, 0
-    while parser.parents[region][1] != "article":
-        inner = {p[depth + 1] for p in paths if len(p) > depth + 1 and p[depth] == region}
-        best = max(inner, key=lambda n: (weight.get(n, 0), -n), default=None)
-        semantic = best is not None and parser.parents[best][1] in ("article", "main", "body", "html")
-        if best is None or weight.get(best, 0) < (0.5 if semantic else 0.9) * weight.get(region, 1):
+            own[line[3]] += len(line[0])
+    weight = _summed(own, parents)
+    best = [0] * len(parents)
+    for n in range(len(parents) - 1, 0, -1):
+        outer = parents[n]
+        if not best[outer] or weight[n] >= weight[best[outer]]:
+            best[outer] = n
+    region = 0
+    while kinds[region] != "article" and best[region]:
+        inner = best[region]
+        if weight[inner] < (0.5 if kinds[inner] in ("article", "main", "body", "html") else 0.9) * max(weight[region], 1):
             break
-        region, depth = best, depth + 1
-    whole = parser.parents[region][1] in ("article", "main")
+        region = inner
+    whole = kinds[region] in ("article", "main")
+    few_links = region != 0 and kinds[region] not in ("html", "body")
     kept = [
-        line[0] for line, own, chosen, doubt in zip(lines, paths, content, doubts)
-        if region in own and (chosen or not doubt and (whole or (
-            line[2] < 0.5 * len(line[0]) and region not in (0,) and parser.parents[region][1] not in ("html", "body"))))
+        line[0] for line, chosen, doubt in zip(lines, content, doubts)
+        if region <= line[3] <= last[region] and (chosen or not doubt and (
+            whole or few_links and line[2] < 0.5 * len(line[0])))
     ]
     return " ".join(kept)
 

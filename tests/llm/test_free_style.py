@@ -1,6 +1,9 @@
 """Token counts, page text and chat formatting against plain versions."""
 
 import hashlib
+import math
+import random
+import time
 
 import public_tokenizers
 import pytest
@@ -166,3 +169,55 @@ def test_templates_may_look_back_over_long_conversations(spark):
             assert not any(r["rewrites_history"] for r in own)
     for own in formatted(drops_first):
         assert [r["position"] for r in own if r["rewrites_history"]] == [10]
+
+
+LONG_REMARK = "A reader writes at length about the article and does not come to an end"
+
+
+@pytest.mark.parametrize("html, text", [
+    # comments of more text than the article
+    (f'<div id="content"><p>{LONG} 1.</p><p>Short one.</p></div><div id="comments"><p>{LONG_REMARK}.</p><p>{LONG_REMARK}!</p></div>',
+     f"{LONG} 1. Short one."),
+    (f'<div class="post">{"".join(f"<p>Short {i}.</p>" for i in range(10))}</div><div class="sidebar"><p>{LONG_REMARK * 9}</p></div>',
+     " ".join(f"Short {i}." for i in range(10))),
+    (f'<div class="post"><p>{LONG} 1.</p></div><div class="comments"><article class="comment"><p>{LONG_REMARK * 5}</p></article>'
+     f'<article class="comment"><p>{LONG_REMARK * 3}</p></article></div>', f"{LONG} 1."),
+    # nothing but named elements: the one that ends so, then the one with the most text
+    (f'<div class="content-with-sidebar">{STORY}</div><div class="sidebar"><p>{LONG_REMARK * 30}</p></div>', TOLD),
+    (f'<div class="widget">{STORY}</div><div class="ad"><p>Buy.</p></div>', TOLD),
+    # equal containers: the first
+    (f"<div><p>{LONG} 1.</p></div><div><p>{LONG} 1.</p></div>", f"{LONG} 1. {LONG} 1."),
+])
+def test_named_parts_do_not_win_by_their_length(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("html", [
+    "<div>line of text\n" * 50_000, '<div class="ad">x\n' * 50_000, '<div class="ad">' * 50_000 + "text",
+    "<ul><li><section>" + "<div>" * 50_000 + "</li>x" * 50_000, '<i class="site-ad"></i>' * 50_000 + '<div class="ad"><a>x</a></div>',
+])
+def test_work_grows_with_the_length_of_a_page_only(html):
+    started = time.monotonic()
+    assert html_text.main_text(html)
+    assert time.monotonic() - started < 60
+
+
+def test_pages_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert html_text.extract(pages).collect() == []
+
+
+def test_smoothing_and_clusters_against_plain_versions():
+    draw = random.Random(3)
+    for n in (1, 2, 5, 40):
+        values = [draw.choice([draw.uniform(0, 10), draw.uniform(60, 90)]) for _ in range(n)]
+        for i, got in enumerate(html_text.smoothed(values)):
+            weights = {j: math.exp(-((i - j) ** 2) / 2) for j in range(n) if abs(i - j) <= 3}
+            assert math.isclose(got, sum(w * values[j] for j, w in weights.items()) / sum(weights.values()))
+        border = html_text.threshold(values)
+        below, above = [v for v in values if v < border], [v for v in values if v >= border]
+        if below:  # each value is nearer to the mean of its own cluster
+            low, high = sum(below) / len(below), sum(above) / len(above)
+            assert all(abs(v - low) <= abs(v - high) for v in below) and all(abs(v - high) <= abs(v - low) for v in above)
+        else:
+            assert max(values) <= min(values) * 1.5 + 1e-9
