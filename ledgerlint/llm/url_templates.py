@@ -8,14 +8,20 @@
    many values, none of them dominant, its segments are variable and become a wildcard named after the shape: this
    gives the template of a path.
 3. The tree of a host has the templates' prefixes as nodes. Labelled rows give each node a count of bad and of all
-   labels. A branch that does not differ from its siblings taken together, by a two-proportion test, is merged with
-   them into a wildcard branch; branches that differ keep their literal.
+   labels, and all rows give it a profile: which shapes of segments follow, and how often. A branch is merged with its
+   siblings into a wildcard branch if nothing tells it from the rest of them: where it has labels, a two-proportion test
+   on these; where it has none, its own shape and its profile, which may differ in half of its rows at most. So a branch
+   without labels inherits those of branches built like it; branches that differ keep their literal.
 4. The purity of a merged template is its share of bad labels, smoothed towards its host's. In a host's share rows
-   without a label count as the share of all labels, so a few labelled paths do not condemn a host. Templates at or
-   above ``REJECT`` are blocked.
+   without a label count as the share of all labels, so a few labelled paths do not condemn a host.
+5. Templates at or above a threshold are blocked. It comes from the labels: half of the labelled paths, by a hash, give
+   purities, and the threshold is the one above the share of bad labels (which is what a template without any evidence
+   gets) that tells bad from good best on the other half; of equally good ones the highest.
 
-Sums are combined inside tasks before they are shuffled; a tree is never collected. The labels of the registered query
-are the URLs that fixed rules decide, since there is no other label of pages; a caller may bring labelled URLs.
+Sums are combined inside tasks before they are shuffled; a tree is never collected. Rows meet what is known of their host,
+branch, template or URL by joins that spread the largest groups over many tasks, since one host or one URL may hold a third
+of all rows. The labels of the registered query are the URLs that fixed rules decide, since there is no other label of
+pages; a caller may bring labelled URLs.
 
 Defined cases: a NULL URL or one without ``://`` has an empty host and path, fits no rule and is judged as the template
 of that host; NULL keys and repeated rows are kept; labels that are NULL are ignored; without labels nothing is
@@ -28,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import lower_ascii, stored
+from ledgerlint.operators.skew import join_to_groups
 
 #: Fixed rules of the query: (domain, start of the path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"),
@@ -35,8 +42,12 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 MANY_VALUES = 8
 DOMINANT = 0.5
 SIMILAR = 1.96
+#: The most that the profile of an unlabelled branch may differ from its siblings', as a share of rows.
+UNLIKE = 0.5
 HOST_WEIGHT, TEMPLATE_WEIGHT = 20.0, 5.0
-REJECT = 0.6
+#: Thresholds tried on held-out labels, and the one without labels: nothing is rejected.
+STEPS = 20
+NO_LABELS = 2.0
 
 
 def host_of(url: Column) -> Column:
@@ -89,33 +100,57 @@ def templates(places: DataFrame) -> DataFrame:
     values = slots.groupBy("host", "slot", "value").agg(F.sum("n").alias("n"))
     spread = values.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"),
                                                 F.max("n").alias("most"))
-    variable = spread.where((F.col("values") >= MANY_VALUES) & (F.col("most") < DOMINANT * F.col("n"))).select(
-        "host", "slot", F.lit(True).alias("variable"))
-    chosen = slots.join(variable, ["host", "slot"], "left").groupBy("host", "path").agg(
-        F.array_sort(F.collect_list(F.struct("at", F.coalesce("variable", F.lit(False)).alias("variable")))).alias("v"))
+    variable = spread.select("host", "slot", F.col("values").alias("places"), (
+        (F.col("values") >= MANY_VALUES) & (F.col("most") < DOMINANT * F.col("n"))).alias("variable"))
+    chosen = join_to_groups(slots, variable, ["host", "slot"], "places", ["path"]).groupBy("host", "path").agg(
+        F.array_sort(F.collect_list(F.struct("at", "variable"))).alias("v"))
     template = F.transform("segments", lambda s, i: F.when(
         F.get("v", i)["variable"], F.get("shapes", i)).otherwise(s))
     return shaped.join(chosen, ["host", "path"]).withColumn("template", template).drop("segments", "shapes", "v")
 
 
+def _bare_shape(segment: Column) -> Column:
+    """The shape of a segment of a template, which may be a shape already; empty where the path ends."""
+    return F.when(segment.isNull(), "").when(segment.rlike("^<[a-z]*>"), segment).otherwise(_shape(segment))
+
+
 def merged(counted: DataFrame) -> DataFrame:
-    """``counted`` (host, template, labelled, bad) with ``merged``: the template with branches like their siblings
+    """``counted`` (host, template, labelled, bad, n) with ``merged``: the template with branches like their siblings
     replaced by ``*``."""
-    nodes = counted.select("host", "template", "labelled", "bad", F.posexplode_outer("template").alias("at", "segment"))
-    nodes = nodes.select("host", "template", "labelled", "bad", "at", "segment", F.slice(
-        "template", 1, F.col("at")).alias("parent"))
-    branches = nodes.groupBy("host", "parent", "segment").agg(
-        F.sum("labelled").alias("own_n"), F.sum("bad").alias("own_bad"))
-    parents = branches.groupBy("host", "parent").agg(F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad"),
-                                                     F.count(F.lit(1)).alias("branches"))
+    nodes = counted.select("host", "template", "labelled", "bad", "n", F.posexplode_outer("template").alias("at", "segment"))
+    nodes = nodes.select(
+        "host", "template", "labelled", "bad", "n", "at", F.coalesce("segment", F.lit("")).alias("segment"),
+        # The depth is part of the parent: no segment in front and one empty segment are different places.
+        F.concat_ws("/", F.coalesce("at", F.lit(0)).cast("string"), F.slice("template", 1, F.col("at"))).alias("parent"),
+        _bare_shape(F.get("template", F.col("at") + 1)).alias("follows"))
+    shapes = nodes.groupBy("host", "parent", "segment", "follows").agg(
+        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    branches = shapes.groupBy("host", "parent", "segment").agg(
+        F.sum("labelled").alias("own_n"), F.sum("bad").alias("own_bad"), F.sum("n").alias("rows"))
+    branches = branches.withColumn("own_shape", _bare_shape(F.col("segment")))
+    parents = branches.groupBy("host", "parent").agg(
+        F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad"), F.count(F.lit(1)).alias("branches"))
+    # What a branch without labels is compared with: the labelled siblings of its own shape.
+    known = shapes.join(branches.where("own_n > 0").select("host", "parent", "segment", "own_shape"), ["host", "parent", "segment"])
+    profile = known.groupBy("host", "parent", "own_shape", "follows").agg(F.sum("n").alias("known"))
+    totals = profile.groupBy("host", "parent", "own_shape").agg(F.sum("known").alias("all_known"))
+    own = shapes.join(branches.where("own_n = 0").select("host", "parent", "segment", "own_shape", "rows"), ["host", "parent", "segment"])
+    met = own.join(totals, ["host", "parent", "own_shape"]).join(profile, ["host", "parent", "own_shape", "follows"], "left")
+    shared = met.groupBy("host", "parent", "segment").agg(F.sum(F.least(
+        F.col("n") / F.col("rows"), F.coalesce("known", F.lit(0)) / F.col("all_known"))).alias("in_common"))
+
     rest_n, rest_bad = F.col("all_n") - F.col("own_n"), F.col("all_bad") - F.col("own_bad")
     share = F.col("all_bad") / F.greatest(F.col("all_n"), F.lit(1))
     spread = F.sqrt(share * (1 - share) * (1 / F.greatest(F.col("own_n"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
     apart = F.abs(F.col("own_bad") / F.greatest(F.col("own_n"), F.lit(1)) - rest_bad / F.greatest(rest_n, F.lit(1)))
-    alike = (F.col("branches") > 1) & ((F.col("own_n") == 0) & (F.col("all_n") == 0) | (
-        (F.col("own_n") > 0) & (rest_n > 0) & (apart <= SIMILAR * spread)))
-    judged = branches.join(parents, ["host", "parent"]).select("host", "parent", "segment", alike.alias("alike"))
-    chosen = nodes.join(judged, ["host", "parent", "segment"]).groupBy("host", "template").agg(
+    unlabelled = (F.col("all_n") == 0) | (F.coalesce("in_common", F.lit(0.0)) >= 1 - UNLIKE)
+    labelled = (apart <= SIMILAR * spread) | (rest_n == 0)
+    alike = (F.col("branches") > 1) & F.when(F.col("own_n") == 0, unlabelled).otherwise(labelled)
+    judged = join_to_groups(branches, parents, ["host", "parent"], "branches", ["segment"]).join(
+        shared, ["host", "parent", "segment"], "left").select("host", "parent", "segment", alike.alias("alike"))
+    places = nodes.groupBy("host", "parent", "segment").agg(F.count(F.lit(1)).alias("places"))
+    facts = judged.join(places, ["host", "parent", "segment"])
+    chosen = join_to_groups(nodes, facts, ["host", "parent", "segment"], "places", ["template"]).groupBy("host", "template").agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(F.col("alike"), F.lit("*")).otherwise(
             F.col("segment")).alias("s")))).alias("m"))
     return counted.join(chosen, ["host", "template"]).withColumn(
@@ -132,10 +167,40 @@ def purities(counted: DataFrame) -> DataFrame:
                                       F.greatest(F.sum("n"), F.sum("labelled")).alias("host_rows"))
     unknown = F.col("host_rows") - F.col("host_n") + HOST_WEIGHT
     prior = (F.col("host_bad") + overall * unknown) / (F.col("host_rows") + HOST_WEIGHT)
-    groups = whole.groupBy("host", "merged").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
-    groups = groups.join(hosts, "host").select("host", "merged", (
-        (F.col("b") + TEMPLATE_WEIGHT * prior) / (F.col("n") + TEMPLATE_WEIGHT)).alias("purity"))
-    return whole.join(groups, ["host", "merged"]).select("host", "template", "merged", "purity")
+    groups = whole.groupBy("host", "merged").agg(F.sum("labelled").alias("labels"), F.sum("bad").alias("b"),
+                                                 F.count(F.lit(1)).alias("places"))
+    groups = groups.join(hosts, "host").select("host", "merged", "places", (
+        (F.col("b") + TEMPLATE_WEIGHT * prior) / (F.col("labels") + TEMPLATE_WEIGHT)).alias("purity"))
+    return join_to_groups(whole, groups, ["host", "merged"], "places", ["template"]).select(
+        "host", "template", "merged", "purity", "n")
+
+
+def _counted(places: DataFrame, labels: Column) -> DataFrame:
+    """Rows and labels of each template; only labels where ``labels`` holds count."""
+    def total(c: str) -> Column:
+        return F.sum(F.when(labels, F.coalesce(c, F.lit(0))).otherwise(0))
+
+    return places.groupBy("host", "template").agg(total("labelled").alias("labelled"), total("bad").alias("bad"), F.sum("n").alias("n"))
+
+
+def threshold(places: DataFrame) -> float:
+    """The purity above the share of bad labels that tells bad from good labels best (by the mean of both shares told
+    right) on paths whose labels did not count; of equally good ones the highest. At most ``STEPS`` rows come to the driver."""
+    learned = F.pmod(F.xxhash64("host", "path"), F.lit(2)) == 0
+    found = purities(_counted(places, learned)).select("host", "template", "purity")
+    held = places.where(~learned & (F.col("labelled") > 0)).join(found, ["host", "template"])
+    step = F.least(F.floor(F.col("purity") * STEPS), F.lit(STEPS - 1)).cast("int")
+    counts = {r["step"]: r for r in held.groupBy(step.alias("step")).agg(
+        F.sum("bad").alias("bad"), F.sum(F.col("labelled") - F.col("bad")).alias("good")).collect()}
+    bad, good = (sum(r[c] for r in counts.values()) for c in ("bad", "good"))
+    if not bad or not good:
+        return 0.5 if bad else NO_LABELS
+    best = (0.0, NO_LABELS)
+    for border in range(int(bad / (bad + good) * STEPS) + 1, STEPS):
+        right = (sum(r["bad"] for s, r in counts.items() if s >= border) / bad
+                 + sum(r["good"] for s, r in counts.items() if s < border) / good)
+        best = max(best, (right, border / STEPS))
+    return best[1]
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, key: str = "page_id", url: str = "url",
@@ -155,12 +220,16 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, key: str = "page_id
         known = labels.where(F.col("bad").isNotNull()).select(
             host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("bad").cast("long").alias(
                 "bad")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("labelled"), F.sum("bad").alias("bad"))
-    with_template = stored(templates(ruled.join(known, ["host", "path"], "left")), "paths")
-    counted = with_template.groupBy("host", "template").agg(
-        F.sum(F.coalesce("labelled", F.lit(0))).alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"),
-        F.sum("n").alias("n"))
-    judged = with_template.join(purities(counted), ["host", "template"]).select(
-        "host", "path", "rule", F.coalesce("verdict", F.when(F.col("purity") >= REJECT, "block").otherwise(
-            "allow")).alias("verdict"), F.col("merged").alias("template"), "purity")
-    return rows.join(judged, ["host", "path"]).select(
+    places = stored(templates(ruled.join(known, ["host", "path"], "left")), "paths")
+    border = threshold(places)
+    # One row per template, with the paths that have it as weight.
+    found = purities(_counted(places, F.lit(True))).select("host", "template", "merged", "purity")
+    paths = places.groupBy("host", "template").agg(F.count(F.lit(1)).alias("paths"))
+    judged = join_to_groups(
+        places.select("host", "path", "rule", "verdict", "n", "template"), found.join(paths, ["host", "template"]),
+        ["host", "template"], "paths", ["path"])
+    judged = stored(judged.select(
+        "host", "path", "rule", "n", F.coalesce("verdict", F.when(F.col("purity") >= border, "block").otherwise(
+            "allow")).alias("verdict"), F.col("merged").alias("template"), "purity"), "judged")
+    return join_to_groups(rows, judged, ["host", "path"], "n", ["key"]).select(
         F.col("key").alias(key), "host", "path", "rule", "verdict", "template", "purity")
