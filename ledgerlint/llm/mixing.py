@@ -2,7 +2,8 @@
 
 1. Sizes (words per document) are summed per source. Sources take their weights by rank; targets share the wanted
    total by weight, stop at ``max_epochs`` times their source's size, and the excess is shared again by weight among
-   the rest, until none is above its stop. Each round is one aggregate over the table of sources.
+   the rest, until none is above its stop: sources are put into the order in which they stop, and running sums give the
+   level at which the rest goes on, whatever their number.
 2. Each source's documents are put into a random order that a seed fixes. Running totals give every document its
    interval of words: sums per (source, bucket) first, then a window inside a bucket, so a source with a third of
    all rows is spread over all buckets. The mix takes the words [0, target) of the order repeated without end, so it
@@ -65,19 +66,23 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     by_rank = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     weighted = sources.withColumn("weight", by_rank).withColumn("stop", max_epochs * F.col("source_size"))
     total = weighted.agg(F.sum("source_size")).first()[0] or 0
-    wanted, given, free, before = share * total, 0, None, -1
-    while free != before:  # each round stops at least one more source, or ends
-        before = free
-        stopped = F.lit(False) if free is None else (
-            F.lit(wanted - given) * F.col("weight") / F.lit(float(free)) >= F.col("stop"))
-        sums = weighted.agg(F.sum(F.when(stopped, F.col("stop")).otherwise(0)).alias("given"),
-                            F.sum(F.when(~stopped, F.col("weight")).otherwise(0)).alias("free")).first()
-        given, free = sums["given"] or 0, sums["free"] or 0
-        if not free:
-            break
-    share_of = F.lit(float(wanted - given)) * F.col("weight") / F.lit(float(free or 1))
-    target = F.when(share_of >= F.col("stop"), F.col("stop").cast("double")).otherwise(share_of)
-    return weighted.withColumn("target", target if free else F.col("stop").cast("double"))
+    # Sources stop in the order of stop by weight. Before each, what is left for it and all later ones, by their weights, is
+    # the level of the water; the first that it does not reach sets the level for all that go on.
+    ordered = globally_ordered(
+        weighted.select("rank", "weight", "stop", (F.col("stop") / F.col("weight")).alias("ratio")), [F.col("ratio"), F.col("rank")])
+    own = Window.partitionBy("__part").orderBy("__at")
+    running = ordered.select("*", F.sum("stop").over(own).alias("own_stops"), F.sum("weight").over(own).alias("own_weights"))
+    parts = ordered.groupBy("__part").agg(F.sum("stop").alias("stops"), F.sum("weight").alias("weights"))
+    over = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    before = parts.select("__part", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_before") for c in ("stops", "weights")])
+    sums = weighted.agg(F.sum("weight")).first()[0] or 0
+    spent = F.col("stops_before") + F.col("own_stops") - F.col("stop")
+    left = F.lit(sums) - F.col("weights_before") - F.col("own_weights") + F.col("weight")
+    level = (F.lit(share * total) - spent) / left
+    levels = running.join(F.broadcast(before), "__part").select("ratio", "rank", level.alias("level"))
+    first = levels.where(F.col("level") < F.col("ratio")).agg(F.min(F.struct("ratio", "rank", "level")).alias("first")).first()["first"]
+    stop = F.col("stop").cast("double")
+    return weighted.withColumn("target", stop if first is None else F.least(stop, F.lit(first["level"]) * F.col("weight")))
 
 
 def _let(value: Column, body) -> Column:
