@@ -1,6 +1,8 @@
 """Document fingerprints from closed syncmers.
 
-A text is read as pieces of up to 16 characters without white space, with edge marks at both ends. A run of ``K``
+A text is read as pieces, with edge marks at both ends: words of up to 16 characters, single characters of scripts
+without spaces, and longer runs cut after certain characters (every 16 where there are none), so that an inserted character
+changes the pieces around it and no others. A run of ``K``
 pieces is an anchor if its smallest piece, by hash, lies at one of its two edges: a closed syncmer. Whether a run is an
 anchor depends on the run alone, so what follows or precedes it cannot move it. An entry of the fingerprint is the
 hash of an anchor and of the distance to the next one: entries match only if two neighbouring anchors match in content
@@ -28,7 +30,10 @@ from pyspark.sql.window import Window
 from ledgerlint.llm.common import globally_ordered, stored
 
 K = 5
-PIECE = r"\S{1,16}"
+#: Characters of scripts without spaces; and those after which a long run is cut, about a quarter of its characters.
+UNSPACED = r"\u0E00-\u0EFF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF"
+CUTS = r"AEIOUaeiou0369+/=.,;:&?_-"
+PIECE = rf"(?<!\S)[^\s{UNSPACED}]{{1,16}}(?!\S)|[{UNSPACED}]|[^\s{UNSPACED}]{{2,15}}?[{CUTS}]|[^\s{UNSPACED}]{{1,16}}"
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fingerprints against a plain version of edits and anchors."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,13 @@ def test_anchors_do_not_depend_on_their_surroundings(spark):
     df = spark.createDataFrame([(f"a b c {middle} x",), (f"other words before it {middle} y z",)], "text string")
     one, other = (set(r["e"]) for r in fingerprints.with_fingerprint(df, "text", "e").collect())
     assert len(one & other) > 0.85 * min(len(one), len(other))
+
+
+@pytest.mark.parametrize("alphabet", ["漢字文書検索指紋鍵列表語句節点線面体", "ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/"])
+def test_an_inserted_character_leaves_text_without_spaces_alike(spark, alphabet):
+    draw = random.Random(4)
+    text = "".join(draw.choice(alphabet) for _ in range(2000))
+    docs = spark.createDataFrame([(i, text[:p] + "漢" * (i > 0) + text[p:]) for i, p in enumerate([0, 0, 1000, 1999])], "doc_id long, text string")
+    rows = {r["doc_id"]: set(r["fingerprint"].split()) for r in fingerprints.fingerprint(docs).collect()}
+    for i in (1, 2, 3):
+        assert 2 * len(rows[0] & rows[i]) / (len(rows[0]) + len(rows[i])) > 0.9
