@@ -2,7 +2,7 @@
 
 Numbers and dates go through a keyed Feistel permutation of their own format: card numbers keep their first digit and
 get a new check digit, account numbers (IBAN) keep country and letters and get new check digits, social security
-numbers and addresses stay possible ones, dates stay dates, phone numbers keep their country code. A permutation maps
+numbers and addresses stay possible ones, dates stay dates, phone numbers keep their country code or leading zero. A permutation maps
 equal values to equal values in every document and different ones to different ones, and whoever has the key can undo
 it. Names in mail addresses and secrets have no format to permute: their letters and digits are replaced by a keyed hash,
 class by class, which links equal values as well.
@@ -30,12 +30,14 @@ MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]
 SECRET = r"(?<![A-Za-z0-9_])(?i:token|secret|password|passwd|api_?key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_.-]{8,}+[\"']?"
 CLOUD_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}+(?: [A-Z0-9]{1,3}+)?)(?![A-Za-z0-9])"
-DATE = r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d|[.-]\d)"
+DATE = r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?!\d|[.-]\d)"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<![\d-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?![\d-])"
 PHONE = r"(?:(?<![\d+])\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
-PATTERN = "|".join([MAIL, SECRET, CLOUD_KEY, IBAN, DATE, ADDRESS, SOCIAL, CARD, PHONE])
+#: Without a country code: separated in threes and fours, or with a leading zero.
+NATIONAL = (r"(?<![\d.+/-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{1,4}[ /]\d{3,8}(?: \d{3,4})?)(?![\d.-]?\d|/\d)")
+PATTERN = "|".join([MAIL, SECRET, CLOUD_KEY, IBAN, DATE, ADDRESS, SOCIAL, CARD, PHONE, NATIONAL])
 
 
 def _let(value: Column, body) -> Column:
@@ -179,8 +181,8 @@ def _possible_social(digits: Column) -> Column:
 def _day(m: Column) -> Column:
     """Days since the first day of the calendar, NULL for what is no date in it; day before month where it is written
     in front, and month before day where only that is possible."""
-    day_first = F.coalesce(*[F.try_to_timestamp(m, F.lit(f)) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy",
-                                                                     "MM/dd/yyyy")]).cast("date")
+    day_first = F.coalesce(*[F.try_to_timestamp(m, F.lit(f)) for f in ("yyyy-MM-dd", "d.M.yyyy", "d/M/yyyy",
+                                                                     "M/d/yyyy")]).cast("date")
     n = F.datediff(day_first, F.lit(FIRST_DAY).cast("date"))
     return F.when((n >= 0) & (n < DAYS), n)
 
@@ -195,10 +197,15 @@ def _new_date(m: Column, key: str) -> Column:
     end = _walk(state(_day(m), False), lambda s: s["n"] < DAYS, once)
     def written(s: Column) -> Column:
         date = F.date_add(F.lit(FIRST_DAY).cast("date"), s["n"].cast("int"))
-        month_first = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNull()
+        month_first = F.try_to_timestamp(m, F.lit("d/M/yyyy")).isNull()
+        padded = m.rlike(r"^\d{2}[./]\d{2}[./]")
+
+        def as_written(long: str, short: str) -> Column:
+            return F.when(padded, F.date_format(date, long)).otherwise(F.date_format(date, short))
+
         return (F.when(m.rlike("^.{4}-"), F.date_format(date, "yyyy-MM-dd"))
-                .when(m.rlike(r"\."), F.date_format(date, "dd.MM.yyyy"))
-                .when(month_first, F.date_format(date, "MM/dd/yyyy")).otherwise(F.date_format(date, "dd/MM/yyyy")))
+                .when(m.rlike(r"\."), as_written("dd.MM.yyyy", "d.M.yyyy"))
+                .when(month_first, as_written("MM/dd/yyyy", "M/d/yyyy")).otherwise(as_written("dd/MM/yyyy", "d/M/yyyy")))
     return _let(end, written)
 
 
@@ -223,7 +230,7 @@ def kind(m: Column) -> Column:
 
 def pseudonym(m: Column, of: Column, key: str) -> Column:
     """The pseudonym of a match of the given kind."""
-    phone_code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
+    phone_code = F.regexp_extract(m, r"^(?:\+\d{1,3}(?=[ .(-])|0)", 0)
     phone = _let(phone_code, lambda c: F.concat(c, _let(F.substr(m, F.length(c) + 1), lambda rest: _fill(
         rest, permuted_digits(_only(rest, "0-9"), key, "phone")))))
     secret = F.regexp_extract(m, r"^(?:AKIA|ASIA|(?i:token|secret|password|passwd|api_?key)\s?[=:]\s?[\"']?)", 0)

@@ -102,3 +102,21 @@ def test_defined_cases(spark):
     assert out.count() == len(rows)
     assert pii.report(df.limit(0), "k").collect() == []
     assert pii.pseudonymise(df.select("doc_id", "text"), "k", found=None).columns == ["doc_id", "text"]
+
+
+@pytest.mark.parametrize("text, shape", [
+    ("born 1/2/1990 there", r"born \d{1,2}/\d{1,2}/(19|20)\d\d there"), ("am 1.2.1990", r"am \d{1,2}\.\d{1,2}\.(19|20)\d\d"),
+    ("on 12/31/1999,", r"on \d\d/\d\d/(19|20)\d\d,"), ("call 555-123-4567 now", r"call \d{3}-\d{3}-\d{4} now"),
+    ("call 555.123.4567.", r"call \d{3}\.\d{3}\.\d{4}\."), ("020 7946 0958", r"0\d\d \d{4} \d{4}"), ("030/1234567", r"0\d\d/\d{7}"),
+])
+def test_more_dates_and_national_phones(spark, text, shape):
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    rows = pii.report(docs, "secret").collect()
+    assert rows[0]["text"] == rows[1]["text"] != text and re.fullmatch(shape, rows[0]["text"])
+    assert rows[0]["n_found"] == 1
+
+
+@pytest.mark.parametrize("text", ["31/2/1990", "1.2.3.1990", "v1.2.1990.4", "0 12", "12-345-6789-1", "2024/01", "555-1234-567"])
+def test_what_is_no_date_and_no_phone_stays(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.report(docs, "secret").first()["text"] == text
