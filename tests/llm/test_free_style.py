@@ -221,3 +221,48 @@ def test_smoothing_and_clusters_against_plain_versions():
             assert all(abs(v - low) <= abs(v - high) for v in below) and all(abs(v - high) <= abs(v - low) for v in above)
         else:
             assert max(values) <= min(values) * 1.5 + 1e-9
+
+
+def test_a_false_declaration_is_found(spark):
+    @chat.turn_local
+    def numbered(turns):
+        return "".join(f"{i}:{r}:{t}\n" for i, (r, t) in enumerate(turns))
+
+    def turns(n, conv):
+        return [(conv, i, "user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(n)]
+
+    rows = spark.createDataFrame(turns(6, 1) + turns(9, 2) + turns(80, 3), "conv_id long, turn long, role string, text string")
+    found = {}
+    for r in chat.format_turns(rows, numbered).collect():
+        found.setdefault(r["conv_id"], []).append((r["position"], r["rewrites_history"]))
+    assert not any(x for _, x in found[1])
+    assert [x for _, x in sorted(found[2])] == [False] * 8 + [True]
+    assert [x for _, x in sorted(found[3])] == [False] * 8 + [True] * 72
+    plain = chat.format_turns(rows)
+    assert plain.where("rewrites_history").count() == 0
+    whole = {r["conv_id"]: r["n_turns"] for r in chat.read_back(plain).collect()}
+    assert whole == {1: 6, 2: 9, 3: 80}
+
+
+SCRIPTS = ["Das ist ein Wort. " * 3000, "这是一个没有空格的长文本，它有很多句子。" * 3000, "Это длинный русский текст без латиницы. " * 2000,
+           "ไม่มีช่องว่าง" * 2000, "x\n" * 9000, "no_space" * 9000]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_batches_of_any_script_stay_bounded(text):
+    parts = list(token_counts.pieces(text, 4096))
+    assert "".join(parts) == text
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    assert token_counts.Counter(VOCABULARY).counts([text]) == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
+    if text not in (SCRIPTS[3], SCRIPTS[5]):  # these have no place where a cut is safe
+        assert max(map(len, parts)) < 4096 + 200
+
+
+def test_kept_counts_are_forgotten_when_full(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 2000)
+    counter = token_counts.Counter(VOCABULARY)
+    texts = [" ".join(f"word{i * j}" for i in range(40)) for j in range(30)]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    for text in texts:
+        assert counter.counts([text]) == [len(tokenizer.encode(text, add_special_tokens=False).ids)]
+        assert counter.kept_bytes <= 2000
