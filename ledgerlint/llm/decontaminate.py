@@ -132,11 +132,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, spans: bool = False, key: str
     found = find(docs, benchmark, key, text, **options).where(F.size("hit") > 0)
     found = found.dropDuplicates(["key", "digest"]).select(
         F.col("key").alias("__key"), F.col("digest").alias("__digest"), F.col("hit").alias("__hit"))
-    same = F.col(f"docs.{key}").eqNullSafe(F.col("__key")) & (
-        F.xxhash64(F.coalesce(F.col(f"docs.{text}"), F.lit(""))) == F.col("__digest"))
+    found = found.alias("found")
+    same = F.col(f"docs.{key}").eqNullSafe(F.col("found.__key")) & (
+        F.xxhash64(F.coalesce(F.col(f"docs.{text}"), F.lit(""))) == F.col("found.__digest"))
     if not spans:
         return docs.alias("docs").join(found, same, "left_anti")
-    kept = F.when(F.col("__hit").isNull(), F.col(f"docs.{text}")).otherwise(
-        without_words(F.col(f"docs.{text}"), F.col("__hit")))
+    kept = F.when(F.col("found.__hit").isNull(), F.col(f"docs.{text}")).otherwise(
+        without_words(F.col(f"docs.{text}"), F.col("found.__hit")))
     columns = [kept.alias(c) if c == text else F.col(f"docs.`{c}`") for c in docs.columns]
     return docs.alias("docs").join(found, same, "left").select(*columns)

@@ -1,5 +1,7 @@
 """The pipeline's stages against their operators and planted documents."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerlint.llm.common import stored, table
 
@@ -35,3 +37,32 @@ def test_planted_documents(spark):
     ids = {r["doc_id"]: r["text"] for r in docs.where("doc_id > 900000").collect()}
     assert set(ids) == {900001, 900005, 900006}
     assert ids[900005] != planted[4][1] and ids[900005].endswith("@example.com now")
+
+
+def test_the_mix_is_written(spark, tmp_path):
+    docs = table(spark, FOLDER, "documents").where("doc_id < 60")
+    report = corpus_pipeline.write_mix(docs, str(tmp_path / "mix"))
+    taken = {r["doc_id"]: r["taken"] for r in report.collect()}
+    written = {}
+    shards = set()
+    for r in spark.read.parquet(str(tmp_path / "mix")).collect():
+        assert len(r["text"].split()) == r["n_words"]
+        written[r["doc_id"]] = written.get(r["doc_id"], 0) + r["n_words"]
+        shards.add(r["shard"])
+    assert written == {k: n for k, n in taken.items() if n} and len(shards) > 1
+
+
+def test_stages_on_an_empty_table_and_on_odd_rows(spark):
+    base = table(spark, FOLDER, "documents")
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (1, "", "", "", 0), (1, "", "", "", 0), (2, "same words here", None, "s", 3),
+         (2, "same words here", None, "s", 3)], base.schema)
+    for rows in (base.limit(0), odd):
+        docs = stored(rows.withColumn("score", F.lit(1)).withColumn("__key", F.lit("x")), "odd")
+        before = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            done = stored(stage(spark, docs, FOLDER), name)
+            if name != "mixing":
+                assert done.columns == docs.columns
+                docs = done
+            assert docs.count() <= before
