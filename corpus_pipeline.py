@@ -56,8 +56,25 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all stages but the last leave of the documents, stored."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return STAGES[-1][1](spark, prepared(spark, sf_dir), sf_dir)
+
+
+def write_mix(docs: DataFrame, path: str) -> DataFrame:
+    """The mix itself as files: a folder per shard, its pieces in shuffled order; returns what the report says of them."""
+    pieces = mixing.mix(docs)
+    pieces.repartition("shard").sortWithinPartitions("shard", "shuffle_key").write.partitionBy("shard").parquet(path)
+    return mixing.report(docs)
+
+
+def run_to_files(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The whole pipeline: documents in, shards of mixed text below ``path`` out."""
+    return write_mix(prepared(spark, sf_dir), path)
