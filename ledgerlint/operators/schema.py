@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import is_numeric, is_temporal, named, parse_date, parse_date_text, parse_number, printable, row_digest
+from ledgerlint.functions.values import is_complex, is_numeric, is_temporal, named, parse_date, parse_date_text, parse_number, printable, row_digest
 from ledgerlint.operators.profile import approximate_facts, value_counts
 from ledgerlint.settings import DATE_FORMATS, ColumnRoles, name_has
 
@@ -199,7 +199,7 @@ def minimal_keys(df: DataFrame, columns=None, most: int = 3) -> DataFrame:
         for at in range(0, len(level), SETS_AT_ONCE):
             some = level[at : at + SETS_AT_ONCE]
             sketch = df.agg(*[
-                F.approx_count_distinct(row_digest(df, s), SKETCH_ERROR).alias(f"s{i}") for i, s in enumerate(some)]).first()
+                F.approx_count_distinct(_rough_hash(df, s), SKETCH_ERROR).alias(f"s{i}") for i, s in enumerate(some)]).first()
             found += _verified(df, [s for i, s in enumerate(some) if sketch[f"s{i}"] >= n_rows * (1 - SKETCH_SLACK)], n_rows)
     return df.sparkSession.createDataFrame([(list(k), n_rows) for k in found], "columns array<string>, n_rows bigint")
 
@@ -211,6 +211,11 @@ SKETCH_SLACK = 0.2
 SETS_AT_ONCE = 64
 
 
+def _rough_hash(df: DataFrame, columns) -> Column:
+    """A cheap hash that may tell equal rows apart (0.0 and -0.0) but hardly merges different ones: sketches only rule out."""
+    return F.xxhash64(*[printable(df.schema[c]) if is_complex(df.schema[c]) else named(c) for c in columns])
+
+
 def _verified(df: DataFrame, sets: list, n_rows: int) -> list:
     """The sets of which no two rows are alike."""
     if not sets or not n_rows:
