@@ -18,9 +18,9 @@
    purities, and the threshold is the one above the share of bad labels (which is what a template without any evidence
    gets) that tells bad from good best on the other half; of equally good ones the highest.
 
-Sums are combined inside tasks before they are shuffled; a tree is never collected. Rows meet what is known of their host,
-branch, template or URL by joins that spread the largest groups over many tasks, since one host or one URL may hold a third
-of all rows. The labels of the registered query are the URLs that fixed rules decide, since there is no other label of
+Sums are combined inside tasks before they are shuffled; a tree is never collected. Rows and paths meet what is known of
+their URL, place or template by joins that spread the largest groups over many tasks, since one host or one URL may hold
+a third of all rows; inside the tree there is one row per template and depth. The labels of the registered query are the URLs that fixed rules decide, since there is no other label of
 pages; a caller may bring labelled URLs.
 
 Defined cases: a NULL URL or one without ``://`` has an empty host and path, fits no rule and is judged as the template
@@ -100,8 +100,8 @@ def templates(places: DataFrame) -> DataFrame:
     values = slots.groupBy("host", "slot", "value").agg(F.sum("n").alias("n"))
     spread = values.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"),
                                                 F.max("n").alias("most"))
-    variable = spread.select("host", "slot", F.col("values").alias("places"), (
-        (F.col("values") >= MANY_VALUES) & (F.col("most") < DOMINANT * F.col("n"))).alias("variable"))
+    variable = stored(spread.select("host", "slot", F.col("values").alias("places"), (
+        (F.col("values") >= MANY_VALUES) & (F.col("most") < DOMINANT * F.col("n"))).alias("variable")), "slots")
     chosen = join_to_groups(slots, variable, ["host", "slot"], "places", ["path"]).groupBy("host", "path").agg(
         F.array_sort(F.collect_list(F.struct("at", "variable"))).alias("v"))
     template = F.transform("segments", lambda s, i: F.when(
@@ -123,11 +123,11 @@ def merged(counted: DataFrame) -> DataFrame:
         # The depth is part of the parent: no segment in front and one empty segment are different places.
         F.concat_ws("/", F.coalesce("at", F.lit(0)).cast("string"), F.slice("template", 1, F.col("at"))).alias("parent"),
         _bare_shape(F.get("template", F.col("at") + 1)).alias("follows"))
-    shapes = nodes.groupBy("host", "parent", "segment", "follows").agg(
-        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    shapes = stored(nodes.groupBy("host", "parent", "segment", "follows").agg(
+        F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("n").alias("n")), "shapes")
     branches = shapes.groupBy("host", "parent", "segment").agg(
         F.sum("labelled").alias("own_n"), F.sum("bad").alias("own_bad"), F.sum("n").alias("rows"))
-    branches = branches.withColumn("own_shape", _bare_shape(F.col("segment")))
+    branches = stored(branches.withColumn("own_shape", _bare_shape(F.col("segment"))), "branches")
     parents = branches.groupBy("host", "parent").agg(
         F.sum("own_n").alias("all_n"), F.sum("own_bad").alias("all_bad"), F.count(F.lit(1)).alias("branches"))
     # What a branch without labels is compared with: the labelled siblings of its own shape.
@@ -146,11 +146,9 @@ def merged(counted: DataFrame) -> DataFrame:
     unlabelled = (F.col("all_n") == 0) | (F.coalesce("in_common", F.lit(0.0)) >= 1 - UNLIKE)
     labelled = (apart <= SIMILAR * spread) | (rest_n == 0)
     alike = (F.col("branches") > 1) & F.when(F.col("own_n") == 0, unlabelled).otherwise(labelled)
-    judged = join_to_groups(branches, parents, ["host", "parent"], "branches", ["segment"]).join(
+    judged = branches.join(parents, ["host", "parent"]).join(
         shared, ["host", "parent", "segment"], "left").select("host", "parent", "segment", alike.alias("alike"))
-    places = nodes.groupBy("host", "parent", "segment").agg(F.count(F.lit(1)).alias("places"))
-    facts = judged.join(places, ["host", "parent", "segment"])
-    chosen = join_to_groups(nodes, facts, ["host", "parent", "segment"], "places", ["template"]).groupBy("host", "template").agg(
+    chosen = nodes.join(judged, ["host", "parent", "segment"]).groupBy("host", "template").agg(
         F.array_sort(F.collect_list(F.struct("at", F.when(F.col("alike"), F.lit("*")).otherwise(
             F.col("segment")).alias("s")))).alias("m"))
     return counted.join(chosen, ["host", "template"]).withColumn(
@@ -167,12 +165,10 @@ def purities(counted: DataFrame) -> DataFrame:
                                       F.greatest(F.sum("n"), F.sum("labelled")).alias("host_rows"))
     unknown = F.col("host_rows") - F.col("host_n") + HOST_WEIGHT
     prior = (F.col("host_bad") + overall * unknown) / (F.col("host_rows") + HOST_WEIGHT)
-    groups = whole.groupBy("host", "merged").agg(F.sum("labelled").alias("labels"), F.sum("bad").alias("b"),
-                                                 F.count(F.lit(1)).alias("places"))
-    groups = groups.join(hosts, "host").select("host", "merged", "places", (
+    groups = whole.groupBy("host", "merged").agg(F.sum("labelled").alias("labels"), F.sum("bad").alias("b"))
+    groups = groups.join(hosts, "host").select("host", "merged", (
         (F.col("b") + TEMPLATE_WEIGHT * prior) / (F.col("labels") + TEMPLATE_WEIGHT)).alias("purity"))
-    return join_to_groups(whole, groups, ["host", "merged"], "places", ["template"]).select(
-        "host", "template", "merged", "purity", "n")
+    return whole.join(groups, ["host", "merged"]).select("host", "template", "merged", "purity")
 
 
 def _counted(places: DataFrame, labels: Column) -> DataFrame:
@@ -226,8 +222,8 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, key: str = "page_id
     found = purities(_counted(places, F.lit(True))).select("host", "template", "merged", "purity")
     paths = places.groupBy("host", "template").agg(F.count(F.lit(1)).alias("paths"))
     judged = join_to_groups(
-        places.select("host", "path", "rule", "verdict", "n", "template"), found.join(paths, ["host", "template"]),
-        ["host", "template"], "paths", ["path"])
+        places.select("host", "path", "rule", "verdict", "n", "template"),
+        stored(found.join(paths, ["host", "template"]), "purities"), ["host", "template"], "paths", ["path"])
     judged = stored(judged.select(
         "host", "path", "rule", "n", F.coalesce("verdict", F.when(F.col("purity") >= border, "block").otherwise(
             "allow")).alias("verdict"), F.col("merged").alias("template"), "purity"), "judged")
