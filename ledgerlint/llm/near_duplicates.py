@@ -12,10 +12,12 @@
    the others the likeliest of each document are verified on the full sets.
 4. Components of the verified links are found by alternating star contraction. In buckets that still hold several
    components, members of the largest are held against the others, and the others against each other, in cells of
-   at most two blocks of ``BLOCK`` rows. A cell estimates pairs from the sketches in memory, a second pass brings the
-   full sets of the documents in likely pairs and verifies them there, likeliest first. Cells return links that join
-   components, never pairs. This finishes the job: every pair that shares a band was either joined already, ruled
-   out by its estimate, or verified.
+   at most two blocks of about ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles. A cell estimates pairs from the sketches
+   in memory, a second pass brings the full sets of the documents in likely pairs and verifies them there, likeliest
+   first. Where many likely pairs turn out not to be linked, as in a family of texts from one template, the rest of the
+   cell is verified at once by products of membership matrices. Cells return links that join components, never pairs.
+   This finishes the job: every pair that shares a band was either joined already, ruled out by its estimate, or
+   verified.
 
 Everything is keyed by class or band, pre-aggregated before it is shuffled, and joined with joins that the adaptive
 skew handling can split. Stage results are tables below the shared folder; nothing is collected to the driver but
@@ -49,7 +51,14 @@ TOP = 2**16 - 2
 MARGIN = 0.5
 LEAST_EQUAL = int(0.5 * REGISTERS)
 BLOCK = 1000
+#: Shingles of a block, 8 bytes each; a single longer document is a block of its own.
+BLOCK_SHINGLES = 4_000_000
+#: Shingles that one membership matrix of a cell covers.
+MATRIX_COLUMNS = 4096
+#: A step of a matrix product costs this part of a step of the comparison of two sorted sets.
+MATRIX_GAIN = 400
 BATCH_ROWS = 1000
+BATCH_BYTES = 32 << 20
 IDS_TO_BROADCAST = 1_000_000
 _RANDOM = np.random.default_rng(4)
 _OFFSET, _MULTIPLIER, _SECOND = _RANDOM.integers(0, 2**32, (3, REGISTERS, 1), dtype=np.uint32) | np.uint32(1)
@@ -97,8 +106,9 @@ def bands(registers: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(raw[i * step : (i + 1) * step], seed=i) - 2**63 for i in range(BANDS)]
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity by maximum likelihood over the counts of larger, smaller and equal registers, row by row."""
+def _likelihood(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray):
+    """The logarithm of the likelihood of similarities, row by row, by the counts of larger, smaller and equal registers;
+    and the largest similarity that the set sizes allow."""
     larger, smaller = (a > b).sum(1), (a < b).sum(1)
     equal = a.shape[1] - larger - smaller
     u = n_a / (n_a + n_b)
@@ -107,11 +117,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     def p(x: np.ndarray) -> np.ndarray:
         return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
+    def of(j: np.ndarray | float) -> np.ndarray:
         above, below = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
         return larger * np.log(above) + smaller * np.log(below) + equal * np.log(np.maximum(1 - above - below, 1e-12))
 
-    low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
+    return of, np.minimum(u / v, v / u)
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity by maximum likelihood, row by row."""
+    likelihood, high = _likelihood(a, b, n_a, n_b)
+    low = np.zeros(len(high))
     for _ in range(40):  # the likelihood has one maximum
         left, right = low + (high - low) / 3, high - (high - low) / 3
         better = likelihood(left) < likelihood(right)
@@ -119,6 +135,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (low + high) / 2
 
 
+def reaches(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether ``estimate`` is at least ``least``: the likelihood has one maximum, so its slope there tells."""
+    likelihood, high = _likelihood(a, b, n_a, n_b)
+    return (high >= least) & (likelihood(least + 1e-6) >= likelihood(least - 1e-6))
+
+
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -237,12 +259,15 @@ def _open_cells(sketches: DataFrame, joined: DataFrame) -> DataFrame:
     of its members.
     """
     members = sketches.join(joined, "key", "left").select(
-        "key", F.coalesce("component", "key").alias("component"), F.posexplode("bands").alias("at", "h"))
-    members = members.select("key", "component", "at", _hash("at", "h").alias("band"))
-    parts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
-    buckets = parts.groupBy("band").agg(F.max(F.struct("m", "component")).alias("main"), F.sum("m").alias("m"),
-                                        F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
-    blocks = [F.ceil(n / F.lit(BLOCK)).cast("int") for n in (F.col("main.m"), F.col("m") - F.col("main.m"))]
+        "key", "n", F.coalesce("component", "key").alias("component"), F.posexplode("bands").alias("at", "h"))
+    members = members.select("key", "n", "component", "at", _hash("at", "h").alias("band"))
+    parts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    buckets = parts.groupBy("band").agg(
+        F.max(F.struct("m", "component", "size")).alias("main"), F.sum("m").alias("m"), F.sum("size").alias("size"),
+        F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
+    rest = [F.col(c) - F.col(f"main.{c}") for c in ("m", "size")]
+    blocks = [F.greatest(F.ceil(m / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_SHINGLES))).cast("int")
+              for m, size in ((F.col("main.m"), F.col("main.size")), rest)]
     buckets = buckets.select("band", F.col("main.component").alias("main"), blocks[0].alias("mains"),
                              blocks[1].alias("others"))
     in_main = F.col("component") == F.col("main")
@@ -297,9 +322,9 @@ def _by_cell(work, columns: list[str]):
 
 
 def _cell_pairs(cell: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows x, y and likeness of a cell's likely pairs across components whose first common band is the cell's.
+    """Rows x, y and equal registers of a cell's likely pairs across components whose first common band is the cell's.
 
-    Equal registers alone rule out nearly all pairs; only the rest are estimated, some thousand at a time.
+    Equal registers alone rule out nearly all pairs; the likelihood decides on the rest, some thousand at a time.
     """
     registers, component, block = cell["registers"], cell["component"], cell["block"]
     n, at = cell["n"].astype(float), int(cell["at"][0])
@@ -318,13 +343,12 @@ def _cell_pairs(cell: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y, same = x[keep], y[keep], same[keep]
         if len(x):
             keep = same.reshape(len(x), BANDS, ROWS).all(2).argmax(1) == at
-            x, y = x[keep], y[keep]
+            x, y, same = x[keep], y[keep], same[keep]
         if len(x):
-            score = estimate(registers[x], registers[y], n[x], n[y])
-            keep = score >= MARGIN
+            keep = reaches(registers[x], registers[y], n[x], n[y], MARGIN)
             xs.append(x[keep])
             ys.append(y[keep])
-            scores.append(score[keep])
+            scores.append(same[keep].sum(1))
     if not xs:
         return (np.empty(0, np.int64),) * 3
     return np.concatenate(xs), np.concatenate(ys), np.concatenate(scores)
@@ -337,8 +361,38 @@ def _needed(cell: dict) -> list[tuple]:
             for r in np.unique(np.concatenate([x, y])).astype(np.int64)]
 
 
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
+    """Exact sizes of the intersections of all pairs x, y of the sets, by products of membership matrices.
+
+    None where that would cost more than comparing the sorted sets. Only shingles of several sets are columns.
+    """
+    rows = np.unique(np.concatenate([x, y]))
+    sizes = np.array([len(sets[r]) for r in rows])
+    _, column, held = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True, return_counts=True)
+    number = np.cumsum(held > 1) - 1
+    columns = int((held > 1).sum())
+    compared = sizes[np.searchsorted(rows, x)].sum() + sizes[np.searchsorted(rows, y)].sum()
+    if len(rows) ** 2 * columns > MATRIX_GAIN * compared:
+        return None
+    row, column = np.repeat(np.arange(len(rows)), sizes), np.where(held[column] > 1, number[column], -1)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(rows), len(rows)), np.float32)  # whole numbers below 2 ** 24 for each product
+    total = np.zeros(len(x), np.int64)
+    for first in range(0, columns, MATRIX_COLUMNS):
+        low, high = np.searchsorted(column, [first, first + MATRIX_COLUMNS])
+        member = np.zeros((len(rows), min(MATRIX_COLUMNS, columns - first)), np.float32)
+        member[row[low:high], column[low:high] - first] = 1
+        np.matmul(member, member.T, out=common)
+        total += common[np.searchsorted(rows, x), np.searchsorted(rows, y)].astype(np.int64)
+    return total
+
+
 def _links_of_cell(cell: dict) -> list[tuple]:
-    """Verified links of a cell, likeliest pairs first; components that a link has joined are not compared again."""
+    """Verified links of a cell, likeliest pairs first; components that a link has joined are not compared again.
+
+    After as many refusals as the cell has rows, the pairs that are left are verified together.
+    """
     x, y, scores = _cell_pairs(cell)
     sets = [np.frombuffer(s, np.uint64) for s in cell["set"]]
     keys, component = cell["key"], cell["component"]
@@ -350,12 +404,35 @@ def _links_of_cell(cell: dict) -> list[tuple]:
             c = root[c]
         return c
 
-    found = []
-    for i in np.argsort(-scores, kind="stable"):
+    found: list[tuple] = []
+
+    def join(i: int, a: int, b: int) -> None:
+        root[max(a, b)] = min(a, b)
+        found.append((min(keys[x[i]], keys[y[i]]), max(keys[x[i]], keys[y[i]])))
+
+    refused, matrix = 0, True
+    order = np.argsort(-scores, kind="stable")
+    for at, i in enumerate(order):
         a, b = find(component[x[i]]), find(component[y[i]])
-        if a != b and _linked(sets[x[i]], sets[y[i]]):
-            root[max(a, b)] = min(a, b)
-            found.append((min(keys[x[i]], keys[y[i]]), max(keys[x[i]], keys[y[i]])))
+        if a == b:
+            continue
+        if _linked(sets[x[i]], sets[y[i]]):
+            join(i, a, b)
+            continue
+        refused += 1
+        if matrix and refused >= len(keys):
+            rest = order[at + 1 :]
+            both = _common(sets, x[rest], y[rest]) if len(rest) else None
+            if both is None:
+                matrix = False
+                continue
+            sizes = np.array([len(s) for s in sets])
+            union = sizes[x[rest]] + sizes[y[rest]] - both
+            for j in rest[SIMILARITY[1] * both >= SIMILARITY[0] * union]:
+                a, b = find(component[x[j]]), find(component[y[j]])
+                if a != b:
+                    join(j, a, b)
+            break
     return found
 
 
@@ -375,14 +452,17 @@ def _rest(sketches: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Sets and sketches are wide: batches of ``BATCH_ROWS`` keep a Python worker within some tens of megabytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_ROWS))
+    """Sets and sketches are wide: batches of ``BATCH_ROWS`` and ``BATCH_BYTES`` keep a Python worker small."""
+    limits = {"maxRecordsPerBatch": BATCH_ROWS, "maxBytesPerBatch": BATCH_BYTES}
+    names = {f"spark.sql.execution.arrow.{name}": str(value) for name, value in limits.items()}
+    before = {name: spark.conf.get(name) for name in names}
     try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

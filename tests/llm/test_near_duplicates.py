@@ -65,6 +65,58 @@ def test_one_large_group_without_pairs(spark):
     assert [r["doc_id"] for r in near_duplicates.keep_one(rows).collect()] == [0]
 
 
+def template(n, seed=9):
+    """Texts of one template that are not linked (similarity near 0.62), and now and then a near copy of an earlier one."""
+    rng = random.Random(seed)
+    shared = [f"t{i}" for i in range(99)]
+    docs = []
+    for key in range(n):
+        if key % 10 == 9:
+            text = docs[rng.randrange(key)][1].split()
+            text[rng.randrange(len(text))] = f"w{rng.randrange(10**9)}"
+        else:
+            text = shared + [f"w{rng.randrange(10**9)}" for _ in range(26)]
+        docs.append((key, " ".join(text)))
+    return docs
+
+
+@pytest.mark.parametrize("block, shingles_of_block, gain", [(1000, 4_000_000, 400), (50, 4_000_000, 400),
+                                                            (1000, 5000, 400), (1000, 4_000_000, 0)])
+def test_a_template_whose_texts_are_not_linked(spark, monkeypatch, block, shingles_of_block, gain):
+    monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", shingles_of_block)
+    monkeypatch.setattr(near_duplicates, "MATRIX_GAIN", gain)
+    docs = template(300)
+    expected = plain(docs)
+    assert 1 < len({c for _, c, _ in expected.values()}) < 300
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_duplicates.find(rows).collect()}
+    assert got == expected
+
+
+def test_common_shingles_by_matrices(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "MATRIX_COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(40)]
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(3, 40), np.arange(30), indexing="ij"))
+    monkeypatch.setattr(near_duplicates, "MATRIX_GAIN", 10**9)
+    assert near_duplicates._common(sets, x, y).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    monkeypatch.setattr(near_duplicates, "MATRIX_GAIN", 0)
+    assert near_duplicates._common(sets, x, y) is None
+
+
+def test_the_slope_tells_whether_an_estimate_reaches_the_margin():
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1000, (4000, near_duplicates.REGISTERS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < rng.random((4000, 1)), a, rng.integers(0, 1000, a.shape).astype(np.uint16))
+    n_a, n_b = rng.integers(50, 100, (2, 4000)).astype(float)
+    found = near_duplicates.estimate(a, b, n_a, n_b)
+    clear = np.abs(found - near_duplicates.MARGIN) > 1e-4
+    reached = near_duplicates.reaches(a, b, n_a, n_b, near_duplicates.MARGIN)
+    assert 100 < reached.sum() < 3900
+    assert (reached == (found >= near_duplicates.MARGIN))[clear].all()
+
+
 def test_defined_cases(spark):
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x y"), (2, "z")],
                                  "doc_id long, text string")
