@@ -329,6 +329,8 @@ def _cell_pairs(cell: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     registers, component, block = cell["registers"], cell["component"], cell["block"]
     n, at = cell["n"].astype(float), int(cell["at"][0])
     size, diagonal = len(n), cell["i"][0] == cell["j"][0]
+    # A band of four registers is one 64-bit number; pairs that share an earlier one are told apart before their registers.
+    earlier = np.ascontiguousarray(np.ascontiguousarray(registers).view(np.uint64)[:, :at])
     xs, ys, scores = [], [], []
     step = max(1, 20_000 // size)
     for first in range(0, size, step):
@@ -336,14 +338,14 @@ def _cell_pairs(cell: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         keep = (component[x] != component[y]) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y]))
         keep &= (y > x) if diagonal else (block[y] > block[x])
         x, y = x[keep], y[keep]
+        if len(x) and at:
+            keep = ~(earlier[x] == earlier[y]).any(1)
+            x, y = x[keep], y[keep]
         if not len(x):
             continue
         same = registers[x] == registers[y]
         keep = same.sum(1) >= LEAST_EQUAL
         x, y, same = x[keep], y[keep], same[keep]
-        if len(x):
-            keep = same.reshape(len(x), BANDS, ROWS).all(2).argmax(1) == at
-            x, y, same = x[keep], y[keep], same[keep]
         if len(x):
             keep = reaches(registers[x], registers[y], n[x], n[y], MARGIN)
             xs.append(x[keep])
