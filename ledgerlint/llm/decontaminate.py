@@ -5,7 +5,9 @@ item of fewer words, but not none, is one window. Every position of every docume
 follow it, looked up in the broadcast set, and a hit is verified word by word before it counts.
 
 The set is broadcast in chunks of at most ``BROADCAST_BYTES``, measured before the scan; a set above that takes one
-scan per chunk, so no executor ever holds more. The explosion into positions, the lookup and the verification are one
+scan per chunk, so no executor ever holds more. A window stands for the items that hold it by a digest of their ids, so a
+prompt that a million items share is one short row there and in the shuffle. The ids are looked up afterwards, once
+for each combination of such digests that occurs, and documents meet only the count and the hash of theirs. The explosion into positions, the lookup and the verification are one
 pipelined stage. Only hits and one row per document are shuffled, combined inside each task first. A passage that a
 third of the documents share is looked up where the documents lie, so it makes no hot partition.
 
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlint.llm.common import lower_ascii, stored
+from ledgerlint.operators.skew import join_to_groups
 
 #: Runs of digits, a-z and everything beyond ASCII (fixed by the contract).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,13 +37,15 @@ def words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per distinct window: ``gram`` (its words), ``gram_hash``, ``gram_len``, ``items`` (ids as strings)."""
+    """One row per distinct window: ``gram`` (its words), ``gram_hash``, ``gram_len``, ``items`` (ids as strings, sorted)
+    and ``item_set``, the digest of these."""
     tokens = benchmark.select(F.col(item).cast("string").alias("id"), words(F.col(text)).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     grams = tokens.where(F.size("w") > 0).select(
         "id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("gram"))
-    return grams.groupBy("gram").agg(F.collect_set("id").alias("items")).select(
-        "gram", _gram_hash("gram", window).alias("gram_hash"), F.size("gram").alias("gram_len"), "items")
+    return grams.groupBy("gram").agg(F.array_sort(F.collect_set("id")).alias("items")).select(
+        "gram", _gram_hash("gram", window).alias("gram_hash"), F.size("gram").alias("gram_len"), "items",
+        F.sha2(F.to_json("items"), 256).alias("item_set"))
 
 
 def _gram_hash(gram: str, window: int) -> Column:
@@ -73,11 +78,16 @@ def _positions(tokens: DataFrame, lengths: list[int], with_documents: bool) -> D
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+         item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES,
+         windows: DataFrame | None = None) -> DataFrame:
     """One row per document: ``key``, ``digest`` (of its text), ``n_words``, ``hit`` (numbers of the hit words, from
-    0, in no order), ``items`` (ids of the items with occurring windows, sorted as strings)."""
-    grams = stored(item_windows(benchmark, item, item_text, window), "grams")
-    size = grams.select(F.sum(F.length(F.concat_ws(" ", "gram", "items")) + 64).alias("bytes"),
+    0, in no order), ``item_sets`` (the ``item_set`` of all occurring windows, sorted; ``items_of`` gives the ids).
+
+    ``windows`` are those of ``item_windows`` where the caller has stored them already.
+    """
+    grams = windows if windows is not None else stored(item_windows(benchmark, item, item_text, window), "grams")
+    grams = grams.drop("items")
+    size = grams.select(F.sum(F.length(F.concat_ws(" ", "gram", "item_set")) + 64).alias("bytes"),
                         F.collect_set("gram_len").alias("lengths")).first()
     lengths = sorted(size["lengths"])
     chunks = max(1, -(-(size["bytes"] or 0) // broadcast_bytes))
@@ -89,27 +99,49 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         at = _positions(tokens, lengths, chunk == 0)
         looked_up = at.join(F.broadcast(part), F.col("h") == F.col("gram_hash"), "left")
         hits = looked_up.where((F.col("n") == 0) | (F.slice("w", F.col("p") + 1, F.col("n")) == F.col("gram")))
-        hits = hits.select("key", "digest", F.when(F.col("n") == 0, F.size("w")).alias("n_words"), "n", "p", "items")
+        hits = hits.select("key", "digest", F.when(F.col("n") == 0, F.size("w")).alias("n_words"), "n", "p", "item_set")
         found = hits if found is None else found.unionByName(hits)
     span = F.when(F.col("n") > 0, F.struct("p", "n"))
     documents = found.groupBy("key", "digest").agg(
         F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"),
-        F.collect_set(span).alias("spans"), F.collect_set("items").alias("item_sets"))
+        F.collect_set(span).alias("spans"), F.array_sort(F.collect_set("item_set")).alias("item_sets"))
     covered = F.flatten(F.transform("spans", lambda s: F.sequence(s["p"], s["p"] + s["n"] - 1)))
     return documents.select(
-        "key", "digest", "n_words", F.array_distinct(covered).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten("item_sets"))).alias("items"),
+        "key", "digest", "n_words", F.array_distinct(covered).alias("hit"), "item_sets",
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def items_of(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row per combination of item sets that occurs in ``found``: ``item_sets``, ``items`` (ids, sorted as strings),
+    ``documents`` (rows of ``found`` with it)."""
+    sets = windows.select("item_set", "items").dropDuplicates(["item_set"])
+    combinations = found.where(F.size("item_sets") > 0).groupBy("item_sets").agg(F.count(F.lit(1)).alias("documents"))
+    each = combinations.withColumn("item_set", F.explode("item_sets")).join(sets, "item_set")
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    return each.groupBy("item_sets", "documents").agg(items.alias("items"))
+
+
+def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+           item_text: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """One row per document: key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = find(docs, benchmark, key, **options)
-    return found.select(
+    windows = stored(item_windows(benchmark, item, item_text, window), "grams")
+    found = find(docs, benchmark, key, text, item, item_text, window, windows=windows, **options)
+    found = stored(found.select("key", "digest", "n_words", F.size("hit").alias("n_hit"), "item_sets"), "hits")
+
+    def listed(items: Column) -> list[Column]:
+        return [F.size(items).alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256")]
+
+    combination = F.sha2(F.array_join("item_sets", ","), 256).alias("combination")
+    lists = stored(items_of(found, windows).select(combination, "documents", *listed(F.col("items"))), "items")
+    rows = ["key", "digest", "n_words", "n_hit"]
+    with_items = found.where(F.size("item_sets") > 0).select(*rows, combination)
+    with_items = join_to_groups(with_items, lists, ["combination"], "documents", ["key", "digest"])
+    without = found.where(F.size("item_sets") == 0).select(*rows, *listed(F.array().cast("array<string>")))
+    return without.unionByName(with_items.select(without.columns)).select(
         F.col("key").alias(key), F.col("n_words").cast("long").alias("n_words"),
-        F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
+        F.col("n_hit").cast("long").alias("n_hit"), F.col("n_items").cast("long").alias("n_items"),
+        "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def without_words(text: Column, hit: Column) -> Column:

@@ -62,6 +62,25 @@ def test_empty_tables(tables):
     assert len(clean) == len(DOCS) and not any(r["contaminated"] for r in clean)
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 500])
+def test_prompt_of_many_items(spark, limit):
+    """Items that share a prompt, some with more text or with commas in their ids; the broadcast rows hold no ids."""
+    items = [(f"item,{i}", PASSAGE + (f" tail {i % 3}" if i % 2 else "")) for i in range(400)]
+    items += [("item", "Tiny item"), ("0", "tiny ITEM"), (None, PASSAGE)]
+    docs = [(i, f"{PASSAGE} tail {i % 4} tiny item" if i % 5 else "tiny items") for i in range(60)]
+    items_table = spark.createDataFrame(items, "item_id string, text string")
+    docs_table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(-1 if v is None else v for v in r) for r in
+                 decontaminate.report(docs_table, items_table, broadcast_bytes=limit).collect())
+    assert got == sorted((k, *plain([(k, t)], items)[0][1:]) for k, t in docs)
+    windows = decontaminate.item_windows(items_table)
+    found = decontaminate.find(docs_table, items_table, broadcast_bytes=limit)
+    lists = {tuple(r["item_sets"]): r for r in decontaminate.items_of(found, windows).collect()}
+    assert sum(r["documents"] for r in lists.values()) == found.where("size(item_sets) > 0").count()
+    assert max(len(r["items"]) for r in lists.values()) > 200
+    assert "items" not in found.columns and max(len(s) for sets in lists for s in sets) == 64
+
+
 def test_removal(tables):
     docs, items = tables
     kept = decontaminate.remove(docs, items)
