@@ -3,7 +3,12 @@
 The comparison works on distinct lower-cased values, so copies cost nothing: a pair of values that
 occur n and m times stands for n*m pairs of rows. No pair is missed and no value has a limit on its partners.
 
-Candidates come from a segment index. The shorter value of a pair is cut into one more piece than the edits its longest
+Short values, up to the length where this takes ``VARIANTS`` rows a value (12 characters for Indel, 16 for Edits), meet by what
+is left of them: two values of given lengths are similar only if they have a certain number of characters in common, in
+order, so each leaves out as many as it has more, in all possible ways, and equal remainders meet. Such pairs are
+(nearly) the result, however dense the values are: numbers, codes and words have no template to fear there.
+
+Pairs with a longer value come from a segment index. The shorter value of a pair is cut into one more piece than the edits its longest
 partner may need, so one piece at least is unchanged; and there is one whose number bounds the edits before it, and with them
 how far it has moved. The longer value therefore looks up only the pieces that can be meant: per possible length of a
 partner, piece number and shift, the characters at that place. Pairs that meet are scored, first by a bounded edit
@@ -15,7 +20,7 @@ too many, meet in cells instead. They are dealt into blocks of bounded size, in
 meet only if their lengths allow similar values. A cell (a pair of blocks) compares character counts as matrices: two similar
 values share, with multiplicity, at least t characters, where t follows from the two lengths. Cells are of equal size
 whatever the values look like, and nothing is shuffled there but the values. Their counting grows with the square of the
-values concerned, at some ten million pairs per second and core.
+values concerned, at some ten million pairs per second and core; short values take no part in it but as partners of longer ones.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from ledgerlint.session import stored
 
 #: Values above this length, and those that can be their partners, are not cut into pieces.
 LONGEST = 48
+#: Up to so many remainders a value, short values meet by these. Results do not depend on it.
+VARIANTS = 100
 #: A piece that would join more pairs than this is left to the cells.
 HOT_PAIRS = 100_000
 #: Up to so many values, a few cells are cheaper than an index. Results do not depend on it.
@@ -60,6 +67,10 @@ class Indel:
         """The most insertions and deletions between similar values of these lengths."""
         return F.floor((shorter + longer) * F.lit(1 - self.ratio) + TINY).cast("int")
 
+    def in_common(self, shorter: int, longer: int) -> int:
+        """The fewest characters, in order, that similar values of these lengths have in common."""
+        return math.ceil((shorter + longer - math.floor((shorter + longer) * (1 - self.ratio) + TINY)) / 2)
+
     def partner_lengths(self, length: Column) -> tuple[Column, Column]:
         share = self.ratio / (2 - self.ratio)
         return F.ceil(length * F.lit(share) - TINY), F.floor(length / F.lit(share) + TINY)
@@ -89,6 +100,10 @@ class Edits:
         """The most edits between similar values of these lengths."""
         return self.limit(longer)
 
+    def in_common(self, shorter: int, longer: int) -> int:
+        """The fewest characters, in order, that similar values of these lengths have in common."""
+        return longer - math.floor(longer * self.share + TINY)
+
     def partner_lengths(self, length: Column) -> tuple[Column, Column]:
         return F.ceil(length * F.lit(1 - self.share) - TINY), F.floor(length / F.lit(1 - self.share) + TINY)
 
@@ -167,6 +182,57 @@ def _looked_up(values: DataFrame, metric) -> DataFrame:
     return met.select(F.xxhash64(partner, piece, found).alias("key"), *carried)
 
 
+def _left_out(metric) -> dict[int, list[tuple[int, int]]]:
+    """{length: [(a partner's length, characters to leave out)]} of the values that meet by remainders."""
+    known: dict = {}
+    for longest in range(1, LONGEST + 1):
+        common = {(n, m): metric.in_common(min(n, m), max(n, m)) for n in range(1, longest + 1) for m in range(1, longest + 1)}
+        tried = {n: [(m, n - common[n, m]) for m in range(1, longest + 1) if common[n, m] <= min(n, m) and (n, n) != (m, common[n, m])]
+                 for n in range(1, longest + 1)}
+        if min(common.values()) < 1 or any(sum(math.comb(n, out) for _, out in partners) > VARIANTS for n, partners in tried.items()):
+            break
+        known = tried
+    return known
+
+
+def _remainders(values: DataFrame, known: dict) -> DataFrame:
+    """Each value once per remainder and partner's length, as ``key``, made of the two lengths and the remainder."""
+    per_length = F.create_map(*[x for n, partners in known.items() for x in (F.lit(n), F.array(*[
+        F.struct(F.lit(m).alias("partner"), F.lit(out).alias("out")) for m, out in partners]).cast("array<struct<partner:int,out:int>>"))])
+    rest, out, at, place = (F.col(c) for c in ("rest", "out", "at", "place"))
+    cut = values.select("*", F.inline(per_length[F.col("length")])).select("*", F.col("value").alias("rest"), F.lit(1).alias("at"))
+    for _ in range(max((out for partners in known.values() for _, out in partners), default=0)):
+        size = F.char_length("rest")
+        places = cut.select("*", F.explode(F.when(out > 0, F.sequence(at, size - out + 1)).otherwise(F.array(F.lit(0)))).alias("place"))
+        # Of equal characters in a row the first ones are left out: any remainder comes about that way.
+        places = places.where((place == 0) | (place == at) | (F.substring(rest, place, 1) != F.substring(rest, place - 1, 1)))
+        shorter = F.concat(F.substring(rest, F.lit(1), place - 1), F.substring(rest, place + 1, size))
+        cut = places.select(
+            *values.columns, "partner", (out - 1).alias("out"), F.when(place > 0, shorter).otherwise(rest).alias("rest"),
+            F.greatest(place, F.lit(1)).alias("at"))
+    lengths = F.least("length", "partner"), F.greatest("length", "partner")
+    return cut.select(F.xxhash64(*lengths, "rest").alias("key"), "partner", *values.columns)
+
+
+def _met_by_remainders(values: DataFrame, known: dict) -> DataFrame:
+    """(value_a, value_b, n_a, n_b): pairs of values with an equal remainder; a pair may come up several times."""
+    cut = _remainders(values, known)
+    return _met(cut.where("length <= partner"), cut.where("length >= partner"))
+
+
+def _met(owners: DataFrame, seekers: DataFrame, more: Column | None = None) -> DataFrame:
+    """(value_a, value_b, n_a, n_b): owners and seekers with the same key, where the seeker is the longer value."""
+    a, b = owners.alias("a"), seekers.hint("merge").alias("b")
+    value_a, value_b = F.col("a.value"), F.col("b.value")
+    longer = (F.col("a.length") < F.col("b.length")) | ((F.col("a.length") == F.col("b.length")) & (value_a < value_b))
+    met = a.join(b, F.col("a.key") == F.col("b.key")).where(longer if more is None else longer & more)
+    first = value_a < value_b
+    return met.select(
+        F.when(first, value_a).otherwise(value_b).alias("value_a"), F.when(first, value_b).otherwise(value_a).alias("value_b"),
+        F.when(first, F.col("a.n_rows")).otherwise(F.col("b.n_rows")).alias("n_a"),
+        F.when(first, F.col("b.n_rows")).otherwise(F.col("a.n_rows")).alias("n_b"))
+
+
 def band(length: Column) -> Column:
     """Number of the length band; bands have a constant ratio, at every length."""
     return F.floor(F.log(length.cast("double")) / F.lit(math.log(BAND_WIDTH))).cast("int")
@@ -206,40 +272,33 @@ def _met_in_cells(values: DataFrame, metric, block: int) -> DataFrame:
         pairs_sharing_characters(*metric.shares), "value_a string, value_b string, n_a bigint, n_b bigint")
 
 
-def _hot_pieces(short: DataFrame, metric, hot: int) -> DataFrame:
+def _hot_pieces(short: DataFrame, metric, hot: int, known: int) -> DataFrame:
     """Keys that join more than ``hot`` pairs; stored."""
     owners = _own_pieces(short, metric).groupBy("key").agg(F.count("*").alias("n_own"))
-    seekers = _looked_up(short, metric).groupBy("key").agg(F.count("*").alias("n_looked_up"))
-    return stored(owners.join(seekers, "key").where(F.col("n_own") * F.col("n_looked_up") > hot).select("key"), "pieces")
+    seekers = _looked_up(short.where(F.col("length") > known), metric).groupBy("key").agg(F.count("*").alias("n_looked_up"))
+    crowds = owners.join(seekers.hint("merge"), "key").where(F.col("n_own") * F.col("n_looked_up") > hot)
+    return stored(crowds.select("key"), "pieces")
 
 
-def _met_in_index(short: DataFrame, metric, hot: DataFrame | None) -> DataFrame:
+def _met_in_index(short: DataFrame, metric, hot: DataFrame | None, known: int) -> DataFrame:
     """(value_a, value_b, n_a, n_b): pairs of values with a piece in common, but for pairs of crowded values; a pair may
     come up several times."""
-    owners, seekers = _own_pieces(short, metric), _looked_up(short, metric)
+    owners, seekers = _own_pieces(short, metric), _looked_up(short.where(F.col("length") > known), metric)
     if hot is not None:
-        owners = owners.join(hot, "key", "left_anti")
-    a, b = owners.alias("a"), seekers.alias("b")
-    value_a, value_b = F.col("a.value"), F.col("b.value")
-    longer = (F.col("a.length") < F.col("b.length")) | ((F.col("a.length") == F.col("b.length")) & (value_a < value_b))
-    met = a.join(b, F.col("a.key") == F.col("b.key")).where(longer & ~(F.col("a.crowded") & F.col("b.crowded")))
-    first = value_a < value_b
-    return met.select(
-        F.when(first, value_a).otherwise(value_b).alias("value_a"), F.when(first, value_b).otherwise(value_a).alias("value_b"),
-        F.when(first, F.col("a.n_rows")).otherwise(F.col("b.n_rows")).alias("n_a"),
-        F.when(first, F.col("b.n_rows")).otherwise(F.col("a.n_rows")).alias("n_b"))
+        owners = owners.join(hot.hint("merge"), "key", "left_anti")
+    return _met(owners, seekers, ~(F.col("a.crowded") & F.col("b.crowded")))
 
 
-def _crowded(values: DataFrame, metric, longest: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+def _crowded(values: DataFrame, metric, longest: int, hot: int, known: int) -> tuple[DataFrame, DataFrame | None]:
     """The values with ``crowded``: whether they meet each other in cells; and the pieces that are not joined."""
     long = metric.partner_lengths(F.col("length"))[1] > longest
     short = values.where(F.col("length") <= longest)
-    pieces = _hot_pieces(short, metric, hot)
+    pieces = _hot_pieces(short, metric, hot, known)
     if pieces.isEmpty():
         return values.withColumn("crowded", long), None
-    with_hot = _own_pieces(short, metric).join(pieces, "key", "left_semi").select("value").unionByName(
-        _looked_up(short, metric).join(pieces, "key", "left_semi").select("value")).distinct()
-    flagged = values.join(with_hot.withColumn("hot", F.lit(True)), "value", "left")
+    with_hot = _own_pieces(short, metric).join(pieces.hint("merge"), "key", "left_semi").select("value").unionByName(
+        _looked_up(short.where(F.col("length") > known), metric).join(pieces.hint("merge"), "key", "left_semi").select("value")).distinct()
+    flagged = values.join(with_hot.withColumn("hot", F.lit(True)).hint("merge"), "value", "left")
     return stored(flagged.select(*values.columns, (long | F.col("hot").isNotNull()).alias("crowded")), "values"), pieces
 
 
@@ -253,13 +312,19 @@ def candidate_pairs(
     values = stored(values.select("value", "n_rows", F.char_length("value").alias("length")), "values")
     if values.count() <= few:
         return _met_in_cells(values, metric, block)
-    values, pieces = _crowded(values, metric, longest, hot)
-    in_index = _met_in_index(values.where(F.col("length") <= longest), metric, pieces)
+    left_out = _left_out(metric)
+    known = max(left_out, default=0)
     value_a, value_b = F.col("value_a"), F.col("value_b")
     sizes = F.char_length(value_a), F.char_length(value_b)
+    # The others are longer than ``known``, or have a partner that is.
+    others = values.where(F.greatest(metric.partner_lengths(F.col("length"))[1], F.col("length")) > known)
+    others, pieces = _crowded(others, metric, longest, hot, known)
+    met = _met_in_index(others.where(F.col("length") <= longest), metric, pieces, known)
+    if known:
+        met = met.unionByName(_met_by_remainders(values.where(F.col("length") <= known), left_out))
     close = F.call_function("levenshtein", value_a, value_b, metric.edits(F.least(*sizes), F.greatest(*sizes))) >= 0
-    return in_index.where(close).dropDuplicates(["value_a", "value_b"]).unionByName(
-        _met_in_cells(values.where("crowded"), metric, block))
+    in_cells = _met_in_cells(others.where("crowded"), metric, block).where(F.greatest(*sizes) > known)
+    return met.where(close).dropDuplicates(["value_a", "value_b"]).unionByName(in_cells)
 
 
 def near_pairs(values: DataFrame, metric=Indel(), **work) -> DataFrame:

@@ -155,3 +155,28 @@ def test_long_values_meet_in_small_cells(spark, monkeypatch):
     values = long + [v[:450] + "x" + v[450:] for v in long]
     rows = fuzzy.near_pairs(frame(spark, values), few=0).collect()
     assert {frozenset((r["value_a"], r["value_b"])) for r in rows} == {frozenset((v, v[:450] + "x" + v[450:])) for v in long}
+
+
+@pytest.mark.parametrize("metric", [fuzzy.Indel(), fuzzy.Edits(), fuzzy.Edits(0.25), fuzzy.Indel(70)])
+def test_short_values_meet_by_what_is_left_of_them(spark, metric):
+    rng = random.Random(10)
+    values = sorted({str(rng.randrange(10 ** rng.randint(1, 9))) for _ in range(150)}
+                    | {str(n) for n in range(1000000, 1000120)} | {"a" * n for n in range(1, 18)} | set(CASES["other scripts"]))
+    if isinstance(metric, fuzzy.Edits):
+        want = {(a, b) for a, b in itertools.combinations(values, 2)
+                if edits(a, b) <= int(metric.share * max(len(a), len(b)) + 1e-9)}
+    else:
+        want = {(a, b) for a, b in itertools.combinations(values, 2) if metric.at_least <= indel_score(a, b) < 100}
+    rows = fuzzy.near_pairs(frame(spark, values), metric, few=0, hot=20).collect()
+    assert len(rows) == len(want)
+    assert {(r["value_a"], r["value_b"]) for r in rows} == want
+
+
+def test_dense_numbers_meet_in_no_cell(spark, monkeypatch):
+    counted = []
+    in_cells = fuzzy._met_in_cells
+    monkeypatch.setattr(fuzzy, "_met_in_cells", lambda values, *more: counted.append(values.count()) or in_cells(values, *more))
+    numbers = frame(spark, [str(n) for n in range(10000000, 10003000)])
+    met, similar = fuzzy.candidate_pairs(numbers, few=0, hot=100).count(), fuzzy.near_pairs(numbers, few=0, hot=100).count()
+    assert counted == [0, 0]
+    assert met == similar > 3000
