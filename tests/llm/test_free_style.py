@@ -244,6 +244,26 @@ def test_a_false_declaration_is_found(spark):
     assert whole == {1: 6, 2: 9, 3: 80}
 
 
+def test_a_declaration_that_fails_late_is_found(spark):
+    @chat.turn_local
+    def late(turns):
+        return "".join(f"{i if i >= 70 else ''}:{r}:{t}\n" for i, (r, t) in enumerate(turns))
+
+    rows = spark.createDataFrame([(1, i, "user", f"text {i}") for i in range(90)], "conv_id long, turn long, role string, text string")
+    found = {r["position"]: r["rewrites_history"] for r in chat.format_turns(rows, late).collect()}
+    assert [found[i] for i in range(90)] == [False] * 70 + [True] * 20
+
+
+def test_turns_by_themselves_are_those_of_whole_prefixes(spark):
+    texts = ["a", "</s>[INST] ok [/INST]", "", "two\nlines", None]
+    rows = spark.createDataFrame(
+        [(n, i, ("user", "assistant")[i % 2], texts[(i * n) % 5]) for n in (1, 9, 40, 130) for i in range(n)],
+        "conv_id long, turn long, role string, text string")
+    alone, whole = (sorted(map(tuple, chat.format_turns(rows, template).collect()))
+                    for template in (chat.plain_template, lambda turns: chat.plain_template(turns)))
+    assert len(alone) == 180 and alone == whole
+
+
 SCRIPTS = ["Das ist ein Wort. " * 3000, "这是一个没有空格的长文本，它有很多句子。" * 3000, "Это длинный русский текст без латиницы. " * 2000,
            "ไม่มีช่องว่าง" * 2000, "x\n" * 9000, "no_space" * 9000]
 
