@@ -8,8 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import is_complex, is_numeric, is_temporal, named, parse_date, parse_date_text, parse_number, printable, row_digest
+from ledgerlint.functions.values import is_complex, is_numeric, is_temporal, named, parse_date, parse_date_text, parse_number, printable, row_digest, row_hash
 from ledgerlint.operators.profile import approximate_facts, value_counts
+from ledgerlint.session import stored
 from ledgerlint.settings import DATE_FORMATS, ColumnRoles, name_has
 
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -216,14 +217,43 @@ def _rough_hash(df: DataFrame, columns) -> Column:
     return F.xxhash64(*[printable(df.schema[c]) if is_complex(df.schema[c]) else named(c) for c in columns])
 
 
+#: Sets with two equal rows are mostly found out by the first of so many slices of the hashes.
+SLICES = 16
+#: Up to so many repeated hashes are broadcast.
+FEW_REPEATED = 100_000
+
+
 def _verified(df: DataFrame, sets: list, n_rows: int) -> list:
-    """The sets of which no two rows are alike."""
+    """The sets of which no two rows are alike.
+
+    Equal rows have equal hashes, so one slice of the hashes is enough to find that a set repeats; all hashes are brought
+    together only for the sets that the slice does not rule out. Rows whose hashes agree are compared by their digests.
+    """
     if not sets or not n_rows:
         return []
-    digests = F.array(*[F.struct(F.lit(i).alias("s"), row_digest(df, s).alias("digest")) for i, s in enumerate(sets)])
-    repeated = df.select(F.inline(digests)).groupBy("s", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    bad = {r["s"] for r in repeated.select("s").distinct().collect()}  # at most one row per set
-    return [s for i, s in enumerate(sets) if i not in bad]
+    left = list(sets)
+    for slices in (SLICES, 1):
+        if left:
+            bad = _repeating(df, left, slices)
+            left = [s for s in left if s not in bad]
+    return left
+
+
+def _repeating(df: DataFrame, sets: list, slices: int) -> set:
+    """The sets with two equal rows in the first of so many slices of their hashes."""
+    used = list(dict.fromkeys(c for s in sets for c in s))
+    hashes = F.array(*[F.struct(F.lit(i).alias("__s"), row_hash(df, s).alias("__h")) for i, s in enumerate(sets)])
+    if slices > 1:
+        hashes = F.filter(hashes, lambda x: F.pmod(x["__h"], F.lit(slices)) == 0)
+    rows = df.select(*map(named, used), F.inline(hashes))
+    twice = stored(rows.groupBy("__s", "__h").agg(F.count("*").alias("n")).where("n > 1").select("__s", "__h"), "repeated")
+    n_twice = twice.count()
+    if not n_twice:
+        return set()
+    met = rows.join(twice.hint("broadcast" if n_twice <= FEW_REPEATED else "merge"), ["__s", "__h"], "left_semi")
+    digest = F.coalesce(*[F.when(F.col("__s") == i, row_digest(df, s)) for i, s in enumerate(sets)])
+    repeated = met.select("__s", digest.alias("digest")).groupBy("__s", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    return {sets[r["__s"]] for r in repeated.select("__s").distinct().collect()}  # at most one row per set
 
 
 def infer_roles(df: DataFrame, formats=DATE_FORMATS, by_name: bool = False, key=None) -> ColumnRoles:

@@ -1,5 +1,6 @@
 """States of parts, merged, against the profile of the whole; keys of several columns; co-moments; samples."""
 
+import datetime
 import itertools
 import math
 import random
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlint.operators import profile, profile_state, schema
+from ledgerlint.queries import profile_queries
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +128,27 @@ def test_samples_read_the_table_twice_whatever_its_columns(spark, tmp_path, orde
         expected += [(c, i, v) for i, v in enumerate(kept)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
     assert plan.count("FileScan") == 1 and "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("colliding", [False, True])
+def test_sets_are_verified_by_hashes_and_then_digests(spark, monkeypatch, colliding):
+    rows = [(i // 40, i % 40, float(i), i if i != 77 else 76) for i in range(1600)]
+    df = spark.createDataFrame(rows, "a int, b int, c double, d int")
+    if colliding:  # all hashes agree: the digests decide
+        monkeypatch.setattr(schema, "row_hash", lambda df, names: F.lit(0).cast("bigint"))
+    sets = [("a", "b"), ("c",), ("d",), ("a", "d"), ("b", "d"), ("a",)]
+    assert schema._verified(df, sets, 1600) == [("a", "b"), ("c",), ("b", "d")]
+    assert schema._repeating(df, sets, 1) == {("d",), ("a", "d"), ("a",)}
+    zeros = spark.createDataFrame([(0.0, [0.0]), (-0.0, [-0.0])], "a double, l array<double>")
+    assert schema._verified(zeros, [("a",), ("l",), ("a", "l")], 2) == []
+
+
+def test_exact_ranks_of_the_merged_profile_are_no_single_aggregate(spark, tmp_path):
+    rows = [(i % 7, float(i), float(i % 100), "ab"[i % 2], datetime.datetime(2020, 1, 1 + i % 20)) for i in range(500)]
+    lines = spark.createDataFrame(
+        rows, "l_linenumber int, l_extendedprice double, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = profile_queries.merged_profile(spark, str(tmp_path))
+    assert "percentile(" not in found._jdf.queryExecution().analyzed().toString()
+    assert {r["column"]: (r["distinct_is_near"], r["median_is_near"]) for r in found.collect()} == {
+        c: (True, True) for c in profile_queries.MEASURES_OF_STATE}
