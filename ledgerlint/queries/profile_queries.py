@@ -7,8 +7,8 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ledgerlint.functions.values import side_by_side
 from ledgerlint.operators import profile, profile_state, schema
+from ledgerlint.operators.quantiles import exact_quantiles
 from ledgerlint.queries.registry import query
 from ledgerlint.queries.views import TRACKER, table, view, with_views
 from ledgerlint.session import stored
@@ -91,9 +91,8 @@ def merged_profile(spark, folder):
     found = profile_state.profile(profile_state.combine([stored(store, "states"), stored(added, "states")]), (0.5,))
     exact = profile.column_stats(lines, MEASURES_OF_STATE).select("column", "distinct_count")
     median = F.col("quantiles")[0]
-    ranks = side_by_side(*[
-        lines.agg(F.percentile(c, [0.48, 0.52]).alias(c)) for c in ("l_quantity", "l_extendedprice")]).select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).alias("around")) for c in ("l_quantity", "l_extendedprice")])))
+    around = exact_quantiles(lines, ("l_quantity", "l_extendedprice"), (0.48, 0.52))
+    ranks = spark.createDataFrame(list(around.items()), "column string, around array<double>")
     return found.join(exact, "column").join(ranks, "column", "left").select(
         "column", "n_rows", "null_count", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"),
         F.round("skewness", 4).alias("skewness"),
