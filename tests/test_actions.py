@@ -106,3 +106,13 @@ def test_toggling_twice_changes_nothing(spark):
     once = spark.createDataFrame([("a0",)], "action_id string")
     assert act.approve(proposed, "safe", twice).first()["approved"] is True
     assert act.approve(proposed, "safe", once).first()["approved"] is False
+
+
+def test_unapproved_actions_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(act, "ROWS_A_TASK", 40)
+    actions = spark.range(1000).select(
+        F.when(F.col("id") != 5, F.col("id").cast("string")).alias("action_id"),
+        F.when(F.col("id") % 3 == 0, "SAFE").otherwise("REVIEW").alias("risk_level"))
+    left = act.unapproved_actions(actions, act.approve(actions))
+    assert {r["action_id"] for r in left.collect()} == {str(i) for i in range(1000) if i % 3 and i != 5} | {None}
+    assert left.rdd.getNumPartitions() == 25
