@@ -180,3 +180,13 @@ def test_dense_numbers_meet_in_no_cell(spark, monkeypatch):
     met, similar = fuzzy.candidate_pairs(numbers, few=0, hot=100).count(), fuzzy.near_pairs(numbers, few=0, hot=100).count()
     assert counted == [0, 0]
     assert met == similar > 3000
+
+
+def test_only_block_sizes_are_broadcast(spark, monkeypatch):
+    plans, keep = [], fuzzy.stored
+    monkeypatch.setattr(fuzzy, "stored", lambda df, label: (plans.append(df), keep(df, label))[1])
+    urls = [f"https://host{i % 7}.example.com/{'deen'[i % 2 * 2:][:2]}/{i}.html" for i in range(60)]
+    for metric in (fuzzy.Indel(), fuzzy.Edits()):
+        plans.append(fuzzy.near_pairs(keep(frame(spark, urls), "urls"), metric, few=0, hot=5))
+    joins = [line for df in plans for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line]
+    assert joins and all("[own#" in line or "[partner#" in line for line in joins)
