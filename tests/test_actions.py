@@ -116,3 +116,26 @@ def test_unapproved_actions_are_dealt_by_rows(spark, monkeypatch):
     left = act.unapproved_actions(actions, act.approve(actions))
     assert {r["action_id"] for r in left.collect()} == {str(i) for i in range(1000) if i % 3 and i != 5} | {None}
     assert left.rdd.getNumPartitions() == 25
+
+
+def test_cells_are_patched_once_and_without_ids(spark, monkeypatch):
+    reads, keep = [], act.stored
+    monkeypatch.setattr(act, "stored", lambda df, label: (reads.append(df), keep(df, label))[1])
+    actions = [("update_cell_value", 1, "status", "A"), ("add_comment", 1, "status", "c1"), ("add_comment", 2, "notes", "c2"),
+               ("add_comment", 3, "status", "c3"), ("update_status", 3, "status", "B")]
+    sheet, proposed = frames(spark, actions)
+    fixed = act.apply_patches(sheet, proposed.drop("action_id"), "row_id")
+    assert {r["row_id"]: (r["Status"], r["notes"]) for r in fixed.collect()} == naive(actions)
+    # No cell has several comments: the actions are read for the stored patches and not again.
+    plan = fixed._jdf.queryExecution().analyzed().toString()
+    assert len(reads) == 1 and "proposed_value" not in plan
+
+
+def test_approvals_without_ids(spark):
+    proposed = spark.createDataFrame(
+        [(i, a, "add_comment", 1, "x", "y", risk) for i, (a, risk) in enumerate(
+            [("a0", "SAFE"), ("a1", "REVIEW"), (None, "SAFE"), ("a3", "SAFE"), ("a3", "SAFE")])], ACTION)
+    approvals = act.approve(proposed)
+    want = {r["seq"] for r in act.approved_actions(proposed, approvals).collect()}
+    got = act.approved_actions(proposed, approvals, ids=False)
+    assert "action_id" not in got.columns and sorted(r["seq"] for r in got.collect()) == sorted(want) == [0, 3, 4]
