@@ -59,25 +59,26 @@ class Shingles:
 
 
 def shingle_hashes(text: Column, words: int) -> Column:
-    """The distinct 64-bit hashes of the shingles of a text."""
-    def runs(found: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.size(found) - (words - 1), F.lit(1)))
-        hashed = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(found, i, F.lit(words)), " ")))
-        return F.when(F.size(found) > 0, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+    """The distinct 64-bit hashes of the shingles of a text, made of the hashes of their words."""
+    def runs(hashed: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(hashed) - words, F.lit(0)))
+        run = lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(words)])
+        return F.when(F.size(hashed) > 0, F.array_distinct(F.transform(places, run))).otherwise(F.array().cast("array<bigint>"))
 
-    # The words are the variable of an outer function, so they are split once and not again for every run.
-    return F.transform(F.array(F.filter(F.split(text, r"[\s]+"), lambda w: w != "")), runs)[0]
+    # The hashes are the variable of an outer function, so they are made once and not again for every run.
+    own = F.filter(F.split(text, r"[\s]+"), lambda w: w != "")
+    return F.transform(F.array(F.transform(own, lambda w: F.xxhash64(w))), runs)[0]
 
 
 def shingled(df: DataFrame, column: str, metric: Shingles) -> DataFrame:
     """(digest, n_rows, hashes, id): every distinct text that has words, its shingles and an id of their set; stored."""
     lowered = F.lower(named(column).cast("string"))
-    rows = df.where(named(column).isNotNull()).select(lowered.alias("text"))
+    # A filter on the shingles would make them once more: texts without words go by a pattern.
+    rows = df.where(lowered.rlike(r"[^\s]")).select(lowered.alias("text"))
     texts = rows.groupBy(value_digest(F.col("text")).alias("digest")).agg(
         F.count("*").alias("n_rows"), F.any_value("text").alias("text"))
-    sets = texts.select("digest", "n_rows", F.array_sort(shingle_hashes(F.col("text"), metric.words)).alias("hashes"))
-    return stored(sets.where(F.size("hashes") > 0).withColumn(
-        "id", F.unhex(F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256))), "texts")
+    sets = texts.select("digest", "n_rows", F.sort_array(shingle_hashes(F.col("text"), metric.words)).alias("hashes"))
+    return stored(sets.withColumn("id", F.unhex(F.sha2(F.col("hashes").cast("string"), 256))), "texts")
 
 
 def _keys(metric: Shingles):

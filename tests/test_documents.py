@@ -69,3 +69,14 @@ def test_one_text_repeated_very_often(spark):
     assert fuzzy.near_duplicates(df, "text", ID, documents.Shingles()).count() == 0
     more = df.unionByName(spark.createDataFrame([(9999, "a b c  d e f g")], "id bigint, text string"))
     assert fuzzy.near_duplicates(more, "text", ID, documents.Shingles()).count() == 2901
+
+
+def test_shingles_are_made_once_and_sorted_natively(spark, monkeypatch):
+    made, keep = [], documents.stored
+    monkeypatch.setattr(documents, "stored", lambda df, label: (made.append(df), keep(df, label))[1])
+    texts = ["a b c d e f g", "A  b c\td e f g ", "one two", "", " \n\t ", None, "é x"]
+    found = documents.shingled(spark.createDataFrame([(t,) for t in texts], "text string"), "text", documents.Shingles()).collect()
+    assert sorted(len(r["hashes"]) for r in found) == [1, 1, 3, 3]
+    assert len({bytes(r["id"]) for r in found}) == 3 and all(list(r["hashes"]) == sorted(r["hashes"]) for r in found)
+    plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1 and "array_sort" not in plan
