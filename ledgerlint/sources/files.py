@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlint.functions.values import any_of, named, parse_number
+from ledgerlint.functions.values import any_of, named, parse_number, parse_whole
 from ledgerlint.operators.normalize import as_snapshot, number_placed, place_rows
 from ledgerlint.session import stored
 from ledgerlint.settings import NULL_TOKENS
@@ -98,7 +98,7 @@ def infer_types(df: DataFrame, tokens=NULL_TOKENS) -> DataFrame:
     for i, c in enumerate(names):
         agg += [
             F.count(value[c]).alias(f"n_{i}"),
-            F.count(value[c].try_cast("bigint")).alias(f"b_{i}"),
+            F.count(parse_whole(value[c])).alias(f"b_{i}"),
             F.count(parse_number(value[c])).alias(f"d_{i}"),
             F.count_if(F.lower(value[c]).isin("true", "false")).alias(f"t_{i}"),
         ]

@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlint.functions.values import parse_whole
 from ledgerlint.operators import normalize, quality
 from ledgerlint.sinks import tables as sink
 from ledgerlint.sources import files, sheets
@@ -196,3 +197,20 @@ def test_only_touched_partitions_are_rewritten(spark, tmp_path):
     assert {r["row_id"]: r["text"] for r in spark.read.parquet(path).collect()} == want
     assert sink.update_stored_cells(spark, path, updates.where("row_id = 999"), "row_id", "part") == 0
     assert stored_files() == after
+
+
+def test_whole_numbers_are_those_that_the_cast_takes(spark):
+    texts = ["1", "+1", "-5", "12.5", "1.", ".", "", " 7 ", "\x017\x02", "7\r\n", "9223372036854775807", "9223372036854775808",
+             "1e5", "1L", "１２", "٣", "1 2", "--1", "+", "1,000", " 7", "\x7f7\x7f", "word", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    cast = df.select(F.col("text").try_cast("bigint").alias("n"))
+    assert df.select(parse_whole(F.col("text")).alias("n")).collect() == cast.collect()
+
+
+def test_types_are_inferred_without_failing_casts(spark, monkeypatch):
+    seen, first = [], type(spark.range(0)).first
+    monkeypatch.setattr(type(spark.range(0)), "first", lambda df: (seen.append(df), first(df))[1])
+    df = spark.createDataFrame([("7", "x"), ("8", "12.5")], "n string, t string")
+    assert dict(files.infer_types(df).dtypes) == {"n": "bigint", "t": "string"}
+    plan = seen[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.count("as bigint") == plan.count("[\\x00-\\x20") / 2 == 2
