@@ -9,33 +9,127 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def pairs_sharing_characters(of_both: float, of_longer: float):
+#: Texts above this length are not compared many at once.
+LONGEST_AT_ONCE = 256
+
+
+def compared_at_once(edits: bool = False):
+    """A function of many pairs of texts, given as arrays of their characters and two arrays of their numbers: the lengths of
+    the pairs' longest common subsequences, or with ``edits`` their Levenshtein distances.
+
+    One bit per character of the first text of a pair, in words of 64, and one step per character of the second text for
+    all pairs of a batch. A batch is bounded in pairs and in masks. Like the other helpers it travels with the query.
+    """
+    one, top = np.uint64(1), np.uint64(63)
+
+    def common(masks, start, texts, sizes, others) -> np.ndarray:
+        unmatched = np.full((len(masks), len(start)), np.iinfo(np.uint64).max, np.uint64)
+        for numbers in texts:
+            at, carry = start + numbers, None
+            for w, mask in enumerate(masks):
+                hit = unmatched[w] & mask[at]
+                total = unmatched[w] + hit
+                over = total < hit
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64) if w + 1 < len(masks) else None
+                unmatched[w] = total | (unmatched[w] - hit)
+        return np.bitwise_count(~unmatched).sum(axis=0)
+
+    def distance(masks, start, texts, sizes, others) -> np.ndarray:
+        # Differences down a column of the usual table are +1 in more, -1 in less; those along its rows go on from word to word.
+        more = np.full((len(masks), len(start)), np.iinfo(np.uint64).max, np.uint64)
+        less = np.zeros_like(more)
+        last, bit = (sizes - 1) // 64, ((sizes - 1) % 64).astype(np.uint64)
+        found = sizes.copy()
+        for i, numbers in enumerate(texts):
+            at, up, down = start + numbers, one, None
+            for w, mask in enumerate(masks):
+                equal = mask[at]
+                either = equal | less[w]
+                if down is not None:
+                    equal = equal | down
+                across = (((equal & more[w]) + more[w]) ^ more[w]) | equal
+                rising, falling = less[w] | ~(across | more[w]), more[w] & across
+                step = ((rising >> bit) & one).astype(np.int64) - ((falling >> bit) & one).astype(np.int64)
+                found += np.where((last == w) & (i < others), step, 0)
+                next_up, next_down = rising >> top, falling >> top
+                rising, falling = (rising << one) | up, falling << one
+                if down is not None:
+                    falling |= down
+                up, down = next_up, next_down
+                more[w], less[w] = falling | ~(either | rising), rising & either
+        return np.where(sizes == 0, others, found)
+
+    def compared(codes: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(x), np.int64)
+        sizes = np.array([len(c) for c in codes], np.int64)
+        if not len(x) or not sizes.max():
+            return found
+        known, numbers = np.unique(np.concatenate(codes), return_inverse=True)
+        owner = np.repeat(np.arange(len(codes)), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row = len(known) + 1  # the last number stands behind the end of a text and is in no text
+        padded = np.full((sizes.max(), len(codes)), len(known), np.int32)
+        padded[place, owner] = numbers
+        words = max(1, -(-int(sizes[x].max()) // 64))
+        step = max(1, min(16_384, 4_000_000 // (row * words)))
+        for first in range(0, len(x), step):
+            here = slice(first, first + step)
+            own, which = np.unique(x[here], return_inverse=True)
+            masks = np.zeros((words, len(own) * row), np.uint64)
+            for i in range(sizes[own].max()):
+                longer = np.flatnonzero(sizes[own] > i)
+                masks[i // 64, longer * row + padded[i, own[longer]]] |= np.uint64(1 << i % 64)
+            texts = (padded[i, y[here]] for i in range(sizes[y[here]].max()))
+            found[here] = (distance if edits else common)(masks, which * row, texts, sizes[x[here]], sizes[y[here]])
+        return found
+
+    return compared
+
+
+def pairs_sharing_characters(of_both: float, of_longer: float, edits: bool = False):
     """A function of one cell: the pairs of values from both sides (or of one, if there is only one) that share at
-    least of_both * (both lengths) + of_longer * (the longer length) characters, counted with multiplicity."""
+    least of_both * (both lengths) + of_longer * (the longer length) characters, counted with multiplicity.
+
+    Of values of bounded length these must be in order, or with ``edits`` be what edits leave of the longer value; ``exact``
+    is then the length of the longest common subsequence, or the Levenshtein distance. It is NULL for longer values.
+    """
+    compared, longest = compared_at_once(edits), LONGEST_AT_ONCE
 
     def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("side", kind="stable")
         values, times, side = list(rows["value"]), rows["n_rows"].to_numpy(), rows["side"].to_numpy()
         codes = [np.frombuffer(v.encode("utf-32-le", "surrogatepass"), np.uint32) for v in values]
         length = np.array([len(c) for c in codes])
         known, at = np.unique(np.concatenate(codes), return_inverse=True)
         owner = np.repeat(np.arange(len(codes)), length)
-        counts = np.bincount(owner * len(known) + at, minlength=len(codes) * len(known))
-        counts = counts.reshape(len(codes), len(known)).astype(np.int32)
-        pairs = []
-        for x in np.flatnonzero(side <= 1):
-            y = np.flatnonzero(side == 2) if side[x] == 1 else np.arange(x + 1, len(values))
-            shorter, longer = np.minimum(length[y], length[x]), np.maximum(length[y], length[x])
-            needed = of_both * (shorter + longer) + of_longer * longer - 1e-6
-            y, needed = y[shorter >= needed], needed[shorter >= needed]
-            if len(y):
-                pairs += [(x, int(i)) for i in y[np.minimum(counts[y], counts[x]).sum(axis=1) >= needed]]
-        ordered = [(i, j) if values[i].encode("utf-8", "surrogatepass") < values[j].encode("utf-8", "surrogatepass")
-                   else (j, i) for i, j in pairs]
-        return pd.DataFrame({
-            "value_a": pd.Series([values[i] for i, _ in ordered], dtype=object),
-            "value_b": pd.Series([values[j] for _, j in ordered], dtype=object),
-            "n_a": [times[i] for i, _ in ordered], "n_b": [times[j] for _, j in ordered],
-        })
+        counts = np.bincount(at * len(codes) + owner, minlength=len(codes) * len(known)).reshape(len(known), len(codes))
+        counts = counts.astype(np.uint8 if length.max() < 256 else np.int32)
+        other = int(np.searchsorted(side, 2))  # the first value of the second side
+        left, right = [], []
+        for x in range(other):
+            ys = slice(other, None) if side[x] == 1 else slice(x + 1, None)
+            own = np.flatnonzero(counts[:, x])
+            shared = np.minimum(counts[own, ys], counts[own, x, None]).sum(axis=0, dtype=counts.dtype)
+            longer = np.maximum(length[ys], length[x])
+            y = np.flatnonzero(shared >= of_both * (length[ys] + length[x]) + of_longer * longer - 1e-6) + ys.start
+            left.append(np.full(len(y), x)), right.append(y)
+        x, y = (np.concatenate(ends) if ends else np.zeros(0, np.int64) for ends in (left, right))
+        short = np.maximum(length[x], length[y]) <= longest
+        tried = [c if len(c) <= longest else c[:0] for c in codes]
+        exact = np.zeros(len(x), np.int64)
+        exact[short] = compared(tried, x[short], y[short])
+        longer = np.maximum(length[x], length[y])
+        shared = longer - exact if edits else exact
+        keep = ~short | (shared >= of_both * (length[x] + length[y]) + of_longer * longer - 1e-6)
+        x, y, exact = x[keep], y[keep], pd.Series(exact, dtype="Int32").where(short)[keep].reset_index(drop=True)
+        rank = np.empty(len(values), np.int64)
+        rank[sorted(range(len(values)), key=values.__getitem__)] = np.arange(len(values))  # as bytes of UTF-8 are ordered
+        x, y = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
+        texts = np.array(values, dtype=object)
+        return pd.DataFrame({"value_a": texts[x], "value_b": texts[y], "n_a": times[x], "n_b": times[y], "exact": exact})
 
     return cell
 
@@ -47,6 +141,7 @@ def lcs_function(ratio: float):
     runs on whole batches at once. The helpers are defined in here so that they travel to the
     executors with the query and need no installation there.
     """
+    compared, longest = compared_at_once(), LONGEST_AT_ONCE
 
     def histograms(texts) -> np.ndarray:
         # Characters share 256 counters; sharing can only raise an overlap, never hide a pair.
@@ -56,7 +151,7 @@ def lcs_function(ratio: float):
         return np.bincount(rows * 256 + cells, minlength=len(codes) * 256).reshape(len(codes), 256)
 
     def length(a: str, b: str) -> int:
-        # One bit per character of the shorter text; one step of whole-number arithmetic per
+        # For long texts: one bit per character of the shorter text; one step of whole-number arithmetic per
         # character of the longer one.
         if len(a) > len(b):
             a, b = b, a
@@ -71,25 +166,40 @@ def lcs_function(ratio: float):
         return len(a) - unmatched.bit_count()
 
     def lcs(left: pd.Series, right: pd.Series) -> pd.Series:
-        if not len(left):
-            return pd.Series([], dtype="Int32")
+        asked = left.notna() & right.notna()
+        found = pd.Series(pd.NA, index=left.index, dtype="Int32")
+        if asked.any():
+            found[asked] = of_texts(left[asked], right[asked]).array
+        return found
+
+    def of_texts(left: pd.Series, right: pd.Series) -> pd.Series:
         ids, texts = pd.factorize(pd.concat([left, right], ignore_index=True))
         counts = histograms(texts).astype(np.int32)
         lengths = counts.sum(axis=1)
         a, b = ids[: len(left)], ids[len(left):]
         overlap = np.minimum(counts[a], counts[b]).sum(axis=1)
         possible = 2 * overlap >= ratio * (lengths[a] + lengths[b]) - 1e-9
-        return pd.Series(
-            [length(texts[i], texts[j]) if ok else None for i, j, ok in zip(a, b, possible)], dtype="Int32"
-        )
+        short = possible & (np.maximum(lengths[a], lengths[b]) <= longest)
+        codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) if n <= longest else np.zeros(0, np.uint32)
+                 for t, n in zip(texts, lengths)]
+        found = np.zeros(len(a), np.int64)
+        found[short] = compared(codes, a[short], b[short])
+        for i in np.flatnonzero(possible & ~short):
+            found[i] = length(texts[a[i]], texts[b[i]])
+        return pd.Series(found, dtype="Int32").where(possible)
 
     # Declared not deterministic so that the planner does not run it once for a filter on the
     # score and again for the score itself.
     return F.pandas_udf(lcs, T.IntegerType()).asNondeterministic()
 
 
-def indel_score(left: Column, right: Column, ratio: float = 0.0) -> Column:
+def indel_score(left: Column, right: Column, ratio: float = 0.0, exact: Column | None = None) -> Column:
     """Whole-number similarity 0..100 from insertions and deletions, halves rounded to even; NULL
-    where it cannot reach the ratio."""
+    where it cannot reach the ratio. ``exact`` has the length of the longest common subsequence where it is known."""
     total = F.char_length(left) + F.char_length(right)
-    return F.bround(lcs_function(ratio)(left, right) * 200.0 / total, 0).cast("int")
+    common = lcs_function(ratio)
+    if exact is None:
+        common = common(left, right)
+    else:
+        common = F.coalesce(exact, common(F.when(exact.isNull(), left), F.when(exact.isNull(), right)))
+    return F.bround(common * 200.0 / total, 0).cast("int")

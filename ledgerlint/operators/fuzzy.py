@@ -18,9 +18,10 @@ Some pieces say nothing: those of a template ("https://", "Task ") are in most v
 ``HOT_PAIRS`` pairs is not joined. Values with such a piece, and values above ``LONGEST`` characters, whose pieces would be
 too many, meet in cells instead. They are dealt into blocks of bounded size, in rows and in characters, by length; two blocks
 meet only if their lengths allow similar values. A cell (a pair of blocks) compares character counts as matrices: two similar
-values share, with multiplicity, at least t characters, where t follows from the two lengths. Cells are of equal size
+values share, with multiplicity, at least t characters, where t follows from the two lengths. Pairs that do, of values of up to
+256 characters, are scored there too, many at once, so that a cell gives the result. Cells are of equal size
 whatever the values look like, and nothing is shuffled there but the values. Their counting grows with the square of the
-values concerned, at some ten million pairs per second and core; short values take no part in it but as partners of longer ones.
+values concerned, at some twenty million pairs per second and core; short values take no part in it but as partners of longer ones.
 """
 
 from __future__ import annotations
@@ -80,8 +81,11 @@ class Indel:
         """Two values have at least x times both lengths plus y times the longer one in common."""
         return self.ratio / 2, 0.0
 
-    def score(self, a: Column, b: Column) -> Column:
-        return indel_score(a, b, self.ratio)
+    by_edits = False
+
+    def score(self, a: Column, b: Column, exact: Column | None = None) -> Column:
+        """The similarity; ``exact`` has the characters in common, in order, where they are known."""
+        return indel_score(a, b, self.ratio, exact)
 
     def accepts(self, score: Column, a: Column, b: Column) -> Column:
         return (score >= self.at_least) & (score < 100)
@@ -111,9 +115,13 @@ class Edits:
     def shares(self) -> tuple[float, float]:
         return 0.0, 1 - self.share
 
-    def score(self, a: Column, b: Column) -> Column:
-        """The distance, or -1 as soon as it is certain to exceed the limit."""
-        return F.call_function("levenshtein", a, b, self.limit(F.greatest(F.char_length(a), F.char_length(b))))
+    by_edits = True
+
+    def score(self, a: Column, b: Column, exact: Column | None = None) -> Column:
+        """The distance, or -1 as soon as it is certain to exceed the limit; ``exact`` has it where it is known."""
+        limit = self.limit(F.greatest(F.char_length(a), F.char_length(b)))
+        counted = F.call_function("levenshtein", a, b, limit)
+        return counted if exact is None else F.when(exact.isNull(), counted).when(exact <= limit, exact).otherwise(-1)
 
     def accepts(self, score: Column, a: Column, b: Column) -> Column:
         return score >= 0
@@ -264,12 +272,13 @@ def _cells(values: DataFrame, metric, block: int) -> DataFrame:
 
 
 def _met_in_cells(values: DataFrame, metric, block: int) -> DataFrame:
-    """(value_a, value_b, n_a, n_b): pairs of values that share enough characters."""
+    """(value_a, value_b, n_a, n_b, exact): pairs of values that share enough characters, in order if they are not long."""
     # Cells take far more time than their bytes suggest: keep all partitions.
     partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = _cells(values, metric, block).repartition(partitions, *CELL)
     return cells.groupBy(*CELL).applyInPandas(
-        pairs_sharing_characters(*metric.shares), "value_a string, value_b string, n_a bigint, n_b bigint")
+        pairs_sharing_characters(*metric.shares, metric.by_edits),
+        "value_a string, value_b string, n_a bigint, n_b bigint, exact int")
 
 
 def _hot_pieces(short: DataFrame, metric, hot: int, known: int) -> DataFrame:
@@ -305,7 +314,8 @@ def _crowded(values: DataFrame, metric, longest: int, hot: int, known: int) -> t
 def candidate_pairs(
     values: DataFrame, metric=Indel(), block: int = BLOCK, longest: int = LONGEST, hot: int = HOT_PAIRS, few: int = FEW_VALUES,
 ) -> DataFrame:
-    """(value_a, value_b, n_a, n_b): pairs among which all similar ones are, each once. The values are stored first.
+    """(value_a, value_b, n_a, n_b, exact): pairs among which all similar ones are, each once; ``exact`` is what the cells
+    have found about a pair, if anything (pairs_sharing_characters). The values are stored first.
 
     ``block``, ``longest``, ``hot`` and ``few`` change the work and these pairs, never which of them are similar.
     """
@@ -324,7 +334,8 @@ def candidate_pairs(
         met = met.unionByName(_met_by_remainders(values.where(F.col("length") <= known), left_out))
     close = F.call_function("levenshtein", value_a, value_b, metric.edits(F.least(*sizes), F.greatest(*sizes))) >= 0
     in_cells = _met_in_cells(others.where("crowded"), metric, block).where(F.greatest(*sizes) > known)
-    return met.where(close).dropDuplicates(["value_a", "value_b"]).unionByName(in_cells)
+    once = met.where(close).dropDuplicates(["value_a", "value_b"]).withColumn("exact", F.lit(None).cast("int"))
+    return once.unionByName(in_cells)
 
 
 def near_pairs(values: DataFrame, metric=Indel(), **work) -> DataFrame:
@@ -334,7 +345,7 @@ def near_pairs(values: DataFrame, metric=Indel(), **work) -> DataFrame:
     """
     value_a, value_b = F.col("value_a"), F.col("value_b")
     return (
-        candidate_pairs(values, metric, **work).withColumn("score", metric.score(value_a, value_b))
+        candidate_pairs(values, metric, **work).withColumn("score", metric.score(value_a, value_b, F.col("exact")))
         .where(metric.accepts(F.col("score"), value_a, value_b))
         .select("value_a", "value_b", "score", "n_a", "n_b")
     )

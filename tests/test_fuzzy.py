@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlint.functions import similarity
 from ledgerlint.operators import fuzzy
 from ledgerlint.operators.findings import RowKey
 
@@ -190,3 +192,40 @@ def test_only_block_sizes_are_broadcast(spark, monkeypatch):
         plans.append(fuzzy.near_pairs(keep(frame(spark, urls), "urls"), metric, few=0, hot=5))
     joins = [line for df in plans for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line]
     assert joins and all("[own#" in line or "[partner#" in line for line in joins)
+
+
+@pytest.mark.parametrize("by_edits", [False, True])
+def test_many_pairs_at_once_equal_one_by_one(by_edits):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdé😀") for _ in range(n)) for n in (0, 1, 5, 40, 63, 64, 65, 127, 128, 129, 192, 193, 256) * 3]
+    texts += [mutated(rng, t, "abx") for t in texts]
+    codes = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    x, y = (np.array([rng.randrange(len(texts)) for _ in range(300)]) for _ in range(2))
+    found = similarity.compared_at_once(by_edits)(codes, x, y)
+    assert list(found) == [(edits if by_edits else lcs)(texts[i], texts[j]) for i, j in zip(x, y)]
+
+
+@pytest.mark.parametrize("metric", [fuzzy.Indel(), fuzzy.Edits()])
+def test_cells_hand_on_similar_pairs_only(spark, metric):
+    rng = random.Random(12)
+    urls = {f"https://{rng.choice(['blog.', 'www.', ''])}th{rng.choice(['ing', 'ble', 'ha'])}.example.com/"
+            f"{rng.choice(['de', 'en', 'fr'])}/{rng.randrange(100000)}{rng.choice(['.html', '/', '#top'])}" for _ in range(120)}
+    met = fuzzy.candidate_pairs(frame(spark, sorted(urls)), metric)
+    similar = fuzzy.near_pairs(frame(spark, sorted(urls)), metric)
+    assert met.count() == similar.count() > 0
+    wanted = [lcs, edits][metric.by_edits]
+    assert all(r["exact"] == wanted(r["value_a"], r["value_b"]) for r in met.collect())
+
+
+@pytest.mark.parametrize("metric", [fuzzy.Indel(), fuzzy.Edits()])
+def test_cells_of_short_and_long_values(spark, metric):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (230, 250, 256, 257, 275, 300)]
+    values = sorted({t for text in texts for t in (text, mutated(rng, text, "xyz"), mutated(rng, text, "xyz"))})
+    if metric.by_edits:
+        want = {(a, b): edits(a, b) for a, b in itertools.combinations(values, 2) if edits(a, b) <= int(0.12 * max(len(a), len(b)) + 1e-9)}
+    else:
+        want = {(a, b): indel_score(a, b) for a, b in itertools.combinations(values, 2) if 88 <= indel_score(a, b) < 100}
+    rows = fuzzy.near_pairs(frame(spark, values), metric).collect()
+    assert len(rows) == len(want) and {(r["value_a"], r["value_b"]): r["score"] for r in rows} == want
+    assert len({max(len(a), len(b)) > 256 for a, b in want}) == 2
