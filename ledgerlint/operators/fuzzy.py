@@ -18,10 +18,11 @@ Some pieces say nothing: those of a template ("https://", "Task ") are in most v
 ``HOT_PAIRS`` pairs is not joined. Values with such a piece, and values above ``LONGEST`` characters, whose pieces would be
 too many, meet in cells instead. They are dealt into blocks of bounded size, in rows and in characters, by length; two blocks
 meet only if their lengths allow similar values. A cell (a pair of blocks) compares character counts as matrices: two similar
-values share, with multiplicity, at least t characters, where t follows from the two lengths. Pairs that do, of values of up to
-256 characters, are scored there too, many at once, so that a cell gives the result. Cells are of equal size
+values share, with multiplicity, at least t characters, where t follows from the two lengths. Pairs that do are
+scored there too, those of values of up to 256 characters many at once, and handed on in parts of bounded size, so that a cell gives
+the result (but for edits between longer values, which the JVM counts). Cells are of equal size
 whatever the values look like, and nothing is shuffled there but the values. Their counting grows with the square of the
-values concerned, at some twenty million pairs per second and core; short values take no part in it but as partners of longer ones.
+values concerned, at some hundred million pairs of short values per second and core; short values take no part in it but as partners of longer ones.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ class Indel:
     by_edits = False
 
     def score(self, a: Column, b: Column, exact: Column | None = None) -> Column:
-        """The similarity; ``exact`` has the characters in common, in order, where they are known."""
+        """The similarity; ``exact`` has the characters in common, in order, if they are known."""
         return indel_score(a, b, self.ratio, exact)
 
     def accepts(self, score: Column, a: Column, b: Column) -> Column:
@@ -271,12 +272,13 @@ def _cells(values: DataFrame, metric, block: int) -> DataFrame:
              "side", "value", "n_rows")
 
 
-def _met_in_cells(values: DataFrame, metric, block: int) -> DataFrame:
+def _met_in_cells(values: DataFrame, metric, block: int, n_values: int) -> DataFrame:
     """(value_a, value_b, n_a, n_b, exact): pairs of values that share enough characters, in order if they are not long."""
-    # Cells take far more time than their bytes suggest: keep all partitions.
-    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Cells take far more time than their bytes suggest: keep all partitions, and one per block at least, so that a task's
+    # share of the pairs grows no faster than the table.
+    partitions = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_values // block))
     cells = _cells(values, metric, block).repartition(partitions, *CELL)
-    return cells.groupBy(*CELL).applyInPandas(
+    return cells.groupBy(*CELL).applyInArrow(
         pairs_sharing_characters(*metric.shares, metric.by_edits),
         "value_a string, value_b string, n_a bigint, n_b bigint, exact int")
 
@@ -311,17 +313,14 @@ def _crowded(values: DataFrame, metric, longest: int, hot: int, known: int) -> t
     return stored(flagged.select(*values.columns, (long | F.col("hot").isNotNull()).alias("crowded")), "values"), pieces
 
 
-def candidate_pairs(
-    values: DataFrame, metric=Indel(), block: int = BLOCK, longest: int = LONGEST, hot: int = HOT_PAIRS, few: int = FEW_VALUES,
-) -> DataFrame:
-    """(value_a, value_b, n_a, n_b, exact): pairs among which all similar ones are, each once; ``exact`` is what the cells
-    have found about a pair, if anything (pairs_sharing_characters). The values are stored first.
-
-    ``block``, ``longest``, ``hot`` and ``few`` change the work and these pairs, never which of them are similar.
-    """
+def _candidates(
+    values: DataFrame, metric, block: int = BLOCK, longest: int = LONGEST, hot: int = HOT_PAIRS, few: int = FEW_VALUES,
+) -> tuple[DataFrame | None, DataFrame]:
+    """Pairs that met by pieces or remainders (value_a, value_b, n_a, n_b), and those of the cells, with ``exact``."""
     values = stored(values.select("value", "n_rows", F.char_length("value").alias("length")), "values")
-    if values.count() <= few:
-        return _met_in_cells(values, metric, block)
+    n_values = values.count()
+    if n_values <= few:
+        return None, _met_in_cells(values, metric, block, n_values)
     left_out = _left_out(metric)
     known = max(left_out, default=0)
     value_a, value_b = F.col("value_a"), F.col("value_b")
@@ -333,22 +332,38 @@ def candidate_pairs(
     if known:
         met = met.unionByName(_met_by_remainders(values.where(F.col("length") <= known), left_out))
     close = F.call_function("levenshtein", value_a, value_b, metric.edits(F.least(*sizes), F.greatest(*sizes))) >= 0
-    in_cells = _met_in_cells(others.where("crowded"), metric, block).where(F.greatest(*sizes) > known)
-    once = met.where(close).dropDuplicates(["value_a", "value_b"]).withColumn("exact", F.lit(None).cast("int"))
-    return once.unionByName(in_cells)
+    in_cells = _met_in_cells(others.where("crowded"), metric, block, n_values).where(F.greatest(*sizes) > known)
+    return met.where(close).dropDuplicates(["value_a", "value_b"]), in_cells
+
+
+def candidate_pairs(values: DataFrame, metric=Indel(), **work) -> DataFrame:
+    """(value_a, value_b, n_a, n_b, exact): pairs among which all similar ones are, each once; ``exact`` is what the cells
+    have found about a pair, if anything (pairs_sharing_characters). The values are stored first.
+
+    ``work`` (``block``, ``longest``, ``hot`` and ``few``) changes the work and these pairs, never which of them are similar.
+    """
+    met, in_cells = _candidates(values, metric, **work)
+    return in_cells if met is None else met.withColumn("exact", F.lit(None).cast("int")).unionByName(in_cells)
 
 
 def near_pairs(values: DataFrame, metric=Indel(), **work) -> DataFrame:
     """(value_a, value_b, score, n_a, n_b) with value_a < value_b, over distinct values.
 
-    ``work`` is passed on to candidate_pairs; the result does not depend on it.
+    ``work`` is that of candidate_pairs; the result does not depend on it. Pairs of the cells are scored by what these have
+    found, so they do not pass through the function that scores the others.
     """
     value_a, value_b = F.col("value_a"), F.col("value_b")
-    return (
-        candidate_pairs(values, metric, **work).withColumn("score", metric.score(value_a, value_b, F.col("exact")))
-        .where(metric.accepts(F.col("score"), value_a, value_b))
-        .select("value_a", "value_b", "score", "n_a", "n_b")
-    )
+
+    def scored(pairs: DataFrame, *exact: Column) -> DataFrame:
+        return (
+            pairs.withColumn("score", metric.score(value_a, value_b, *exact))
+            .where(metric.accepts(F.col("score"), value_a, value_b))
+            .select("value_a", "value_b", "score", "n_a", "n_b")
+        )
+
+    met, in_cells = _candidates(values, metric, **work)
+    in_cells = scored(in_cells, F.col("exact"))
+    return in_cells if met is None else scored(met).unionByName(in_cells)
 
 
 def near_values(pairs: DataFrame) -> DataFrame:

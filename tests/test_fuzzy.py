@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +230,42 @@ def test_cells_of_short_and_long_values(spark, metric):
     rows = fuzzy.near_pairs(frame(spark, values), metric).collect()
     assert len(rows) == len(want) and {(r["value_a"], r["value_b"]): r["score"] for r in rows} == want
     assert len({max(len(a), len(b)) > 256 for a, b in want}) == 2
+
+
+def in_one_cell(values, metric):
+    rng = random.Random(15)
+    sides = [rng.choice([1, 2]) for _ in values]
+    rows = pa.RecordBatch.from_pydict({"side": pa.array(sides, pa.int32()), "value": values, "n_rows": [1] * len(values)})
+    parts = list(similarity.pairs_sharing_characters(*metric.shares, metric.by_edits)(iter([rows])))
+    found = sorted((r["value_a"], r["value_b"], r["exact"]) for p in parts for r in p.to_pylist())
+    return parts, found, {v: s for v, s in zip(values, sides)}
+
+
+@pytest.mark.parametrize("metric", [fuzzy.Indel(), fuzzy.Edits()])
+def test_a_cell_hands_on_parts_of_bounded_size(monkeypatch, metric):
+    values = sorted({f"https://{h}.example.com/{i * 977}.html" for i in range(40) for h in ("tha", "thing")})
+    wanted, enough = [lcs, edits][metric.by_edits], metric.shares
+    _, found, sides = in_one_cell(values, metric)
+    assert found == [(a, b, wanted(a, b)) for a, b in itertools.combinations(values, 2) if sides[a] != sides[b] and (
+        max(len(a), len(b)) - wanted(a, b) if metric.by_edits else wanted(a, b)) >= enough[0] * (len(a) + len(b)) + enough[1] * max(len(a), len(b))]
+    assert len(found) > 100
+    monkeypatch.setattr(similarity, "PART", 50)
+    parts, same, _ = in_one_cell(values, metric)
+    assert same == found and len(parts) > 1 and max(map(len, parts)) <= 50
+    monkeypatch.setattr(similarity, "PRODUCT", 0)
+    assert in_one_cell(values, metric)[1] == found
+
+
+def test_pairs_of_cells_pass_through_no_other_function(spark):
+    rng = random.Random(16)
+    values = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (40, 300)]
+    pairs = fuzzy.near_pairs(frame(spark, [v + end for v in values for end in ("", "x", "yz")]))
+    assert "ArrowEvalPython" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.where(F.char_length("value_b") > 256).count() == 0  # 300 and 301 characters score 100
+    assert pairs.count() == 3
+
+
+def test_more_values_are_dealt_to_more_tasks(spark):
+    urls = [f"https://host{i % 7}.example.com/{i * 31}.html" for i in range(300)]
+    plan = fuzzy.near_pairs(frame(spark, urls), block=10)._jdf.queryExecution().executedPlan().toString()
+    assert ", 30), REPARTITION_BY_NUM" in plan
