@@ -183,11 +183,13 @@ def pairs_sharing_characters(of_both: float, of_longer: float, edits: bool = Fal
                     exact[i] = in_common(values[x[i]], values[y[i]])
             unknown = ~short & edits
             keep = np.flatnonzero(unknown | ((longer - exact if edits else exact) >= fewest(length[x], length[y])))
-            x, y, exact, unknown = x[keep], y[keep], exact[keep], unknown[keep]
+            x, y, exact, unknown, longer = x[keep], y[keep], exact[keep], unknown[keep], longer[keep]
+            shorter = np.minimum(length[x], length[y])
             x, y = np.where(rank[x] < rank[y], x, y), np.where(rank[x] < rank[y], y, x)
             yield pa.RecordBatch.from_arrays(
                 [texts.take(pa.array(x)), texts.take(pa.array(y)), pa.array(times[x], pa.int64()), pa.array(times[y], pa.int64()),
-                 pa.array(exact.astype(np.int32), pa.int32(), mask=unknown)], ["value_a", "value_b", "n_a", "n_b", "exact"])
+                 pa.array(exact.astype(np.int32), mask=unknown), pa.array(shorter.astype(np.int32)), pa.array(longer.astype(np.int32))],
+                ["value_a", "value_b", "n_a", "n_b", "exact", "shorter", "longer"])
 
     return cell
 
@@ -236,8 +238,11 @@ def lcs_function(ratio: float):
     return F.pandas_udf(lcs, T.IntegerType()).asNondeterministic()
 
 
-def indel_score(left: Column, right: Column, ratio: float = 0.0, exact: Column | None = None) -> Column:
+def indel_score(
+    left: Column, right: Column, ratio: float = 0.0, exact: Column | None = None, total: Column | None = None) -> Column:
     """Whole-number similarity 0..100 from insertions and deletions, halves rounded to even; NULL
-    where it cannot reach the ratio. ``exact`` has the length of the longest common subsequence if that is known."""
+    where it cannot reach the ratio. ``exact`` has the length of the longest common subsequence, ``total`` the
+    characters of both, if that is known."""
     common = lcs_function(ratio)(left, right) if exact is None else exact
-    return F.bround(common * 200.0 / (F.char_length(left) + F.char_length(right)), 0).cast("int")
+    total = F.char_length(left) + F.char_length(right) if total is None else total
+    return F.rint(common * 200.0 / total).cast("int")

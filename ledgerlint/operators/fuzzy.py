@@ -84,9 +84,9 @@ class Indel:
 
     by_edits = False
 
-    def score(self, a: Column, b: Column, exact: Column | None = None) -> Column:
-        """The similarity; ``exact`` has the characters in common, in order, if they are known."""
-        return indel_score(a, b, self.ratio, exact)
+    def score(self, a: Column, b: Column, exact: Column | None = None, sizes: tuple[Column, Column] | None = None) -> Column:
+        """The similarity; ``exact`` has the characters in common, in order, and ``sizes`` both lengths, if they are known."""
+        return indel_score(a, b, self.ratio, exact, None if sizes is None else sizes[0] + sizes[1])
 
     def accepts(self, score: Column, a: Column, b: Column) -> Column:
         return (score >= self.at_least) & (score < 100)
@@ -118,9 +118,10 @@ class Edits:
 
     by_edits = True
 
-    def score(self, a: Column, b: Column, exact: Column | None = None) -> Column:
-        """The distance, or -1 as soon as it is certain to exceed the limit; ``exact`` has it where it is known."""
-        limit = self.limit(F.greatest(F.char_length(a), F.char_length(b)))
+    def score(self, a: Column, b: Column, exact: Column | None = None, sizes: tuple[Column, Column] | None = None) -> Column:
+        """The distance, or -1 as soon as it is certain to exceed the limit; ``exact`` has it where it is known, ``sizes``
+        both lengths if they are known."""
+        limit = self.limit(F.greatest(*(sizes or (F.char_length(a), F.char_length(b)))))
         counted = F.call_function("levenshtein", a, b, limit)
         return counted if exact is None else F.when(exact.isNull(), counted).when(exact <= limit, exact).otherwise(-1)
 
@@ -273,14 +274,15 @@ def _cells(values: DataFrame, metric, block: int) -> DataFrame:
 
 
 def _met_in_cells(values: DataFrame, metric, block: int, n_values: int) -> DataFrame:
-    """(value_a, value_b, n_a, n_b, exact): pairs of values that share enough characters, in order if they are not long."""
+    """(value_a, value_b, n_a, n_b, exact, shorter, longer): pairs of values that share enough characters, in order if they
+    are not long, and their lengths."""
     # Cells take far more time than their bytes suggest: keep all partitions, and one per block at least, so that a task's
     # share of the pairs grows no faster than the table.
     partitions = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_values // block))
     cells = _cells(values, metric, block).repartition(partitions, *CELL)
     return cells.groupBy(*CELL).applyInArrow(
         pairs_sharing_characters(*metric.shares, metric.by_edits),
-        "value_a string, value_b string, n_a bigint, n_b bigint, exact int")
+        "value_a string, value_b string, n_a bigint, n_b bigint, exact int, shorter int, longer int")
 
 
 def _hot_pieces(short: DataFrame, metric, hot: int, known: int) -> DataFrame:
@@ -316,7 +318,7 @@ def _crowded(values: DataFrame, metric, longest: int, hot: int, known: int) -> t
 def _candidates(
     values: DataFrame, metric, block: int = BLOCK, longest: int = LONGEST, hot: int = HOT_PAIRS, few: int = FEW_VALUES,
 ) -> tuple[DataFrame | None, DataFrame]:
-    """Pairs that met by pieces or remainders (value_a, value_b, n_a, n_b), and those of the cells, with ``exact``."""
+    """Pairs that met by pieces or remainders (value_a, value_b, n_a, n_b), and those of the cells (_met_in_cells)."""
     values = stored(values.select("value", "n_rows", F.char_length("value").alias("length")), "values")
     n_values = values.count()
     if n_values <= few:
@@ -332,7 +334,7 @@ def _candidates(
     if known:
         met = met.unionByName(_met_by_remainders(values.where(F.col("length") <= known), left_out))
     close = F.call_function("levenshtein", value_a, value_b, metric.edits(F.least(*sizes), F.greatest(*sizes))) >= 0
-    in_cells = _met_in_cells(others.where("crowded"), metric, block, n_values).where(F.greatest(*sizes) > known)
+    in_cells = _met_in_cells(others.where("crowded"), metric, block, n_values).where(F.col("longer") > known)
     return met.where(close).dropDuplicates(["value_a", "value_b"]), in_cells
 
 
@@ -343,6 +345,7 @@ def candidate_pairs(values: DataFrame, metric=Indel(), **work) -> DataFrame:
     ``work`` (``block``, ``longest``, ``hot`` and ``few``) changes the work and these pairs, never which of them are similar.
     """
     met, in_cells = _candidates(values, metric, **work)
+    in_cells = in_cells.drop("shorter", "longer")
     return in_cells if met is None else met.withColumn("exact", F.lit(None).cast("int")).unionByName(in_cells)
 
 
@@ -354,15 +357,15 @@ def near_pairs(values: DataFrame, metric=Indel(), **work) -> DataFrame:
     """
     value_a, value_b = F.col("value_a"), F.col("value_b")
 
-    def scored(pairs: DataFrame, *exact: Column) -> DataFrame:
+    def scored(pairs: DataFrame, *found) -> DataFrame:
         return (
-            pairs.withColumn("score", metric.score(value_a, value_b, *exact))
+            pairs.withColumn("score", metric.score(value_a, value_b, *found))
             .where(metric.accepts(F.col("score"), value_a, value_b))
             .select("value_a", "value_b", "score", "n_a", "n_b")
         )
 
     met, in_cells = _candidates(values, metric, **work)
-    in_cells = scored(in_cells, F.col("exact"))
+    in_cells = scored(in_cells, F.col("exact"), (F.col("shorter"), F.col("longer")))
     return in_cells if met is None else scored(met).unionByName(in_cells)
 
 
