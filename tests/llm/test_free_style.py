@@ -264,6 +264,20 @@ def test_turns_by_themselves_are_those_of_whole_prefixes(spark):
     assert len(alone) == 180 and alone == whole
 
 
+def test_templates_of_single_turns_are_rendered_on_whole_prefixes(spark):
+    calls = {}
+
+    def once(role, text):  # front and end of a turn hold only as long as it is rendered for the first time
+        calls[role, text] = calls.get((role, text), 0) + 1
+        return f"<{role}>{text}</{role}>" if calls[role, text] == 1 else f"<{role}>...</{role}>"
+
+    turns = spark.createDataFrame([(c, i, ("user", "assistant")[i % 2], f"{c} says {i}") for c in (1, 2) for i in range(12)],
+                                  "conv_id long, turn long, role string, text string").coalesce(1)
+    for template in (chat.per_turn(once), lambda turns: "".join(once(*x) for x in turns)):
+        found = {(r["conv_id"], r["position"]): r["rewrites_history"] for r in chat.format_turns(turns, template).collect()}
+        assert found == {(c, i): i > 0 for c in (1, 2) for i in range(12)}
+
+
 SCRIPTS = ["Das ist ein Wort. " * 3000, "这是一个没有空格的长文本，它有很多句子。" * 3000, "Это длинный русский текст без латиницы. " * 2000,
            "ไม่มีช่องว่าง" * 2000, "x\n" * 9000, "no_space" * 9000]
 
