@@ -80,3 +80,42 @@ def test_shingles_are_made_once_and_sorted_natively(spark, monkeypatch):
     assert len({bytes(r["id"]) for r in found}) == 3 and all(list(r["hashes"]) == sorted(r["hashes"]) for r in found)
     plan = made[0]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") == 1 and "array_sort" not in plan
+
+
+def test_only_shingles_of_texts_that_meet_are_stored(spark, monkeypatch):
+    kept, keep = [], documents.stored
+    monkeypatch.setattr(documents, "stored", lambda df, label: (kept.append(keep(df, label)), kept[-1])[1])
+    draw = random.Random(5)
+    rows = [(i, " ".join(str(draw.random()) for _ in range(50))) for i in range(300)]
+    rows += [(1000 + i, f"{rows[7][1]} end {i}") for i in range(4)] + [(2000, rows[7][1].upper() + "\n"), (2001, rows[9][1])]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    found = fuzzy.near_duplicates(df, "text", ID, documents.Shingles())
+    assert sorted((r["row_key"], r["detail"]) for r in found.collect()) == brute(rows)
+    # one text of each set: that of row 7, of its copy with other white space, and of the four longer ones
+    assert sum(t.count() for t in kept if "hashes" in t.columns) == 5
+
+
+@pytest.mark.parametrize("at_once", [1, 7])
+def test_cells_may_lie_in_several_batches(spark, monkeypatch, at_once):
+    monkeypatch.setattr(documents, "BLOCK", 20)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, at_once)
+    try:
+        rows = texts(3)
+        found = fuzzy.near_duplicates(spark.createDataFrame(rows, "id bigint, text string"), "text", ID, documents.Shingles())
+        assert sorted((r["row_key"], r["detail"]) for r in found.collect()) == brute(rows)
+    finally:
+        spark.conf.set(setting, before)
+
+
+@pytest.mark.parametrize("n, elements", [(1, 1 << 22), (2, 1 << 22), (90, 1 << 22), (90, 200)])
+def test_what_sets_share(monkeypatch, n, elements):
+    monkeypatch.setattr(documents, "ELEMENTS", elements)
+    draw = random.Random(n)
+    sets = [set(draw.sample(range(60), draw.randint(0, 30))) | {draw.randrange(-2000, 0) for _ in range(40)} for _ in range(n)]
+    sets[0] = set()
+    ends = documents.np.cumsum([0, *map(len, sets)])
+    values = documents.np.array([v for s in sets for v in sorted(s)], "int64")
+    shared = documents._shared(values, ends)
+    assert all(shared[i, j] == len(sets[i] & sets[j]) for i in range(n) for j in range(n) if i != j)
